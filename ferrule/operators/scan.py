@@ -31,16 +31,19 @@ def grouped_scan(
     order: list[str | Column],
     number: str | None = "rn",
     sums: dict[str, Column] | None = None,
+    maxes: dict[str, Column] | None = None,
     slices: int | None = None,
 ) -> DataFrame:
-    """Add a 1-based ``number`` and inclusive running ``sums`` per group."""
+    """Add a 1-based ``number``, inclusive running ``sums`` and running
+    ``maxes`` (nulls ignored) per group."""
     sums = sums or {}
+    maxes = maxes or {}
     slices = slices or shuffle_parts(df.sparkSession)
     order_c = _cols(order)
     # order columns given as plain names are also used for range bounds
     sort_keys = [F.col(b) for b in by] + [c for c in order_c]
     base = df
-    for name, expr in sums.items():
+    for name, expr in {**sums, **maxes}.items():
         base = base.withColumn(f"_v_{name}", expr)
     ranged = base.repartitionByRange(slices, *sort_keys).withColumn(
         "_slice", F.spark_partition_id()
@@ -53,10 +56,12 @@ def grouped_scan(
     local = ranged.withColumn("_n", F.count(F.lit(1)).over(w_local))
     for name in sums:
         local = local.withColumn(f"_s_{name}", F.sum(f"_v_{name}").over(w_local))
+    for name in maxes:
+        local = local.withColumn(f"_s_{name}", F.max(f"_v_{name}").over(w_local))
 
     aggs = [F.count(F.lit(1)).alias("_cnt")] + [
         F.sum(f"_v_{name}").alias(f"_tot_{name}") for name in sums
-    ]
+    ] + [F.max(f"_v_{name}").alias(f"_tot_{name}") for name in maxes]
     totals = local.groupBy("_slice", *by).agg(*aggs)
     w_prev = (
         Window.partitionBy(*by)
@@ -71,13 +76,16 @@ def grouped_scan(
             F.coalesce(F.sum(f"_tot_{name}").over(w_prev), F.lit(0)).alias(f"_off_{name}")
             for name in sums
         ],
+        *[F.max(f"_tot_{name}").over(w_prev).alias(f"_off_{name}") for name in maxes],
     )
     out = local.join(offs, on=["_slice", *by], how="inner")
     if number:
         out = out.withColumn(number, (F.col("_n") + F.col("_off_n")).cast("int"))
     for name in sums:
         out = out.withColumn(name, F.col(f"_s_{name}") + F.col(f"_off_{name}"))
+    for name in maxes:
+        out = out.withColumn(name, F.greatest(F.col(f"_s_{name}"), F.col(f"_off_{name}")))
     drop = ["_slice", "_n", "_off_n"] + [
-        c for name in sums for c in (f"_v_{name}", f"_s_{name}", f"_off_{name}")
+        c for name in [*sums, *maxes] for c in (f"_v_{name}", f"_s_{name}", f"_off_{name}")
     ]
     return out.drop(*drop)
