@@ -150,7 +150,7 @@ def fold_lines(lines: DataFrame, group: list[str], order: list[str], text: str =
 
 def customer_phrase(name, dob_text, allergies, as_of) -> Column:
     """New-customer sentence: age when the date parses, else the raw text."""
-    dob = F.try_to_date(F.col(dob_text) if isinstance(dob_text, str) else dob_text, F.lit("yyyy/MM/dd"))
+    dob = F.try_to_date(F.col(dob_text) if isinstance(dob_text, str) else dob_text, "yyyy/MM/dd")
     age = age_years(dob, as_of)
     dob_s = F.coalesce(
         F.concat(F.lit("is "), age.cast("string"), F.lit(" years old")),
