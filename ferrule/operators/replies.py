@@ -33,9 +33,11 @@ def correlate(
         *keys,
         F.col(req_id).alias("_id"),
         us(req_ts).alias("_t"),
+        F.col(req_ts).alias("_ts"),
         F.lit(0).alias("_kind"),
     ).withColumn("_b", F.floor(F.col("_t") / lim))
-    rs = responses.select(*keys, F.col(resp_id).alias("_id"), us(resp_ts).alias("_t"), F.lit(1).alias("_kind"))
+    rs = responses.select(*keys, F.col(resp_id).alias("_id"), us(resp_ts).alias("_t"), F.col(resp_ts).alias("_ts"),
+                          F.lit(1).alias("_kind"))
     rs = rs.withColumn("_b", F.explode(F.array(F.floor(F.col("_t") / lim), F.floor(F.col("_t") / lim) - 1)))
     u = rq.unionByName(rs)
     w = (
@@ -43,16 +45,16 @@ def correlate(
         .orderBy(F.col("_t").desc(), F.col("_kind").desc(), F.col("_id").desc())
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    nxt = u.withColumn("_next", F.min(F.when(F.col("_kind") == 1, F.struct("_t", "_id"))).over(w)).where(
+    nxt = u.withColumn("_next", F.min(F.when(F.col("_kind") == 1, F.struct("_t", "_id", "_ts"))).over(w)).where(
         F.col("_kind") == 0
     )
     ok = F.col("_next").isNotNull() & (F.col("_next._t") <= F.col("_t") + F.lit(lim))
     return nxt.select(
         *keys,
         F.col("_id").alias(req_id),
-        F.timestamp_micros("_t").alias(req_ts),
+        F.col("_ts").alias(req_ts),
         F.when(ok, F.col("_next._id")).alias(resp_id),
-        F.when(ok, F.timestamp_micros(F.col("_next._t"))).alias(resp_ts),
+        F.when(ok, F.col("_next._ts")).alias(resp_ts),
         F.when(ok, ((F.col("_next._t") - F.col("_t")) / 1000).cast("long")).alias("latency_ms"),
         F.when(ok, F.lit("matched")).otherwise(F.lit("timeout")).alias("status"),
         F.when(~ok, F.lit(TIMEOUT_REPLY)).alias("reply"),

@@ -10,6 +10,12 @@ the job.  ``grouped_scan`` instead
    window over that small table (at most ``slices + groups`` rows),
 4. joins the offsets back (AQE broadcasts them when they are small).
 
+The locally numbered rows are checkpointed (to the shared folder named by
+``spark.checkpoint.dir``) before they are used twice: range bounds are
+sampled per RDD, so two evaluations of the same range exchange may cut the
+slices differently; one materialised copy makes the slice ids consistent and
+also cuts the lineage for executor loss.
+
 ``order`` must be a total order inside a group (end it with a unique id).
 """
 
@@ -18,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import shuffle_parts
+from ..session import shared_dir, shuffle_parts
 
 
 def _cols(xs):
@@ -59,6 +65,9 @@ def grouped_scan(
     for name in maxes:
         local = local.withColumn(f"_s_{name}", F.max(f"_v_{name}").over(w_local))
 
+    shared_dir(df.sparkSession)
+    local = local.checkpoint(eager=True)
+
     aggs = [F.count(F.lit(1)).alias("_cnt")] + [
         F.sum(f"_v_{name}").alias(f"_tot_{name}") for name in sums
     ] + [F.max(f"_v_{name}").alias(f"_tot_{name}") for name in maxes]

@@ -47,7 +47,7 @@ def session_state(actions: DataFrame, session: str, order: list[str], ts: str, m
         F.col("_logout_us").isNull() | (F.col("_start_us") > F.col("_logout_us"))
     )
     return s.withColumn("started", started).withColumn(
-        "last_start_ts", F.timestamp_micros(F.col("_start_us"))
+        "last_start_ts", F.timestamp_micros(F.col("_start_us")).cast(actions.schema[ts].dataType)
     ).drop("_start_us", "_logout_us")
 
 
@@ -62,7 +62,7 @@ def orphan_turns(state: DataFrame, mid: str = "mid") -> DataFrame:
 def session_timeout(state: DataFrame, ts: str, ttl_seconds: int, mid: str = "mid") -> DataFrame:
     """Messages classified by session age: active / expired / orphan."""
     m = F.col(mid)
-    age = F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.col("last_start_ts"))
+    age = F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.col("last_start_ts").cast("timestamp"))
     status = (
         F.when(~F.col("started"), F.lit("orphan"))
         .when(age > F.lit(ttl_seconds * 1_000_000), F.lit("expired"))
