@@ -71,7 +71,7 @@ def orphan_turns_q(spark, d):
 @query("session_timeout", f"""
     WITH {_STATE_SQL}
     SELECT event_id, user_id, (epoch_us(ts) - epoch_us(last_start_ts)) / 1000000 AS session_age_s,
-           CASE WHEN NOT started THEN 'orphan' WHEN epoch_us(ts) - epoch_us(last_start_ts) > 3600 * 1000000 THEN 'expired' ELSE 'active' END AS status
+           CASE WHEN NOT started THEN 'orphan' WHEN epoch_us(ts) - epoch_us(last_start_ts) > 3600000000::BIGINT THEN 'expired' ELSE 'active' END AS status
     FROM st WHERE mid IS NOT NULL AND mid <> 0""")
 def session_timeout_q(spark, d):
     """Login lasts one hour: each message is active, expired or orphan."""
