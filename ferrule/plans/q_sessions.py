@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from ..functions.text import PY_NON_WS, message_id, reply_key
 from ..operators.misc import attach_context, ordered_steps, zip_pair
 from ..operators.replies import correlate, purge_prefix, reply_cache
-from ..operators.sessions import (
+from ..operators.sessions import (  # noqa: F401
+    TIMEOUT_REPLY,
     classify_action,
     history_chunks,
     orphan_turns,

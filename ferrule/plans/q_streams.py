@@ -1 +1,189 @@
-"""placeholder"""
+"""Queries: Structured Streaming operators, each run to completion
+(availableNow) over the table's files and written to the shared folder.
+Their oracle is the batch twin's SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..functions.embed import hashed_terms
+from ..session import scratch_path, table
+from ..sources.changes import event_op, events_as_actions
+from ..sources.vector_store import to_points
+from ..streaming.runner import read_output, read_table_stream, run_to_table, write_batch
+from ..streaming.streams import (
+    correlate_stream,
+    current_snapshot,
+    drain,
+    merge_snapshot,
+    rag_turn_step,
+    run_append,
+    session_turns,
+)
+from . import q_changes, q_sessions, q_vectors
+from .registry import ORACLE, query
+
+SEQ = ["ts", "event_id"]
+
+
+def _actions_stream(s):
+    return s.where(F.col("role") == "user").select(
+        F.col("conv_id").cast("string").alias("key"),
+        F.concat(F.lit("guest-"), F.col("conv_id").cast("string")).alias("username"),
+        F.lit(None).cast("string").alias("waiter_name"),
+        F.lit(None).cast("string").alias("context"),
+        F.col("text").alias("query"),
+        F.col("turn").alias("mid"),
+    )
+
+
+@query("stream_actions", """
+    SELECT conv_id::VARCHAR AS key, 'guest-' || conv_id::VARCHAR AS username, NULL::VARCHAR AS waiter_name,
+           NULL::VARCHAR AS context, text AS query, turn AS mid FROM conversations WHERE role = 'user'""")
+def stream_actions(spark, d):
+    """Keyed action stream with declared columns (conversation user turns)."""
+    s = read_table_stream(spark, d, "conversations")
+    out = run_append(_actions_stream(s), name="stream_actions")
+    return spark.read.parquet(out)
+
+
+@query("stream_inferred", "SELECT * FROM events")
+def stream_inferred(spark, d):
+    """Stream whose columns come from the stored files' metadata."""
+    out = run_append(read_table_stream(spark, d, "events"), name="stream_inferred")
+    return spark.read.parquet(out)
+
+
+@query("resume_exactly_once", "SELECT event_id, user_id, event_type FROM events")
+def resume_exactly_once(spark, d):
+    """Run, stop, restart on the same checkpoint: every row exactly once."""
+    base = scratch_path(spark, "resume")
+    for _ in range(2):
+        s = read_table_stream(spark, d, "events").select("event_id", "user_id", "event_type")
+        run_to_table(s, base=base)
+    return spark.read.parquet(f"{base}/out")
+
+
+@query("drain_once", "SELECT event_id, ts FROM events")
+def drain_once(spark, d):
+    """Two drains on one checkpoint: the first hands out every row, the second none."""
+    base = scratch_path(spark, "drain")
+    first = drain(read_table_stream(spark, d, "events").select("event_id", "ts"), base)
+    second = drain(read_table_stream(spark, d, "events").select("event_id", "ts"), base)
+    return first.unionByName(second)
+
+
+@query("stream_vdb_record", ORACLE["vdb_record"])
+def stream_vdb_record(spark, d):
+    """Change stream of documents -> collection points, per micro-batch."""
+    lab = table(spark, d, "labels").select("doc_id", "toxic")
+    s = read_table_stream(spark, d, "documents").join(lab, "doc_id", "left").select(
+        "doc_id", "text", F.when(F.col("toxic") == 1, F.lit("d")).otherwise(F.lit("c")).alias("op")
+    )
+
+    def step(b, i, out):
+        pts = to_points(b, "doc_id", "text", dim=q_vectors.DIM_TEXT)
+        nb = F.when(F.col("vector").isNotNull(), F.size(F.filter("vector", lambda x: x > 0)).cast("long"))
+        write_batch(pts.select("collection_name", "id", "title", "description", "embed_text", nb.alias("n_buckets")), i, out)
+
+    out = run_to_table(s, name="stream_vdb_record", foreach_batch=step)
+    return spark.read.parquet(out).drop("batch")
+
+
+@query("stream_actions_embedded", f"""
+    WITH q AS (SELECT conv_id * 1000000 + turn AS qid, conv_id, turn, text FROM conversations WHERE role = 'user'),
+    t AS {q_vectors.hashed_terms_sql('q', 'qid', 'text', q_vectors.DIM_TEXT)}
+    SELECT q.conv_id::VARCHAR AS key, q.turn AS mid, n.n_buckets FROM q LEFT JOIN (SELECT id, count(*) AS n_buckets FROM t GROUP BY id) n ON n.id = q.qid""")
+def stream_actions_embedded(spark, d):
+    """Actions + the vector of their query, re-keyed by session."""
+    s = read_table_stream(spark, d, "conversations").where(F.col("role") == "user").select(
+        (F.col("conv_id") * 1_000_000 + F.col("turn")).alias("qid"), "conv_id", "turn", "text"
+    )
+
+    def step(b, i, out):
+        n = hashed_terms(b, "qid", "text", q_vectors.DIM_TEXT).groupBy(F.col("id").alias("qid")).agg(F.count(F.lit(1)).alias("n_buckets"))
+        r = b.join(n, "qid", "left").select(F.col("conv_id").cast("string").alias("key"), F.col("turn").alias("mid"), "n_buckets")
+        write_batch(r.repartition("key"), i, out)
+
+    out = run_to_table(s, name="stream_actions_embedded", foreach_batch=step)
+    return spark.read.parquet(out).drop("batch")
+
+
+_SESSION_TURNS_SQL = f"""
+    WITH {q_sessions._STATE_SQL},
+    nv AS (SELECT *, row_number() OVER (PARTITION BY user_id, epoch, event_type, (mid IS NOT NULL AND mid <> 0 AND started)
+                                        ORDER BY ts, event_id) AS fr FROM st)
+    SELECT user_id, event_id, mid,
+           CASE WHEN mid IS NULL THEN 'logout' WHEN mid = 0 THEN 'start' ELSE 'message' END AS action,
+           epoch::BIGINT AS epoch, started,
+           CASE WHEN mid IS NOT NULL AND mid <> 0 AND started THEN fr = 1 END AS novel,
+           CASE WHEN mid IS NULL THEN 'closed' WHEN mid <> 0 AND NOT started THEN 'error' ELSE 'ok' END AS status,
+           CASE WHEN mid IS NOT NULL AND mid <> 0 AND NOT started THEN '{q_sessions._ERROR}' END AS response,
+           CASE WHEN mid IS NOT NULL AND mid <> 0 AND NOT started THEN -1 END AS total_tokens
+    FROM nv"""
+
+
+@query("session_turns", _SESSION_TURNS_SQL)
+def session_turns_q(spark, d):
+    """Session state machine as a stateful stream (start / message / logout,
+    title novelty per epoch, error replies for orphan messages)."""
+    s = events_as_actions(read_table_stream(spark, d, "events")).select(
+        "user_id", "event_id", "ts", "mid", F.col("event_type").alias("title")
+    )
+    out = run_append(session_turns(s), name="session_turns")
+    return spark.read.parquet(out)
+
+
+@query("stream_current_state", ORACLE["cdc_current_state"])
+def stream_current_state(spark, d):
+    """Live current state of a change stream: each micro-batch is merged into
+    a versioned snapshot (foreachBatch), read back at the end."""
+    s = read_table_stream(spark, d, "events").select(
+        "user_id", event_op().alias("op"), "value", "props", "ts", "event_id"
+    )
+    base = scratch_path(spark, "stream_current_state")
+    run_to_table(s, base=base, foreach_batch=lambda b, i, o: merge_snapshot("user_id", SEQ)(b, i, f"{base}/snap"))
+    snap = current_snapshot(spark, f"{base}/snap")
+    return snap.where(F.col("op") != "d").select("user_id", "op", "value", "props", "ts", "event_id")
+
+
+@query("stream_request_response", ORACLE["request_response"])
+def stream_request_response(spark, d):
+    """Click -> first purchase within 2 h on a stream (state per user, event
+    time timeouts).  A watermark sentinel (a response one day after the last
+    event, on a key of its own) releases the last unmatched requests."""
+    ev = read_table_stream(spark, d, "events").where(F.col("event_type").isin("click", "purchase")).select(
+        "user_id", F.col("event_id").alias("id"), "ts", F.when(F.col("event_type") == "purchase", 1).otherwise(0).alias("kind")
+    )
+    base = scratch_path(spark, "stream_request_response")
+    last = table(spark, d, "events").agg(F.max("ts").alias("ts"))
+    last.select(F.lit(-1).cast("long").alias("user_id"), F.lit(-1).cast("long").alias("id"),
+                (F.col("ts") + F.expr("INTERVAL 1 DAY")).alias("ts"), F.lit(1).alias("kind")).write.parquet(f"{base}/sentinel")
+    sent = spark.readStream.schema(ev.schema).parquet(f"{base}/sentinel")
+    out = run_to_table(correlate_stream(ev.unionByName(sent), 7200), base=base)
+    r = spark.read.parquet(out).where(F.col("user_id") >= 0)
+    ev_b = table(spark, d, "events").select("event_id", "ts")
+    res = ev_b.select(F.col("event_id").alias("resp_event_id"), F.col("ts").alias("resp_ts"))
+    ok = F.col("status") == "matched"
+    return (
+        r.join(ev_b, "event_id").join(res, "resp_event_id", "left")
+        .select(
+            "user_id", "event_id", "ts", "resp_event_id", "resp_ts",
+            F.when(ok, ((F.col("resp_us") - F.col("ts_us")) / 1000).cast("long")).alias("latency_ms"),
+            "status",
+            F.when(~ok, F.lit(q_sessions.TIMEOUT_REPLY)).alias("reply"),
+        )
+    )
+
+
+@query("stream_rag_turn", ORACLE["rag_context"])
+def stream_rag_turn(spark, d):
+    """Whole turn on a stream: action -> embed -> top-k -> novelty across
+    micro-batches (seen snapshot) -> context rows."""
+    _, corpus = q_vectors.rag_inputs(spark, d)
+    s = read_table_stream(spark, d, "conversations").where(F.col("role") == "user").select(
+        (F.col("conv_id") * 1_000_000 + F.col("turn")).alias("qid"), "conv_id", "turn", F.col("text").alias("query")
+    )
+    out = run_to_table(s, name="stream_rag_turn", foreach_batch=rag_turn_step(corpus, 2, 0.3, ["conv_id"], "turn"))
+    return spark.read.parquet(f"{out}/ctx").select("conv_id", "turn", "context", "n_items")
