@@ -84,7 +84,7 @@ def stream_vdb_record(spark, d):
 
     def step(b, i, out):
         pts = to_points(b, "doc_id", "text", dim=q_vectors.DIM_TEXT)
-        nb = F.when(F.col("vector").isNotNull(), F.size(F.filter("vector", lambda x: x > 0)).cast("long"))
+        nb = F.when(F.col("vector").isNotNull(), F.size("vector.idx").cast("long"))
         write_batch(pts.select("collection_name", "id", "title", "description", "embed_text", nb.alias("n_buckets")), i, out)
 
     out = run_to_table(s, name="stream_vdb_record", foreach_batch=step)

@@ -10,6 +10,7 @@ from ..functions.json import json_annotate
 from ..functions.logs import log_markup, parse_log
 from ..operators.misc import known_users, label, sentinel
 from ..operators.prompt import attribute_list, customer_phrase, flatten_listing, public_view
+from ..operators.spread import spread
 from ..operators.vectors import exclude_value
 from ..session import table
 from .q_changes import log_lines
@@ -92,7 +93,7 @@ def clean_reply(spark, d):
     SELECT doc_id, regexp_replace(translate(replace(text, chr(13), ''), chr(10) || chr(9), '  '), ' +', ' ', 'g') AS flat FROM documents""")
 def flatten_ws(spark, d):
     """Whitespace flattening of whole texts."""
-    return table(spark, d, "documents").select("doc_id", X.flatten_ws("text").alias("flat"))
+    return spread(table(spark, d, "documents")).select("doc_id", X.flatten_ws("text").alias("flat"))
 
 
 VARS = {"HOST": "db.internal", "PORT": "5432", "HOST_RO": "ro.db.internal"}
@@ -106,7 +107,7 @@ VARS = {"HOST": "db.internal", "PORT": "5432", "HOST_RO": "ro.db.internal"}
              '\\$ENV\\.[\\w-]*', '', 'g') AS text_out FROM documents""")
 def substitute_vars(spark, d):
     """``$ENV.NAME`` placeholders -> values (longest name first), unknown -> ''."""
-    return table(spark, d, "documents").select("doc_id", X.substitute_vars("text", VARS).alias("text_out"))
+    return spread(table(spark, d, "documents")).select("doc_id", X.substitute_vars("text", VARS).alias("text_out"))
 
 
 @query("placeholders", """
@@ -114,7 +115,7 @@ def substitute_vars(spark, d):
       SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '\\$ENV\\.([\\w-]*)', 1))) AS placeholder FROM documents)""")
 def placeholders(spark, d):
     """Distinct ``$ENV.NAME`` placeholders per text."""
-    return table(spark, d, "documents").select("doc_id", F.explode(X.placeholders("text")).alias("placeholder"))
+    return spread(table(spark, d, "documents")).select("doc_id", F.explode(X.placeholders("text")).alias("placeholder"))
 
 
 @query("split_statements", f"""
@@ -123,7 +124,7 @@ def placeholders(spark, d):
     SELECT doc_id, (generate_subscripts(parts, 1) - 1)::INTEGER AS pos, unnest(parts) || '.' AS stmt FROM p""")
 def split_statements(spark, d):
     """Flatten whitespace, split sentences on '.', strip, drop empties."""
-    t = table(spark, d, "documents").select("doc_id", X.split_statements(X.flatten_ws("text"), ".").alias("parts"))
+    t = spread(table(spark, d, "documents")).select("doc_id", X.split_statements(X.flatten_ws("text"), ".").alias("parts"))
     return t.select("doc_id", F.posexplode("parts").alias("pos", "stmt"))
 
 
@@ -159,7 +160,7 @@ def strip_fences(spark, d):
     SELECT page_id, regexp_replace(html, '(?i)<(/?)h[1-5]([ \\t\\n\\f\\r>/])', '<\\1h6\\2', 'g') AS html_out FROM pages""")
 def html_headings(spark, d):
     """h1..h5 -> h6."""
-    return table(spark, d, "pages").select("page_id", H.html_headings("html").alias("html_out"))
+    return spread(table(spark, d, "pages")).select("page_id", H.html_headings("html").alias("html_out"))
 
 
 def _set_class_sql(x, e, classes):
@@ -177,7 +178,7 @@ _P_CLASSES = "text-body small"
 def html_set_class(spark, d):
     """Set the class of every nav and p element (replacing an existing one)."""
     h = H.html_set_class(H.html_set_class(F.col("html"), "nav", _NAV_CLASSES), "p", _P_CLASSES)
-    return table(spark, d, "pages").select("page_id", h.alias("html_out"))
+    return spread(table(spark, d, "pages")).select("page_id", h.alias("html_out"))
 
 
 @query("json_annotate", """
@@ -243,7 +244,7 @@ _EMAIL = r"([A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,})"
     SELECT doc_id, coalesce(nullif(regexp_extract(text, '{_EMAIL}', 1), ''), 'nothing') AS contact FROM documents""")
 def default_if_empty(spark, d):
     """Falsy default on the first e-mail found in a text."""
-    t = table(spark, d, "documents")
+    t = spread(table(spark, d, "documents").select("doc_id", "text"))
     return t.select("doc_id", X.default_if_empty(X.first_match("text", _EMAIL), "nothing").alias("contact"))
 
 

@@ -9,6 +9,7 @@ from ..functions.json import json_vector
 from ..functions.vector import as_double, cosine
 from ..operators.quality import vector_contract as vector_rules, with_reasons
 from ..operators.retrieve import first_in_epoch, rag_context
+from ..operators.spread import materialize
 from ..operators.vectors import knn, knn_approx, label_vote, recall
 from ..session import table
 from ..sources.vector_store import delete_points, to_points, upsert_vectors
@@ -131,7 +132,7 @@ def vector_upsert(spark, d):
     batch = hashed_vectors(hashed_terms(docs, "doc_id", "text", DIM_EMB), DIM_EMB).select(
         "id", F.lit(1).alias("version"), "vector"
     )
-    u = upsert_vectors(state, batch, "id", ["version"])
+    u = upsert_vectors(state, batch.select("id", "version", F.col("vector.val").alias("vector")), "id", ["version"])
     vsum = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x)
     return u.select("id", "version", F.round(vsum, 6).alias("vsum"))
 
@@ -211,7 +212,7 @@ def vdb_record(spark, d):
     """Documents (toxic label = delete) -> collection points: uuid id, payload
     title/description (blank on delete), embedding of ``id: text``."""
     pts = to_points(_doc_changes(spark, d), "doc_id", "text", dim=DIM_TEXT)
-    nb = F.when(F.col("vector").isNotNull(), F.size(F.filter("vector", lambda x: x > 0)).cast("long"))
+    nb = F.when(F.col("vector").isNotNull(), F.size("vector.idx").cast("long"))
     return pts.select("collection_name", "id", "title", "description", "embed_text", nb.alias("n_buckets"))
 
 
@@ -233,13 +234,13 @@ def rag_inputs(spark, d):
     qv = hashed_vectors(hashed_terms(actions, "qid", "query", DIM_TEXT), DIM_TEXT).select(
         F.col("id").alias("qid"), "vector"
     )
-    actions = actions.join(qv, "qid", "left")
+    actions = materialize(actions.join(qv, "qid", "left"))
     c = _doc_changes(spark, d)
     title = F.when(F.col("op") == "d", F.lit("")).otherwise(F.col("doc_id").cast("string"))
     corpus = c.select(F.col("doc_id").alias("id"), title.alias("title"), F.col("text").alias("description"),
                       F.concat(F.col("doc_id").cast("string"), F.lit(": "), F.col("text")).alias("embed_text"))
     cv = hashed_vectors(hashed_terms(corpus, "id", "embed_text", DIM_TEXT), DIM_TEXT).select("id", "vector")
-    return actions, corpus.join(cv, "id", "left")
+    return actions, materialize(corpus.join(cv, "id", "left"))
 
 
 @query("rag_context", f"""
@@ -263,5 +264,5 @@ def rag_context_q(spark, d):
     """Flagship: user turn -> top-2 documents (>= 0.3, blank titles excluded,
     no repeats within a conversation) -> context block."""
     actions, corpus = rag_inputs(spark, d)
-    out = rag_context(actions, corpus, k=2, min_score=0.3, session=["conv_id"], turn="turn")
+    out = rag_context(actions, corpus, k=2, min_score=0.3, session=["conv_id"], turn="turn", sparse_dim=DIM_TEXT)
     return out.select("conv_id", "turn", "context", "n_items")

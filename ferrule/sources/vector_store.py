@@ -28,8 +28,10 @@ def to_points(changes: DataFrame, key: str, text: str, collection: str = COLLECT
     """Change rows (op, key, text) -> points (collection_name, id, title,
     description, embed_text, vector).  A delete keeps its point with blank
     title/description (soft delete) and the embedding of ''."""
+    from ..operators.spread import spread
+
     d = F.col("op") == "d"
-    p = changes.select(
+    p = spread(changes).select(
         F.lit(collection).alias("collection_name"),
         F.col(key).alias("_key"),
         md5_uuid(F.col(key)).alias("id"),
@@ -37,6 +39,7 @@ def to_points(changes: DataFrame, key: str, text: str, collection: str = COLLECT
         F.when(d, F.lit("")).otherwise(F.col(text)).alias("description"),
         F.when(d, F.lit("")).otherwise(embed_input(F.col(key), F.col(text))).alias("embed_text"),
     )
-    # deletes embed '' (a zero vector): only non-empty texts are embedded
-    vec = embed(p.where(F.col("embed_text") != ""), "id", "embed_text", dim)
-    return p.join(vec, "id", "left").drop("_key")
+    # deletes embed '' (a zero vector): only non-empty texts are embedded,
+    # keyed by the (compact) source key rather than the 36-char point id
+    vec = embed(p.where(F.col("embed_text") != ""), "_key", "embed_text", dim).withColumnRenamed("id", "_key")
+    return p.join(vec, "_key", "left").drop("_key")

@@ -118,7 +118,7 @@ def rag_turn_step(corpus: DataFrame, k: int, min_score: float, session: list[str
         qv = hashed_vectors(hashed_terms(batch, "qid", "query", 384), 384).select(F.col("id").alias("qid"), "vector")
         actions = batch.join(qv, "qid", "left")
         seen = spark.read.parquet(f"{seen_base}/v={last}") if last is not None else None
-        novel = novel_hits(actions, corpus, k, min_score, session, turn, seen=seen).persist()
+        novel = novel_hits(actions, corpus, k, min_score, session, turn, seen=seen, sparse_dim=384).persist()
         context_block(actions, novel, session, turn).write.mode("overwrite").parquet(f"{out}/ctx/batch={batch_id}")
         new_seen = novel.select(*session, "title")
         if seen is not None:
