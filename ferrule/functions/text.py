@@ -42,6 +42,8 @@ def title_case(x, spaces: bool = True) -> Column:
 
     With ``spaces`` the ``_`` and ``-`` become spaces first (listing names).
     Not ``initcap``: ``chef's`` -> ``Chef'S``, ``5pm`` -> ``5Pm``.
+    Known gap: characters whose title case differs from their upper case
+    (``ß`` -> Python ``Ss``, here ``SS``).
     """
     s = _c(x)
     if spaces:
@@ -80,24 +82,30 @@ def flatten_ws(x) -> Column:
     return F.regexp_replace(s, " +", " ")
 
 
+NAME_CHARS = r"[\p{L}\p{N}_-]"  # Python's Unicode \w plus '-'
+
+
 def placeholders(x, prefix: str = r"\$ENV\.") -> Column:
     """Distinct placeholder names ``<prefix>NAME`` found in the text."""
-    return F.array_distinct(F.regexp_extract_all(_c(x), F.lit(prefix + r"([\w-]*)"), 1))
+    return F.array_distinct(F.regexp_extract_all(_c(x), F.lit(prefix + f"({NAME_CHARS}*)"), 1))
 
 
-def substitute_vars(x, variables: dict[str, str], prefix: str = "$ENV.") -> Column:
-    """Replace ``$ENV.NAME`` by its value, unknown names by ''.
+def substitute_vars(x, variables: dict[str, str]) -> Column:
+    """Replace every ``$ENV.NAME`` by its value, unknown names by ''.
 
-    Names are replaced longest first so ``$ENV.A`` never eats ``$ENV.AB``.
+    One pass over the original text: it is cut into placeholders and plain
+    runs, each placeholder is looked up on its own (so ``$ENV.A`` never
+    touches ``$ENV.AB``, and a substituted value is never re-read).
     """
-    import re
+    pieces = F.regexp_extract_all(_c(x), F.lit(rf"(\$ENV\.{NAME_CHARS}*|[^$]+|\$)"), 1)
+    lookup = F.create_map(*[v for k, val in variables.items() for v in (F.lit(k), F.lit(val))]) if variables else None
 
-    s = _c(x)
-    known = sorted(variables, key=lambda k: (-len(k), k))
-    for name in known:
-        s = F.regexp_replace(s, re.escape(prefix + name) + r"(?![\w-])", variables[name].replace("$", r"\$"))
-    # whatever placeholder is left is unknown -> ''
-    return F.regexp_replace(s, re.escape(prefix) + r"[\w-]*", "")
+    def sub(p):
+        name = F.substring(p, 6, 1 << 30)
+        value = F.coalesce(lookup[name], F.lit("")) if lookup is not None else F.lit("")
+        return F.when(p.startswith("$ENV."), value).otherwise(p)
+
+    return F.array_join(F.transform(pieces, sub), "")
 
 
 def split_statements(x, sep: str = ";") -> Column:

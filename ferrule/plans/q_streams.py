@@ -151,17 +151,27 @@ def stream_current_state(spark, d):
 @query("stream_request_response", ORACLE["request_response"])
 def stream_request_response(spark, d):
     """Click -> first purchase within 2 h on a stream (state per user, event
-    time timeouts).  A watermark sentinel (a response one day after the last
-    event, on a key of its own) releases the last unmatched requests."""
+    time timeouts, no pairs).  The query also reads a sentinel folder, empty
+    on the first run; after the events are processed a sentinel (a response
+    one day after the last event, on a key of its own) is written there and
+    the same query restarts on its checkpoint, so the watermark passes every
+    deadline only after all data has been seen."""
     ev = read_table_stream(spark, d, "events").where(F.col("event_type").isin("click", "purchase")).select(
         "user_id", F.col("event_id").alias("id"), "ts", F.when(F.col("event_type") == "purchase", 1).otherwise(0).alias("kind")
     )
     base = scratch_path(spark, "stream_request_response")
+    sent_dir = f"{base}/sentinel"
+    spark.createDataFrame([], ev.schema).write.parquet(sent_dir)
+
+    def run():
+        sent = spark.readStream.schema(ev.schema).parquet(sent_dir)
+        return run_to_table(correlate_stream(ev.unionByName(sent), 7200), base=base)
+
+    run()
     last = table(spark, d, "events").agg(F.max("ts").alias("ts"))
     last.select(F.lit(-1).cast("long").alias("user_id"), F.lit(-1).cast("long").alias("id"),
-                (F.col("ts") + F.expr("INTERVAL 1 DAY")).alias("ts"), F.lit(1).alias("kind")).write.parquet(f"{base}/sentinel")
-    sent = spark.readStream.schema(ev.schema).parquet(f"{base}/sentinel")
-    out = run_to_table(correlate_stream(ev.unionByName(sent), 7200), base=base)
+                (F.col("ts") + F.expr("INTERVAL 1 DAY")).alias("ts"), F.lit(1).alias("kind")).write.mode("append").parquet(sent_dir)
+    out = run()
     r = spark.read.parquet(out).where(F.col("user_id") >= 0)
     ev_b = table(spark, d, "events").select("event_id", "ts")
     res = ev_b.select(F.col("event_id").alias("resp_event_id"), F.col("ts").alias("resp_ts"))

@@ -99,20 +99,24 @@ def flatten_ws(spark, d):
 VARS = {"HOST": "db.internal", "PORT": "5432", "HOST_RO": "ro.db.internal"}
 
 
-@query("substitute_vars", """
-    SELECT doc_id, regexp_replace(
-             regexp_replace(regexp_replace(regexp_replace(text, '\\$ENV\\.HOST_RO([^\\w-]|$)', 'ro.db.internal\\1', 'g'),
-                                           '\\$ENV\\.HOST([^\\w-]|$)', 'db.internal\\1', 'g'),
-                            '\\$ENV\\.PORT([^\\w-]|$)', '5432\\1', 'g'),
-             '\\$ENV\\.[\\w-]*', '', 'g') AS text_out FROM documents""")
+_NAME = "[\\p{L}\\p{N}_-]"
+
+
+@query("substitute_vars", f"""
+    SELECT doc_id, array_to_string(list_transform(
+             regexp_extract_all(text, '(\\$ENV\\.{_NAME}*|[^$]+|\\$)', 1),
+             lambda p: CASE WHEN starts_with(p, '$ENV.') THEN
+                 CASE substr(p, 6) WHEN 'HOST' THEN 'db.internal' WHEN 'PORT' THEN '5432'
+                                   WHEN 'HOST_RO' THEN 'ro.db.internal' ELSE '' END
+               ELSE p END), '') AS text_out FROM documents""")
 def substitute_vars(spark, d):
-    """``$ENV.NAME`` placeholders -> values (longest name first), unknown -> ''."""
+    """``$ENV.NAME`` placeholders -> values in one pass, unknown -> ''."""
     return spread(table(spark, d, "documents")).select("doc_id", X.substitute_vars("text", VARS).alias("text_out"))
 
 
 @query("placeholders", """
     SELECT doc_id, placeholder FROM (
-      SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '\\$ENV\\.([\\w-]*)', 1))) AS placeholder FROM documents)""")
+      SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '\\$ENV\\.([\\p{L}\\p{N}_-]*)', 1))) AS placeholder FROM documents)""")
 def placeholders(spark, d):
     """Distinct ``$ENV.NAME`` placeholders per text."""
     return spread(table(spark, d, "documents")).select("doc_id", F.explode(X.placeholders("text")).alias("placeholder"))

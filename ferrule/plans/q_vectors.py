@@ -95,7 +95,7 @@ def knn_approx_recall(spark, d):
     """Banded-LSH top-2 vs exact top-2: recall over all vectors (rows-only)."""
     e = _emb(spark, d)
     kw = dict(query_id="vec_id", id_col="vec_id", vec_col="embedding", exclude_self=True)
-    approx = knn_approx(e, e, dim=DIM_EMB, k=2, bands=12, bits=4, **kw)
+    approx = knn_approx(e, e, dim=DIM_EMB, k=2, bands=24, bits=4, **kw)
     exact = knn(e, e, k=2, **kw)
     r = recall(approx, exact)
     return r.agg(F.count(F.lit(1)).alias("n_queries"), F.round(F.avg("recall"), 4).alias("recall"))

@@ -89,6 +89,12 @@ def make_correlator(limit_us: int):
             pending = keep
             if r.kind == 0:
                 pending.append((t, rid))
+        # requests whose deadline the watermark already passed time out now
+        wm = state.getCurrentWatermarkMs()
+        if wm is not None and wm > 0:
+            late = [(pt, pid) for pt, pid in pending if pt // 1000 + limit_us // 1000 + 1 <= wm]
+            rows += [(key[0], pid, pt, None, None, "timeout") for pt, pid in late]
+            pending = [p for p in pending if p not in late]
         if pending:
             state.update((json.dumps(pending),))
             state.setTimeoutTimestamp(int(min(p[0] for p in pending) // 1000 + limit_us // 1000 + 1))
