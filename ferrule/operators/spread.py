@@ -14,6 +14,15 @@ from pyspark.sql import DataFrame
 
 
 def spread(df: DataFrame, parts: int | None = None) -> DataFrame:
+    """Round-robin ``df`` over at least ``parts`` tasks when its scan gives
+    fewer.
+
+    Catalyst pushes deterministic filters through a repartition; a filter
+    on an expensive expression would then run in the single scan task.  The
+    usual source is the filter ``size(arr) > 0`` inferred for a non-outer
+    ``explode``: after ``spread`` use ``explode_outer``/``posexplode_outer``
+    and drop the null row instead.
+    """
     target = parts or df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < target:
         return df.repartition(target)

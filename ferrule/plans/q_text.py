@@ -119,7 +119,8 @@ def substitute_vars(spark, d):
       SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '\\$ENV\\.([\\p{L}\\p{N}_-]*)', 1))) AS placeholder FROM documents)""")
 def placeholders(spark, d):
     """Distinct ``$ENV.NAME`` placeholders per text."""
-    return spread(table(spark, d, "documents")).select("doc_id", F.explode(X.placeholders("text")).alias("placeholder"))
+    t = spread(table(spark, d, "documents")).select("doc_id", F.explode_outer(X.placeholders("text")).alias("placeholder"))
+    return t.where(F.col("placeholder").isNotNull())
 
 
 @query("split_statements", f"""
@@ -129,7 +130,8 @@ def placeholders(spark, d):
 def split_statements(spark, d):
     """Flatten whitespace, split sentences on '.', strip, drop empties."""
     t = spread(table(spark, d, "documents")).select("doc_id", X.split_statements(X.flatten_ws("text"), ".").alias("parts"))
-    return t.select("doc_id", F.posexplode("parts").alias("pos", "stmt"))
+    # outer explode: no size(parts) > 0 filter is inferred below the spread
+    return t.select("doc_id", F.posexplode_outer("parts").alias("pos", "stmt")).where(F.col("stmt").isNotNull())
 
 
 _LEVEL_SQL = "CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'signup' THEN 'INFO' WHEN 'purchase' THEN 'WARNING' ELSE 'DEBUG' END"
