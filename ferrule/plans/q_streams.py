@@ -19,6 +19,7 @@ from ..streaming.streams import (
     merge_snapshot,
     rag_turn_step,
     run_append,
+    session_clock,
     session_turns,
 )
 from . import q_changes, q_sessions, q_vectors
@@ -135,6 +136,14 @@ def session_turns_q(spark, d):
     return spark.read.parquet(out)
 
 
+@query("stream_session_timeout", ORACLE["session_timeout"])
+def stream_session_timeout(spark, d):
+    """Login lasts one hour, on a stream: per-session clock in state."""
+    s = events_as_actions(read_table_stream(spark, d, "events")).select("user_id", "event_id", "ts", "mid")
+    out = run_append(session_clock(s, 3600), name="stream_session_timeout")
+    return spark.read.parquet(out)
+
+
 @query("stream_current_state", ORACLE["cdc_current_state"])
 def stream_current_state(spark, d):
     """Live current state of a change stream: each micro-batch is merged into

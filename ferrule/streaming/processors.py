@@ -103,3 +103,31 @@ def make_correlator(limit_us: int):
         yield pd.DataFrame(rows, columns=["user_id", "event_id", "ts_us", "resp_event_id", "resp_us", "status"])
 
     return run
+
+
+CLOCK_OUT = "user_id long, event_id long, session_age_s double, status string"
+CLOCK_STATE = "started boolean, last_start_us long"
+
+
+def make_session_clock(ttl_us: int):
+    """Login expiry per session: each message is active, expired (older than
+    the TTL since the last start) or orphan (no open session)."""
+
+    def run(key, pdfs, state: GroupState):
+        started, last_start = state.get if state.exists else (False, None)
+        rows = []
+        pdf = pd.concat(list(pdfs)).sort_values(["ts", "event_id"])
+        for r in pdf.itertuples(index=False):
+            t = int(r.t)
+            if pd.isna(r.mid):
+                started = False
+            elif int(r.mid) == 0:
+                started, last_start = True, t
+            else:
+                age = None if last_start is None else (t - last_start) / 1_000_000
+                status = "orphan" if not started else ("expired" if t - last_start > ttl_us else "active")
+                rows.append((key[0], int(r.event_id), age, status))
+        state.update((started, last_start))
+        yield pd.DataFrame(rows, columns=["user_id", "event_id", "session_age_s", "status"])
+
+    return run

@@ -17,11 +17,14 @@ from ..operators.cdc import compact
 from ..operators.retrieve import context_block, novel_hits
 from ..session import scratch_path
 from .processors import (
+    CLOCK_OUT,
+    CLOCK_STATE,
     CORRELATE_OUT,
     CORRELATE_STATE,
     SESSION_OUT,
     SESSION_STATE,
     make_correlator,
+    make_session_clock,
     session_machine,
 )
 from .runner import read_output, run_to_table, write_batch
@@ -39,6 +42,14 @@ def session_turns(actions: DataFrame) -> DataFrame:
     )
 
 
+def session_clock(actions: DataFrame, ttl_seconds: int = 3600) -> DataFrame:
+    """Login expiry on a stream of (user_id, event_id, ts, mid)."""
+    a = actions.withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")))
+    return a.groupBy("user_id").applyInPandasWithState(
+        make_session_clock(ttl_seconds * 1_000_000), CLOCK_OUT, CLOCK_STATE, "append", GroupStateTimeout.NoTimeout
+    )
+
+
 def correlate_stream(events: DataFrame, limit_seconds: int, delay: str = "0 seconds") -> DataFrame:
     """As-of request/response correlation on a stream of
     (user_id, id, ts, kind 0=request/1=response); unmatched requests time out

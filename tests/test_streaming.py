@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ferrule.sources.changes import event_op, events_as_actions
 from ferrule.streaming.runner import run_to_table
-from ferrule.streaming.streams import correlate_stream, current_snapshot, merge_snapshot, session_turns
+from ferrule.streaming.streams import correlate_stream, current_snapshot, merge_snapshot, session_clock, session_turns
 from tests.conftest import SF_SMALL, rows
 
 import __spark_entry__ as E
@@ -84,3 +84,12 @@ def test_resume_and_drain_exactly_once(spark):
     n = spark.read.parquet(f"{SF_SMALL}/events.parquet").count()
     assert q["resume_exactly_once"](spark, SF_SMALL).count() == n
     assert q["drain_once"](spark, SF_SMALL).count() == n
+
+
+def test_session_clock_stream_equals_batch(spark):
+    path, schema = staged_events(spark)
+    s = events_as_actions(stream(spark, path, schema)).select("user_id", "event_id", "ts", "mid")
+    got = spark.read.parquet(run_to_table(session_clock(s, 3600), name="t_clock"))
+    want = E.queries()["session_timeout"](spark, SF_SMALL)
+    cols = ["event_id", "user_id", "status", "session_age_s"]
+    assert rows(got, cols) == rows(want, cols)
