@@ -65,9 +65,12 @@ def epoch_day_format(days) -> Column:
     return F.date_format(F.date_from_unix_date(_c(days).cast("int")), "yyyy/MM/dd")
 
 
-def message_id(ts) -> Column:
-    """Epoch millis, truncated (``ts`` may be TIMESTAMP_NTZ: read as UTC)."""
-    return F.unix_millis(_c(ts).cast("timestamp"))
+def message_id(ts, dtype) -> Column:
+    """Epoch millis, truncated; ``dtype`` is the column's timestamp type
+    (TIMESTAMP_NTZ is read as UTC wall clock, independent of the session)."""
+    from .time import epoch_ms
+
+    return epoch_ms(_c(ts), dtype)
 
 
 def default_if_empty(x, default) -> Column:

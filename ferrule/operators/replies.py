@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.time import epoch_us
 from .sessions import TIMEOUT_REPLY
 
 
@@ -28,15 +29,15 @@ def correlate(
     status (matched / timeout), reply text for timeouts.
     """
     lim = limit_seconds * 1_000_000
-    us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     rq = requests.select(
         *keys,
         F.col(req_id).alias("_id"),
-        us(req_ts).alias("_t"),
+        epoch_us(F.col(req_ts), requests.schema[req_ts].dataType).alias("_t"),
         F.col(req_ts).alias("_ts"),
         F.lit(0).alias("_kind"),
     ).withColumn("_b", F.floor(F.col("_t") / lim))
-    rs = responses.select(*keys, F.col(resp_id).alias("_id"), us(resp_ts).alias("_t"), F.col(resp_ts).alias("_ts"),
+    rs = responses.select(*keys, F.col(resp_id).alias("_id"),
+                          epoch_us(F.col(resp_ts), responses.schema[resp_ts].dataType).alias("_t"), F.col(resp_ts).alias("_ts"),
                           F.lit(1).alias("_kind"))
     rs = rs.withColumn("_b", F.explode(F.array(F.floor(F.col("_t") / lim), F.floor(F.col("_t") / lim) - 1)))
     u = rq.unionByName(rs)

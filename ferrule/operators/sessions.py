@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import whitespace_tokens
+from ..functions.time import epoch_us, from_epoch_us
 from .scan import grouped_scan
 
 # -- fixed values: replies of the original back end -------------------------
@@ -30,7 +31,8 @@ def session_state(actions: DataFrame, session: str, order: list[str], ts: str, m
     """Per action: ``epoch`` (starts so far), ``started`` (the latest control
     is a start) and ``last_start_ts``.  Runs as a split grouped scan, so a hot
     session is spread over many tasks."""
-    micros = F.unix_micros(F.col(ts).cast("timestamp"))
+    dtype = actions.schema[ts].dataType
+    micros = epoch_us(F.col(ts), dtype)
     m = F.col(mid)
     s = grouped_scan(
         actions,
@@ -47,7 +49,7 @@ def session_state(actions: DataFrame, session: str, order: list[str], ts: str, m
         F.col("_logout_us").isNull() | (F.col("_start_us") > F.col("_logout_us"))
     )
     return s.withColumn("started", started).withColumn(
-        "last_start_ts", F.timestamp_micros(F.col("_start_us")).cast(actions.schema[ts].dataType)
+        "last_start_ts", from_epoch_us(F.col("_start_us"), dtype)
     ).drop("_start_us", "_logout_us")
 
 
@@ -62,7 +64,8 @@ def orphan_turns(state: DataFrame, mid: str = "mid") -> DataFrame:
 def session_timeout(state: DataFrame, ts: str, ttl_seconds: int, mid: str = "mid") -> DataFrame:
     """Messages classified by session age: active / expired / orphan."""
     m = F.col(mid)
-    age = F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.col("last_start_ts").cast("timestamp"))
+    dtype = state.schema[ts].dataType
+    age = epoch_us(F.col(ts), dtype) - epoch_us(F.col("last_start_ts"), dtype)
     status = (
         F.when(~F.col("started"), F.lit("orphan"))
         .when(age > F.lit(ttl_seconds * 1_000_000), F.lit("expired"))

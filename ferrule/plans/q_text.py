@@ -63,7 +63,8 @@ def epoch_day_format(spark, d):
 @query("message_id", "SELECT event_id, epoch_us(ts) // 1000 AS mid FROM events")
 def message_id(spark, d):
     """Message id = epoch millis, truncated."""
-    return table(spark, d, "events").select("event_id", X.message_id("ts").alias("mid"))
+    e = table(spark, d, "events")
+    return e.select("event_id", X.message_id("ts", e.schema["ts"].dataType).alias("mid"))
 
 
 @query("customer_phrase", f"""

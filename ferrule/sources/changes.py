@@ -36,7 +36,8 @@ def events_as_actions(events: DataFrame) -> DataFrame:
     """Session actions: signup = start (mid 0), error = logout (mid null),
     anything else = a message whose id is the epoch millis."""
     t = F.col("event_type")
-    mid = F.when(t == "signup", F.lit(0).cast("long")).when(t == "error", F.lit(None).cast("long")).otherwise(message_id("ts"))
+    millis = message_id("ts", events.schema["ts"].dataType)
+    mid = F.when(t == "signup", F.lit(0).cast("long")).when(t == "error", F.lit(None).cast("long")).otherwise(millis)
     return events.withColumn("mid", mid)
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from ..functions.time import epoch_us
 from ..operators.cdc import compact
 from ..operators.retrieve import context_block, novel_hits
 from ..session import scratch_path
@@ -44,7 +45,7 @@ def session_turns(actions: DataFrame) -> DataFrame:
 
 def session_clock(actions: DataFrame, ttl_seconds: int = 3600) -> DataFrame:
     """Login expiry on a stream of (user_id, event_id, ts, mid)."""
-    a = actions.withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")))
+    a = actions.withColumn("t", epoch_us(F.col("ts"), actions.schema["ts"].dataType))
     return a.groupBy("user_id").applyInPandasWithState(
         make_session_clock(ttl_seconds * 1_000_000), CLOCK_OUT, CLOCK_STATE, "append", GroupStateTimeout.NoTimeout
     )
@@ -54,8 +55,9 @@ def correlate_stream(events: DataFrame, limit_seconds: int, delay: str = "0 seco
     """As-of request/response correlation on a stream of
     (user_id, id, ts, kind 0=request/1=response); unmatched requests time out
     when the watermark passes their limit."""
-    ev = events.withColumn("ets", F.col("ts").cast("timestamp")).withWatermark("ets", delay)
-    ev = ev.withColumn("t", F.unix_micros("ets"))
+    # event time as an instant built from UTC micros (no session-zone shift)
+    ev = events.withColumn("t", epoch_us(F.col("ts"), events.schema["ts"].dataType))
+    ev = ev.withColumn("ets", F.timestamp_micros("t")).withWatermark("ets", delay)
     return ev.groupBy("user_id").applyInPandasWithState(
         make_correlator(limit_seconds * 1_000_000), CORRELATE_OUT, CORRELATE_STATE, "append",
         GroupStateTimeout.EventTimeTimeout,
