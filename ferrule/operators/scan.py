@@ -4,19 +4,20 @@
 group in one task.  When one key can hold a third of the rows that task is
 the job.  ``grouped_scan`` instead
 
-1. range-partitions on ``(group, order)`` so a hot group spans many slices,
-2. numbers / sums inside each ``(slice, group)`` (bounded by the slice size),
+1. cuts the ``(group, order)`` key space into ``slices`` ranges whose bounds
+   are quantiles of a bounded sample of the keys (``slices x 64`` rows at
+   most reach the driver), so a hot group spans many slices;
+2. numbers / sums inside each ``(slice, group)`` (bounded by the slice size);
 3. aggregates one row per ``(slice, group)`` and turns it into offsets with a
-   window over that small table (at most ``slices + groups`` rows),
+   window over that small table (at most ``slices + groups`` rows);
 4. joins the offsets back (AQE broadcasts them when they are small).
 
-The locally numbered rows are checkpointed (to the shared folder named by
-``spark.checkpoint.dir``) before they are used twice: range bounds are
-sampled per RDD, so two evaluations of the same range exchange may cut the
-slices differently; one materialised copy makes the slice ids consistent and
-also cuts the lineage for executor loss.
+The slice of a row is a pure function of its keys (a binary CASE tree over
+literal bounds), so both branches and any recomputation after an executor
+loss agree without materialising anything.
 
-``order`` must be a total order inside a group (end it with a unique id).
+``order`` must be ascending and a total order inside a group (end it with a
+unique id).
 """
 
 from __future__ import annotations
@@ -24,13 +25,53 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import shared_dir, shuffle_parts
+from ..session import shuffle_parts
+
+SAMPLE_PER_SLICE = 64
 
 
 def _cols(xs):
     return [F.col(x) if isinstance(x, str) else x for x in xs]
 
 
+def _bounds(keyed: DataFrame, names: list[str], slices: int, seed: int = 11) -> list:
+    """``slices - 1`` ascending bounds of the key space (rows of ``names``)."""
+    n = keyed.count()
+    if n == 0 or slices <= 1:
+        return []
+    frac = min(1.0, slices * SAMPLE_PER_SLICE / n)
+    # the sample is small (about slices x 64 rows): sort it here, ascending,
+    # nulls first, as Spark orders the keys
+    sample = sorted(keyed.sample(False, frac, seed).collect(),
+                    key=lambda r: tuple((v is not None, v) for v in r))
+    if len(sample) < 2:
+        return []
+    step = len(sample) / slices
+    picks = [sample[int(step * i)] for i in range(1, slices)]
+    out = []
+    for r in picks:  # drop repeated bounds
+        if not out or tuple(out[-1]) != tuple(r):
+            out.append(r)
+    return out
+
+
+def slice_of(keyed: DataFrame, names: list[str], bounds: list) -> Column:
+    """Slice number of each row: how many bounds are <= its key."""
+    types = {f.name: f.dataType for f in keyed.schema.fields}
+    key = F.struct(*[F.col(n) for n in names])
+
+    def lit(row):
+        return F.struct(*[F.lit(row[n]).cast(types[n]).alias(n) for n in names])
+
+    def tree(lo: int, hi: int) -> Column:  # slices lo..hi, bound i separates i and i+1
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi + 1) // 2
+        return F.when(key < lit(bounds[mid - 1]), tree(lo, mid - 1)).otherwise(tree(mid, hi))
+
+    return tree(0, len(bounds))
+
+
 def grouped_scan(
     df: DataFrame,
     by: list[str],
@@ -46,32 +87,28 @@ def grouped_scan(
     maxes = maxes or {}
     slices = slices or shuffle_parts(df.sparkSession)
     order_c = _cols(order)
-    # order columns given as plain names are also used for range bounds
-    sort_keys = [F.col(b) for b in by] + [c for c in order_c]
-    base = df
+    names = list(by) + [f"_o{i}" for i in range(len(order_c))]
+    base = df.withColumns({f"_o{i}": c for i, c in enumerate(order_c)})
     for name, expr in {**sums, **maxes}.items():
         base = base.withColumn(f"_v_{name}", expr)
-    ranged = base.repartitionByRange(slices, *sort_keys).withColumn(
-        "_slice", F.spark_partition_id()
-    )
+    bounds = _bounds(base.select(*names), names, slices)
+    base = base.withColumn("_slice", slice_of(base.select(*names), names, bounds))
+
     w_local = (
         Window.partitionBy("_slice", *by)
-        .orderBy(*order_c)
+        .orderBy(*[F.col(f"_o{i}") for i in range(len(order_c))])
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    local = ranged.withColumn("_n", F.count(F.lit(1)).over(w_local))
+    local = base.withColumn("_n", F.count(F.lit(1)).over(w_local))
     for name in sums:
         local = local.withColumn(f"_s_{name}", F.sum(f"_v_{name}").over(w_local))
     for name in maxes:
         local = local.withColumn(f"_s_{name}", F.max(f"_v_{name}").over(w_local))
 
-    shared_dir(df.sparkSession)
-    local = local.checkpoint(eager=True)
-
     aggs = [F.count(F.lit(1)).alias("_cnt")] + [
         F.sum(f"_v_{name}").alias(f"_tot_{name}") for name in sums
     ] + [F.max(f"_v_{name}").alias(f"_tot_{name}") for name in maxes]
-    totals = local.groupBy("_slice", *by).agg(*aggs)
+    totals = base.groupBy("_slice", *by).agg(*aggs)  # partial aggregation, tiny output
     w_prev = (
         Window.partitionBy(*by)
         .orderBy("_slice")
@@ -94,7 +131,7 @@ def grouped_scan(
         out = out.withColumn(name, F.col(f"_s_{name}") + F.col(f"_off_{name}"))
     for name in maxes:
         out = out.withColumn(name, F.greatest(F.col(f"_s_{name}"), F.col(f"_off_{name}")))
-    drop = ["_slice", "_n", "_off_n"] + [
+    drop = ["_slice", "_n", "_off_n"] + [f"_o{i}" for i in range(len(order_c))] + [
         c for name in [*sums, *maxes] for c in (f"_v_{name}", f"_s_{name}", f"_off_{name}")
     ]
     return out.drop(*drop)

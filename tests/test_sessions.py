@@ -55,3 +55,13 @@ def test_grouped_scan_hot_key(spark):
     ref = df.select("k", "id", F.row_number().over(Window.partitionBy("k").orderBy("id")).alias("rn"),
                     F.sum("v").over(w).alias("run"), F.max("v").over(w).alias("mx"))
     assert rows(g, ["k", "id", "rn", "run", "mx"]) == rows(ref, ["k", "id", "rn", "run", "mx"])
+
+
+def test_hot_key_spans_several_slices(spark):
+    from ferrule.operators.scan import _bounds, slice_of
+
+    df = spark.range(0, 6000).select(F.when(F.col("id") % 3 != 0, F.lit(0)).otherwise(F.col("id") % 40).alias("k"), F.col("id").alias("_o0"))
+    b = _bounds(df, ["k", "_o0"], 8)
+    s = df.withColumn("s", slice_of(df, ["k", "_o0"], b))
+    hot = s.where("k = 0").select("s").distinct().count()
+    assert hot >= 4  # the key with two thirds of the rows is cut into several slices
