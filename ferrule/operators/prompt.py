@@ -43,37 +43,50 @@ def section_table(spark: SparkSession, sections: list[str]) -> DataFrame:
     return spark.createDataFrame([(i + 1, s) for i, s in enumerate(sections)], "section_no int, section string")
 
 
-def sectioned_listing(
-    items: DataFrame,
-    sections: list[str],
-    ord: int,
+def sectioned_listings(
+    menus: list[tuple[DataFrame, list[str], int]],
     section_col: str,
     name_col: str,
     descr_col: str,
     attr_cols: list[str],
     order: list[str],
 ) -> DataFrame:
-    """``ord.section`` headers and ``ord.section.item`` lines.
+    """``ord.section`` headers and ``ord.section.item`` lines of one or more
+    listings ``(items, sections, ord)``, numbered in one split scan.
 
-    Sections follow the given list: an empty section keeps its number and
+    Sections follow each given list: an empty section keeps its number and
     header, an item of a section not in the list is left out.  Items are
-    numbered in ``order`` inside their section with a split scan.
+    numbered in ``order`` inside their section.
     """
-    sec = F.broadcast(section_table(items.sparkSession, sections))
+    spark = menus[0][0].sparkSession
+    sec = F.broadcast(
+        spark.createDataFrame(
+            [(o, i + 1, s) for _, sections, o in menus for i, s in enumerate(sections)],
+            "part_no int, section_no int, section string",
+        )
+    )
     headers = sec.select(
-        F.lit(ord).alias("part_no"),
+        "part_no",
         "section_no",
         F.lit(0).alias("item_no"),
-        F.concat(F.lit(f"{ord}."), F.col("section_no").cast("string"), F.lit(" "), title_case("section"), F.lit(":")).alias("text"),
+        F.concat(F.col("part_no").cast("string"), F.lit("."), F.col("section_no").cast("string"), F.lit(" "),
+                 title_case("section"), F.lit(":")).alias("text"),
+    )
+    items = None
+    for df, _, o in menus:
+        d = df.withColumn("part_no", F.lit(o))
+        items = d if items is None else items.unionByName(d)
+    joined = items.join(sec, (items["part_no"] == sec["part_no"]) & (items[section_col] == sec["section"]), "inner").drop(
+        sec["part_no"]
     )
-    joined = items.join(sec, items[section_col] == sec["section"], "inner")
-    numbered = grouped_scan(joined, ["section_no"], order, number="item_no")
+    numbered = grouped_scan(joined, ["part_no", "section_no"], order, number="item_no")
     lines = numbered.select(
-        F.lit(ord).alias("part_no"),
+        "part_no",
         "section_no",
         "item_no",
         F.concat(
-            F.lit(f"{ord}."),
+            F.col("part_no").cast("string"),
+            F.lit("."),
             F.col("section_no").cast("string"),
             F.lit("."),
             F.col("item_no").cast("string"),
@@ -88,14 +101,25 @@ def sectioned_listing(
     return headers.unionByName(lines)
 
 
-def bullet_lines(state: DataFrame, part_no: int, key: str, value: str, order: list[str]) -> DataFrame:
-    """``- Key: value`` lines of a state table in state order."""
-    n = grouped_scan(state.withColumn("_part", F.lit(part_no)), ["_part"], order, number="item_no")
+def sectioned_listing(items: DataFrame, sections: list[str], ord: int, **kw) -> DataFrame:
+    """One listing; see :func:`sectioned_listings`."""
+    return sectioned_listings([(items, sections, ord)], **kw)
+
+
+def bullet_lines(states: list[tuple[int, DataFrame]]) -> DataFrame:
+    """``- Key: value`` lines of state tables (key, value, ord) in state
+    order, one numbering per part, in one split scan."""
+    u = None
+    for part_no, st in states:
+        d = st.select(F.lit(part_no).alias("part_no"), F.col("key").cast("string").alias("key"),
+                      py_str("value").alias("value"), F.col("ord").cast("long").alias("ord"))
+        u = d if u is None else u.unionByName(d)
+    n = grouped_scan(u, ["part_no"], ["ord"], number="item_no")
     return n.select(
-        F.lit(part_no).alias("part_no"),
+        "part_no",
         F.lit(0).alias("section_no"),
         "item_no",
-        F.concat(F.lit("- "), title_case(key), F.lit(": "), py_str(value)).alias("text"),
+        F.concat(F.lit("- "), title_case("key"), F.lit(": "), F.col("value")).alias("text"),
     )
 
 
@@ -115,21 +139,15 @@ def initial_prompt_lines(
 
     ``rules``/``details``/``policies`` are state tables with columns
     (key, value, ord); menus are item tables described by ``menu_args``
-    (see :func:`sectioned_listing`).
+    (see :func:`sectioned_listings`).
     """
     fixed = spark.createDataFrame(
         [(0, 0, 0, PROMPT_INTRO.format(waiter=waiter))] + [(p, 0, 0, t) for p, t in PROMPT_PARTS.items()],
         LINE_SCHEMA,
     )
-    parts = [fixed]
-    for p, st in ((1, rules), (2, details), (3, policies)):
-        parts.append(bullet_lines(st, p, "key", "value", ["ord"]))
-    parts.append(sectioned_listing(main_menu, main_sections, 4, **menu_args))
-    parts.append(sectioned_listing(kids_menu, kids_sections, 5, **menu_args))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    bullets = bullet_lines([(1, rules), (2, details), (3, policies)])
+    menus = sectioned_listings([(main_menu, main_sections, 4), (kids_menu, kids_sections, 5)], **menu_args)
+    return fixed.unionByName(bullets).unionByName(menus)
 
 
 def fold_lines(lines: DataFrame, group: list[str], order: list[str], text: str = "text",

@@ -4,9 +4,10 @@
 group in one task.  When one key can hold a third of the rows that task is
 the job.  ``grouped_scan`` instead
 
-1. cuts the ``(group, order)`` key space into ``slices`` ranges whose bounds
-   are quantiles of a bounded sample of the keys (``slices x 64`` rows at
-   most reach the driver), so a hot group spans many slices;
+1. cuts the ``(group, order)`` key space into ``slices`` ranges (about a
+   million rows each, at most 4096) whose bounds are quantiles of a bounded
+   sample of the keys (``slices x 64`` rows at most reach the driver), so a
+   hot group spans many slices;
 2. numbers / sums inside each ``(slice, group)`` (bounded by the slice size);
 3. aggregates one row per ``(slice, group)`` and turns it into offsets with a
    window over that small table (at most ``slices + groups`` rows);
@@ -25,18 +26,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import shuffle_parts
-
 SAMPLE_PER_SLICE = 64
+ROWS_PER_SLICE = 1_000_000  # a slice is one window task's worth of rows
+MAX_SLICES = 4096  # keeps the CASE tree small (12 comparisons a row)
 
 
 def _cols(xs):
     return [F.col(x) if isinstance(x, str) else x for x in xs]
 
 
-def _bounds(keyed: DataFrame, names: list[str], slices: int, seed: int = 11) -> list:
-    """``slices - 1`` ascending bounds of the key space (rows of ``names``)."""
+def _bounds(keyed: DataFrame, names: list[str], slices: int | None, seed: int = 11) -> list:
+    """``slices - 1`` ascending bounds of the key space (rows of ``names``).
+
+    Without an explicit ``slices`` the count decides: about ROWS_PER_SLICE
+    rows a slice, at most MAX_SLICES (a small input is one slice, i.e. a
+    plain per-group window).
+    """
     n = keyed.count()
+    if slices is None:
+        slices = min(MAX_SLICES, max(1, -(-n // ROWS_PER_SLICE)))
     if n == 0 or slices <= 1:
         return []
     frac = min(1.0, slices * SAMPLE_PER_SLICE / n)
@@ -82,10 +90,10 @@ def grouped_scan(
     slices: int | None = None,
 ) -> DataFrame:
     """Add a 1-based ``number``, inclusive running ``sums`` and running
-    ``maxes`` (nulls ignored) per group."""
+    ``maxes`` (nulls ignored) per group.  ``slices`` defaults to the row
+    count / ROWS_PER_SLICE (capped at MAX_SLICES)."""
     sums = sums or {}
     maxes = maxes or {}
-    slices = slices or shuffle_parts(df.sparkSession)
     order_c = _cols(order)
     names = list(by) + [f"_o{i}" for i in range(len(order_c))]
     base = df.withColumns({f"_o{i}": c for i, c in enumerate(order_c)})

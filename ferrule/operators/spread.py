@@ -23,10 +23,13 @@ def spread(df: DataFrame, parts: int | None = None) -> DataFrame:
     ``explode``: after ``spread`` use ``explode_outer``/``posexplode_outer``
     and drop the null row instead.
     """
-    target = parts or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df
+    spark = df.sparkSession
+    try:
+        target = parts or spark.sparkContext.defaultParallelism
+        have = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - no RDD view (e.g. a remote session): leave as is
+        return df
+    return df.repartition(target) if have < target else df
 
 
 def materialize(df: DataFrame) -> DataFrame:
