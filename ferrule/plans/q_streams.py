@@ -49,6 +49,19 @@ def stream_actions(spark, d):
     return spark.read.parquet(out)
 
 
+@query("stream_profile_lookup", ORACLE["profile_lookup"])
+def stream_profile_lookup(spark, d):
+    """Stream-static left join: every incoming action finds its profile, or
+    is kept with ``error`` set (never dropped).  The static side is left to
+    the planner (broadcast only when AQE sees it is small)."""
+    s = read_table_stream(spark, d, "orders").select("o_orderkey", "o_custkey")
+    c = table(spark, d, "customer").select("c_custkey", "c_name")
+    j = s.join(c, s.o_custkey == c.c_custkey, "left").select(
+        "o_orderkey", "c_name", F.col("c_custkey").isNull().alias("error")
+    )
+    return spark.read.parquet(run_append(j, name="stream_profile_lookup"))
+
+
 @query("stream_inferred", "SELECT * FROM events")
 def stream_inferred(spark, d):
     """Stream whose columns come from the stored files' metadata."""
