@@ -32,11 +32,15 @@ def spread(df: DataFrame, parts: int | None = None) -> DataFrame:
     return df.repartition(target) if have < target else df
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared checkpoint folder and read it from
-    there: later uses (counts, joins) do not recompute it, and the lineage
-    is cut so a lost executor does not replay the upstream work."""
-    from ..session import shared_dir
-
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def materialize(df: DataFrame, name: str = "materialized") -> DataFrame:
+    """Write ``df`` once as a Parquet table below the shared folder
+    (``spark.checkpoint.dir``) and read it back: later uses (counts, joins)
+    do not recompute it, and the lineage is cut so a lost executor does not
+    replay the upstream work.  (An eager ``checkpoint()`` would compute the
+    plan twice: once to count, once to write.)"""
+    from ..session import scratch_path
+
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.parquet(path)
