@@ -8,6 +8,7 @@ from ..functions.text import PY_NON_WS, message_id, reply_key
 from ..operators.misc import attach_context, ordered_steps, zip_pair
 from ..operators.replies import correlate, purge_prefix, reply_cache
 from ..operators.sessions import (  # noqa: F401
+    ERROR_REPLY,
     TIMEOUT_REPLY,
     classify_action,
     history_chunks,
@@ -23,8 +24,8 @@ from .registry import query
 from .sqlparts import EVENT_MID
 
 SEQ = ["ts", "event_id"]
-_TIMEOUT = "<span class=''error_message''>Oops! I got lost in thought. Nudge me again?</span>"
-_ERROR = "<span class=''error_message''>Uh-oh! The back-end gears got jammed. Please try again in a bit</span>"
+_TIMEOUT = TIMEOUT_REPLY.replace("'", "''")  # as SQL literals
+_ERROR = ERROR_REPLY.replace("'", "''")
 
 
 def _actions(spark, d):

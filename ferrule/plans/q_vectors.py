@@ -201,7 +201,7 @@ _UUID = "regexp_replace(md5({x}), '^(.{{8}})(.{{4}})(.{{4}})(.{{4}})(.{{12}})$',
 
 @query("vdb_record", f"""
     WITH c AS {_DOC_OP_SQL},
-    p AS (SELECT 'chatbot_restaurant' AS collection_name, {_UUID.format(x='doc_id::VARCHAR')} AS id,
+    p AS (SELECT 'knowledge' AS collection_name, {_UUID.format(x='doc_id::VARCHAR')} AS id,
                  CASE WHEN op = 'd' THEN '' ELSE doc_id::VARCHAR END AS title,
                  CASE WHEN op = 'd' THEN '' ELSE text END AS description,
                  CASE WHEN op = 'd' THEN '' ELSE doc_id::VARCHAR || ': ' || text END AS embed_text FROM c),

@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.embed import embed
 from ..functions.text import embed_input, md5_uuid
 
-# -- fixed values: collection name of the original -------------------------------
-COLLECTION = "chatbot_restaurant"
+COLLECTION = "knowledge"  # default collection name (a deployment parameter)
 
 
 def upsert_vectors(state: DataFrame, batch: DataFrame, key: str, seq: list[str]) -> DataFrame:
