@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.time import epoch_us
+from .scan import grouped_scan
 from .sessions import TIMEOUT_REPLY
 
 
@@ -18,15 +19,17 @@ def correlate(
     resp_id: str,
     resp_ts: str,
     limit_seconds: int = 120,
+    slices: int | None = None,
 ) -> DataFrame:
     """First response at or after each request, within ``limit_seconds``.
 
-    An as-of join without pairs: both sides are cut into time buckets of
-    ``limit`` (a response is also filed under the previous bucket), unioned,
-    and each request takes the running minimum of later responses inside its
-    ``(keys, bucket)`` partition (ordered descending, so the frame is a
-    running one).  Output: keys, request id/ts, response id/ts, latency_ms,
-    status (matched / timeout), reply text for timeouts.
+    An as-of join without pairs: requests and responses are unioned and
+    scanned per key in *descending* time, carrying the running maximum of
+    ``(-t, -id)`` over the responses seen so far, i.e. the earliest later
+    response (a response at the same instant counts).  The scan is
+    :func:`ferrule.operators.scan.grouped_scan`, so a hot key is split over
+    many tasks.  Output: keys, request id/ts, response id/ts, latency_ms,
+    status (matched / timeout), reply text for timeouts.  Ids are numeric.
     """
     lim = limit_seconds * 1_000_000
     rq = requests.select(
@@ -35,28 +38,31 @@ def correlate(
         epoch_us(F.col(req_ts), requests.schema[req_ts].dataType).alias("_t"),
         F.col(req_ts).alias("_ts"),
         F.lit(0).alias("_kind"),
-    ).withColumn("_b", F.floor(F.col("_t") / lim))
-    rs = responses.select(*keys, F.col(resp_id).alias("_id"),
-                          epoch_us(F.col(resp_ts), responses.schema[resp_ts].dataType).alias("_t"), F.col(resp_ts).alias("_ts"),
-                          F.lit(1).alias("_kind"))
-    rs = rs.withColumn("_b", F.explode(F.array(F.floor(F.col("_t") / lim), F.floor(F.col("_t") / lim) - 1)))
-    u = rq.unionByName(rs)
-    w = (
-        Window.partitionBy(*keys, "_b")
-        .orderBy(F.col("_t").desc(), F.col("_kind").desc(), F.col("_id").desc())
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    nxt = u.withColumn("_next", F.min(F.when(F.col("_kind") == 1, F.struct("_t", "_id", "_ts"))).over(w)).where(
-        F.col("_kind") == 0
+    rs = responses.select(
+        *keys,
+        F.col(resp_id).alias("_id"),
+        epoch_us(F.col(resp_ts), responses.schema[resp_ts].dataType).alias("_t"),
+        F.col(resp_ts).alias("_ts"),
+        F.lit(1).alias("_kind"),
+    )
+    u = rq.unionByName(rs)
+    nxt = F.when(
+        F.col("_kind") == 1,
+        F.struct((-F.col("_t")).alias("nt"), (-F.col("_id")).alias("nid"), F.col("_ts").alias("ts")),
     )
-    ok = F.col("_next").isNotNull() & (F.col("_next._t") <= F.col("_t") + F.lit(lim))
-    return nxt.select(
+    # descending time; at the same instant the response comes first (counts)
+    scanned = grouped_scan(u, keys, [-F.col("_t"), -F.col("_kind"), -F.col("_id")], number=None, maxes={"_next": nxt},
+                           slices=slices)
+    req = scanned.where(F.col("_kind") == 0)
+    ok = F.col("_next").isNotNull() & (-F.col("_next.nt") <= F.col("_t") + F.lit(lim))
+    return req.select(
         *keys,
         F.col("_id").alias(req_id),
         F.col("_ts").alias(req_ts),
-        F.when(ok, F.col("_next._id")).alias(resp_id),
-        F.when(ok, F.col("_next._ts")).alias(resp_ts),
-        F.when(ok, ((F.col("_next._t") - F.col("_t")) / 1000).cast("long")).alias("latency_ms"),
+        F.when(ok, -F.col("_next.nid")).alias(resp_id),
+        F.when(ok, F.col("_next.ts")).alias(resp_ts),
+        F.when(ok, ((-F.col("_next.nt") - F.col("_t")) / 1000).cast("long")).alias("latency_ms"),
         F.when(ok, F.lit("matched")).otherwise(F.lit("timeout")).alias("status"),
         F.when(~ok, F.lit(TIMEOUT_REPLY)).alias("reply"),
     )

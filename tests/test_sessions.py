@@ -65,3 +65,18 @@ def test_hot_key_spans_several_slices(spark):
     s = df.withColumn("s", slice_of(df, ["k", "_o0"], b))
     hot = s.where("k = 0").select("s").distinct().count()
     assert hot >= 4  # the key with two thirds of the rows is cut into several slices
+
+
+def test_correlate_hot_key_sliced_equals_brute_force(spark):
+    import random
+
+    random.seed(5)
+    # one hot session with most of the traffic, a few cold ones
+    reqs = [("hot" if i % 4 else f"c{i % 7}", i, at(random.randint(0, 5000))) for i in range(400)]
+    resps = [("hot" if i % 4 else f"c{i % 7}", 10_000 + i, at(random.randint(0, 5200))) for i in range(300)]
+    rq = spark.createDataFrame(reqs, "sid string, rid long, ts timestamp")
+    rs = spark.createDataFrame(resps, "sid string, pid long, pts timestamp")
+    got = {r["rid"]: r["pid"] for r in correlate(rq, rs, ["sid"], "rid", "ts", "pid", "pts", 120, slices=6).collect()}
+    for sid, rid, t in reqs:
+        cands = sorted((pt, pid) for s2, pid, pt in resps if s2 == sid and t <= pt <= t + dt.timedelta(seconds=120))
+        assert got[rid] == (cands[0][1] if cands else None)
