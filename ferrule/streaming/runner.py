@@ -36,20 +36,26 @@ def read_table_stream(spark: SparkSession, sf_dir: str, name: str, max_files: in
 
 
 def run_to_table(df: DataFrame, base: str | None = None, name: str = "stream", mode: str = "append",
-                 foreach_batch=None) -> str:
-    """Run ``df`` with availableNow into parquet at ``<base>/out``; return it.
-
-    With ``foreach_batch(batch_df, batch_id, out_path)`` the function writes
-    the batch itself (must be idempotent per batch id).
+                 foreach_batch=None, trigger: dict | None = None, wait: bool = True):
+    """Run ``df`` into parquet at ``<base>/out``; return that path.
+
+    ``trigger`` defaults to ``availableNow`` (process what is there, then
+    stop); a live deployment passes e.g. ``{"processingTime": "10 seconds"}``
+    with ``wait=False`` and gets ``(path, query)`` back.  With
+    ``foreach_batch(batch_df, batch_id, out_path)`` the function writes the
+    batch itself (must be idempotent per batch id).
     """
     spark = df.sparkSession
     base = base or scratch_path(spark, name)
     out = f"{base}/out"
-    w = df.writeStream.option("checkpointLocation", f"{base}/chk").trigger(availableNow=True).outputMode(mode)
+    w = df.writeStream.option("checkpointLocation", f"{base}/chk").trigger(**(trigger or {"availableNow": True}))
+    w = w.outputMode(mode)
     if foreach_batch is not None:
         q = w.foreachBatch(lambda b, i: foreach_batch(b, i, out)).start()
     else:
         q = w.format("parquet").option("path", out).start()
+    if not wait:
+        return out, q
     q.awaitTermination()
     return out
 
