@@ -306,5 +306,5 @@ def actions_enriched(spark, d):
     """All columns of an action plus derived ones."""
     c = table(spark, d, "conversations").where(F.col("role") == "user")
     return c.select("conv_id", "turn", "text").withColumns(
-        {"key": F.col("conv_id").cast("string"), "n_tokens": X.whitespace_tokens("text"), "session": X.session_key("conv_id")}
+        {"key": F.col("conv_id").cast("string"), "n_tokens": X.whitespace_tokens("text").cast("long"), "session": X.session_key("conv_id")}
     ).withColumnRenamed("text", "query")

@@ -156,7 +156,7 @@ def vector_contract(spark, d):
     """Declared dimension and no null elements; reasons per row ('' = valid)."""
     e = _emb(spark, d)
     r = with_reasons(e, vector_rules(F.col("embedding"), DIM_EMB))
-    return r.select("vec_id", F.size("embedding").alias("dim"), F.array_join("reasons", ",").alias("reasons"))
+    return r.select("vec_id", F.size("embedding").cast("long").alias("dim"), F.array_join("reasons", ",").alias("reasons"))
 
 
 @query("embed_buckets", f"""
@@ -222,7 +222,7 @@ def json_vector_q(spark, d):
     e = _emb(spark, d)
     js = F.to_json(F.struct(as_double("embedding").alias("vector_data")))
     v = json_vector(js)
-    return e.select("vec_id", F.size(v).alias("dim"), F.round(F.aggregate(v, F.lit(0.0), lambda a, x: a + x), 6).alias("vsum"))
+    return e.select("vec_id", F.size(v).cast("long").alias("dim"), F.round(F.aggregate(v, F.lit(0.0), lambda a, x: a + x), 6).alias("vsum"))
 
 
 def rag_inputs(spark, d):
