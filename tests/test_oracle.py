@@ -48,3 +48,15 @@ def test_entry(spark):
     df = E.entry(spark)
     assert df.columns == ["conv_id", "turn", "context", "n_items"]
     assert df.count() > 0
+
+
+_TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN",
+          "timestamp_ntz": "TIMESTAMP", "date": "DATE", "float": "FLOAT"}
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE))
+def test_column_types_match_oracle(spark, duck, name):
+    s = QUERIES[name](spark, SF_SMALL).schema
+    got = {f.name: _TYPES.get(f.dataType.simpleString(), f.dataType.simpleString()) for f in s.fields}
+    rel = duck.sql(ORACLE[name])
+    assert got == dict(zip(rel.columns, [str(t) for t in rel.types]))
