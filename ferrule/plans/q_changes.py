@@ -235,14 +235,17 @@ def seed_insert_new(spark, d):
       FROM events) WHERE reason IS NOT NULL""")
 def quarantine_q(spark, d):
     """Row contract on the change log; one row per broken rule."""
-    e = _ev(spark, d)
-    rules = {
+    return quarantine(_ev(spark, d), ["event_id"], event_rules())
+
+
+def event_rules() -> dict:
+    """Row contract of the change log (a rule is true for a good row)."""
+    return {
         "null_key": F.col("user_id").isNotNull(),
         "bad_json": F.try_parse_json("props").isNotNull(),
         "low_value": F.col("value") >= 1,
         "unknown_op": F.col("event_type").isin("signup", "click", "view", "purchase", "error"),
     }
-    return quarantine(e, ["event_id"], rules)
 
 
 @query("duplicate_keys", """

@@ -21,6 +21,7 @@ from ..streaming.streams import (
     run_append,
     session_clock,
     session_turns,
+    split_stream,
 )
 from . import q_changes, q_sessions, q_vectors
 from .registry import ORACLE, query
@@ -157,6 +158,15 @@ def stream_session_timeout(spark, d):
     return spark.read.parquet(out)
 
 
+@query("stream_quarantine", ORACLE["quarantine"])
+def stream_quarantine(spark, d):
+    """Poison rows on a stream: the change log's row contract splits every
+    micro-batch into a good sink and a quarantine sink (reason per row)."""
+    out = run_to_table(read_table_stream(spark, d, "events"), name="stream_quarantine",
+                       foreach_batch=split_stream(q_changes.event_rules(), ["event_id"]))
+    return read_output(spark, f"{out}/bad", T.StructType([T.StructField("event_id", T.LongType()), T.StructField("reason", T.StringType())]))
+
+
 @query("stream_current_state", ORACLE["cdc_current_state"])
 def stream_current_state(spark, d):
     """Live current state of a change stream: each micro-batch is merged into

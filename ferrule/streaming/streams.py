@@ -43,6 +43,22 @@ def session_turns(actions: DataFrame) -> DataFrame:
     )
 
 
+def split_stream(rules: dict, id_cols: list[str]):
+    """foreachBatch step for poison rows: good rows to ``out/good``, broken
+    rows (one row per broken rule) to ``out/bad``; the stream never fails on
+    a bad row.  Writes are keyed by batch id (a replay overwrites itself)."""
+    from ..operators.quality import with_reasons
+
+    def step(batch: DataFrame, batch_id: int, out: str) -> None:
+        r = with_reasons(batch, rules).persist()
+        r.where(F.size("reasons") == 0).drop("reasons").write.mode("overwrite").parquet(f"{out}/good/batch={batch_id}")
+        r.where(F.size("reasons") > 0).select(*id_cols, F.explode("reasons").alias("reason")).write.mode(
+            "overwrite").parquet(f"{out}/bad/batch={batch_id}")
+        r.unpersist()
+
+    return step
+
+
 def session_clock(actions: DataFrame, ttl_seconds: int = 3600) -> DataFrame:
     """Login expiry on a stream of (user_id, event_id, ts, mid)."""
     a = actions.withColumn("t", epoch_us(F.col("ts"), actions.schema["ts"].dataType))
