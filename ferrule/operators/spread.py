@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 
-def spread(df: DataFrame, parts: int | None = None) -> DataFrame:
+def spread(df: DataFrame, parts: int | None = None, by: list[str] | None = None) -> DataFrame:
     """Round-robin ``df`` over at least ``parts`` tasks when its scan gives
     fewer.
 
@@ -22,6 +22,10 @@ def spread(df: DataFrame, parts: int | None = None) -> DataFrame:
     usual source is the filter ``size(arr) > 0`` inferred for a non-outer
     ``explode``: after ``spread`` use ``explode_outer``/``posexplode_outer``
     and drop the null row instead.
+
+    With ``by`` the rows are hash-partitioned on those columns instead, so a
+    later aggregation grouped by a superset of them needs no other shuffle
+    (e.g. tokens exploded from a document, grouped by document and bucket).
     """
     spark = df.sparkSession
     try:
@@ -29,7 +33,9 @@ def spread(df: DataFrame, parts: int | None = None) -> DataFrame:
         have = df.rdd.getNumPartitions()
     except Exception:  # noqa: BLE001 - no RDD view (e.g. a remote session): leave as is
         return df
-    return df.repartition(target) if have < target else df
+    if have >= target:
+        return df
+    return df.repartition(target, *by) if by else df.repartition(target)
 
 
 def materialize(df: DataFrame, name: str = "materialized") -> DataFrame:
