@@ -30,7 +30,8 @@ def to_points(changes: DataFrame, key: str, text: str, collection: str = COLLECT
     from ..operators.spread import spread
 
     d = F.col("op") == "d"
-    p = spread(changes).select(
+    # hash-spread by the source key: embedding aggregations and the join back reuse it
+    p = spread(changes, by=[key]).select(
         F.lit(collection).alias("collection_name"),
         F.col(key).alias("_key"),
         md5_uuid(F.col(key)).alias("id"),
