@@ -9,7 +9,7 @@ from ..functions.json import json_vector
 from ..functions.vector import as_double, cosine
 from ..operators.quality import vector_contract as vector_rules, with_reasons
 from ..operators.retrieve import first_in_epoch, rag_context
-from ..operators.spread import materialize
+from ..operators.spread import materialize, spread
 from ..operators.vectors import knn, knn_approx, label_vote, recall
 from ..session import table
 from ..sources.vector_store import delete_points, to_points, upsert_vectors
@@ -228,17 +228,19 @@ def json_vector_q(spark, d):
 def rag_inputs(spark, d):
     """Actions = user turns of conversations; corpus = documents as points."""
     conv = table(spark, d, "conversations").where(F.col("role") == "user")
-    actions = conv.select(
+    # spread by the key: hashing aggregations and the join back share one partitioning
+    actions = spread(conv.select(
         (F.col("conv_id") * 1_000_000 + F.col("turn")).alias("qid"), "conv_id", "turn", F.col("text").alias("query")
-    )
+    ), by=["qid"])
     qv = hashed_vectors(hashed_terms(actions, "qid", "query", DIM_TEXT), DIM_TEXT).select(
         F.col("id").alias("qid"), "vector"
     )
     actions = materialize(actions.join(qv, "qid", "left"))
     c = _doc_changes(spark, d)
     title = F.when(F.col("op") == "d", F.lit("")).otherwise(F.col("doc_id").cast("string"))
-    corpus = c.select(F.col("doc_id").alias("id"), title.alias("title"), F.col("text").alias("description"),
-                      F.concat(F.col("doc_id").cast("string"), F.lit(": "), F.col("text")).alias("embed_text"))
+    corpus = spread(c.select(F.col("doc_id").alias("id"), title.alias("title"), F.col("text").alias("description"),
+                             F.concat(F.col("doc_id").cast("string"), F.lit(": "), F.col("text")).alias("embed_text")),
+                    by=["id"])
     cv = hashed_vectors(hashed_terms(corpus, "id", "embed_text", DIM_TEXT), DIM_TEXT).select("id", "vector")
     return actions, materialize(corpus.join(cv, "id", "left"))
 
