@@ -23,37 +23,75 @@ SESSION_OUT = (
 SESSION_STATE = "started boolean, epoch long, seen string"
 
 
+def _controls(pdf: pd.DataFrame, started0: bool):
+    """Vectorised control codes of a key's rows (sorted): start/logout masks
+    and whether the session is open at each row (last control wins)."""
+    mid = pdf["mid"]
+    logout = mid.isna().to_numpy()
+    start = (mid == 0).to_numpy() & ~logout
+    ctrl = pd.Series(np.where(start, 1.0, np.where(logout, 0.0, np.nan))).ffill()
+    open_ = ctrl.fillna(1.0 if started0 else 0.0).to_numpy() == 1.0
+    return start, logout, open_
+
+
 def session_machine(key, pdfs, state: GroupState):
     """start: open, new epoch, reset the seen set; message: reply (error if
-    not open), title novelty within the epoch; logout: drop the state, no
-    reply row content (status 'closed')."""
+    not open), title novelty within the epoch; logout: close, clear the seen
+    set (a 'closed' row, no reply).  Vectorised over the key's rows of the
+    micro-batch; the state carries (open, epoch, titles seen this epoch)."""
     if state.exists:
-        started, epoch, seen_json = state.get
-        seen = set(json.loads(seen_json))
+        started0, epoch0, seen_json = state.get
+        seen0 = set(json.loads(seen_json))
     else:
-        started, epoch, seen = False, 0, set()
-    out = []
-    pdf = pd.concat(list(pdfs)).sort_values(["ts", "event_id"])
-    for r in pdf.itertuples(index=False):
-        mid = None if pd.isna(r.mid) else int(r.mid)
-        if mid is None:
-            started, seen = False, set()
-            out.append((key[0], r.event_id, None, "logout", epoch, False, None, "closed", None, None))
-        elif mid == 0:
-            started, epoch, seen = True, epoch + 1, set()
-            out.append((key[0], r.event_id, 0, "start", epoch, True, None, "ok", None, None))
-        elif not started:
-            out.append((key[0], r.event_id, mid, "message", epoch, False, None, "error", ERROR_REPLY, NO_TOKENS))
-        else:
-            novel = r.title not in seen
-            seen.add(r.title)
-            out.append((key[0], r.event_id, mid, "message", epoch, True, novel, "ok", None, None))
-    if not started and not seen and epoch == 0:
-        state.remove()
+        started0, epoch0, seen0 = False, 0, set()
+    pdf = pd.concat(list(pdfs)).sort_values(["ts", "event_id"]).reset_index(drop=True)
+    start, logout, open_ = _controls(pdf, bool(started0))
+    msg = ~start & ~logout
+    epoch = epoch0 + np.cumsum(start)
+    ok_msg = msg & open_
+    title = pdf["title"].to_numpy(dtype=object)
+    # a title is new if not given earlier in the same epoch (this batch or, for the
+    # epoch carried in from the state, an earlier batch)
+    novel = np.zeros(len(pdf), dtype=bool)
+    idx = np.flatnonzero(ok_msg)
+    if len(idx):
+        novel[idx] = ~pd.DataFrame({"e": epoch[idx], "t": title[idx]}).duplicated().to_numpy()
+        if seen0:
+            novel &= ~((epoch == epoch0) & pd.Series(title).isin(seen0).to_numpy())
+    err = msg & ~open_
+    n = len(pdf)
+    none = np.full(n, None, dtype=object)
+    mids = pdf["mid"].to_numpy(dtype="float64")
+    mid_obj = none.copy()
+    mid_obj[~logout] = mids[~logout].astype(np.int64).tolist()
+    novel_obj = none.copy()
+    novel_obj[ok_msg] = novel[ok_msg].tolist()
+    resp_obj = none.copy()
+    resp_obj[err] = ERROR_REPLY
+    tok_obj = none.copy()
+    tok_obj[err] = NO_TOKENS
+    out = pd.DataFrame({
+        "user_id": np.full(n, key[0]),
+        "event_id": pdf["event_id"].to_numpy(),
+        "mid": mid_obj,
+        "action": np.where(logout, "logout", np.where(start, "start", "message")),
+        "epoch": epoch.astype("int64"),
+        "started": open_,
+        "novel": novel_obj,
+        "status": np.where(logout, "closed", np.where(err, "error", "ok")),
+        "response": resp_obj,
+        "total_tokens": tok_obj,
+    })
+    started1 = bool(open_[-1]) if len(pdf) else bool(started0)
+    epoch1 = int(epoch[-1]) if len(pdf) else int(epoch0)
+    if started1:
+        seen1 = {t for t in title[ok_msg & (epoch == epoch1)].tolist() if t is not None}
+        if epoch1 == epoch0:
+            seen1 |= seen0
     else:
-        state.update((started, epoch, json.dumps(sorted(seen))))
-    cols = ["user_id", "event_id", "mid", "action", "epoch", "started", "novel", "status", "response", "total_tokens"]
-    yield pd.DataFrame(out, columns=cols)
+        seen1 = set()
+    state.update((started1, epoch1, json.dumps(sorted(seen1))))
+    yield out
 
 
 CORRELATE_OUT = "user_id long, event_id long, ts_us long, resp_event_id long, resp_us long, status string"
@@ -111,23 +149,30 @@ CLOCK_STATE = "started boolean, last_start_us long"
 
 def make_session_clock(ttl_us: int):
     """Login expiry per session: each message is active, expired (older than
-    the TTL since the last start) or orphan (no open session)."""
+    the TTL since the last start) or orphan (no open session).  Vectorised
+    over the key's rows; the state carries (open, last start)."""
 
     def run(key, pdfs, state: GroupState):
-        started, last_start = state.get if state.exists else (False, None)
-        rows = []
-        pdf = pd.concat(list(pdfs)).sort_values(["ts", "event_id"])
-        for r in pdf.itertuples(index=False):
-            t = int(r.t)
-            if pd.isna(r.mid):
-                started = False
-            elif int(r.mid) == 0:
-                started, last_start = True, t
-            else:
-                age = None if last_start is None else (t - last_start) / 1_000_000
-                status = "orphan" if not started else ("expired" if t - last_start > ttl_us else "active")
-                rows.append((key[0], int(r.event_id), age, status))
-        state.update((started, last_start))
-        yield pd.DataFrame(rows, columns=["user_id", "event_id", "session_age_s", "status"])
+        started0, last0 = state.get if state.exists else (False, None)
+        pdf = pd.concat(list(pdfs)).sort_values(["ts", "event_id"]).reset_index(drop=True)
+        start, logout, open_ = _controls(pdf, bool(started0))
+        t = pdf["t"].to_numpy(dtype=np.int64)
+        last = pd.Series(np.where(start, t, np.nan)).ffill()
+        if last0 is not None:
+            last = last.fillna(float(last0))
+        last = last.to_numpy()
+        msg = ~start & ~logout
+        age_us = t - last
+        status = np.where(~open_, "orphan", np.where(age_us > ttl_us, "expired", "active"))
+        out = pd.DataFrame({
+            "user_id": key[0],
+            "event_id": pdf["event_id"].to_numpy(),
+            "session_age_s": age_us / 1_000_000,
+            "status": status,
+        })[msg]
+        started1 = bool(open_[-1]) if len(pdf) else bool(started0)
+        last1 = None if np.isnan(last[-1]) else int(last[-1]) if len(pdf) else last0
+        state.update((started1, last1))
+        yield out
 
     return run

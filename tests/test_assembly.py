@@ -63,7 +63,7 @@ def test_novelty_again_after_restart(spark):
             pass
 
     out = next(session_machine((1,), iter([pdf]), State()))
-    novel = [None if v is None else bool(v) for v in out["novel"].tolist()]
+    novel = [None if pd.isna(v) else bool(v) for v in out["novel"].tolist()]
     assert novel[1:3] == [True, False]  # same title twice in an epoch: once, no refill
     assert novel[4] is True  # given again after mid=0 (a new epoch)
 
