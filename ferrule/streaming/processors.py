@@ -100,45 +100,64 @@ CORRELATE_STATE = "pending string"
 
 def make_correlator(limit_us: int):
     """As-of correlation per key without pairs: pending requests wait in
-    state; a response closes every pending request it falls behind within
-    the limit; requests older than the limit (by event time / watermark)
-    time out."""
+    state; each request takes the first response at or after it (same
+    instant counts) if it is within the limit; a request whose limit a later
+    event (or the watermark) has passed times out.  Vectorised: carried and
+    new rows are sorted together and a reverse running minimum of response
+    positions gives every request its next response."""
+    cols = ["user_id", "event_id", "ts_us", "resp_event_id", "resp_us", "status"]
+
+    def emit(user, req_id, req_t, resp_id, resp_t, status):
+        n = len(req_id)
+        return pd.DataFrame({
+            "user_id": np.full(n, user),
+            "event_id": np.asarray(req_id, dtype=np.int64),
+            "ts_us": np.asarray(req_t, dtype=np.int64),
+            "resp_event_id": np.asarray(resp_id, dtype=object),
+            "resp_us": np.asarray(resp_t, dtype=object),
+            "status": np.full(n, status, dtype=object),
+        }, columns=cols)
 
     def run(key, pdfs, state: GroupState):
+        pending = json.loads(state.get[0]) if state.exists else []
         if state.hasTimedOut:
-            pending = json.loads(state.get[0]) if state.exists else []
-            rows = [(key[0], rid, t, None, None, "timeout") for t, rid in pending]
             state.remove()
-            yield pd.DataFrame(rows, columns=["user_id", "event_id", "ts_us", "resp_event_id", "resp_us", "status"])
+            yield emit(key[0], [p[1] for p in pending], [p[0] for p in pending], [None] * len(pending),
+                       [None] * len(pending), "timeout")
             return
-        pending = json.loads(state.get[0]) if state.exists else []
-        pdf = pd.concat(list(pdfs)).sort_values(["t", "kind", "id"])
-        rows = []
-        for r in pdf.itertuples(index=False):
-            t, rid = int(r.t), int(r.id)
-            keep = []
-            for pt, pid in pending:
-                if t - pt > limit_us:
-                    rows.append((key[0], pid, pt, None, None, "timeout"))
-                elif r.kind == 1 and t >= pt:
-                    rows.append((key[0], pid, pt, rid, t, "matched"))
-                else:
-                    keep.append((pt, pid))
-            pending = keep
-            if r.kind == 0:
-                pending.append((t, rid))
+        new = pd.concat(list(pdfs))[["t", "kind", "id"]]
+        old = pd.DataFrame({"t": [p[0] for p in pending], "kind": 0, "id": [p[1] for p in pending]})
+        df = pd.concat([old, new]) if len(old) else new
+        df = df.sort_values(["t", "kind", "id"]).reset_index(drop=True)
+        t = df["t"].to_numpy(dtype=np.int64)
+        kind = df["kind"].to_numpy()
+        ids = df["id"].to_numpy(dtype=np.int64)
+        n = len(df)
+        pos = np.where(kind == 1, np.arange(n), n)
+        nxt = np.minimum.accumulate(pos[::-1])[::-1]  # next response at or after, in sort order
+        req = kind == 0
+        has = nxt < n
+        nt = t[np.minimum(nxt, n - 1)]
+        matched = req & has & (nt - t <= limit_us)
+        timed_out = req & ~matched & (t.max() - t > limit_us)  # a later event passed the limit
+        keep = req & ~matched & ~timed_out
         # requests whose deadline the watermark already passed time out now
         wm = state.getCurrentWatermarkMs()
         if wm is not None and wm > 0:
-            late = [(pt, pid) for pt, pid in pending if pt // 1000 + limit_us // 1000 + 1 <= wm]
-            rows += [(key[0], pid, pt, None, None, "timeout") for pt, pid in late]
-            pending = [p for p in pending if p not in late]
-        if pending:
-            state.update((json.dumps(pending),))
-            state.setTimeoutTimestamp(int(min(p[0] for p in pending) // 1000 + limit_us // 1000 + 1))
+            late = keep & (t // 1000 + limit_us // 1000 + 1 <= wm)
+            timed_out |= late
+            keep &= ~late
+        out = [
+            emit(key[0], ids[matched], t[matched], ids[nxt[matched]], nt[matched], "matched"),
+            emit(key[0], ids[timed_out], t[timed_out], [None] * int(timed_out.sum()), [None] * int(timed_out.sum()),
+                 "timeout"),
+        ]
+        if keep.any():
+            state.update((json.dumps([[int(a), int(b)] for a, b in zip(t[keep], ids[keep])]),))
+            state.setTimeoutTimestamp(int(t[keep].min() // 1000 + limit_us // 1000 + 1))
         else:
             state.remove()
-        yield pd.DataFrame(rows, columns=["user_id", "event_id", "ts_us", "resp_event_id", "resp_us", "status"])
+        yield pd.concat(out, ignore_index=True)
 
     return run
 
