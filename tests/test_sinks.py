@@ -26,3 +26,13 @@ def test_keyed_order_and_log_filter(spark):
     logs = spark.createDataFrame([("DEBUG",), ("INFO",), ("ERROR",), ("",)], "level string")
     assert sorted(r[0] for r in log_filter(logs).collect()) == ["ERROR", "INFO"]
     assert spark.range(1).select(level_rank(F.lit("WARNING"))).first()[0] == 30
+
+
+def test_cluster_conf_sizes_partitions():
+    from ferrule.session import cluster_conf
+
+    c = cluster_conf(100 << 40, executors=1000, cores_per_executor=8)
+    assert int(c["spark.sql.shuffle.partitions"]) == (100 << 40) // (256 << 20)  # 256 MB a partition
+    assert c["spark.sql.adaptive.skewJoin.enabled"] == "true"
+    small = cluster_conf(1 << 30, executors=10, cores_per_executor=4)
+    assert int(small["spark.sql.shuffle.partitions"]) == 120  # at least 3 waves of 40 slots
