@@ -34,3 +34,24 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     return find_secrets(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_assign", "n_access", "n_hex", "n_markov", "base_sha256", "spans")
+
+
+@query("op7_simhash")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import near_groups
+
+    return near_groups(table(spark, sf_dir, "documents"), shingle=4, radius=4)
+
+
+@query("op8_exact_dedup", sql=r"""
+    with n as (select doc_id, coalesce(text, '') as t, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') as norm from documents),
+    g as (select doc_id, sha256(norm) as text_sha256,
+                 first_value(doc_id) over (partition by norm order by length(t) desc, doc_id nulls first
+                     rows between unbounded preceding and unbounded following) as keep_id,
+                 count(*) over (partition by norm) as group_size from n)
+    select doc_id, keep_id, group_size, doc_id is not distinct from keep_id as kept, text_sha256 from g
+""")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chunk_dedup import exact_groups
+
+    return exact_groups(table(spark, sf_dir, "documents")).drop("n_chunks")
