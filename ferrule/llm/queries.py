@@ -55,3 +55,10 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .chunk_dedup import exact_groups
 
     return exact_groups(table(spark, sf_dir, "documents")).drop("n_chunks")
+
+
+@query("op10_language_id")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import identify
+
+    return identify(table(spark, sf_dir, "documents"))
