@@ -62,3 +62,27 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .langid import identify
 
     return identify(table(spark, sf_dir, "documents"))
+
+
+@query("op1_decontamination", sql=r"""
+    with d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                      '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+    b as (select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                      '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+    bw as (select item_id, least(len(w), 13) as l, unnest(generate_series(1, greatest(1, len(w) - 12))) as p, w from b where len(w) > 0),
+    win as (select distinct item_id, l, array_to_string(w[p : p + l - 1], ' ') as t from bw),
+    dw as (select doc_id, l, p, array_to_string(w[p : p + l - 1], ' ') as t
+           from (select doc_id, w, l, unnest(generate_series(1, len(w) - l + 1)) as p from d, (select distinct l from win))),
+    hit as (select doc_id, dw.l, p, item_id from dw join win on dw.l = win.l and dw.t = win.t),
+    words as (select doc_id, count(distinct q) as n_hit from (select distinct doc_id, unnest(generate_series(p, p + l - 1)) as q from hit) group by doc_id),
+    its as (select doc_id, count(*) as n_items, string_agg(i, ',' order by i) as s
+            from (select distinct doc_id, cast(item_id as varchar) as i from hit where item_id is not null) group by doc_id)
+    select d.doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(s, '')) as items_sha256,
+           coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
+    from d left join words on words.doc_id = d.doc_id left join its on its.doc_id = d.doc_id
+""")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontam import contamination
+
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select(
+        "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
