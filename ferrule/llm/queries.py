@@ -86,3 +86,10 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select(
         "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+@query("op5_html_text")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_density import extract
+
+    return extract(table(spark, sf_dir, "pages"))
