@@ -93,3 +93,21 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .html_density import extract
 
     return extract(table(spark, sf_dir, "pages"))
+
+
+@query("op9_substring_dedup", sql=r"""
+    with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+    win as (select doc_id, p, hash(array_to_string(w[p : p + 19], ' ')) as a, md5(array_to_string(w[p : p + 19], ' ')) as b
+            from (select doc_id, w, unnest(generate_series(1, len(w) - 19)) as p from d)),
+    late as (select doc_id, p from (select doc_id, p, row_number() over (partition by a, b order by doc_id, p) as k from win) where k > 1),
+    gone as (select doc_id, list(distinct q) as qs from (select doc_id, unnest(generate_series(p, p + 19)) as q from late) group by doc_id),
+    kept as (select doc_id, string_agg(x, ' ' order by q) as t
+             from (select d.doc_id, unnest(w) as x, unnest(generate_series(1, len(w))) as q from d) e
+             where not exists (select 1 from (select doc_id, unnest(qs) as q from gone) g where g.doc_id = e.doc_id and g.q = e.q) group by doc_id)
+    select d.doc_id, len(w) as n_words, coalesce(len(qs), 0) as n_removed, sha256(coalesce(t, '')) as kept_sha256
+    from d left join gone on gone.doc_id = d.doc_id left join kept on kept.doc_id = d.doc_id
+""")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .anchor_dedup import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"), keep_text=False)
