@@ -37,12 +37,27 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str
         for batch in batches:
             for piece in slices(batch, column):
                 got = fn(piece)
-                arrays = [pa.array(got[f.name], type=f.type) for f in target]
+                arrays = [x.cast(f.type) if isinstance(x := got[f.name], pa.Array) else pa.array(x, type=f.type) for f in target]
                 yield pa.RecordBatch.from_arrays(arrays, schema=target)
 
     return df.mapInArrow(run, out)
 
 
+def filter_rows(df: DataFrame, keep: Callable[[pa.RecordBatch], list[bool]], text_col: str = "text") -> DataFrame:
+    """Rows for which ``keep(batch)`` is true, in one pass; ``batch`` has the text alone, the rows keep all columns."""
+    at = df.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            for piece in slices(batch, batch.schema.names[at]):
+                text = pa.RecordBatch.from_arrays([piece.column(at)], ["text"])
+                got = piece.filter(pa.array(keep(text), pa.bool_()))
+                if got.num_rows:
+                    yield got
+
+    return df.mapInArrow(run, df.schema)
+
+
 def id_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the id and the text, as ``doc_id`` and ``text``: other columns, whatever their names, stay out."""
     return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, map_batches, sha
+from .common import filter_rows, id_text, keep_rows, map_batches, sha
 
 WINDOW = 13  # words
 SHARE = 20  # contaminated: hit words times this reach the document's words
@@ -225,6 +225,19 @@ def _told(n: int, spans: list, items: list[str], longest: int) -> tuple:
     return n, hit, len(items), sha(",".join(items).encode()), hit > 0 and SHARE * hit >= n, longest, items, [{"start": s, "end": e} for s, e in spans]
 
 
+def benchmark_blocks(items: DataFrame, width: int, block_bytes: int, item_col: str, item_text: str):
+    """How many blocks the benchmark makes, and a function that broadcasts the windows of one of them."""
+    bench = items.select(F.col(item_col).cast("string").alias("i"), F.col(item_text).cast("string").alias("t")).where("t is not null")
+    total = bench.agg(F.coalesce(F.sum(F.octet_length("t") + 16), F.lit(0))).first()[0]
+    blocks = max(1, -(-total // block_bytes))
+
+    def sent(b: int):
+        part = bench.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b) if blocks > 1 else bench
+        return items.sparkSession.sparkContext.broadcast(windows_of([(r.i, r.t.encode()) for r in part.distinct().collect()], width))
+
+    return blocks, sent
+
+
 def contamination(docs: DataFrame, items: DataFrame, width: int = WINDOW, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id",
                   text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """Per row of ``docs``: ``doc_id, n_words, n_hit, n_items, items_sha256, contaminated, longest_match, items, spans``.
@@ -235,17 +248,10 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = WINDOW, block_
     words but is not listed; repeated items count once, repeated documents
     give repeated results; ids may be null.  Empty benchmark: nothing is hit.
     """
-    spark = docs.sparkSession
-    bench = items.select(F.col(item_col).cast("string").alias("i"), F.col(item_text).cast("string").alias("t")).where("t is not null")
-    total = bench.agg(F.coalesce(F.sum(F.octet_length("t") + 16), F.lit(0))).first()[0]
-    blocks = max(1, -(-total // block_bytes))
+    blocks, sent = benchmark_blocks(items, width, block_bytes, item_col, item_text)
     rows = id_text(docs, id_col, text_col)
     kind = rows.schema[0].dataType.simpleString()
 
-    def sent(b: int):
-        part = bench.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b) if blocks > 1 else bench
-        return spark.sparkContext.broadcast(windows_of([(r.i, r.t.encode()) for r in part.distinct().collect()], width))
-
     def found(batch: pa.RecordBatch, block: Windows):
         data = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
         for n, spans, windows, longest in search(data, block):
@@ -293,3 +299,20 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = WINDOW, block_
 
     return grouped.mapInArrow(unite, f"doc_id {kind}, copies bigint, {_OUT}").withColumn(
         "copies", F.explode(F.sequence(F.lit(1), F.col("copies")))).drop("copies")
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, width: int = WINDOW, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id",
+                  text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """Rows of ``docs`` (all columns) that are not contaminated.  With a benchmark of one block that is one pass
+    over the rows; else the spans of all blocks are united first and the rows are kept by id."""
+    blocks, sent = benchmark_blocks(items, width, block_bytes, item_col, item_text)
+    if blocks == 1:
+        only = sent(0)
+
+        def keep(batch: pa.RecordBatch) -> list[bool]:
+            found = search([t or b"" for t in batch.column(0).cast(pa.binary()).to_pylist()], only.value)
+            return [not _told(n, spans, [], 0)[4] for n, spans, _, _ in found]
+
+        return filter_rows(docs, keep, text_col)
+    told = contamination(docs, items, width, block_bytes, id_col, text_col, item_col, item_text)
+    return keep_rows(docs, told.where(~F.col("contaminated")).select("doc_id"), id_col)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, map_batches, texts
+from .common import filter_rows, id_text, map_batches, texts
 
 BITS = 16  # log2 of the number of features
 ORDERS = 3
@@ -188,6 +188,18 @@ def in_fold(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def judge(ts: list[str], model: Model | None) -> tuple[list[str], list[float]]:
+    """Language and calibrated probability of each text; ``und`` and 0 without a letter or a model."""
+    lang, score = [UNKNOWN] * len(ts), [0.0] * len(ts)
+    known = [i for i, t in enumerate(ts) if any(map(str.isalpha, t))]
+    if model is not None and known:
+        r, f, c = features([ts[i] for i in known])
+        p = model.probabilities(model.logits(r, f, c, len(known)))
+        for i, k, v in zip(known, p.argmax(1).tolist(), p.max(1).tolist()):
+            lang[i], score[i] = model.languages[k], min(1.0, v)
+    return lang, score
+
+
 def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: ``doc_id, lang_pred, score``.
 
@@ -198,16 +210,7 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
     """
 
     def run(batch: pa.RecordBatch) -> dict:
-        ts = texts(batch)
-        n = len(ts)
-        lang, score = [UNKNOWN] * n, [0.0] * n
-        known = [i for i, t in enumerate(ts) if any(map(str.isalpha, t))]
-        if model is not None and known:
-            r, f, c = features([ts[i] for i in known])
-            p = model.probabilities(model.logits(r, f, c, len(known)))
-            best = p.argmax(1)
-            for i, k, v in zip(known, best.tolist(), p.max(1).tolist()):
-                lang[i], score[i] = model.languages[k], min(1.0, v)
+        lang, score = judge(texts(batch), model)
         return {"doc_id": batch.column(0), "lang_pred": lang, "score": score}
 
     rows = id_text(docs, id_col, text_col)
@@ -219,3 +222,14 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     model = train(rows.where(~in_fold()))
     return predict(rows, model).select("doc_id", in_fold().alias("held_out"), "lang_pred", "score")
+
+
+def keep_identified(docs: DataFrame, least: float, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """Rows (all columns) whose language is known with a probability of ``least`` or more; one pass, no shuffle."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    model = train(rows.where(~in_fold()))
+
+    def keep(batch: pa.RecordBatch) -> list[bool]:
+        return [x != UNKNOWN and v >= least for x, v in zip(*judge(texts(batch), model))]
+
+    return filter_rows(docs, keep, text_col)

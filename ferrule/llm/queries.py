@@ -111,3 +111,20 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .anchor_dedup import remove_repeats
 
     return remove_repeats(table(spark, sf_dir, "documents"), keep_text=False)
+
+
+@query("op4_warc", sql=r"""
+    with p as (select page_id, coalesce(html, '') as h from pages),
+    d as (select page_id, strlen(h) as n, sha1(h) as x, max(page_id) over (partition by h) as first from p)
+    select page_id, n as payload_bytes,
+           list_aggregate(list_transform(generate_series(0, 31), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+               cast((cast('0x' || substr(x, 10 * (i // 8) + 1, 10) as bigint) >> (35 - 5 * (i % 8))) & 31 as bigint) + 1, 1)), 'string_agg', '') as payload_digest,
+           case when page_id = first then 'response' else 'revisit' end as record_type,
+           case when page_id = first then null else first end as refers_to
+    from d
+""")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import archive_index
+
+    return archive_index(table(spark, sf_dir, "pages"), least=0).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -19,6 +19,7 @@ from __future__ import annotations
 import codecs
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -242,7 +243,7 @@ def codec(path: str) -> Codec:
 
 
 def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: ``doc_id, n_tokens, ids`` (list) and ``decoded`` (text of the ids).
+    """Per row: ``doc_id, n_tokens, ids`` (list), ``decoded`` (text of the ids) and the digests of both.
 
     ``model_path`` must exist on every worker.  A null or empty text has no
     ids and an empty decoding; repeated rows give repeated results; ids may be
@@ -252,12 +253,15 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
     def run(batch: pa.RecordBatch) -> dict:
         c = codec(model_path)
         joined = [c.encode(t) for t in texts(batch)]
-        return {"doc_id": batch.column(0), "n_tokens": [s.count(",") + 1 if s else 0 for s in joined],
-                "ids": [[int(i) for i in s.split(",")] if s else [] for s in joined],
-                "decoded": [c.decode(s).decode() for s in joined]}
+        n = [s.count(",") + 1 if s else 0 for s in joined]
+        ids = np.array(",".join(filter(None, joined)).split(",") if any(n) else [], np.int32)
+        back = [c.decode(s) for s in joined]
+        return {"doc_id": batch.column(0), "n_tokens": n, "ids": pa.ListArray.from_arrays(np.cumsum([0, *n]).astype(np.int32), ids),
+                "decoded": [b.decode() for b in back], "ids_sha256": [sha(s.encode()) for s in joined], "decoded_sha256": [sha(b) for b in back]}
 
     rows = id_text(docs, id_col, text_col)
-    return map_batches(rows, run, f"doc_id {rows.schema[0].dataType.simpleString()}, n_tokens bigint, ids array<int>, decoded string")
+    return map_batches(rows, run, f"doc_id {rows.schema[0].dataType.simpleString()}, n_tokens bigint, ids array<int>, "
+                                  "decoded string, ids_sha256 string, decoded_sha256 string")
 
 
 def encode_digests(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
