@@ -74,5 +74,8 @@ def sha(data: bytes) -> str:
 
 def keep_rows(docs: DataFrame, keep: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Rows of ``docs`` whose id is in ``keep`` (null matches null); columns unchanged."""
-    k = keep.select(F.col(keep.columns[0]).alias("_keep_id"))
-    return docs.join(k, F.col(id_col).eqNullSafe(F.col("_keep_id")), "left_semi")
+    name = "_keep_id"
+    while name in docs.columns:
+        name += "_"
+    k = keep.select(F.col(keep.columns[0]).alias(name))
+    return docs.join(k, F.col(id_col).eqNullSafe(F.col(name)), "left_semi")

@@ -139,7 +139,7 @@ def train(labelled: DataFrame, fit_rows: int = FIT_ROWS, tune_rows: int = TUNE_R
     Document frequencies come from all rows.  The weights come from
     ``fit_rows`` and the temperature from ``tune_rows`` rows at most, the
     first by hash of the id within each language; only their features reach
-    the driver.  Without any labelled row there is no model.
+    the driver.  Rows with a null id are not picked.  Without any row to fit on there is no model.
     """
     rows = labelled.where("text is not null and lang is not null and trim(text) <> ''")
     langs = sorted(r[0] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(200).select("lang").collect())
@@ -153,9 +153,9 @@ def train(labelled: DataFrame, fit_rows: int = FIT_ROWS, tune_rows: int = TUNE_R
     for lang in langs:
         some = rows.where(F.col("lang") == lang).select("doc_id", "lang", h.alias("h")).orderBy("h").limit(per)
         picked = some if picked is None else picked.unionByName(some)
-    ids = picked.select("doc_id", "lang").toPandas()
-    sample = rows.join(F.broadcast(labelled.sparkSession.createDataFrame(ids, "doc_id long, lang string")), ["doc_id", "lang"], "left_semi") \
-        if len(ids) and rows.schema["doc_id"].dataType.simpleString() in ("bigint", "int") else rows.orderBy(h).limit(fit_rows + tune_rows)
+    picked = picked.select("doc_id", "lang").where("doc_id is not null")
+    ids = labelled.sparkSession.createDataFrame(picked.collect(), picked.schema)  # of a bounded number
+    sample = rows.join(F.broadcast(ids), ["doc_id", "lang"], "left_semi")
 
     def run(batch: pa.RecordBatch) -> dict:
         r, f, c = features(texts(batch, "text"))
@@ -166,6 +166,8 @@ def train(labelled: DataFrame, fit_rows: int = FIT_ROWS, tune_rows: int = TUNE_R
 
     got = map_batches(sample.select("doc_id", "text", "lang"), run,
                       f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, lang string, f binary, c binary").limit(2 * (fit_rows + tune_rows)).toPandas()
+    if got.empty:
+        return None
     got = got.sort_values(["doc_id", "lang"], ignore_index=True)
     number = {x: k for k, x in enumerate(langs)}
     y = got["lang"].map(number).to_numpy()

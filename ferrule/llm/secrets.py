@@ -36,7 +36,8 @@ N = len(SYMBOLS) + 1  # and a state for the start
 
 SAMPLE_DOCS = 4000  # documents of the training sample, the first by hash of the id
 SAMPLE_WORDS = 400  # words of one sampled document at most
-THRESHOLD = 0.7  # mean log-likelihood ratio of a character, in nats
+PLAIN_DIGITS = 2  # an ordinary identifier has no more digits
+THRESHOLD = 2.0  # mean log-likelihood ratio of a character, in nats
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -112,7 +113,7 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> np.ndarray:
             clear = list(t)
             for s, _, e in spans:
                 clear[s:e] = " " * (e - s)
-            plain += WORD.findall("".join(clear))[:SAMPLE_WORDS]
+            plain += [w for w in WORD.findall("".join(clear)) if sum(map(str.isdigit, w)) <= PLAIN_DIGITS][:SAMPLE_WORDS]
         return {"good": [pair_counts(good).ravel().tolist()], "plain": [pair_counts(plain).ravel().tolist()]}
 
     sums = map_batches(rows.where(at <= F.lit(edge)), run, "good array<double>, plain array<double>")
