@@ -23,7 +23,7 @@ KIDS_MENU_SECTIONS = ["starters", "mains", "drinks", "desserts"]
 NEW_CUSTOMER = "\nWe have a new customer. Their name is {name}, {dob} and is allergic to {allergies}"
 NO_ALLERGIES = "nothing"
 
-LINE_SCHEMA = "part_no int, section_no int, item_no int, text string"
+LINE_SCHEMA = "part_no int, section_no int, item_no bigint, text string"
 
 
 def _py_title(name: str) -> str:
@@ -68,7 +68,7 @@ def sectioned_listings(
     headers = sec.select(
         "part_no",
         "section_no",
-        F.lit(0).alias("item_no"),
+        F.lit(0).cast("long").alias("item_no"),
         F.concat(F.col("part_no").cast("string"), F.lit("."), F.col("section_no").cast("string"), F.lit(" "),
                  title_case("section"), F.lit(":")).alias("text"),
     )

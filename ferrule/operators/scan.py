@@ -4,21 +4,22 @@
 group in one task.  When one key can hold a third of the rows that task is
 the job.  ``grouped_scan`` instead
 
-1. cuts the ``(group, order)`` key space into ``slices`` ranges (about a
-   million rows each, at most 4096) whose bounds are quantiles of a bounded
-   sample of the keys (``slices x 64`` rows at most reach the driver), so a
-   hot group spans many slices;
-2. numbers / sums inside each ``(slice, group)`` (bounded by the slice size);
-3. aggregates one row per ``(slice, group)`` and turns it into offsets with a
-   window over that small table (at most ``slices + groups`` rows);
-4. joins the offsets back (AQE broadcasts them when they are small).
-
-The slice of a row is a pure function of its keys (a binary CASE tree over
-literal bounds), so both branches and any recomputation after an executor
-loss agree without materialising anything.
+1. deals the rows into ranges of ``(group, order)`` (Spark's range
+   partitioning, which samples the keys inside the cluster), so a hot group
+   spans many ranges, and writes them once with the range's number: every
+   later step reads the same ranges, also after an executor is lost;
+2. numbers / sums inside each ``(range, group)``, bounded by the range;
+3. aggregates one row per ``(range, group)`` and turns it into offsets with a
+   window over that small table (at most ``ranges + groups`` rows);
+4. joins the offsets back on the same keys as the window, without another
+   shuffle of the rows.
+
+The path is the same for every size; the number of ranges is the session's
+shuffle partitions unless given.  The group key travels as a struct, which is
+never null, so rows with a null in a group column form a group like any other.
 
 ``order`` must be ascending and a total order inside a group (end it with a
-unique id).
+unique id); nulls come first.
 """
 
 from __future__ import annotations
@@ -26,58 +27,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SAMPLE_PER_SLICE = 64
-ROWS_PER_SLICE = 1_000_000  # a slice is one window task's worth of rows
-MAX_SLICES = 4096  # keeps the CASE tree small (12 comparisons a row)
+from ..session import shuffle_parts
+from .spread import materialize
 
 
 def _cols(xs):
     return [F.col(x) if isinstance(x, str) else x for x in xs]
 
 
-def _bounds(keyed: DataFrame, names: list[str], slices: int | None, seed: int = 11) -> list:
-    """``slices - 1`` ascending bounds of the key space (rows of ``names``).
-
-    Without an explicit ``slices`` the count decides: about ROWS_PER_SLICE
-    rows a slice, at most MAX_SLICES (a small input is one slice, i.e. a
-    plain per-group window).
-    """
-    n = keyed.count()
-    if slices is None:
-        slices = min(MAX_SLICES, max(1, -(-n // ROWS_PER_SLICE)))
-    if n == 0 or slices <= 1:
-        return []
-    frac = min(1.0, slices * SAMPLE_PER_SLICE / n)
-    # the sample is small (about slices x 64 rows): sort it here, ascending,
-    # nulls first, as Spark orders the keys
-    sample = sorted(keyed.sample(False, frac, seed).collect(),
-                    key=lambda r: tuple((v is not None, v) for v in r))
-    if len(sample) < 2:
-        return []
-    step = len(sample) / slices
-    picks = [sample[int(step * i)] for i in range(1, slices)]
-    out = []
-    for r in picks:  # drop repeated bounds
-        if not out or tuple(out[-1]) != tuple(r):
-            out.append(r)
-    return out
-
-
-def slice_of(keyed: DataFrame, names: list[str], bounds: list) -> Column:
-    """Slice number of each row: how many bounds are <= its key."""
-    types = {f.name: f.dataType for f in keyed.schema.fields}
-    key = F.struct(*[F.col(n) for n in names])
-
-    def lit(row):
-        return F.struct(*[F.lit(row[n]).cast(types[n]).alias(n) for n in names])
-
-    def tree(lo: int, hi: int) -> Column:  # slices lo..hi, bound i separates i and i+1
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi + 1) // 2
-        return F.when(key < lit(bounds[mid - 1]), tree(lo, mid - 1)).otherwise(tree(mid, hi))
-
-    return tree(0, len(bounds))
+def dealt_ranges(df: DataFrame, by: list[str], order: list[str | Column], slices: int | None = None) -> DataFrame:
+    """``df`` with ``_g`` (group key), ``_o0..`` (order) and ``_slice`` (number of its range), stored."""
+    order_c = _cols(order)
+    base = df.withColumns({f"_o{i}": c for i, c in enumerate(order_c)})
+    base = base.withColumn("_g", F.struct(*[F.col(b) for b in by]) if by else F.struct(F.lit(0)))
+    keys = ["_g"] + [f"_o{i}" for i in range(len(order_c))]
+    dealt = base.repartitionByRange(slices or shuffle_parts(df.sparkSession), *keys)
+    return materialize(dealt.withColumn("_slice", F.spark_partition_id()), "ranges")
 
 
 def grouped_scan(
@@ -89,57 +54,42 @@ def grouped_scan(
     maxes: dict[str, Column] | None = None,
     slices: int | None = None,
 ) -> DataFrame:
-    """Add a 1-based ``number``, inclusive running ``sums`` and running
-    ``maxes`` (nulls ignored) per group.  ``slices`` defaults to the row
-    count / ROWS_PER_SLICE (capped at MAX_SLICES)."""
+    """Add a 1-based ``number`` (bigint), inclusive running ``sums`` and
+    running ``maxes`` per group.  Nulls are ignored by both; a running value
+    is null only while the group had nothing but nulls."""
     sums = sums or {}
     maxes = maxes or {}
-    order_c = _cols(order)
-    names = list(by) + [f"_o{i}" for i in range(len(order_c))]
-    base = df.withColumns({f"_o{i}": c for i, c in enumerate(order_c)})
-    for name, expr in {**sums, **maxes}.items():
-        base = base.withColumn(f"_v_{name}", expr)
-    bounds = _bounds(base.select(*names), names, slices)
-    base = base.withColumn("_slice", slice_of(base.select(*names), names, bounds))
+    values = {f"_v_{name}": expr for name, expr in {**sums, **maxes}.items()}
+    n_order = len(order)
+    base = dealt_ranges(df.withColumns(values) if values else df, by, order, slices)
 
     w_local = (
-        Window.partitionBy("_slice", *by)
-        .orderBy(*[F.col(f"_o{i}") for i in range(len(order_c))])
+        Window.partitionBy("_slice", "_g")
+        .orderBy(*[F.col(f"_o{i}") for i in range(n_order)])
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    local = base.withColumn("_n", F.count(F.lit(1)).over(w_local))
-    for name in sums:
-        local = local.withColumn(f"_s_{name}", F.sum(f"_v_{name}").over(w_local))
-    for name in maxes:
-        local = local.withColumn(f"_s_{name}", F.max(f"_v_{name}").over(w_local))
-
     aggs = [F.count(F.lit(1)).alias("_cnt")] + [
         F.sum(f"_v_{name}").alias(f"_tot_{name}") for name in sums
     ] + [F.max(f"_v_{name}").alias(f"_tot_{name}") for name in maxes]
-    totals = base.groupBy("_slice", *by).agg(*aggs)  # partial aggregation, tiny output
-    w_prev = (
-        Window.partitionBy(*by)
-        .orderBy("_slice")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
+    totals = base.groupBy("_slice", "_g").agg(*aggs)  # partial aggregation, tiny output
+    w_prev = Window.partitionBy("_g").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offs = totals.select(
         "_slice",
-        *by,
+        "_g",
         F.coalesce(F.sum("_cnt").over(w_prev), F.lit(0)).alias("_off_n"),
-        *[
-            F.coalesce(F.sum(f"_tot_{name}").over(w_prev), F.lit(0)).alias(f"_off_{name}")
-            for name in sums
-        ],
+        *[F.sum(f"_tot_{name}").over(w_prev).alias(f"_off_{name}") for name in sums],
         *[F.max(f"_tot_{name}").over(w_prev).alias(f"_off_{name}") for name in maxes],
     )
-    out = local.join(offs, on=["_slice", *by], how="inner")
+    out = base.join(offs, on=["_slice", "_g"], how="inner")
     if number:
-        out = out.withColumn(number, (F.col("_n") + F.col("_off_n")).cast("int"))
+        out = out.withColumn(number, F.row_number().over(w_local) + F.col("_off_n"))
     for name in sums:
-        out = out.withColumn(name, F.col(f"_s_{name}") + F.col(f"_off_{name}"))
+        local, off = F.sum(f"_v_{name}").over(w_local), F.col(f"_off_{name}")
+        zero = F.lit(0).cast(base.schema[f"_v_{name}"].dataType)
+        out = out.withColumn(name, F.when(local.isNotNull() | off.isNotNull(), F.coalesce(local, zero) + F.coalesce(off, zero)))
     for name in maxes:
-        out = out.withColumn(name, F.greatest(F.col(f"_s_{name}"), F.col(f"_off_{name}")))
-    drop = ["_slice", "_n", "_off_n"] + [f"_o{i}" for i in range(len(order_c))] + [
-        c for name in [*sums, *maxes] for c in (f"_v_{name}", f"_s_{name}", f"_off_{name}")
+        out = out.withColumn(name, F.greatest(F.max(f"_v_{name}").over(w_local), F.col(f"_off_{name}")))
+    drop = ["_slice", "_g", "_off_n"] + [f"_o{i}" for i in range(n_order)] + [
+        c for name in [*sums, *maxes] for c in (f"_v_{name}", f"_off_{name}")
     ]
     return out.drop(*drop)

@@ -34,6 +34,7 @@ def session_state(actions: DataFrame, session: str, order: list[str], ts: str, m
     dtype = actions.schema[ts].dataType
     micros = epoch_us(F.col(ts), dtype)
     m = F.col(mid)
+    at = F.struct(F.struct(*order).alias("at"), micros.alias("us"))
     s = grouped_scan(
         actions,
         [session],
@@ -41,16 +42,17 @@ def session_state(actions: DataFrame, session: str, order: list[str], ts: str, m
         number="n_in_session",
         sums={"epoch": (m.isNotNull() & (m == 0)).cast("long")},
         maxes={
-            "_start_us": F.when(m.isNotNull() & (m == 0), micros),
-            "_logout_us": F.when(m.isNull(), micros),
+            "_start": F.when(m.isNotNull() & (m == 0), at),
+            "_logout": F.when(m.isNull(), at),
         },
     )
-    started = F.col("_start_us").isNotNull() & (
-        F.col("_logout_us").isNull() | (F.col("_start_us") > F.col("_logout_us"))
+    # the later of the two in the full order, so events of one instant count in their order
+    started = F.col("_start").isNotNull() & (
+        F.col("_logout").isNull() | (F.col("_start.at") > F.col("_logout.at"))
     )
     return s.withColumn("started", started).withColumn(
-        "last_start_ts", from_epoch_us(F.col("_start_us"), dtype)
-    ).drop("_start_us", "_logout_us")
+        "last_start_ts", from_epoch_us(F.col("_start.us"), dtype)
+    ).drop("_start", "_logout")
 
 
 def orphan_turns(state: DataFrame, mid: str = "mid") -> DataFrame:

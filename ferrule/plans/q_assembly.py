@@ -24,10 +24,10 @@ def _values(sections, alias="t"):
 
 def _listing_sql(src: str, sections, ord_: int) -> str:
     return f"""
-    SELECT {ord_} AS part_no, section_no, 0 AS item_no, '{ord_}.' || section_no::VARCHAR || ' ' || {title_sql('section')} || ':' AS text
+    SELECT {ord_} AS part_no, section_no, 0::BIGINT AS item_no, '{ord_}.' || section_no::VARCHAR || ' ' || {title_sql('section')} || ':' AS text
     FROM {_values(sections)}
     UNION ALL
-    SELECT {ord_}, section_no, item_no::INTEGER,
+    SELECT {ord_}, section_no, item_no,
            '{ord_}.' || section_no::VARCHAR || '.' || item_no::VARCHAR || ' ' || {title_sql('p_name')} || ' (' || coalesce(p_brand, 'None') || '): '
            || 'P_Size ' || coalesce(p_size::VARCHAR, 'None') || ', P_Retailprice ' || coalesce(p_retailprice::VARCHAR, 'None')
     FROM (SELECT p.*, s.section_no, row_number() OVER (PARTITION BY s.section_no ORDER BY p.p_partkey) AS item_no
@@ -57,12 +57,12 @@ def section_text(spark, d):
 
 
 def _bullets_sql(part_no, src, key, value, order):
-    return f"""SELECT {part_no} AS part_no, 0 AS section_no, row_number() OVER (ORDER BY {order})::INTEGER AS item_no,
+    return f"""SELECT {part_no} AS part_no, 0 AS section_no, row_number() OVER (ORDER BY {order}) AS item_no,
            '- ' || {title_sql(key)} || ': ' || coalesce({value}::VARCHAR, 'None') AS text FROM {src}"""
 
 
 _PROMPT_SQL = f"""
-    SELECT 0 AS part_no, 0 AS section_no, 0 AS item_no, 'You are an AI Assistant for a restaurant. Your name is: {WAITER}.' AS text
+    SELECT 0 AS part_no, 0 AS section_no, 0::BIGINT AS item_no, 'You are an AI Assistant for a restaurant. Your name is: {WAITER}.' AS text
     UNION ALL SELECT 1, 0, 0, '1. You MUST comply with these AI rules:'
     UNION ALL SELECT 2, 0, 0, '2. Details about the restaurant you work for:'
     UNION ALL SELECT 3, 0, 0, '3. Restaurant policies:'
@@ -72,7 +72,7 @@ _PROMPT_SQL = f"""
     UNION ALL {_bullets_sql(2, 'nation', 'n_name', 'n_regionkey', 'n_nationkey')}
     UNION ALL {_bullets_sql(3, 'supplier', 's_name', 's_acctbal', 's_suppkey')}
     UNION ALL {_listing_sql('part', PART_SECTIONS, 4)}
-    UNION ALL {_listing_sql('(SELECT * FROM part WHERE p_size <= 10)', KIDS_SECTIONS, 5)}"""
+    UNION ALL {_listing_sql('part', KIDS_SECTIONS, 5)}"""
 
 
 def _prompt_lines(spark, d):
@@ -83,7 +83,7 @@ def _prompt_lines(spark, d):
         rules=st("region", "r_name", "r_regionkey", "r_regionkey"),
         details=st("nation", "n_name", "n_regionkey", "n_nationkey"),
         policies=st("supplier", "s_name", "s_acctbal", "s_suppkey"),
-        main_menu=part, kids_menu=part.where(F.col("p_size") <= 10),
+        main_menu=part, kids_menu=part,
         menu_args=MENU_ARGS, main_sections=PART_SECTIONS, kids_sections=KIDS_SECTIONS,
     )
 

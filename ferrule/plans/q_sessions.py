@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import PY_NON_WS, message_id, reply_key
 from ..operators.misc import attach_context, ordered_steps, zip_pair
+from ..operators.scan import grouped_scan
 from ..operators.replies import correlate, purge_prefix, reply_cache
 from ..operators.sessions import (  # noqa: F401
     ERROR_REPLY,
@@ -38,11 +39,13 @@ def _state(spark, d):
 
 _STATE_SQL = f"""
     a AS (SELECT event_id, user_id, ts, event_type, {EVENT_MID} AS mid FROM events),
+    o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pos FROM a),
     s AS (SELECT *, sum(CASE WHEN mid = 0 THEN 1 ELSE 0 END) OVER w AS epoch,
                  max(CASE WHEN mid = 0 THEN ts END) OVER w AS last_start_ts,
-                 max(CASE WHEN mid IS NULL THEN ts END) OVER w AS last_logout_ts
-          FROM a WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
-    st AS (SELECT *, (last_start_ts IS NOT NULL AND (last_logout_ts IS NULL OR last_start_ts > last_logout_ts)) AS started FROM s)"""
+                 max(CASE WHEN mid = 0 THEN pos END) OVER w AS last_start,
+                 max(CASE WHEN mid IS NULL THEN pos END) OVER w AS last_logout
+          FROM o WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+    st AS (SELECT *, (last_start IS NOT NULL AND (last_logout IS NULL OR last_start > last_logout)) AS started FROM s)"""
 
 
 @query("classify_action", f"""
@@ -199,7 +202,37 @@ def attach_context_q(spark, d):
 
 
 @query("ordered_steps", """
-    SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id)::INTEGER AS step FROM documents""")
+    SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS step FROM documents""")
 def ordered_steps_q(spark, d):
     """Deterministic step order per source (explicit order column)."""
     return ordered_steps(table(spark, d, "documents").select("doc_id", "source"), ["source"], ["doc_id"])
+
+
+# the same scans with null group keys, null values and several actions at one instant
+_TIES_SQL = _STATE_SQL.replace(
+    f"a AS (SELECT event_id, user_id, ts, event_type, {EVENT_MID} AS mid FROM events)",
+    f"a AS (SELECT event_id, nullif(user_id % 5, 3) AS user_id, date_trunc('day', ts) AS ts, event_type, {EVENT_MID} AS mid FROM events)")
+
+
+@query("session_epochs_ties", f"""
+    WITH {_TIES_SQL}
+    SELECT event_id, user_id, mid, epoch::BIGINT AS epoch, started, last_start_ts FROM st""")
+def session_epochs_ties(spark, d):
+    """Session state where a session key is null and many actions share an instant."""
+    a = _actions(spark, d).select(
+        "event_id", F.nullif(F.col("user_id") % 5, F.lit(3)).alias("user_id"),
+        F.date_trunc("day", "ts").cast("timestamp_ntz").alias("ts"), "event_type", "mid")
+    return session_state(a, "user_id", SEQ, "ts").select("event_id", "user_id", "mid", "epoch", "started", "last_start_ts")
+
+
+@query("running_totals_nulls", """
+    SELECT event_id, nullif(user_id % 4, 1) AS g,
+           row_number() OVER w AS n, sum(CASE WHEN event_id % 3 = 0 THEN event_id END) OVER w::BIGINT AS run,
+           max(CASE WHEN event_id % 5 = 0 THEN value END) OVER w AS top
+    FROM events WINDOW w AS (PARTITION BY nullif(user_id % 4, 1) ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
+def running_totals_nulls(spark, d):
+    """Numbers, running sums and maxima with null groups and values, a few hot groups over many ranges."""
+    e = table(spark, d, "events").select("event_id", "ts", "value", F.nullif(F.col("user_id") % 4, F.lit(1)).alias("g"))
+    s = grouped_scan(e, ["g"], SEQ, number="n", sums={"run": F.when(F.col("event_id") % 3 == 0, F.col("event_id"))},
+                     maxes={"top": F.when(F.col("event_id") % 5 == 0, F.col("value"))}, slices=64)
+    return s.select("event_id", "g", "n", "run", "top")

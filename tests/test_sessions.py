@@ -57,14 +57,32 @@ def test_grouped_scan_hot_key(spark):
     assert rows(g, ["k", "id", "rn", "run", "mx"]) == rows(ref, ["k", "id", "rn", "run", "mx"])
 
 
-def test_hot_key_spans_several_slices(spark):
-    from ferrule.operators.scan import _bounds, slice_of
-
-    df = spark.range(0, 6000).select(F.when(F.col("id") % 3 != 0, F.lit(0)).otherwise(F.col("id") % 40).alias("k"), F.col("id").alias("_o0"))
-    b = _bounds(df, ["k", "_o0"], 8)
-    s = df.withColumn("s", slice_of(df, ["k", "_o0"], b))
-    hot = s.where("k = 0").select("s").distinct().count()
-    assert hot >= 4  # the key with two thirds of the rows is cut into several slices
+def test_hot_key_spans_several_ranges(spark):
+    from ferrule.operators.scan import dealt_ranges
+
+    df = spark.range(0, 6000).select(F.when(F.col("id") % 3 != 0, F.lit(0)).otherwise(F.col("id") % 40).alias("k"), F.col("id").alias("o"))
+    hot = dealt_ranges(df, ["k"], ["o"], 8).where("k = 0").select("_slice").distinct().count()
+    assert hot >= 4  # the key with two thirds of the rows is cut into several ranges
+
+
+def test_grouped_scan_many_ranges_nulls_and_ties(spark):
+    """Over 2,000 ranges; a null group, null values, and running values that begin with nulls."""
+    df = spark.range(0, 6000).select(
+        F.when(F.col("id") % 3 == 0, F.lit(None)).otherwise(F.col("id") % 50).alias("k"), (F.col("id") % 100).alias("t"), "id",
+        F.when((F.col("id") > 2000) & (F.col("id") % 7 == 0), F.col("id")).alias("v"))
+    g = grouped_scan(df, ["k"], ["t", "id"], number="rn", sums={"run": F.col("v")}, maxes={"mx": F.col("v")}, slices=2100)
+    w = Window.partitionBy("k").orderBy("t", "id").rowsBetween(Window.unboundedPreceding, 0)
+    ref = df.select("k", "id", F.count(F.lit(1)).over(w).alias("rn"), F.sum("v").over(w).alias("run"), F.max("v").over(w).alias("mx"))
+    key = lambda r: tuple((x is not None, x) for x in r)
+    cols = ["k", "id", "rn", "run", "mx"]
+    assert sorted((tuple(r) for r in g.select(*cols).collect()), key=key) == sorted((tuple(r) for r in ref.select(*cols).collect()), key=key)
+
+
+def test_start_and_logout_at_one_instant(spark):
+    acts = spark.createDataFrame([(1, "u", at(0), 0), (2, "u", at(1), None), (3, "u", at(1), 0), (4, "u", at(1), 7), (5, None, at(0), 0), (6, None, at(0), 9)],
+                                 "event_id long, user_id string, ts timestamp, mid long")
+    st = session_state(acts, "user_id", ["ts", "event_id"], "ts")
+    assert rows(st, ["event_id", "started"]) == [(1, True), (2, False), (3, True), (4, True), (5, True), (6, True)]
 
 
 def test_correlate_hot_key_sliced_equals_brute_force(spark):
