@@ -25,7 +25,8 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES
     yield from slices(batch.slice(half), column, limit)
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str, column: str = "text") -> DataFrame:
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str, column: str = "text",
+                limit: int = SLICE_BYTES) -> DataFrame:
     """``mapInArrow`` with bounded pieces: ``fn(batch) -> {column: list or array}`` for the columns of ``schema``."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
@@ -35,7 +36,7 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str
     def run(batches):
         target = to_arrow_schema(out)
         for batch in batches:
-            for piece in slices(batch, column):
+            for piece in slices(batch, column, limit):
                 got = fn(piece)
                 arrays = [x.cast(f.type) if isinstance(x := got[f.name], pa.Array) else pa.array(x, type=f.type) for f in target]
                 yield pa.RecordBatch.from_arrays(arrays, schema=target)
@@ -43,13 +44,13 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str
     return df.mapInArrow(run, out)
 
 
-def filter_rows(df: DataFrame, keep: Callable[[pa.RecordBatch], list[bool]], text_col: str = "text") -> DataFrame:
+def filter_rows(df: DataFrame, keep: Callable[[pa.RecordBatch], list[bool]], text_col: str = "text", limit: int = SLICE_BYTES) -> DataFrame:
     """Rows for which ``keep(batch)`` is true, in one pass; ``batch`` has the text alone, the rows keep all columns."""
     at = df.columns.index(text_col)
 
     def run(batches):
         for batch in batches:
-            for piece in slices(batch, batch.schema.names[at]):
+            for piece in slices(batch, batch.schema.names[at], limit):
                 text = pa.RecordBatch.from_arrays([piece.column(at)], ["text"])
                 got = piece.filter(pa.array(keep(text), pa.bool_()))
                 if got.num_rows:

@@ -19,33 +19,61 @@ from .common import filter_rows, id_text, map_batches, texts
 
 BITS = 16  # log2 of the number of features
 ORDERS = 3
+PIECE = 1 << 20  # characters whose n-grams are sorted at once
+SLICE = 2 << 20  # bytes of text whose features are held at once
 FIT_ROWS, TUNE_ROWS = 3000, 1000  # bounds of the samples that the weights and the temperature are fitted on
 UNKNOWN = "und"
 _MULT = [np.uint32(m) for m in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)]
 
 
-def features(batch: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(row, feature, count)`` of the n-grams of each text, sorted; n-grams do not cross texts."""
-    rows, feats = [], []
-    codes = np.frombuffer("".join(t := [x.lower() for x in batch]).encode("utf-32-le"), np.uint32)
-    size = np.fromiter(map(len, t), np.int64, len(t))
-    own = np.repeat(np.arange(len(t)), size)
-    h = np.zeros(len(codes), np.uint32)
-    for k in range(ORDERS):
+def hashes(codes: np.ndarray) -> list[np.ndarray]:
+    """Of each order: the feature of the n-gram that starts at each place."""
+    out, h = [], np.zeros(len(codes), np.uint32)
+    for k in range(min(ORDERS, len(codes))):
         m = len(codes) - k
-        if m <= 0:
-            break
         h = (h[:m] ^ (codes[k:] + np.uint32(k + 1))) * _MULT[k]
         h ^= h >> np.uint32(15)
-        same = own[:m] == own[k:]
-        rows.append(own[:m][same])
-        feats.append(((h * _MULT[(k + 1) % 3]) >> np.uint32(32 - BITS))[same])
+        out.append((h * _MULT[(k + 1) % 3]) >> np.uint32(32 - BITS))
+    return out
+
+
+def long_features(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """``(feature, count)`` of one text of any length, in pieces that overlap by the longest n-gram."""
+    total = np.zeros(1 << BITS, np.int64)
+    for a in range(0, len(text), PIECE):
+        codes = np.frombuffer(text[a:a + PIECE + ORDERS - 1].encode("utf-32-le"), np.uint32)
+        for h in hashes(codes):
+            total += np.bincount(h[:PIECE], minlength=1 << BITS)
+    feats = np.flatnonzero(total)
+    return feats, total[feats]
+
+
+def features(batch: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(row, feature, count)`` of the n-grams of each text, sorted; n-grams do not cross texts."""
+    low = [x.lower() for x in batch]
+    rows, feats, counts = [], [], []
+    a = 0
+    while a < len(low):  # runs of texts of about a piece together, and longer texts alone
+        b, n = a, 0
+        while b < len(low) and (b == a or n + len(low[b]) <= PIECE) and b - a < 1 << 32 - BITS:
+            n += len(low[b])
+            b += 1
+        if n > PIECE:
+            f, c = long_features(low[a])
+            rows.append(np.full(len(f), a))
+        else:
+            codes = np.frombuffer("".join(low[a:b]).encode("utf-32-le"), np.uint32)
+            own = np.repeat(np.arange(b - a, dtype=np.uint32), [len(x) for x in low[a:b]]) << np.uint32(BITS)
+            keys = [(own[:len(h)] | h)[own[:len(h)] == own[k:]] for k, h in enumerate(hashes(codes))]
+            key, c = np.unique(np.concatenate(keys), return_counts=True) if keys else (np.zeros(0, np.uint32),) * 2
+            rows.append((key >> np.uint32(BITS)).astype(np.int64) + a)
+            f = (key & np.uint32((1 << BITS) - 1)).astype(np.int64)
+        feats.append(f)
+        counts.append(c.astype(np.int64))
+        a = b
     if not rows:
         return (np.zeros(0, np.int64),) * 3
-    small = np.uint32 if len(t) << BITS <= 1 << 32 else np.int64
-    key, count = np.unique((np.concatenate(rows).astype(small) << small(BITS)) | np.concatenate(feats).astype(small), return_counts=True)
-    key = key.astype(np.int64)
-    return key >> BITS, key & ((1 << BITS) - 1), count
+    return np.concatenate(rows), np.concatenate(feats), np.concatenate(counts)
 
 
 def document_frequency(labelled: DataFrame) -> tuple[np.ndarray, int]:
@@ -56,7 +84,7 @@ def document_frequency(labelled: DataFrame) -> tuple[np.ndarray, int]:
         seen, n = np.unique(f, return_counts=True)
         return {"f": np.append(seen, -1), "n": np.append(n, batch.num_rows)}
 
-    got = map_batches(labelled, run, "f bigint, n bigint").groupBy("f").agg(F.sum("n").alias("n")).toPandas()
+    got = map_batches(labelled, run, "f bigint, n bigint", limit=SLICE).groupBy("f").agg(F.sum("n").alias("n")).toPandas()
     df, total = np.zeros(1 << BITS), 0
     for f, n in zip(got["f"], got["n"]):
         if f < 0:
@@ -165,7 +193,7 @@ def train(labelled: DataFrame, fit_rows: int = FIT_ROWS, tune_rows: int = TUNE_R
                 "c": [c[a:b].astype(np.int32).tobytes() for a, b in cut]}
 
     got = map_batches(sample.select("doc_id", "text", "lang"), run,
-                      f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, lang string, f binary, c binary").limit(2 * (fit_rows + tune_rows)).toPandas()
+                      f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, lang string, f binary, c binary", limit=SLICE).limit(2 * (fit_rows + tune_rows)).toPandas()
     if got.empty:
         return None
     got = got.sort_values(["doc_id", "lang"], ignore_index=True)
@@ -216,7 +244,7 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
         return {"doc_id": batch.column(0), "lang_pred": lang, "score": score}
 
     rows = id_text(docs, id_col, text_col)
-    return map_batches(rows, run, f"doc_id {rows.schema[0].dataType.simpleString()}, lang_pred string, score double")
+    return map_batches(rows, run, f"doc_id {rows.schema[0].dataType.simpleString()}, lang_pred string, score double", limit=SLICE)
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -234,4 +262,4 @@ def keep_identified(docs: DataFrame, least: float, id_col: str = "doc_id", text_
     def keep(batch: pa.RecordBatch) -> list[bool]:
         return [x != UNKNOWN and v >= least for x, v in zip(*judge(texts(batch), model))]
 
-    return filter_rows(docs, keep, text_col)
+    return filter_rows(docs, keep, text_col, SLICE)
