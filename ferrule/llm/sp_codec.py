@@ -27,6 +27,7 @@ from .common import id_text, map_batches, sha, texts
 
 MARK = "▁"  # fixed value: the format's mark for a space
 CACHE_ENTRIES = 500_000  # words kept per worker
+PIECE = 1 << 20  # characters of a text whose words are held at once
 PAIR_ENTRIES = 1_000_000  # compatibility checks kept per worker
 
 
@@ -99,6 +100,7 @@ class Codec:
         self.number = Words(lambda c: ",".join(str(self.bytes_of[b]) for b in c.encode()), 2_000_000)  # of a character: its bytes
         self.number.update({p: str(i) for p, i in self.ids.items()})
         self.splitter = self.cuts()
+        self.border = re.compile(f"(?<!{MARK}){MARK}")
 
     def cuts(self) -> re.Pattern:
         """Cuts a marked text where no piece has both neighbours side by side, so that no merge can cross:
@@ -213,7 +215,15 @@ class Codec:
         if not text:
             return ""
         whole = MARK + text.replace(" ", MARK)
-        return ",".join(map(self.words.__getitem__, self.splitter.findall(whole) if self.cut else [whole]))
+        if not self.cut:
+            return self.words[whole]
+        out, pos = [], 0
+        while pos < len(whole):  # a long text goes on from a mark after another character, where no piece crosses
+            at = self.border.search(whole, pos + PIECE) if len(whole) > pos + PIECE else None
+            end = at.start() if at else len(whole)
+            out.append(",".join(map(self.words.__getitem__, self.splitter.findall(whole, pos, end))))
+            pos = end
+        return ",".join(out)
 
     def decode(self, ids: str) -> bytes:
         """UTF-8 text of decimal ids joined by commas; a broken byte becomes U+FFFD."""

@@ -116,6 +116,22 @@ def test_codec_equals_the_library():
         assert own.decode(",".join(map(str, ids))).decode() == lib.decode(ids)
 
 
+def test_long_texts_go_piece_by_piece(monkeypatch):
+    import public_tokenizers
+
+    from ferrule.llm import langid, sp_codec, token_counts
+
+    own = sp_codec.Codec(public_tokenizers.path("piece_bpe_32k.model"))
+    count = token_counts.RankCounter(public_tokenizers.path("word_bpe_49k.json"))
+    ts = odd_texts()
+    want = [own.encode(t) for t in ts], count.counts(ts), langid.features(ts)
+    monkeypatch.setattr(sp_codec, "PIECE", 7)
+    monkeypatch.setattr(token_counts, "PIECE", 7)
+    monkeypatch.setattr(langid, "PIECE", 50)
+    got = [own.encode(t) for t in ts], count.counts(ts), langid.features(ts)
+    assert got[:2] == want[:2] and all((a == b).all() for a, b in zip(got[2], want[2]))
+
+
 def test_encode_edges(spark):
     import public_tokenizers
     import sentencepiece
