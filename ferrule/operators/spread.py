@@ -27,13 +27,10 @@ def spread(df: DataFrame, parts: int | None = None, by: list[str] | None = None)
     later aggregation grouped by a superset of them needs no other shuffle
     (e.g. tokens exploded from a document, grouped by document and bucket).
     """
-    spark = df.sparkSession
-    try:
-        target = parts or spark.sparkContext.defaultParallelism
-        have = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - no RDD view (e.g. a remote session): leave as is
-        return df
-    if have >= target:
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df  # already dealt by a shuffle; counting its partitions would run it
+    target = parts or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:  # of a scan: planning only, no job
         return df
     return df.repartition(target, *by) if by else df.repartition(target)
 

@@ -7,11 +7,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.embed import hashed_terms
+from ..functions.embed import with_counts
 from ..session import scratch_path, table
 from ..sources.changes import event_op, events_as_actions
 from ..sources.vector_store import to_points
-from ..streaming.runner import read_output, read_table_stream, run_to_table, write_batch
+from ..streaming.runner import read_output, read_table_stream, run_to_table
 from ..streaming.streams import (
     correlate_stream,
     current_snapshot,
@@ -97,13 +97,10 @@ def stream_vdb_record(spark, d):
         "doc_id", "text", F.when(F.col("toxic") == 1, F.lit("d")).otherwise(F.lit("c")).alias("op")
     )
 
-    def step(b, i, out):
-        pts = to_points(b, "doc_id", "text", dim=q_vectors.DIM_TEXT)
-        nb = F.when(F.col("vector").isNotNull(), F.size("vector.idx").cast("long"))
-        write_batch(pts.select("collection_name", "id", "title", "description", "embed_text", nb.alias("n_buckets")), i, out)
-
-    out = run_to_table(s, name="stream_vdb_record", foreach_batch=step)
-    return spark.read.parquet(out).drop("batch")
+    pts = to_points(s, "doc_id", "text", dim=q_vectors.DIM_TEXT)  # embeds inside the row: a plain append query
+    nb = F.when(F.col("vector").isNotNull(), F.size("vector.idx").cast("long"))
+    out = run_append(pts.select("collection_name", "id", "title", "description", "embed_text", nb.alias("n_buckets")), name="stream_vdb_record")
+    return spark.read.parquet(out)
 
 
 @query("stream_actions_embedded", f"""
@@ -112,17 +109,10 @@ def stream_vdb_record(spark, d):
     SELECT q.conv_id::VARCHAR AS key, q.turn AS mid, n.n_buckets FROM q LEFT JOIN (SELECT id, count(*) AS n_buckets FROM t GROUP BY id) n ON n.id = q.qid""")
 def stream_actions_embedded(spark, d):
     """Actions + the vector of their query, re-keyed by session."""
-    s = read_table_stream(spark, d, "conversations").where(F.col("role") == "user").select(
-        (F.col("conv_id") * 1_000_000 + F.col("turn")).alias("qid"), "conv_id", "turn", "text"
-    )
-
-    def step(b, i, out):
-        n = hashed_terms(b, "qid", "text", q_vectors.DIM_TEXT).groupBy(F.col("id").alias("qid")).agg(F.count(F.lit(1)).alias("n_buckets"))
-        r = b.join(n, "qid", "left").select(F.col("conv_id").cast("string").alias("key"), F.col("turn").alias("mid"), "n_buckets")
-        write_batch(r.repartition("key"), i, out)
-
-    out = run_to_table(s, name="stream_actions_embedded", foreach_batch=step)
-    return spark.read.parquet(out).drop("batch")
+    s = read_table_stream(spark, d, "conversations").where(F.col("role") == "user").select("conv_id", "turn", "text")
+    n = F.when(F.size("_idx") > 0, F.size("_idx").cast("long"))
+    r = with_counts(s, "text", q_vectors.DIM_TEXT).select(F.col("conv_id").cast("string").alias("key"), F.col("turn").alias("mid"), n.alias("n_buckets"))
+    return spark.read.parquet(run_append(r, name="stream_actions_embedded"))
 
 
 _SESSION_TURNS_SQL = f"""
@@ -223,9 +213,10 @@ def stream_request_response(spark, d):
 def stream_rag_turn(spark, d):
     """Whole turn on a stream: action -> embed -> top-k -> novelty across
     micro-batches (seen snapshot) -> context rows."""
-    _, corpus = q_vectors.rag_inputs(spark, d)
+    _, corpus, texts = q_vectors.rag_inputs(spark, d)
     s = read_table_stream(spark, d, "conversations").where(F.col("role") == "user").select(
-        (F.col("conv_id") * 1_000_000 + F.col("turn")).alias("qid"), "conv_id", "turn", F.col("text").alias("query")
+        q_vectors.turn_key().alias("qid"), "conv_id", "turn", F.col("text").alias("query")
     )
-    out = run_to_table(s, name="stream_rag_turn", foreach_batch=rag_turn_step(corpus, 2, 0.3, ["conv_id"], "turn"))
+    step = rag_turn_step(corpus, 2, 0.3, ["conv_id"], "turn", q_vectors.DIM_TEXT, texts=texts, n_corpus=corpus.count())
+    out = run_to_table(s, name="stream_rag_turn", foreach_batch=step)
     return spark.read.parquet(f"{out}/ctx").select("conv_id", "turn", "context", "n_items")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.embed import hashed_terms, hashed_vectors
+from ..functions.embed import hashed_terms, with_counts, with_vector
 from ..functions.json import json_vector
 from ..functions.vector import as_double, cosine
 from ..operators.quality import vector_contract as vector_rules, with_reasons
@@ -129,7 +129,7 @@ def vector_upsert(spark, d):
     e = _emb(spark, d)
     state = e.select(F.col("vec_id").alias("id"), F.lit(0).alias("version"), as_double("embedding").alias("vector"))
     docs = table(spark, d, "documents")
-    batch = hashed_vectors(hashed_terms(docs, "doc_id", "text", DIM_EMB), DIM_EMB).select(
+    batch = with_vector(docs.select(F.col("doc_id").alias("id"), "text"), "text", DIM_EMB).where("vector is not null").select(
         "id", F.lit(1).alias("version"), "vector"
     )
     u = upsert_vectors(state, batch.select("id", "version", F.col("vector.val").alias("vector")), "id", ["version"])
@@ -159,19 +159,21 @@ def vector_contract(spark, d):
     return r.select("vec_id", F.size("embedding").cast("long").alias("dim"), F.array_join("reasons", ",").alias("reasons"))
 
 
+def _doc_counts(spark, d):
+    """Term counts and norm of every document, inside the row."""
+    c = with_counts(spread(table(spark, d, "documents").select("doc_id", "text")), "text", DIM_TEXT)
+    return c.withColumn("norm", F.sqrt(F.aggregate("_tf", F.lit(0.0), lambda a, x: a + x * x)))
+
+
 @query("embed_buckets", f"""
     WITH t AS {hashed_terms_sql('documents', 'doc_id', 'text', DIM_TEXT)}
     SELECT id AS doc_id, bucket, tf, round(tf / sqrt(sum(tf * tf) OVER (PARTITION BY id)), 6) AS weight FROM t""")
 def embed_buckets(spark, d):
     """Hashing embedder: (doc, bucket) term counts and unit weights."""
-    from pyspark.sql import Window
-
-    t = hashed_terms(table(spark, d, "documents"), "doc_id", "text", DIM_TEXT)
-    w = Window.partitionBy("id")  # at most DIM_TEXT rows per document
-    return t.select(
-        F.col("id").alias("doc_id"), "bucket", "tf",
-        F.round(F.col("tf") / F.sqrt(F.sum(F.col("tf") * F.col("tf")).over(w)), 6).alias("weight"),
-    )
+    c = _doc_counts(spark, d)
+    e = c.select("doc_id", "norm", F.explode(F.arrays_zip("_idx", "_tf")).alias("e"))
+    return e.select("doc_id", F.col("e._idx").alias("bucket"), F.col("e._tf").cast("long").alias("tf"),
+                    F.round(F.col("e._tf") / F.col("norm"), 6).alias("weight"))
 
 
 @query("embed_norm", f"""
@@ -180,11 +182,9 @@ def embed_buckets(spark, d):
     FROM t GROUP BY id""")
 def embed_norm(spark, d):
     """Per document: tokens, non-empty buckets and the vector norm."""
-    t = hashed_terms(table(spark, d, "documents"), "doc_id", "text", DIM_TEXT)
-    return t.groupBy(F.col("id").alias("doc_id")).agg(
-        F.sum("tf").cast("long").alias("n_tokens"), F.count(F.lit(1)).alias("n_buckets"),
-        F.round(F.sqrt(F.sum(F.col("tf") * F.col("tf"))), 6).alias("norm"),
-    )
+    c = _doc_counts(spark, d).where(F.size("_idx") > 0)
+    return c.select("doc_id", F.aggregate("_tf", F.lit(0.0), lambda a, x: a + x).cast("long").alias("n_tokens"),
+                    F.size("_idx").cast("long").alias("n_buckets"), F.round("norm", 6).alias("norm"))
 
 
 def _doc_changes(spark, d):
@@ -211,7 +211,7 @@ _UUID = "regexp_replace(md5({x}), '^(.{{8}})(.{{4}})(.{{4}})(.{{4}})(.{{12}})$',
 def vdb_record(spark, d):
     """Documents (toxic label = delete) -> collection points: uuid id, payload
     title/description (blank on delete), embedding of ``id: text``."""
-    pts = to_points(_doc_changes(spark, d), "doc_id", "text", dim=DIM_TEXT)
+    pts = to_points(_doc_changes(spark, d), "doc_id", "text", dim=DIM_TEXT)  # no shuffle beside the label join
     nb = F.when(F.col("vector").isNotNull(), F.size("vector.idx").cast("long"))
     return pts.select("collection_name", "id", "title", "description", "embed_text", nb.alias("n_buckets"))
 
@@ -225,24 +225,23 @@ def json_vector_q(spark, d):
     return e.select("vec_id", F.size(v).cast("long").alias("dim"), F.round(F.aggregate(v, F.lit(0.0), lambda a, x: a + x), 6).alias("vsum"))
 
 
+def turn_key(conv="conv_id", turn="turn"):
+    """Key of a turn, whatever the size of its numbers."""
+    return F.concat_ws(":", F.col(conv).cast("string"), F.col(turn).cast("string"))
+
+
 def rag_inputs(spark, d):
-    """Actions = user turns of conversations; corpus = documents as points."""
+    """Actions = user turns of conversations with their vectors; corpus = (id, title, vector) of the documents that
+    are not deleted, stored once; texts = (id, description), joined to the final hits only."""
     conv = table(spark, d, "conversations").where(F.col("role") == "user")
-    # spread by the key: hashing aggregations and the join back share one partitioning
-    actions = spread(conv.select(
-        (F.col("conv_id") * 1_000_000 + F.col("turn")).alias("qid"), "conv_id", "turn", F.col("text").alias("query")
-    ), by=["qid"])
-    qv = hashed_vectors(hashed_terms(actions, "qid", "query", DIM_TEXT), DIM_TEXT).select(
-        F.col("id").alias("qid"), "vector"
-    )
-    actions = materialize(actions.join(qv, "qid", "left"))
-    c = _doc_changes(spark, d)
-    title = F.when(F.col("op") == "d", F.lit("")).otherwise(F.col("doc_id").cast("string"))
-    corpus = spread(c.select(F.col("doc_id").alias("id"), title.alias("title"), F.col("text").alias("description"),
-                             F.concat(F.col("doc_id").cast("string"), F.lit(": "), F.col("text")).alias("embed_text")),
-                    by=["id"])
-    cv = hashed_vectors(hashed_terms(corpus, "id", "embed_text", DIM_TEXT), DIM_TEXT).select("id", "vector")
-    return actions, materialize(corpus.join(cv, "id", "left"))
+    actions = materialize(with_vector(spread(conv.select(turn_key().alias("qid"), "conv_id", "turn", F.col("text").alias("query"))), "query", DIM_TEXT))
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    gone = table(spark, d, "labels").where(F.col("toxic") == 1).select("doc_id")
+    live = docs.join(gone, "doc_id", "left_anti").select(
+        F.col("doc_id").alias("id"), F.col("doc_id").cast("string").alias("title"),
+        F.concat(F.col("doc_id").cast("string"), F.lit(": "), F.col("text")).alias("embed_text"))
+    corpus = materialize(with_vector(spread(live), "embed_text", DIM_TEXT).select("id", "title", "vector"))
+    return actions, corpus, docs.select(F.col("doc_id").alias("id"), F.col("text").alias("description"))
 
 
 @query("rag_context", f"""
@@ -265,6 +264,6 @@ def rag_inputs(spark, d):
 def rag_context_q(spark, d):
     """Flagship: user turn -> top-2 documents (>= 0.3, blank titles excluded,
     no repeats within a conversation) -> context block."""
-    actions, corpus = rag_inputs(spark, d)
-    out = rag_context(actions, corpus, k=2, min_score=0.3, session=["conv_id"], turn="turn", sparse_dim=DIM_TEXT)
+    actions, corpus, texts = rag_inputs(spark, d)
+    out = rag_context(actions, corpus, k=2, min_score=0.3, session=["conv_id"], turn="turn", sparse_dim=DIM_TEXT, texts=texts)
     return out.select("conv_id", "turn", "context", "n_items")

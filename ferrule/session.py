@@ -12,6 +12,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,22 +48,58 @@ def local_session(cpus: int | str = "*", app: str = "ferrule") -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Read from the session; set only when unset (local runs), to a fresh
-    scratch folder.  Everything the library writes (lineage cuts, stream
-    checkpoints, snapshots) goes below it.
+    Read from the session.  Only a local session without that setting gets a
+    fresh scratch folder of its own; on a cluster the setting is required,
+    since a folder of one machine is not seen by the others.  Everything the
+    library writes (lineage cuts, stream checkpoints, snapshots) goes below it.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None)
+    d = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark.sparkContext, "_ferrule_dir", None)
     if not d:
+        master = spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors and the driver share")
         d = tempfile.mkdtemp(prefix="ferrule-chk-")
-        spark.conf.set("spark.checkpoint.dir", d)
+        spark.sparkContext._ferrule_dir = d
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(d)
     return d.rstrip("/")
 
 
+def _run_folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/ferrule/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new, unique path below the shared folder."""
-    return f"{shared_dir(spark)}/ferrule/{name}/{uuid.uuid4().hex}"
+    """A new, unique path below this application's part of the shared folder."""
+    return f"{_run_folder(spark)}/{name}/{uuid.uuid4().hex}"
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a path in whatever store it names (no error if it is not there)."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def clean_scratch(spark: SparkSession) -> None:
+    """Delete everything this application wrote below the shared folder (call it when its results are stored)."""
+    remove_path(spark, _run_folder(spark))
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package to the workers once a session, so that it need not be installed there."""
+    sc = spark.sparkContext
+    if getattr(sc, "_ferrule_shipped", False):
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    out = os.path.join(tempfile.mkdtemp(prefix="ferrule-zip-"), "ferrule.zip")
+    with zipfile.ZipFile(out, "w") as z:
+        for folder, _, names in os.walk(os.path.join(root, "ferrule")):
+            for n in names:
+                if n.endswith(".py"):
+                    full = os.path.join(folder, n)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(out)
+    sc._ferrule_shipped = True
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

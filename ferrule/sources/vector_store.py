@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.embed import embed
+from ..functions.embed import with_vector
 from ..functions.text import embed_input, md5_uuid
 
 COLLECTION = "knowledge"  # default collection name (a deployment parameter)
@@ -27,19 +27,12 @@ def to_points(changes: DataFrame, key: str, text: str, collection: str = COLLECT
     """Change rows (op, key, text) -> points (collection_name, id, title,
     description, embed_text, vector).  A delete keeps its point with blank
     title/description (soft delete) and the embedding of ''."""
-    from ..operators.spread import spread
-
     d = F.col("op") == "d"
-    # hash-spread by the source key: embedding aggregations and the join back reuse it
-    p = spread(changes, by=[key]).select(
+    p = changes.select(
         F.lit(collection).alias("collection_name"),
-        F.col(key).alias("_key"),
         md5_uuid(F.col(key)).alias("id"),
         F.when(d, F.lit("")).otherwise(F.col(key).cast("string")).alias("title"),
         F.when(d, F.lit("")).otherwise(F.col(text)).alias("description"),
         F.when(d, F.lit("")).otherwise(embed_input(F.col(key), F.col(text))).alias("embed_text"),
     )
-    # deletes embed '' (a zero vector): only non-empty texts are embedded,
-    # keyed by the (compact) source key rather than the 36-char point id
-    vec = embed(p.where(F.col("embed_text") != ""), "_key", "embed_text", dim).withColumnRenamed("id", "_key")
-    return p.join(vec, "_key", "left").drop("_key")
+    return with_vector(p, "embed_text", dim)  # deletes embed '': no vector

@@ -9,20 +9,17 @@ and a bounded test.
 
 from __future__ import annotations
 
-import glob
-import os
-
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import scratch_path
 
 
 def stream_path(sf_dir: str, name: str) -> str:
-    """Streaming source path of a table: its directory, or a one-file glob
-    when the table is a single parquet file (file sources need a directory)."""
+    """Streaming source path of a table, as a pattern that matches its folder
+    or its single file alike (file sources list a folder; the store is only
+    read by Spark)."""
     p = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    if os.path.isdir(p):
-        return p
     return p[:-1] + "[" + p[-1] + "]"
 
 
@@ -60,14 +57,18 @@ def run_to_table(df: DataFrame, base: str | None = None, name: str = "stream", m
     return out
 
 
-def read_output(spark: SparkSession, out: str, schema) -> DataFrame:
-    """Read a sink folder; an empty run gives an empty frame of ``schema``."""
-    if glob.glob(f"{out}/**/*.parquet", recursive=True):
-        return spark.read.parquet(out).select(*[f.name for f in schema.fields])
-    return spark.createDataFrame([], schema)
+def read_if_there(spark: SparkSession, path: str, schema) -> DataFrame | None:
+    """A folder of Parquet files with a known schema; None if nothing was ever written there.  Any other
+    failure to read is an error."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
 
 
-def write_batch(batch: DataFrame, batch_id: int, out: str) -> None:
-    """Idempotent foreachBatch write: one folder per batch id (a replayed
-    batch overwrites its own folder, never another)."""
-    batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+def read_output(spark: SparkSession, out: str, schema) -> DataFrame:
+    """Read a sink folder; a run that wrote nothing gives an empty frame of ``schema``."""
+    df = read_if_there(spark, out, schema)
+    return spark.createDataFrame([], schema) if df is None else df.select(*[f.name for f in schema.fields])

@@ -15,8 +15,8 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..functions.time import epoch_us
 from ..operators.cdc import compact
-from ..operators.retrieve import context_block, novel_hits
-from ..session import scratch_path
+from ..operators.retrieve import CONTEXT_HEADING, context_block, novel_hits
+from ..session import remove_path, scratch_path
 from .processors import (
     CLOCK_OUT,
     CLOCK_STATE,
@@ -28,7 +28,7 @@ from .processors import (
     make_session_clock,
     session_machine,
 )
-from .runner import read_output, run_to_table, write_batch
+from .runner import read_if_there, read_output, run_to_table
 
 
 def run_append(df: DataFrame, base: str | None = None, name: str = "append") -> str:
@@ -84,42 +84,72 @@ def correlate_stream(events: DataFrame, limit_seconds: int, delay: str = "0 seco
 # snapshot state kept by foreachBatch (current state of a change stream)
 # ---------------------------------------------------------------------------
 
+BUCKETS = 32  # parts of a snapshot by key; a batch rewrites those it touches
+_COMMITS = "v bigint, b int"
 
-def _pointer(spark: SparkSession, base: str) -> int | None:
-    """Latest committed version (a one-line text table next to the snapshots)."""
-    try:
-        r = spark.read.text(f"{base}/_latest").collect()
-    except Exception:  # noqa: BLE001 - no version yet
-        return None
-    return int(r[0][0]) if r else None
 
+def _versions(spark: SparkSession, base: str) -> dict[int, list[int]]:
+    """Bucket -> its newest complete versions, two at most (so at most one row a bucket).  A version counts once
+    its row is in the commit log, which is appended to only after the version's files are written; a log that
+    cannot be read is an error, not an empty state."""
+    log = read_if_there(spark, f"{base}/commits", _COMMITS)
+    if log is None:
+        return {}
+    newest = log.groupBy("b").agg(F.slice(F.sort_array(F.collect_set("v"), asc=False), 1, 2).alias("v"))
+    return {r.b: r.v for r in newest.collect()}
 
-def _commit(spark: SparkSession, base: str, version: int) -> None:
-    spark.createDataFrame([(str(version),)], "value string").coalesce(1).write.mode("overwrite").text(f"{base}/_latest")
 
+def _last_batch(spark: SparkSession, base: str) -> int | None:
+    log = read_if_there(spark, f"{base}/commits", _COMMITS)
+    return None if log is None else log.agg(F.max("v")).first()[0]
 
-def merge_snapshot(key: str, seq: list[str]):
-    """foreachBatch step: fold the batch into the last snapshot (last write
-    per key, tombstones kept) and write version ``batch_id``; a replayed
-    batch that is already committed is skipped."""
+
+def _commit(spark: SparkSession, base: str, version: int, buckets: list[int]) -> None:
+    spark.createDataFrame([(version, b) for b in buckets], _COMMITS).coalesce(1).write.mode("append").parquet(f"{base}/commits")
+
+
+def _parts(spark: SparkSession, base: str, versions: dict[int, int]) -> DataFrame | None:
+    """The given versions of the given buckets (read by folder: nothing else is listed)."""
+    paths = [f"{base}/data/v={v}/b={b}" for b, v in sorted(versions.items())]
+    return spark.read.parquet(*paths) if paths else None
+
+
+def fold_snapshot(batch: DataFrame, batch_id: int, base: str, key: list[str], fold, buckets: int = BUCKETS) -> None:
+    """Fold a batch into the snapshot below ``base``: the buckets it touches are read, folded by
+    ``fold(rows)`` and written as version ``batch_id``, then committed.  A batch that is already committed is
+    skipped; one that was written but not committed is written again.  Versions that no bucket needs any more
+    are removed, keeping the one before (for readers that started earlier)."""
+    spark = batch.sparkSession
+    last = _last_batch(spark, base)
+    if last is not None and last >= batch_id:
+        return
+    keyed = batch.withColumn("_b", F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int"))
+    touched = sorted(r[0] for r in keyed.select("_b").distinct().collect())
+    if not touched:
+        return
+    versions = _versions(spark, base)
+    old = _parts(spark, base, {b: versions[b][0] for b in touched if b in versions})
+    rows = batch if old is None else old.unionByName(batch)
+    new = fold(rows).withColumn("b", F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int"))
+    new.write.mode("overwrite").partitionBy("b").parquet(f"{base}/data/v={batch_id}")
+    _commit(spark, base, batch_id, touched)
+    for b in touched:
+        for older in versions.get(b, [])[1:]:
+            remove_path(spark, f"{base}/data/v={older}/b={b}")
+
+
+def merge_snapshot(key: str, seq: list[str], buckets: int = BUCKETS):
+    """foreachBatch step: last write per key into a bucketed snapshot, tombstones kept."""
 
     def step(batch: DataFrame, batch_id: int, base: str) -> None:
-        spark = batch.sparkSession
-        last = _pointer(spark, base)
-        if last is not None and last >= batch_id:
-            return
-        merged = batch
-        if last is not None:
-            merged = spark.read.parquet(f"{base}/v={last}").unionByName(batch)
-        compact(merged, key, seq).write.mode("overwrite").parquet(f"{base}/v={batch_id}")
-        _commit(spark, base, batch_id)
+        fold_snapshot(batch, batch_id, base, [key], lambda rows: compact(rows, key, seq), buckets)
 
     return step
 
 
-def current_snapshot(spark: SparkSession, base: str) -> DataFrame:
-    v = _pointer(spark, base)
-    return spark.read.parquet(f"{base}/v={v}")
+def current_snapshot(spark: SparkSession, base: str) -> DataFrame | None:
+    """The committed state; None before the first commit."""
+    return _parts(spark, base, {b: v[0] for b, v in _versions(spark, base).items()})
 
 
 def drain(stream: DataFrame, base: str) -> DataFrame:
@@ -132,28 +162,25 @@ def drain(stream: DataFrame, base: str) -> DataFrame:
     return read_output(spark, f"{out}/run={run_id}", stream.schema)
 
 
-def rag_turn_step(corpus: DataFrame, k: int, min_score: float, session: list[str], turn: str):
+def rag_turn_step(corpus: DataFrame, k: int, min_score: float, session: list[str], turn: str, dim: int = 384,
+                  supplied: str | None = None, heading: str = CONTEXT_HEADING, texts: DataFrame | None = None,
+                  n_corpus: int | None = None):
     """foreachBatch step of the retrieval turn: embed + top-k against the
     static corpus, drop titles given in earlier batches (seen snapshot),
     write the context rows and the new seen snapshot."""
-    from ..functions.embed import hashed_terms, hashed_vectors
+    from ..functions.embed import with_vector
 
     def step(batch: DataFrame, batch_id: int, out: str) -> None:
         spark = batch.sparkSession
         seen_base = f"{out}/_seen"
-        last = _pointer(spark, seen_base)
+        last = _last_batch(spark, seen_base)
         if last is not None and last >= batch_id:
             return
-        qv = hashed_vectors(hashed_terms(batch, "qid", "query", 384), 384).select(F.col("id").alias("qid"), "vector")
-        actions = batch.join(qv, "qid", "left")
-        seen = spark.read.parquet(f"{seen_base}/v={last}") if last is not None else None
-        novel = novel_hits(actions, corpus, k, min_score, session, turn, seen=seen, sparse_dim=384).persist()
-        context_block(actions, novel, session, turn).write.mode("overwrite").parquet(f"{out}/ctx/batch={batch_id}")
-        new_seen = novel.select(*session, "title")
-        if seen is not None:
-            new_seen = seen.unionByName(new_seen)
-        new_seen.distinct().write.mode("overwrite").parquet(f"{seen_base}/v={batch_id}")
-        _commit(spark, seen_base, batch_id)
+        actions = with_vector(batch, "query", dim)
+        seen = current_snapshot(spark, seen_base)
+        novel = novel_hits(actions, corpus, k, min_score, session, turn, seen=seen, sparse_dim=dim, n_corpus=n_corpus).persist()
+        context_block(actions, novel, session, turn, supplied, heading, texts if texts is not None else corpus).write.mode("overwrite").parquet(f"{out}/ctx/batch={batch_id}")
+        fold_snapshot(novel.select(*session, "title"), batch_id, seen_base, [*session, "title"], lambda rows: rows.distinct())
         novel.unpersist()
 
     return step

@@ -93,3 +93,53 @@ def test_session_clock_stream_equals_batch(spark):
     want = E.queries()["session_timeout"](spark, SF_SMALL)
     cols = ["event_id", "user_id", "status", "session_age_s"]
     assert rows(got, cols) == rows(want, cols)
+
+
+def test_a_crash_between_write_and_commit_loses_nothing(spark, monkeypatch):
+    from ferrule.streaming import streams
+
+    base = tempfile.mkdtemp(prefix="ferrule-crash-")
+    step = merge_snapshot("k", ["t"], buckets=4)
+    batch = lambda *rows: spark.createDataFrame(rows, "k long, t long, v string")
+    step(batch((1, 1, "a"), (2, 1, "b")), 0, base)
+    real = streams._commit
+    monkeypatch.setattr(streams, "_commit", lambda *a: (_ for _ in ()).throw(RuntimeError("killed")))
+    try:
+        step(batch((1, 2, "c"), (3, 1, "d")), 1, base)
+    except RuntimeError:
+        pass
+    assert rows(current_snapshot(spark, base), ["k", "v"]) == [(1, "a"), (2, "b")]
+    monkeypatch.setattr(streams, "_commit", real)
+    step(batch((1, 2, "c"), (3, 1, "d")), 1, base)
+    step(batch((9, 9, "late")), 1, base)  # already committed: skipped
+    for i in range(2, 6):
+        step(batch((1, i + 1, f"v{i}")), i, base)
+    assert rows(current_snapshot(spark, base), ["k", "v"]) == [(1, "v5"), (2, "b"), (3, "d")]
+    assert len(glob.glob(f"{base}/data/v=*/b=*")) <= 3 + 3  # older versions are removed
+
+
+def test_an_unreadable_commit_log_is_an_error(spark):
+    import pytest
+
+    base = tempfile.mkdtemp(prefix="ferrule-log-")
+    step = merge_snapshot("k", ["t"], buckets=2)
+    step(spark.createDataFrame([(1, 1)], "k long, t long"), 0, base)
+    for f in glob.glob(f"{base}/commits/*.parquet"):
+        with open(f, "wb") as out:
+            out.write(b"broken")
+    with pytest.raises(Exception):
+        step(spark.createDataFrame([(2, 1)], "k long, t long"), 1, base)
+
+
+def test_streams_in_a_uri_folder(spark, monkeypatch):
+    import ferrule.session
+
+    q = E.queries()
+    folder = "file:" + tempfile.mkdtemp(prefix="ferrule-uri-")
+    monkeypatch.setattr(ferrule.session, "shared_dir", lambda s: folder)
+    n = spark.read.parquet(f"{SF_SMALL}/events.parquet").count()
+    assert q["drain_once"](spark, SF_SMALL).count() == n
+    bad = q["stream_quarantine"](spark, SF_SMALL).count()
+    assert bad == q["quarantine"](spark, SF_SMALL).count() > 0
+    assert rows(q["stream_current_state"](spark, SF_SMALL), ["user_id", "event_id"]) == rows(q["cdc_current_state"](spark, SF_SMALL), ["user_id", "event_id"])
+    assert glob.glob(folder.removeprefix("file:") + "/ferrule/*/*")
