@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .text import _c
@@ -27,7 +27,8 @@ def json_annotate(x, fields: list[tuple[str, str]], status_code) -> Column:
             *[parsed[n].alias(n) for n, _ in fields],
             code.alias("status_code"),
             (code != F.lit(200)).alias("error"),
-        )
+        ),
+        {"ignoreNullFields": "false"},
     )
 
 
@@ -40,6 +41,3 @@ def payload_kind(x) -> Column:
         .otherwise(F.lit("text"))
     )
 
-
-def route_payload(df: DataFrame, col: str) -> DataFrame:
-    return df.withColumn("kind", payload_kind(col))

@@ -111,11 +111,14 @@ def orphan_deletes(changes: DataFrame, key: str, seq: list[str]) -> DataFrame:
     )
 
 
-def change_audit(changes: DataFrame, source: str, key: str, payload: list[str]) -> DataFrame:
-    """Audit line per change: ``Deleted <source> for <key>`` or
-    ``Loaded <source> for <key>: <payload json>``."""
+def change_audit(changes: DataFrame, source: str, key: str, payload: list[str] | str) -> DataFrame:
+    """Audit line per change: ``Deleted <source> for <key>``; for a keyed item
+    table (a list of payload columns) ``Upserted <source> for <key>: <json>``,
+    for a text table (one column name) ``Loaded <source> for <key>: <text>``."""
     k = F.col(key).cast("string")
-    line = F.when(F.col("op") == "d", F.concat(F.lit(f"Deleted {source} for "), k)).otherwise(
-        F.concat(F.lit(f"Loaded {source} for "), k, F.lit(": "), F.to_json(F.struct(*payload)))
-    )
+    if isinstance(payload, str):
+        told = F.concat(F.lit(f"Loaded {source} for "), k, F.lit(": "), F.coalesce(F.col(payload).cast("string"), F.lit("None")))
+    else:
+        told = F.concat(F.lit(f"Upserted {source} for "), k, F.lit(": "), F.to_json(F.struct(*payload), {"ignoreNullFields": "false"}))
+    line = F.when(F.col("op") == "d", F.concat(F.lit(f"Deleted {source} for "), k)).otherwise(told)
     return changes.withColumn("audit", line)

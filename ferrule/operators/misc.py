@@ -30,9 +30,10 @@ def known_users(df: DataFrame, users: DataFrame, key: str, user_key: str | None
 
 def zip_pair(a: DataFrame, b: DataFrame, key: str, a_list: str, b_list: str) -> DataFrame:
     """Positional pairing of two lists per key; stops at the shorter."""
-    ea = a.select(key, F.posexplode(a_list).alias("pos", "a"))
-    eb = b.select(key, F.posexplode(b_list).alias("pos", "b"))
-    return ea.join(eb, [key, "pos"])
+    both = a.select(key, a_list).join(b.select(key, b_list), key)  # the lists meet by key, then are cut to the shorter
+    n = F.least(F.size(a_list), F.size(b_list))
+    pairs = F.arrays_zip(F.slice(a_list, 1, n).alias("a"), F.slice(b_list, 1, n).alias("b"))
+    return both.select(key, F.posexplode(pairs).alias("pos", "_p")).select(key, "pos", F.col("_p.a").alias("a"), F.col("_p.b").alias("b"))
 
 
 def attach_context(sessions: DataFrame, context: DataFrame, name: str = "context") -> DataFrame:

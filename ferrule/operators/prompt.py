@@ -3,6 +3,8 @@ in bounded chunks."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +25,11 @@ KIDS_MENU_SECTIONS = ["starters", "mains", "drinks", "desserts"]
 NEW_CUSTOMER = "\nWe have a new customer. Their name is {name}, {dob} and is allergic to {allergies}"
 NO_ALLERGIES = "nothing"
 
+# -- fixed values: mark-up of the original data page ----------------------------
+LISTING_CATEGORY = "<h4 class='text-warning mt-3'>%s</h4>"
+LISTING_KEY = "<h5 class='text-info mt-1'>&emsp;%s</h5>"
+LISTING_FIELD = "&emsp;&emsp;%s:&nbsp;<span class='text-muted'>%s</span><br>"
+
 LINE_SCHEMA = "part_no int, section_no int, item_no bigint, text string"
 
 
@@ -38,11 +45,6 @@ def attribute_list(exclude: list[str], columns: list[str]) -> Column:
     )
 
 
-def section_table(spark: SparkSession, sections: list[str]) -> DataFrame:
-    """Ordinal table of a parameter list (size bounded by the parameter)."""
-    return spark.createDataFrame([(i + 1, s) for i, s in enumerate(sections)], "section_no int, section string")
-
-
 def sectioned_listings(
     menus: list[tuple[DataFrame, list[str], int]],
     section_col: str,
@@ -174,14 +176,9 @@ def customer_phrase(name, dob_text, allergies, as_of) -> Column:
         F.concat(F.lit("is "), age.cast("string"), F.lit(" years old")),
         F.concat(F.lit("was born in "), F.col(dob_text) if isinstance(dob_text, str) else dob_text),
     )
-    return F.concat(
-        F.lit("\nWe have a new customer. Their name is "),
-        F.col(name) if isinstance(name, str) else name,
-        F.lit(", "),
-        dob_s,
-        F.lit(" and is allergic to "),
-        default_if_empty(allergies, NO_ALLERGIES),
-    )
+    given = {"name": F.col(name) if isinstance(name, str) else name, "dob": dob_s, "allergies": default_if_empty(allergies, NO_ALLERGIES)}
+    parts = [p for p in re.split(r"\{(\w+)\}", NEW_CUSTOMER)]
+    return F.concat(*[given[p] if i % 2 else F.lit(p) for i, p in enumerate(parts)])
 
 
 def public_view(df: DataFrame, columns: list[str], secret: list[str], missing: str = "N/A") -> DataFrame:
@@ -190,18 +187,23 @@ def public_view(df: DataFrame, columns: list[str], secret: list[str], missing: s
 
 
 def flatten_listing(df: DataFrame, category: str, key: str, fields: list[str]) -> DataFrame:
-    """Nested document (category -> key -> field -> value) as indented
-    listing rows: (category, key, depth, field, line)."""
+    """Nested document (category -> key -> field -> value) as listing rows
+    (category, key, depth, field, line): a heading per category (depth 0) and
+    per key (depth 1), and an indented line per field (depth 2)."""
     stack = F.explode(
         F.array(*[F.struct(F.lit(f).alias("field"), py_str(f).alias("value")) for f in fields])
     )
     rows = df.select(F.col(category).cast("string").alias("category"), F.col(key).cast("string").alias("key"), stack.alias("_f"))
-    return rows.select(
+    none = F.lit(None).cast("string")
+    leaves = rows.select(
         "category",
         "key",
         F.lit(2).alias("depth"),
         F.col("_f.field").alias("field"),
-        F.concat(
-            F.lit("&emsp;&emsp;"), F.col("_f.field"), F.lit(":&nbsp;<span class='text-muted'>"), F.col("_f.value"), F.lit("</span><br>")
-        ).alias("line"),
+        F.format_string(LISTING_FIELD, F.col("_f.field"), F.col("_f.value")).alias("line"),
     )
+    keys = df.select(F.col(category).cast("string").alias("category"), F.col(key).cast("string").alias("key")).distinct()
+    under = keys.select("category", "key", F.lit(1).alias("depth"), none.alias("field"), F.format_string(LISTING_KEY, F.col("key")).alias("line"))
+    top = keys.select("category").distinct().select(
+        "category", none.alias("key"), F.lit(0).alias("depth"), none.alias("field"), F.format_string(LISTING_CATEGORY, F.col("category")).alias("line"))
+    return top.unionByName(under).unionByName(leaves)

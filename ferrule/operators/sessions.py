@@ -100,6 +100,9 @@ def history_chunks(turns: DataFrame, session: str, turn: str, role: str, text: s
     )
 
 
-def seen_titles(hits: DataFrame, session: list[str], title: str) -> DataFrame:
-    """Sorted distinct titles per session (epoch)."""
-    return hits.groupBy(*session).agg(F.array_join(F.array_sort(F.collect_set(title)), ",").alias("titles"))
+def seen_titles(hits: DataFrame, session: list[str], title: str, chunk: int = 200) -> DataFrame:
+    """Sorted distinct titles per session (epoch), in numbered pieces of ``chunk`` titles, so that a session
+    with any number of titles is never one row."""
+    own = grouped_scan(hits.select(*session, title).distinct(), session, [title], number="_n")
+    piece = F.floor((F.col("_n") - 1) / chunk).cast("long").alias("chunk")
+    return own.groupBy(*session, piece).agg(F.array_join(F.array_sort(F.collect_list(title)), ",").alias("titles"))

@@ -16,11 +16,12 @@ from ..operators.cdc import (
     unwrap_changes,
 )
 from ..operators.misc import categorise
+from ..operators.scan import grouped_scan
 from ..operators.quality import duplicate_keys, quarantine
-from ..session import table
+from ..session import scratch_path, table
 from ..sources.changes import event_op, events_as_changes, read_many, since
 from ..sources.seed import insert_new
-from ..sources.sinks import delivery_report, keyed_order, log_filter, to_json_records
+from ..sources.sinks import delivery_report, keyed_order, log_filter, to_json_records, write_reported
 from .registry import query
 from .sqlparts import EVENT_OP
 
@@ -117,11 +118,27 @@ def orphan_deletes_q(spark, d):
 
 @query("change_audit", f"""
     SELECT event_id, CASE WHEN op = 'd' THEN 'Deleted events for ' || user_id::VARCHAR
-           ELSE 'Loaded events for ' || user_id::VARCHAR || ': ' || json_object('value', value, 'props', props)::VARCHAR END AS audit
-    FROM {_CH}""")
+           ELSE 'Upserted events for ' || user_id::VARCHAR || ': ' || json_object('value', value, 'props', p)::VARCHAR END AS audit
+    FROM (SELECT *, CASE WHEN event_id % 4 <> 0 THEN props END AS p FROM {_CH})""")
 def change_audit_q(spark, d):
-    """Audit line per change."""
-    return change_audit(_changes(spark, d), "events", "user_id", ["value", "props"]).select("event_id", "audit")
+    """Audit line per change of a keyed item table (a null field stays in the payload)."""
+    c = _changes(spark, d).withColumn("props", F.when(F.col("event_id") % 4 != 0, F.col("props")))
+    return change_audit(c, "events", "user_id", ["value", "props"]).select("event_id", "audit")
+
+
+@query("change_audit_text", f"""
+    SELECT event_id, CASE WHEN op = 'd' THEN 'Deleted policies for ' || user_id::VARCHAR
+           ELSE 'Loaded policies for ' || user_id::VARCHAR || ': ' || coalesce(props, 'None') END AS audit FROM {_CH}""")
+def change_audit_text(spark, d):
+    """Audit line per change of a text table: the description alone."""
+    return change_audit(_changes(spark, d), "policies", "user_id", "props").select("event_id", "audit")
+
+
+@query("write_report", "SELECT 'events' AS name, 'ok' AS status, count(*) AS rows, min(event_id) AS min_key, max(event_id) AS max_key, NULL::VARCHAR AS message FROM events")
+def write_report(spark, d):
+    """What a write reports about itself: rows and key range observed while writing."""
+    r = write_reported(_ev(spark, d), scratch_path(spark, "write_report"), "events", "event_id")
+    return spark.createDataFrame([tuple(r.values())], "name string, status string, rows bigint, min_key bigint, max_key bigint, message string")
 
 
 @query("write_metrics", f"""
@@ -131,10 +148,11 @@ def write_metrics(spark, d):
     return delivery_report(_changes(spark, d), "op", "user_id")
 
 
-@query("rekey_stream", "SELECT user_id, event_id, ts FROM events")
+@query("rekey_stream", "SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pos FROM events")
 def rekey_stream(spark, d):
     """Keyed sink layout: rows of a key in one partition, in log order."""
-    return keyed_order(_ev(spark, d).select("user_id", "event_id", "ts"), "user_id", SEQ)
+    laid = keyed_order(_ev(spark, d).select("user_id", "event_id", "ts"), "user_id", SEQ)
+    return grouped_scan(laid, ["user_id"], SEQ, number="pos")
 
 
 @query("start_latest", "SELECT event_id, ts FROM events WHERE ts > TIMESTAMP '2024-01-15 00:00:00'")
@@ -159,11 +177,12 @@ def route_payload_q(spark, d):
 
 
 @query("json_record", """
-    SELECT json_object('c_custkey', c_custkey, 'c_name', c_name, 'c_nationkey', c_nationkey,
+    SELECT json_object('c_custkey', c_custkey, 'c_name', c_name, 'c_nationkey', nullif(c_nationkey, 3),
                        'c_acctbal', c_acctbal, 'c_mktsegment', c_mktsegment)::VARCHAR AS value FROM customer""")
 def json_record(spark, d):
     """Schemaless JSON record per row."""
-    return to_json_records(table(spark, d, "customer"))
+    c = table(spark, d, "customer")
+    return to_json_records(c.withColumn("c_nationkey", F.nullif("c_nationkey", F.lit(3))))
 
 
 _LEVEL_SQL = "CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'signup' THEN 'INFO' WHEN 'purchase' THEN 'WARNING' ELSE 'DEBUG' END"

@@ -85,12 +85,14 @@ def session_timeout_q(spark, d):
 
 @query("seen_titles", f"""
     WITH {_STATE_SQL}
-    SELECT user_id, epoch::BIGINT AS epoch, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS titles
-    FROM st WHERE mid IS NOT NULL AND mid <> 0 GROUP BY ALL""")
+    SELECT user_id, epoch, chunk, string_agg(event_type, ',' ORDER BY event_type) AS titles
+    FROM (SELECT *, (row_number() OVER (PARTITION BY user_id, epoch ORDER BY event_type) - 1) // 2 AS chunk
+          FROM (SELECT DISTINCT user_id, epoch::BIGINT AS epoch, event_type FROM st WHERE mid IS NOT NULL AND mid <> 0))
+    GROUP BY ALL""")
 def seen_titles_q(spark, d):
     """Distinct titles given per session epoch."""
     s = _state(spark, d).where(F.col("mid").isNotNull() & (F.col("mid") != 0))
-    return seen_titles(s, ["user_id", "epoch"], "event_type")
+    return seen_titles(s, ["user_id", "epoch"], "event_type", chunk=2)
 
 
 @query("token_usage", f"""
@@ -156,21 +158,26 @@ def turn_pairs(spark, d):
 @query("prefix_purge", f"""
     WITH c AS (SELECT user_id::VARCHAR || ':' || coalesce(({EVENT_MID})::VARCHAR, 'None') AS reply_key FROM events
                WHERE event_type NOT IN ('signup', 'error'))
-    SELECT reply_key FROM c WHERE split_part(reply_key, ':', 1) NOT IN (SELECT user_id::VARCHAR FROM events WHERE event_type = 'error')""")
+    SELECT reply_key FROM c WHERE split_part(reply_key, ':', 1) NOT IN (SELECT user_id::VARCHAR FROM events WHERE event_type = 'error' AND user_id % 2 = 0)""")
 def prefix_purge(spark, d):
     """Cached replies of sessions that logged out are purged by key prefix."""
     a = _actions(spark, d)
     cache = a.where(~F.col("event_type").isin("signup", "error")).select(reply_key("user_id", "mid").alias("reply_key"))
-    gone = a.where(F.col("event_type") == "error").select("user_id")
+    gone = a.where((F.col("event_type") == "error") & (F.col("user_id") % 2 == 0)).select("user_id")
     return purge_prefix(cache, gone, "reply_key", "user_id")
 
 
+def known_profiles(spark, d):
+    """Profiles of six customers in seven, so that lookups find and miss."""
+    return table(spark, d, "customer").where(F.col("c_custkey") % 7 != 0).select("c_custkey", "c_name")
+
+
 @query("profile_lookup", """
-    SELECT o.o_orderkey, c.c_name, c.c_custkey IS NULL AS error FROM orders o LEFT JOIN customer c ON c.c_custkey = o.o_custkey""")
+    SELECT o.o_orderkey, c.c_name, c.c_custkey IS NULL AS error FROM orders o LEFT JOIN customer c ON c.c_custkey = o.o_custkey AND c.c_custkey % 7 <> 0""")
 def profile_lookup(spark, d):
     """Action -> profile lookup; a missing profile is an error row, not a dropped one."""
     o = table(spark, d, "orders").select("o_orderkey", "o_custkey")
-    c = table(spark, d, "customer").select("c_custkey", "c_name")
+    c = known_profiles(spark, d)
     j = o.join(c, o.o_custkey == c.c_custkey, "left")
     return j.select("o_orderkey", "c_name", F.col("c_custkey").isNull().alias("error"))
 

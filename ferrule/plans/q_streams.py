@@ -11,7 +11,7 @@ from ..functions.embed import with_counts
 from ..session import scratch_path, table
 from ..sources.changes import event_op, events_as_actions
 from ..sources.vector_store import to_points
-from ..streaming.runner import read_output, read_table_stream, run_to_table
+from ..streaming.runner import read_output, read_staged, read_table_stream, run_to_table, staged
 from ..streaming.streams import (
     correlate_stream,
     current_snapshot,
@@ -29,6 +29,12 @@ from .registry import ORACLE, query
 SEQ = ["ts", "event_id"]
 
 
+def _batches(spark, d, name, order):
+    """A stream over a table in three micro-batches by ``order``."""
+    t = table(spark, d, name)
+    return read_staged(spark, staged(spark, t, order), t.schema)
+
+
 def _actions_stream(s):
     return s.where(F.col("role") == "user").select(
         F.col("conv_id").cast("string").alias("key"),
@@ -56,7 +62,7 @@ def stream_profile_lookup(spark, d):
     is kept with ``error`` set (never dropped).  The static side is left to
     the planner (broadcast only when AQE sees it is small)."""
     s = read_table_stream(spark, d, "orders").select("o_orderkey", "o_custkey")
-    c = table(spark, d, "customer").select("c_custkey", "c_name")
+    c = q_sessions.known_profiles(spark, d)
     j = s.join(c, s.o_custkey == c.c_custkey, "left").select(
         "o_orderkey", "c_name", F.col("c_custkey").isNull().alias("error")
     )
@@ -72,21 +78,28 @@ def stream_inferred(spark, d):
 
 @query("resume_exactly_once", "SELECT event_id, user_id, event_type FROM events")
 def resume_exactly_once(spark, d):
-    """Run, stop, restart on the same checkpoint: every row exactly once."""
+    """Run, stop, new files, restart on the same checkpoint: every row exactly once."""
     base = scratch_path(spark, "resume")
-    for _ in range(2):
-        s = read_table_stream(spark, d, "events").select("event_id", "user_id", "event_type")
-        run_to_table(s, base=base)
+    e = table(spark, d, "events").select("event_id", "user_id", "event_type")
+    for part in range(2):
+        e.where(F.col("event_id") % 2 == part).write.mode("append").parquet(f"{base}/in")
+        run_to_table(spark.readStream.schema(e.schema).parquet(f"{base}/in"), base=base)
     return spark.read.parquet(f"{base}/out")
 
 
-@query("drain_once", "SELECT event_id, ts FROM events")
+@query("drain_once", "SELECT event_id, ts, (event_id % 2)::INTEGER AS call FROM events")
 def drain_once(spark, d):
-    """Two drains on one checkpoint: the first hands out every row, the second none."""
+    """Drains on one checkpoint: each call hands out what came since the last one, and a call without new rows
+    hands out none."""
     base = scratch_path(spark, "drain")
-    first = drain(read_table_stream(spark, d, "events").select("event_id", "ts"), base)
-    second = drain(read_table_stream(spark, d, "events").select("event_id", "ts"), base)
-    return first.unionByName(second)
+    e = table(spark, d, "events").select("event_id", "ts")
+    out = None
+    for call in range(3):
+        if call < 2:
+            e.where(F.col("event_id") % 2 == call).write.mode("append").parquet(f"{base}/in")
+        got = drain(spark.readStream.schema(e.schema).parquet(f"{base}/in"), base).withColumn("call", F.lit(call))
+        out = got if out is None else out.unionByName(got)
+    return out
 
 
 @query("stream_vdb_record", ORACLE["vdb_record"])
@@ -133,7 +146,7 @@ _SESSION_TURNS_SQL = f"""
 def session_turns_q(spark, d):
     """Session state machine as a stateful stream (start / message / logout,
     title novelty per epoch, error replies for orphan messages)."""
-    s = events_as_actions(read_table_stream(spark, d, "events")).select(
+    s = events_as_actions(_batches(spark, d, "events", "ts")).select(
         "user_id", "event_id", "ts", "mid", F.col("event_type").alias("title")
     )
     out = run_append(session_turns(s), name="session_turns")
@@ -143,7 +156,7 @@ def session_turns_q(spark, d):
 @query("stream_session_timeout", ORACLE["session_timeout"])
 def stream_session_timeout(spark, d):
     """Login lasts one hour, on a stream: per-session clock in state."""
-    s = events_as_actions(read_table_stream(spark, d, "events")).select("user_id", "event_id", "ts", "mid")
+    s = events_as_actions(_batches(spark, d, "events", "ts")).select("user_id", "event_id", "ts", "mid")
     out = run_append(session_clock(s, 3600), name="stream_session_timeout")
     return spark.read.parquet(out)
 
@@ -152,7 +165,7 @@ def stream_session_timeout(spark, d):
 def stream_quarantine(spark, d):
     """Poison rows on a stream: the change log's row contract splits every
     micro-batch into a good sink and a quarantine sink (reason per row)."""
-    out = run_to_table(read_table_stream(spark, d, "events"), name="stream_quarantine",
+    out = run_to_table(_batches(spark, d, "events", "event_id"), name="stream_quarantine",
                        foreach_batch=split_stream(q_changes.event_rules(), ["event_id"]))
     return read_output(spark, f"{out}/bad", T.StructType([T.StructField("event_id", T.LongType()), T.StructField("reason", T.StringType())]))
 
@@ -161,7 +174,7 @@ def stream_quarantine(spark, d):
 def stream_current_state(spark, d):
     """Live current state of a change stream: each micro-batch is merged into
     a versioned snapshot (foreachBatch), read back at the end."""
-    s = read_table_stream(spark, d, "events").select(
+    s = _batches(spark, d, "events", "event_id").select(
         "user_id", event_op().alias("op"), "value", "props", "ts", "event_id"
     )
     base = scratch_path(spark, "stream_current_state")
@@ -178,7 +191,7 @@ def stream_request_response(spark, d):
     one day after the last event, on a key of its own) is written there and
     the same query restarts on its checkpoint, so the watermark passes every
     deadline only after all data has been seen."""
-    ev = read_table_stream(spark, d, "events").where(F.col("event_type").isin("click", "purchase")).select(
+    ev = _batches(spark, d, "events", "ts").where(F.col("event_type").isin("click", "purchase")).select(
         "user_id", F.col("event_id").alias("id"), "ts", F.when(F.col("event_type") == "purchase", 1).otherwise(0).alias("kind")
     )
     base = scratch_path(spark, "stream_request_response")
@@ -194,7 +207,7 @@ def stream_request_response(spark, d):
     last.select(F.lit(-1).cast("long").alias("user_id"), F.lit(-1).cast("long").alias("id"),
                 (F.col("ts") + F.expr("INTERVAL 1 DAY")).alias("ts"), F.lit(1).alias("kind")).write.mode("append").parquet(sent_dir)
     out = run()
-    r = spark.read.parquet(out).where(F.col("user_id") >= 0)
+    r = spark.read.parquet(out)  # the sentinel is a response: it gives no row
     ev_b = table(spark, d, "events").select("event_id", "ts")
     res = ev_b.select(F.col("event_id").alias("resp_event_id"), F.col("ts").alias("resp_ts"))
     ok = F.col("status") == "matched"
@@ -214,7 +227,7 @@ def stream_rag_turn(spark, d):
     """Whole turn on a stream: action -> embed -> top-k -> novelty across
     micro-batches (seen snapshot) -> context rows."""
     _, corpus, texts = q_vectors.rag_inputs(spark, d)
-    s = read_table_stream(spark, d, "conversations").where(F.col("role") == "user").select(
+    s = _batches(spark, d, "conversations", "turn").where(F.col("role") == "user").select(
         q_vectors.turn_key().alias("qid"), "conv_id", "turn", F.col("text").alias("query")
     )
     step = rag_turn_step(corpus, 2, 0.3, ["conv_id"], "turn", q_vectors.DIM_TEXT, texts=texts, n_corpus=corpus.count())

@@ -20,7 +20,6 @@ from .sqlparts import PY_NON_WS, PY_WS, strip_sql, title_sql
 AS_OF = "2025-06-30"  # the "today" of age computations (a parameter, never current_date)
 SALT = "pepper-2025"
 _UUID = "regexp_replace(md5({x}), '^(.{{8}})(.{{4}})(.{{4}})(.{{4}})(.{{12}})$', '\\1-\\2-\\3-\\4-\\5')"
-_LOG_SQL = None  # filled from q_changes rendering below
 
 
 @query("md5_uuid", f"SELECT doc_id, {_UUID.format(x='doc_id::VARCHAR')} AS uuid FROM documents")
@@ -69,16 +68,18 @@ def message_id(spark, d):
 
 @query("customer_phrase", f"""
     SELECT o.o_orderkey, chr(10) || 'We have a new customer. Their name is ' || c.c_name || ', ' ||
-           coalesce('is ' || datesub('year', try_strptime(strftime(o.o_orderdate, '%Y/%m/%d'), '%Y/%m/%d')::DATE, DATE '{AS_OF}')::VARCHAR || ' years old',
-                    'was born in ' || strftime(o.o_orderdate, '%Y/%m/%d')) ||
-           ' and is allergic to ' || coalesce(nullif(c.c_mktsegment, ''), 'nothing') AS phrase
-    FROM orders o JOIN customer c ON c.c_custkey = o.o_custkey""")
+           coalesce('is ' || datesub('year', try_strptime(dob, '%Y/%m/%d')::DATE, DATE '{AS_OF}')::VARCHAR || ' years old', 'was born in ' || dob) ||
+           ' and is allergic to ' || coalesce(nullif(CASE WHEN o.o_orderkey % 3 = 0 THEN '' ELSE c.c_mktsegment END, ''), 'nothing') AS phrase
+    FROM (SELECT *, CASE WHEN o_orderkey % 5 = 0 THEN 'spring of ' || year(o_orderdate)::VARCHAR ELSE strftime(o_orderdate, '%Y/%m/%d') END AS dob FROM orders) o
+    JOIN customer c ON c.c_custkey = o.o_custkey""")
 def customer_phrase_q(spark, d):
     """New-customer sentence (age, or the raw date when it does not parse)."""
-    o = table(spark, d, "orders").select("o_orderkey", "o_custkey", F.date_format("o_orderdate", "yyyy/MM/dd").alias("dob"))
+    dob = F.when(F.col("o_orderkey") % 5 == 0, F.concat(F.lit("spring of "), F.year("o_orderdate").cast("string"))).otherwise(
+        F.date_format("o_orderdate", "yyyy/MM/dd"))
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey", dob.alias("dob"))
     c = table(spark, d, "customer")
-    j = o.join(c, o.o_custkey == c.c_custkey)
-    return j.select("o_orderkey", customer_phrase("c_name", "dob", "c_mktsegment", F.lit(AS_OF).cast("date")).alias("phrase"))
+    j = o.join(c, o.o_custkey == c.c_custkey).withColumn("allergies", F.when(F.col("o_orderkey") % 3 == 0, "").otherwise(F.col("c_mktsegment")))
+    return j.select("o_orderkey", customer_phrase("c_name", "dob", "allergies", F.lit(AS_OF).cast("date")).alias("phrase"))
 
 
 @query("clean_reply", f"""
@@ -103,24 +104,35 @@ VARS = {"HOST": "db.internal", "PORT": "5432", "HOST_RO": "ro.db.internal"}
 _NAME = "[\\p{L}\\p{N}_-]"
 
 
+# documents with placeholders written into them, known and unknown ones
+_VAR_SQL = "replace(replace(replace(text, ' the ', ' $ENV.HOST '), ' of ', ' $ENV.HOST_RO/$ENV.NONE$'), ' and ', ' $ENV. ')"
+
+
+def _var_text():
+    t = F.col("text")
+    for a, b in ((" the ", " $ENV.HOST "), (" of ", " $ENV.HOST_RO/$ENV.NONE$"), (" and ", " $ENV. ")):
+        t = F.replace(t, F.lit(a), F.lit(b))
+    return t
+
+
 @query("substitute_vars", f"""
     SELECT doc_id, array_to_string(list_transform(
-             regexp_extract_all(text, '(\\$ENV\\.{_NAME}*|[^$]+|\\$)', 1),
+             regexp_extract_all({_VAR_SQL}, '(\\$ENV\\.{_NAME}*|[^$]+|\\$)', 1),
              lambda p: CASE WHEN starts_with(p, '$ENV.') THEN
                  CASE substr(p, 6) WHEN 'HOST' THEN 'db.internal' WHEN 'PORT' THEN '5432'
                                    WHEN 'HOST_RO' THEN 'ro.db.internal' ELSE '' END
                ELSE p END), '') AS text_out FROM documents""")
 def substitute_vars(spark, d):
     """``$ENV.NAME`` placeholders -> values in one pass, unknown -> ''."""
-    return spread(table(spark, d, "documents")).select("doc_id", X.substitute_vars("text", VARS).alias("text_out"))
+    return spread(table(spark, d, "documents")).select("doc_id", X.substitute_vars(_var_text(), VARS).alias("text_out"))
 
 
-@query("placeholders", """
+@query("placeholders", f"""
     SELECT doc_id, placeholder FROM (
-      SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '\\$ENV\\.([\\p{L}\\p{N}_-]*)', 1))) AS placeholder FROM documents)""")
+      SELECT doc_id, unnest(list_distinct(regexp_extract_all({_VAR_SQL}, '\\$ENV\\.({_NAME}*)', 1))) AS placeholder FROM documents)""")
 def placeholders(spark, d):
     """Distinct ``$ENV.NAME`` placeholders per text."""
-    t = spread(table(spark, d, "documents")).select("doc_id", F.explode_outer(X.placeholders("text")).alias("placeholder"))
+    t = spread(table(spark, d, "documents")).select("doc_id", F.explode_outer(X.placeholders(_var_text())).alias("placeholder"))
     return t.where(F.col("placeholder").isNotNull())
 
 
@@ -155,12 +167,18 @@ def log_markup_q(spark, d):
     return log_lines(spark, d).select("event_id", log_markup(F.col("line")).alias("html"))
 
 
-@query("strip_fences", """
-    SELECT conv_id, turn, replace(replace(replace(replace(replace(text, '`` `', '```'), '`` ` ', '```'), '```html', ''), '```json', ''), '```', '') AS text_out
+_FENCE_SQL = "CASE turn % 4 WHEN 0 THEN '```html' || text || '```' WHEN 1 THEN '`` `json' || text || '`` ` ' WHEN 2 THEN '```json' || text ELSE text END"
+
+
+@query("strip_fences", f"""
+    SELECT conv_id, turn, replace(replace(replace(replace(replace({_FENCE_SQL}, '`` `', '```'), '`` ` ', '```'), '```html', ''), '```json', ''), '```', '') AS text_out
     FROM conversations""")
 def strip_fences(spark, d):
     """Markdown fence stripping (five ordered replacements)."""
-    return table(spark, d, "conversations").select("conv_id", "turn", H.strip_fences("text").alias("text_out"))
+    n, t = F.col("turn") % 4, F.col("text")
+    fenced = (F.when(n == 0, F.concat(F.lit("```html"), t, F.lit("```"))).when(n == 1, F.concat(F.lit("`` `json"), t, F.lit("`` ` ")))
+              .when(n == 2, F.concat(F.lit("```json"), t)).otherwise(t))
+    return table(spark, d, "conversations").select("conv_id", "turn", H.strip_fences(fenced).alias("text_out"))
 
 
 @query("html_headings", """
@@ -181,10 +199,13 @@ _P_CLASSES = "text-body small"
 
 
 @query("html_set_class", f"""
-    SELECT page_id, {_set_class_sql(_set_class_sql('html', 'nav', _NAV_CLASSES), 'p', _P_CLASSES)} AS html_out FROM pages""")
+    SELECT page_id, {_set_class_sql(_set_class_sql('h', 'nav', _NAV_CLASSES), 'p', _P_CLASSES)} AS html_out
+    FROM (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN replace(replace(html, '<p>', '<p id=a class="x y">'), '<nav>', '<nav class=old>') ELSE html END AS h FROM pages)""")
 def html_set_class(spark, d):
     """Set the class of every nav and p element (replacing an existing one)."""
-    h = H.html_set_class(H.html_set_class(F.col("html"), "nav", _NAV_CLASSES), "p", _P_CLASSES)
+    classed = F.replace(F.replace(F.col("html"), F.lit("<p>"), F.lit('<p id=a class="x y">')), F.lit("<nav>"), F.lit("<nav class=old>"))
+    own = F.when(F.col("page_id") % 2 == 0, classed).otherwise(F.col("html"))
+    h = H.html_set_class(H.html_set_class(own, "nav", _NAV_CLASSES), "p", _P_CLASSES)
     return spread(table(spark, d, "pages")).select("page_id", h.alias("html_out"))
 
 
@@ -208,7 +229,10 @@ def attribute_list_q(spark, d):
 
 
 @query("flatten_listing", """
-    SELECT s_nationkey::VARCHAR AS category, s_name AS key, 2 AS depth, field,
+    SELECT DISTINCT s_nationkey::VARCHAR AS category, NULL AS key, 0 AS depth, NULL AS field,
+           '<h4 class=''text-warning mt-3''>' || s_nationkey::VARCHAR || '</h4>' AS line FROM supplier
+    UNION ALL SELECT s_nationkey::VARCHAR, s_name, 1, NULL, '<h5 class=''text-info mt-1''>&emsp;' || s_name || '</h5>' FROM supplier
+    UNION ALL SELECT s_nationkey::VARCHAR AS category, s_name AS key, 2 AS depth, field,
            '&emsp;&emsp;' || field || ':&nbsp;<span class=''text-muted''>' || value || '</span><br>' AS line
     FROM (SELECT s_nationkey, s_name, 's_suppkey' AS field, coalesce(s_suppkey::VARCHAR, 'None') AS value FROM supplier
           UNION ALL SELECT s_nationkey, s_name, 's_acctbal', coalesce(s_acctbal::VARCHAR, 'None') FROM supplier)""")
@@ -291,11 +315,11 @@ def token_report(spark, d):
     return c.select("conv_id", "turn", sentinel(tok, -1, "N/A").alias("tokens"))
 
 
-@query("known_user_gate", "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer)")
+@query("known_user_gate", "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_custkey % 7 <> 0)")
 def known_user_gate(spark, d):
     """Only actions of known users pass (semi join)."""
     o = table(spark, d, "orders").select("o_orderkey", "o_custkey")
-    return known_users(o, table(spark, d, "customer"), "o_custkey", "c_custkey")
+    return known_users(o, table(spark, d, "customer").where(F.col("c_custkey") % 7 != 0), "o_custkey", "c_custkey")
 
 
 @query("actions_enriched", f"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.embed import hashed_terms, with_counts, with_vector
+from ..functions.embed import model_results, with_counts, with_vector
 from ..functions.json import json_vector
 from ..functions.vector import as_double, cosine
 from ..operators.quality import vector_contract as vector_rules, with_reasons
@@ -151,10 +151,13 @@ def vector_delete(spark, d):
            concat_ws(',', CASE WHEN embedding IS NULL THEN 'null_vector' END,
                           CASE WHEN embedding IS NULL OR len(embedding) <> {DIM_EMB} THEN 'wrong_dimension' END,
                           CASE WHEN embedding IS NULL OR len(list_filter(embedding, lambda x: x IS NULL)) > 0 THEN 'null_element' END) AS reasons
-    FROM embeddings""")
+    FROM (SELECT vec_id, CASE WHEN vec_id % 11 = 0 THEN NULL WHEN vec_id % 13 = 0 THEN embedding[1:10]
+                              WHEN vec_id % 17 = 0 THEN list_append(embedding[1:{DIM_EMB - 1}], NULL) ELSE embedding END AS embedding FROM embeddings)""")
 def vector_contract(spark, d):
     """Declared dimension and no null elements; reasons per row ('' = valid)."""
-    e = _emb(spark, d)
+    v, i = F.col("embedding"), F.col("vec_id")
+    broken = (F.when(i % 13 == 0, F.slice(v, 1, 10)).when(i % 17 == 0, F.array_append(F.slice(v, 1, DIM_EMB - 1), F.lit(None))).otherwise(v))
+    e = _emb(spark, d).withColumn("embedding", F.when(i % 11 != 0, broken))
     r = with_reasons(e, vector_rules(F.col("embedding"), DIM_EMB))
     return r.select("vec_id", F.size("embedding").cast("long").alias("dim"), F.array_join("reasons", ",").alias("reasons"))
 
@@ -187,6 +190,29 @@ def embed_norm(spark, d):
                     F.size("_idx").cast("long").alias("n_buckets"), F.round("norm", 6).alias("norm"))
 
 
+def toy_model():
+    """A stand-in for a trained model: two numbers per text; it refuses some texts."""
+
+    def encode(texts):
+        if any(len(t) % 10 == 3 for t in texts):
+            raise ValueError("cannot embed")
+        return [[float(len(t)), float(t.count(" "))] for t in texts]
+
+    return encode
+
+
+@query("embed_results", """
+    SELECT doc_id, CASE WHEN length(text) % 10 <> 3 THEN length(text)::DOUBLE END AS v0,
+           CASE WHEN length(text) % 10 <> 3 THEN (length(text) - length(replace(text, ' ', '')))::DOUBLE END AS v1,
+           CASE WHEN length(text) % 10 = 3 THEN 500 ELSE 200 END AS status_code, length(text) % 10 = 3 AS error,
+           CASE WHEN length(text) % 10 = 3 THEN 'ValueError: cannot embed' END AS message FROM documents""")
+def embed_results(spark, d):
+    """A model embedder that fails on some texts: null vector, status, error flag and reason for those rows only."""
+    docs = spread(table(spark, d, "documents").select("doc_id", "text"))
+    r = docs.select("doc_id", model_results(toy_model)(F.col("text")).alias("r"))
+    return r.select("doc_id", F.get("r.vector", F.lit(0)).alias("v0"), F.get("r.vector", F.lit(1)).alias("v1"), "r.status_code", "r.error", "r.message")
+
+
 def _doc_changes(spark, d):
     docs = table(spark, d, "documents")
     lab = table(spark, d, "labels").select("doc_id", "toxic")

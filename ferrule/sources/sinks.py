@@ -11,16 +11,14 @@ from ..functions.logs import level_rank
 
 def to_json_records(df: DataFrame, col: str = "value") -> DataFrame:
     """One schemaless JSON text per row."""
-    return df.select(F.to_json(F.struct(*df.columns)).alias(col))
-
-
-def write_json(df: DataFrame, path: str) -> None:
-    to_json_records(df).write.mode("overwrite").text(path)
+    return df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias(col))
 
 
 def keyed_order(df: DataFrame, key: str, order: list[str], parts: int | None = None) -> DataFrame:
-    """Rows of one key in one partition, in order (keyed sink layout)."""
-    d = df.repartition(parts, key) if parts else df.repartition(key)
+    """Keyed sink layout: partitions are ranges of (key, order), sorted, so the
+    rows of a key follow each other in order, over several partitions when the
+    key is large."""
+    d = df.repartitionByRange(parts, key, *order) if parts else df.repartitionByRange(key, *order)
     return d.sortWithinPartitions(key, *order)
 
 
@@ -43,8 +41,12 @@ def delivery_report(df: DataFrame, group: str, key: str) -> DataFrame:
     )
 
 
-def write_snapshot(df: DataFrame, base: str, version: int) -> str:
-    """Write ``base/v=<version>`` (never overwrite what readers use)."""
-    path = f"{base}/v={version}"
-    df.write.mode("overwrite").parquet(path)
-    return path
+def write_reported(df: DataFrame, path: str, name: str, key: str) -> dict:
+    """Write ``df`` and report what was written: rows and key range seen by the write itself; a failed write is
+    reported with its reason instead of raised."""
+    observed, obs = with_metrics(df, name, key)
+    try:
+        observed.write.mode("overwrite").parquet(path)
+    except Exception as e:  # noqa: BLE001 - told in the report
+        return {"name": name, "status": "failed", "rows": None, "min_key": None, "max_key": None, "message": str(e).splitlines()[0][:500]}
+    return {"name": name, "status": "ok", **obs.get, "message": None}

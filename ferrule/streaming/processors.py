@@ -99,12 +99,16 @@ CORRELATE_STATE = "pending string"
 
 
 def make_correlator(limit_us: int):
-    """As-of correlation per key without pairs: pending requests wait in
-    state; each request takes the first response at or after it (same
-    instant counts) if it is within the limit; a request whose limit a later
-    event (or the watermark) has passed times out.  Vectorised: carried and
-    new rows are sorted together and a reverse running minimum of response
-    positions gives every request its next response."""
+    """As-of correlation per key without pairs: each request takes the first
+    response at or after it (same instant counts) if it is within the limit.
+
+    Only the watermark decides: a request is matched once the watermark has
+    passed its response (no earlier one can come any more) and times out once
+    it has passed its limit.  Until then requests and responses wait in state,
+    so the order in which they arrive within the watermark's delay makes no
+    difference.  The state holds the rows of the last ``limit`` + delay.
+    Vectorised: carried and new rows are sorted together and a reverse running
+    minimum of response positions gives every request its next response."""
     cols = ["user_id", "event_id", "ts_us", "resp_event_id", "resp_us", "status"]
 
     def emit(user, req_id, req_t, resp_id, resp_t, status):
@@ -119,45 +123,38 @@ def make_correlator(limit_us: int):
         }, columns=cols)
 
     def run(key, pdfs, state: GroupState):
-        pending = json.loads(state.get[0]) if state.exists else []
-        if state.hasTimedOut:
-            state.remove()
-            yield emit(key[0], [p[1] for p in pending], [p[0] for p in pending], [None] * len(pending),
-                       [None] * len(pending), "timeout")
-            return
-        new = pd.concat(list(pdfs))[["t", "kind", "id"]]
-        old = pd.DataFrame({"t": [p[0] for p in pending], "kind": 0, "id": [p[1] for p in pending]})
-        df = pd.concat([old, new]) if len(old) else new
-        df = df.sort_values(["t", "kind", "id"]).reset_index(drop=True)
+        held = json.loads(state.get[0]) if state.exists else []
+        parts = [pd.DataFrame(held, columns=["t", "kind", "id"], dtype="int64")]
+        if not state.hasTimedOut:
+            parts += [p[["t", "kind", "id"]] for p in pdfs]
+        df = pd.concat(parts).sort_values(["t", "kind", "id"]).reset_index(drop=True)
         t = df["t"].to_numpy(dtype=np.int64)
         kind = df["kind"].to_numpy()
         ids = df["id"].to_numpy(dtype=np.int64)
         n = len(df)
+        # a request comes before a response of its instant, so the next response may be at the same instant
         pos = np.where(kind == 1, np.arange(n), n)
-        nxt = np.minimum.accumulate(pos[::-1])[::-1]  # next response at or after, in sort order
+        nxt = np.minimum.accumulate(pos[::-1])[::-1]
         req = kind == 0
-        has = nxt < n
-        nt = t[np.minimum(nxt, n - 1)]
-        matched = req & has & (nt - t <= limit_us)
-        timed_out = req & ~matched & (t.max() - t > limit_us)  # a later event passed the limit
-        keep = req & ~matched & ~timed_out
-        # requests whose deadline the watermark already passed time out now
-        wm = state.getCurrentWatermarkMs()
-        if wm is not None and wm > 0:
-            late = keep & (t // 1000 + limit_us // 1000 + 1 <= wm)
-            timed_out |= late
-            keep &= ~late
-        out = [
+        nt = t[np.minimum(nxt, n - 1)] if n else t
+        found = req & (nxt < n) & (nt - t <= limit_us)
+        passed = (state.getCurrentWatermarkMs() or 0) * 1000  # rows at or after this instant can still come
+        matched = found & (nt < passed)
+        timed_out = req & ~found & (t + limit_us < passed)
+        wait = req & ~matched & ~timed_out
+        yield pd.concat([
             emit(key[0], ids[matched], t[matched], ids[nxt[matched]], nt[matched], "matched"),
-            emit(key[0], ids[timed_out], t[timed_out], [None] * int(timed_out.sum()), [None] * int(timed_out.sum()),
-                 "timeout"),
-        ]
-        if keep.any():
-            state.update((json.dumps([[int(a), int(b)] for a, b in zip(t[keep], ids[keep])]),))
-            state.setTimeoutTimestamp(int(t[keep].min() // 1000 + limit_us // 1000 + 1))
-        else:
+            emit(key[0], ids[timed_out], t[timed_out], [None] * int(timed_out.sum()), [None] * int(timed_out.sum()), "timeout"),
+        ], ignore_index=True)
+        first = min(int(t[wait].min()) if wait.any() else passed, passed)  # responses before it serve no request
+        keep = wait | ((kind == 1) & (t >= first))
+        if not keep.any():
             state.remove()
-        yield pd.concat(out, ignore_index=True)
+            return
+        state.update((json.dumps([[int(a), int(b), int(c)] for a, b, c in zip(t[keep], kind[keep], ids[keep])]),))
+        due = np.where(found, nt, t + limit_us)[wait]
+        due = int(due.min()) if len(due) else int(t[keep].max())
+        state.setTimeoutTimestamp(max(due // 1000 + 1, (state.getCurrentWatermarkMs() or 0) + 1))
 
     return run
 

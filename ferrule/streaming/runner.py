@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import scratch_path
 
@@ -72,3 +73,20 @@ def read_output(spark: SparkSession, out: str, schema) -> DataFrame:
     """Read a sink folder; a run that wrote nothing gives an empty frame of ``schema``."""
     df = read_if_there(spark, out, schema)
     return spark.createDataFrame([], schema) if df is None else df.select(*[f.name for f in schema.fields])
+
+
+def staged(spark: SparkSession, df: DataFrame, order: str, parts: int = 3, name: str = "staged") -> str:
+    """Write a table as ``parts`` files one after another, cut by the values of ``order``: a source folder that
+    a stream with ``maxFilesPerTrigger=1`` reads in that many micro-batches.  (The cut points are two numbers.)"""
+    path = scratch_path(spark, name)
+    n = F.col(order) if df.schema[order].dataType.typeName() in ("long", "integer") else F.unix_micros(F.col(order).cast("timestamp"))
+    lo, hi = df.agg(F.min(n), F.max(n)).first()
+    step = (hi - lo) // parts + 1 if lo is not None else 1
+    part = F.floor((n - F.lit(lo)) / F.lit(step)) if lo is not None else F.lit(0)
+    for i in range(parts):
+        df.where(F.coalesce(part, F.lit(0)) == i).coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
+def read_staged(spark: SparkSession, path: str, schema) -> DataFrame:
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)

@@ -157,6 +157,7 @@ def drain(stream: DataFrame, base: str) -> DataFrame:
     ``base`` (its checkpoint), each exactly once."""
     spark = stream.sparkSession
     run_id = scratch_path(spark, "drain").rsplit("/", 1)[-1]
+    spark.createDataFrame([], stream.schema).write.parquet(f"{base}/out/run={run_id}/batch=-1")  # a call may hand out nothing
     out = run_to_table(stream, base=base, name="drain",
                        foreach_batch=lambda b, i, o: b.write.mode("overwrite").parquet(f"{o}/run={run_id}/batch={i}"))
     return read_output(spark, f"{out}/run={run_id}", stream.schema)
