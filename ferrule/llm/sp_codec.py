@@ -26,9 +26,10 @@ from pyspark.sql import DataFrame
 from .common import id_text, map_batches, sha, texts
 
 MARK = "▁"  # fixed value: the format's mark for a space
-CACHE_ENTRIES = 500_000  # words kept per worker
+CACHE_ENTRIES = 200_000  # words kept per worker
+SLICE_IDS = 2 << 20  # bytes of text whose id lists are held at once
 PIECE = 1 << 20  # characters of a text whose words are held at once
-PAIR_ENTRIES = 1_000_000  # compatibility checks kept per worker
+PAIR_ENTRIES = 300_000  # compatibility checks kept per worker
 
 
 def _one_byte(err):
@@ -264,14 +265,14 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
         c = codec(model_path)
         joined = [c.encode(t) for t in texts(batch)]
         n = [s.count(",") + 1 if s else 0 for s in joined]
-        ids = np.array(",".join(filter(None, joined)).split(",") if any(n) else [], np.int32)
+        ids = np.concatenate([np.fromstring(s, np.int32, sep=",") for s in joined])
         back = [c.decode(s) for s in joined]
         return {"doc_id": batch.column(0), "n_tokens": n, "ids": pa.ListArray.from_arrays(np.cumsum([0, *n]).astype(np.int32), ids),
                 "decoded": [b.decode() for b in back], "ids_sha256": [sha(s.encode()) for s in joined], "decoded_sha256": [sha(b) for b in back]}
 
     rows = id_text(docs, id_col, text_col)
     return map_batches(rows, run, f"doc_id {rows.schema[0].dataType.simpleString()}, n_tokens bigint, ids array<int>, "
-                                  "decoded string, ids_sha256 string, decoded_sha256 string")
+                                  "decoded string, ids_sha256 string, decoded_sha256 string", limit=SLICE_IDS)
 
 
 def encode_digests(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
