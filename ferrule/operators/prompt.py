@@ -78,9 +78,8 @@ def sectioned_listings(
     for df, _, o in menus:
         d = df.withColumn("part_no", F.lit(o))
         items = d if items is None else items.unionByName(d)
-    joined = items.join(sec, (items["part_no"] == sec["part_no"]) & (items[section_col] == sec["section"]), "inner").drop(
-        sec["part_no"]
-    )
+    known = sec.select(F.col("part_no").alias("_part"), "section_no", F.col("section").alias("_section"))
+    joined = items.join(known, (F.col("part_no") == F.col("_part")) & (items[section_col] == F.col("_section"))).drop("_part", "_section")
     numbered = grouped_scan(joined, ["part_no", "section_no"], order, number="item_no")
     lines = numbered.select(
         "part_no",
