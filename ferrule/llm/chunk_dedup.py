@@ -115,6 +115,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = verified_recipes(docs, id_col, text_col)
     groups = rows.groupBy("recipe").agg(F.count(F.lit(1)).alias("group_size"),
                                         F.min(F.struct(-F.col("n_chars"), F.col("doc_id").alias("id"))).alias("best"))
-    return rows.join(groups.select("recipe", "group_size", F.col("best.id").alias("keep_id")), "recipe").select(
+    # stored, so that both sides of the join are plain shuffles, of which Spark splits a hot list's partition
+    groups = materialize(groups.select("recipe", "group_size", F.col("best.id").alias("keep_id")), "groups")
+    return rows.join(groups, "recipe").select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256",
         F.floor(F.length("recipe") / 16).alias("n_chunks"))

@@ -62,6 +62,8 @@ def records(pages: DataFrame, least: int = 0, id_col: str = "page_id", url_col:
     # groups of more than one row, summed inside the tasks before their digests are shuffled
     groups = rows.where(F.col("n") >= least).groupBy("key").agg(F.max(F.struct("id", "url")).alias("r"), F.count(F.lit(1)).alias("many"))
     groups = groups.where("many > 1").select(F.col("key").alias("gkey"), F.col("r.id").alias("rid"), F.col("r.url").alias("rurl"), F.lit(True).alias("grouped"))
+    # stored, so that both sides of the join are plain shuffles, of which Spark splits a hot payload's partition
+    groups = materialize(groups, "equal")
     told = rows.join(groups, (F.col("key") == F.col("gkey")) & (F.col("n") >= least), "left")
     revisit = F.coalesce(F.col("grouped"), F.lit(False)) & ~F.col("id").eqNullSafe(F.col("rid"))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("n").cast("string"), F.lit(END))
