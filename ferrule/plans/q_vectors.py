@@ -214,7 +214,7 @@ def embed_results(spark, d):
 
 
 def _doc_changes(spark, d):
-    docs = table(spark, d, "documents")
+    docs = spread(table(spark, d, "documents").select("doc_id", "text"))  # before the join: the scan may be one task
     lab = table(spark, d, "labels").select("doc_id", "toxic")
     op = F.when(F.col("toxic") == 1, F.lit("d")).otherwise(F.lit("c"))
     return docs.join(lab, "doc_id", "left").select("doc_id", "text", op.alias("op"))
@@ -263,10 +263,10 @@ def rag_inputs(spark, d):
     actions = materialize(with_vector(spread(conv.select(turn_key().alias("qid"), "conv_id", "turn", F.col("text").alias("query"))), "query", DIM_TEXT))
     docs = table(spark, d, "documents").select("doc_id", "text")
     gone = table(spark, d, "labels").where(F.col("toxic") == 1).select("doc_id")
-    live = docs.join(gone, "doc_id", "left_anti").select(
+    live = spread(docs).join(gone, "doc_id", "left_anti").select(
         F.col("doc_id").alias("id"), F.col("doc_id").cast("string").alias("title"),
         F.concat(F.col("doc_id").cast("string"), F.lit(": "), F.col("text")).alias("embed_text"))
-    corpus = materialize(with_vector(spread(live), "embed_text", DIM_TEXT).select("id", "title", "vector"))
+    corpus = materialize(with_vector(live, "embed_text", DIM_TEXT).select("id", "title", "vector"))
     return actions, corpus, docs.select(F.col("doc_id").alias("id"), F.col("text").alias("description"))
 
 
