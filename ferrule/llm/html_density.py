@@ -7,8 +7,10 @@ comments) leave the tree first.  Each node's density is its characters per
 tag, adjusted by link characters and link tags against the body's share of
 link text; a node's sum adds the densities of its children.  From the node of
 the largest sum the way up to the body gives the threshold (the least density
-on that path); the subtree of the largest sum among nodes that reach it is the
-content.  If an ``article`` or ``main`` element encloses it, that is taken.
+on that path).  From the body down, in every node that reaches it the subtree
+of the largest sum is content, and so is text that stands between such parts.
+A part in an ``article`` or ``main`` element stands for the outermost of them;
+if the part of the largest sum is in one, text outside of them is no content.
 """
 
 from __future__ import annotations
@@ -139,9 +141,9 @@ class Tree:
             yield a
             a = self.parent[a]
 
-    def best(self) -> int:
-        """The node whose subtree is the content."""
-        n = len(self.tag)
+    def content(self) -> list[bool]:
+        """Of each node, whether the text that stands in it is content."""
+        n, tag, parent = len(self.tag), self.tag, self.parent
         chars, tags, link_chars, link_tags = [0] * n, [0] * n, [0] * n, [0] * n
         own = [0] * n
         for i in range(n - 1, -1, -1):  # children come after their parents
@@ -149,16 +151,17 @@ class Tree:
                 continue
             own[i] = sum(len("".join(x.split())) for x in self.parts[i] if type(x) is str)
             chars[i] += own[i]
-            if self.tag[i] == "a":
+            if tag[i] == "a":
                 link_chars[i], link_tags[i] = chars[i], tags[i]
             if i:
-                p = self.parent[i]
+                p = parent[i]
                 chars[p] += chars[i]
                 tags[p] += tags[i] + 1
                 link_chars[p] += link_chars[i]
-                link_tags[p] += link_tags[i] + (self.tag[i] == "a")
+                link_tags[p] += link_tags[i] + (tag[i] == "a")
         share = (link_chars[0] + 1) / (chars[0] + 1)
         density, total = [0.0] * n, [0.0] * n
+        best = list(range(n))  # of each subtree, the node of the largest sum (of equal ones the last)
         for i in range(n - 1, -1, -1):
             if not chars[i] or self.out[i]:
                 continue
@@ -166,24 +169,40 @@ class Tree:
             base = math.log(c / max(1, c - lc) * lc + share * c + math.e)
             density[i] = c / t * max(0.0, math.log(c / max(1, lc) * t / max(1, lt))) / max(math.log(base), 1e-9)
             total[i] += own[i]  # text that stands in the node itself counts as one child
+            if total[i] > total[best[i]]:
+                best[i] = i
             if i:
-                total[self.parent[i]] += density[i]
-        top = max(range(n), key=lambda i: (total[i], i))
-        least, k = density[top], top
+                p = parent[i]
+                total[p] += density[i]
+                if best[p] == p or total[best[i]] > total[best[p]]:
+                    best[p] = best[i]
+        least, k = density[best[0]], best[0]
         while k > 0:
-            k = self.parent[k]
+            k = parent[k]
             least = min(least, density[k])
-        top = max((i for i in range(n) if density[i] >= least), key=lambda i: (total[i], i), default=0)
-        k = top
-        while k > 0:
-            if self.tag[k] in ("article", "main"):
-                top = k
-            k = self.parent[k]
-        return top
-
-    def text(self, root: int) -> str:
-        """Blocks of a subtree, white space made single, joined by an empty line."""
-        blocks, now, todo = [], [], [(root, iter(self.parts[root]))]
+        inside, loose, reached = [False] * n, [False] * n, [False] * n
+        outer = [-1] * n  # the outermost article or main element around a node
+        for i in range(n):
+            p = parent[i]
+            if i:
+                inside[i] = inside[i] or inside[p]
+                outer[i] = i if outer[p] < 0 and tag[i] in ("article", "main") else outer[p]
+            if inside[i] or i and not reached[p] or not chars[i] or self.out[i] or density[i] < least:
+                continue
+            reached[i] = inside[best[i]] = True
+            # text between the parts, with the inline elements in it, unless it only stands between links
+            inline = [x for x in self.parts[i] if type(x) is int and (tag[x] in INLINE or tag[x] == "br")]
+            if own[i] > sum(link_chars[x] for x in inline):
+                loose[i] = True
+                for x in inline:
+                    inside[x] = True
+        named = {outer[i] for i in range(n) if inside[i] and chars[i]}
+        only = outer[best[0]] >= 0
+        return [outer[i] in named if outer[i] >= 0 else not only and (inside[i] or loose[i]) for i in range(n)]
+
+    def text(self, content: list[bool]) -> str:
+        """Blocks of the content, white space made single, joined by an empty line."""
+        blocks, now, todo = [], [], [(0, iter(self.parts[0]))]
 
         def end():
             line = " ".join(html.unescape(s).split()) if "&" in (s := "".join(now)) else " ".join(s.split())
@@ -195,7 +214,8 @@ class Tree:
             i, it = todo[-1]
             for x in it:
                 if type(x) is str:
-                    now.append(x)
+                    if content[i]:
+                        now.append(x)
                 elif not self.out[x]:
                     if self.tag[x] not in INLINE and self.tag[x] not in VOID or self.tag[x] == "hr":
                         end()
@@ -213,7 +233,7 @@ def main_text(page: str) -> str:
     if not page:
         return ""
     tree = Tree(page)
-    return tree.text(tree.best())
+    return tree.text(tree.content())
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

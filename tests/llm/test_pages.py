@@ -86,6 +86,33 @@ def test_main_text():
                      '<div class="copyright"><a href=a>x</a></div></div>') == "H\n\nSome long text of the page itself.\n\nAnd a second paragraph of it."
 
 
+def part(name, n):
+    return "".join(f"<p>{name}{i} {'word ' * 60}</p>" for i in range(n))
+
+
+def lines(name, n):
+    return [f"{name}{i}" + " word" * 60 for i in range(n)]
+
+
+def test_sibling_parts_are_all_content():
+    links = "<ul>" + "".join(f"<li><a href=/{i}>Some other page {i}</a>" for i in range(8)) + "</ul>"
+    want = "\n\n".join(lines("a", 10) + lines("b", 10) + lines("c", 2))
+    assert main_text(f"<body><section>{part('a', 10)}</section><section>{part('b', 10)}</section><section>{part('c', 2)}</section>") == want
+    assert main_text(f"<body>{links}<div><div>{part('a', 10)}</div>{links}<section>{part('b', 10)}</section></div><div>{part('c', 2)}</div>{links}") == want
+    assert main_text(f"<body><div>Before <i>the</i> parts<section>{part('a', 10)}</section>and between<br>them<section>{part('b', 3)}</section></div>") == \
+        "\n\n".join(["Before the parts", *lines("a", 10), "and between them", *lines("b", 3)])
+    assert main_text(f"<body><a href=/>Home</a> | <a href=/x>News</a><div>{part('a', 4)}</div><div>{part('b', 4)}</div>") == "\n\n".join(lines("a", 4) + lines("b", 4))
+
+
+def test_article_rule():
+    two = f"<article><h2>One</h2>{part('a', 10)}</article><article>{part('b', 10)}</article>"
+    assert main_text(f"<body><div>A line outside of the articles.</div>{two}") == "\n\n".join(["One", *lines("a", 10), *lines("b", 10)])
+    # the part of the largest sum is outside of the article: all parts
+    assert main_text(f"<body><article><p>Short one.</article><section>{part('a', 10)}</section><div>{part('b', 10)}</div>") == "\n\n".join(
+        ["Short one.", *lines("a", 10), *lines("b", 10)])
+    assert main_text("<nav>only a menu</nav>") == ""
+
+
 def test_odd_pages():
     assert main_text("") == "" and main_text("plain &lt;b") == "plain <b" and main_text("<p>only") == "only"
     assert main_text("<div>" * 20000 + "deep") == "deep" and main_text("<script>never ends") == ""
