@@ -2,10 +2,13 @@
 
 A page is parsed into a node tree (void elements, implied end tags, raw-text
 elements, unclosed elements).  Elements that are never article text (scripts,
-forms, menus, footers, asides, and elements named as adverts, notices or
-comments) leave the tree first.  Each node's density is its characters per
-tag, adjusted by link characters and link tags against the body's share of
-link text; a node's sum adds the densities of its children.  From the node of
+menus, footers, asides, hidden ones) leave the tree first, and so do forms and
+elements named as adverts, notices or comments, unless the page's text is in
+them: they enclose an ``article`` or ``main`` element (an article not so named,
+nor inside another article), or hold most of the text outside of links of the
+one they stand in, or of the body where the page has none.  Each node's density
+is its characters per tag, adjusted by link characters and link tags against
+the body's share of link text; a node's sum adds the densities of its children.  From the node of
 the largest sum the way up to the body gives the threshold (the least density
 on that path).  From the body down, in every node that reaches it the subtree
 of the largest sum is content, and so is text that stands between such parts.
@@ -41,9 +44,9 @@ CLOSES_P = frozenset("address article aside blockquote center details dialog dir
 IMPLIED = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"),
            "option": ("option",), "tbody": ("tr", "td", "th", "thead", "tbody"), "tfoot": ("tr", "td", "th", "thead", "tbody")}
 SCOPE = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",)} | dict.fromkeys(("tr", "td", "th", "tbody", "tfoot"), ("table",))
-NEVER = frozenset("script style noscript template head title nav footer aside form button select textarea iframe object svg canvas menu "
+NEVER = frozenset("script style noscript template head title nav footer aside button select textarea iframe object svg canvas menu "
                   "dialog audio video map".split())
-#: Words in a class, an id or a role that say an element is not article text.
+#: Words in a class, an id or a role that say an element is not article text, unless the page's text is in it.
 NAMED = frozenset("ad ads adv advert adverts advertisement advertising adsense banner promo promoted promotion sponsor sponsored sidebar "
                   "sidenav menu nav navbar navigation breadcrumb breadcrumbs footer comment comments disqus reply replies respond cookie "
                   "cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription share "
@@ -52,21 +55,22 @@ NAMED = frozenset("ad ads adv advert adverts advertisement advertising adsense b
 WORDS = re.compile(r"[a-z0-9]+")
 
 
-def _unwanted(tag: str, attrs: str, in_article: bool) -> bool:
+def _unwanted(tag: str, attrs: str, in_article: bool) -> tuple[bool, bool]:
+    """Whether an element is never article text, and whether it is none by its name or as a form."""
     if tag in NEVER or tag == "header" and not in_article:
-        return True
-    if not attrs or tag in ("html", "body", "article", "main") and "comment" not in attrs:
-        return False
+        return True, False
+    named = tag == "form"
+    if not attrs or tag in ("article", "main") and "comment" not in attrs:
+        return False, named
     low = attrs.lower()
     for name, *values in ATTR.findall(low):
         if name in ("class", "id", "role"):
-            if not NAMED.isdisjoint(WORDS.findall(html.unescape("".join(values)))):
-                return True
+            named = named or not NAMED.isdisjoint(WORDS.findall(html.unescape("".join(values))))
         elif name == "hidden" or name == "aria-hidden" and "true" in values:
-            return True
+            return True, named
         elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", "".join(values)):
-            return True
-    return False
+            return True, named
+    return False, named
 
 
 class Tree:
@@ -77,6 +81,7 @@ class Tree:
         tag, parent, parts, out = self.tag, self.parent, self.parts, self.out
         now, pos, n, find = 0, 0, len(page), MARKUP.search
         article = [False]  # of each node: inside an article or main element
+        named = [False]  # of each node: out by its name or as a form, unless the page's text is in it
         while pos < n:
             m = find(page, pos)
             if m is None:
@@ -103,7 +108,6 @@ class Tree:
             elif m["tag"] is not None:
                 name = m["tag"].lower()
                 if name in ("html", "body"):
-                    out[0] = out[0] or _unwanted(name, m["attrs"], False)
                     if name == "body":
                         now = 0
                     continue
@@ -124,7 +128,9 @@ class Tree:
                 tag.append(name)
                 parent.append(now)
                 parts.append([])
-                out.append(out[now] or _unwanted(name, m["attrs"], article[now]))
+                never, by_name = _unwanted(name, m["attrs"], article[now])
+                out.append(out[now] or never)
+                named.append(by_name)
                 article.append(article[now] or name in ("article", "main"))
                 parts[now].append(i)
                 if name in VOID:
@@ -135,6 +141,34 @@ class Tree:
                     pos = e.end() if e else n
                 else:
                     now = i
+        # characters of each node's own text
+        self.own = [0 if out[i] else sum(len("".join(x.split())) for x in parts[i] if type(x) is str) for i in range(len(tag))]
+        if True in named:
+            self._drop_named(named)
+
+    def _drop_named(self, named: list[bool]):
+        n, tag, parent, out = len(self.tag), self.tag, self.parent, self.out
+        link, nested = [False] * n, [False] * n  # inside a link, inside an article
+        for i in range(1, n):
+            p = parent[i]
+            link[i], nested[i] = link[p] or tag[i] == "a", nested[p] or tag[p] == "article"
+        chars, plain = self.own[:], [0 if link[i] else self.own[i] for i in range(n)]
+        holds = [False] * n  # encloses or is an article of the page, or a main element without one
+        scope = [-1] * n
+        for i in range(n - 1, 0, -1):
+            if chars[i] and not out[i] and not nested[i] and not holds[i] and (tag[i] == "main" or tag[i] == "article" and not named[i]):
+                holds[i], scope[i] = True, i
+            p = parent[i]
+            chars[p] += chars[i]
+            plain[p] += plain[i]
+            holds[p] = holds[p] or holds[i]
+        if not holds[0]:
+            scope[0] = 0
+        for i in range(1, n):
+            p = parent[i]
+            if scope[i] < 0:
+                scope[i] = scope[p]
+            out[i] = out[i] or out[p] or named[i] and not holds[i] and (scope[i] < 0 or 2 * plain[i] <= plain[scope[i]])
 
     def _up(self, a: int, b: int):
         while a != b:
@@ -145,11 +179,10 @@ class Tree:
         """Of each node, whether the text that stands in it is content."""
         n, tag, parent = len(self.tag), self.tag, self.parent
         chars, tags, link_chars, link_tags = [0] * n, [0] * n, [0] * n, [0] * n
-        own = [0] * n
+        own = self.own
         for i in range(n - 1, -1, -1):  # children come after their parents
             if self.out[i]:
                 continue
-            own[i] = sum(len("".join(x.split())) for x in self.parts[i] if type(x) is str)
             chars[i] += own[i]
             if tag[i] == "a":
                 link_chars[i], link_tags[i] = chars[i], tags[i]

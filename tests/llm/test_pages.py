@@ -113,6 +113,31 @@ def test_article_rule():
     assert main_text("<nav>only a menu</nav>") == ""
 
 
+def test_named_wrappers_keep_the_article():
+    text, want = part("a", 10), "\n\n".join(lines("a", 10))
+    noise = '<div class="ad banner">Buy now</div><div id=comments><p>A reader says much.</div><form action=/s><label>Mail</label></form>'
+    inside = f"<article>{text}</article>"
+    for body in (text, inside, f"<main>{text}</main>", f"<main>{inside}</main>"):
+        for wrapper in ('div class="content no-sidebar"', "div id=page class='has-comments'", 'div class="post related-enabled"', "form method=post",
+                        "form id=aspnetForm class=search", 'section role="search"'):
+            end = f"</{wrapper.split()[0]}>"
+            assert main_text(f"<body><{wrapper}>{body}{noise}{end}") == want, (body[:9], wrapper)
+            assert main_text(f"<body>{noise}<{wrapper}><{wrapper}>{body}{end}{end}{noise}") == want, (body[:9], wrapper)
+    assert main_text(f"<body class='single comments-open'>{text}{noise}") == want
+    assert main_text(f"<article class='post comments-open'>{text}</article>{noise}") == want
+    two = [f"<article><div class='entry share-enabled'>{part(k, 5)}</div>{noise}</article>" for k in "ab"]
+    assert main_text("".join(two)) == "\n\n".join(lines("a", 5) + lines("b", 5))
+
+
+def test_named_elements_beside_a_short_article():
+    long = "<p>" + "words that are not the article " * 20
+    for noise in (f"<div class=ad>{long}</div>", f"<section class=comments>{long}</section>", f"<form>{long}</form>",
+                  f"<section class=comments><article class=comment>{long}</article></section>"):
+        for page in (f"<body>{noise}<article><p>Short.</article>{noise}", f"<main>{noise}<article><p>Short.</article></main>", f"{noise}<main><p>Short.</main>"):
+            assert main_text(page) == "Short."
+    assert main_text(f"<article>{part('a', 10)}<div class=related><article>{long}</article></div></article>") == "\n\n".join(lines("a", 10))
+
+
 def test_odd_pages():
     assert main_text("") == "" and main_text("plain &lt;b") == "plain <b" and main_text("<p>only") == "only"
     assert main_text("<div>" * 20000 + "deep") == "deep" and main_text("<script>never ends") == ""
