@@ -103,27 +103,37 @@ class Reader:
         self.file, self.offset, self.head, self.block, self.missing, self.start = None, 0, None, [], 0, 0
 
     def feed(self, file: str, piece: bytes):
-        """The record that ends with this piece, as ``(file, offset, headers, block)``, else None."""
+        """The record that ends with this piece (or at its start, before the next header), as ``(file, offset, headers, block)``, else None."""
         if file != self.file:
             self.close()
             self.file, self.offset = file, 0
-        at, self.offset = self.offset, self.offset + len(piece) + len(END)
+        at, self.offset, got, end = self.offset, self.offset + len(piece) + len(END), None, END.encode()
+        if self.block and self.missing < len(end):
+            # a block that ends in CR LF and the record's end were cut one CR LF early: the rest of the end comes first here
+            both = end[:self.missing] + end
+            if not both.startswith(end) or not piece.startswith(both[len(end):]):
+                raise ValueError(f"a record at byte {self.start} of {file} is longer than its Content-Length")
+            self.block.append(end[:self.missing])
+            at, piece, got = at + self.missing, piece[self.missing:], self._record()
+            if not piece:  # the end of the archive
+                return got
         if self.head is None:
             lines = piece.decode("utf-8", "replace").split("\r\n")
             if not lines[0].startswith("WARC/"):
                 raise ValueError(f"no record at byte {at} of {file}")
             self.head = dict(x.split(": ", 1) for x in lines[1:] if ": " in x)
             self.start, self.block, self.missing = at, [], int(self.head["Content-Length"])
-            return None
+            return got
         if self.block:
-            piece = END.encode() + piece  # the separator belongs to the block
+            piece = end + piece  # the separator belongs to the block
         self.block.append(piece)
         self.missing -= len(piece)
         if self.missing < 0:
             raise ValueError(f"a record at byte {self.start} of {file} is longer than its Content-Length")
-        if self.missing:
-            return None
-        got = (file, self.start, self.head, b"".join(self.block))
+        return None if self.missing else self._record()
+
+    def _record(self) -> tuple:
+        got = (self.file, self.start, self.head, b"".join(self.block))
         self.head, self.block = None, []
         return got
 

@@ -3,8 +3,10 @@ import gzip
 import hashlib
 import random
 
+import pytest
+
 from ferrule.llm.html_density import extract, main_text
-from ferrule.llm.warc import LoserTree, archive_index, records, url_key
+from ferrule.llm.warc import LoserTree, Reader, archive_index, records, url_key
 
 SCHEMA = "page_id bigint, url string, html string, id string, n string, key string, r string, grouped string, value string"
 
@@ -49,6 +51,37 @@ def test_an_archive_is_a_readable_file(spark, tmp_path):
     assert records(spark.createDataFrame(page_rows(), SCHEMA)).count() == n
 
 
+def test_payloads_that_end_in_line_ends(spark, tmp_path):
+    ends = ["\r\n", "\r\n" * 2, "\r\n" * 3, "\r\n" * 4, "\r\n" * 5, "\r", "\r\r", "\n", "\r\n\r", "\r\r\n", "\n\r\n", "\r\n\n", ""]
+    rows = [(2 * i + k, "u", body + e) for i, e in enumerate(ends) for k, body in enumerate(("", "<p>one\r\ntwo\r\n\r\nthree"))]
+    rows += [(100, "u", "x" * 65_500 + "\r\n"), (101, "u", "y" * 200_000 + "\r\n" * 3), (102, "u", rows[1][2])]
+    want = sorted((i, len(h), base64.b32encode(hashlib.sha1(h.encode()).digest()).decode()) for i, _, h in rows)
+    for parts in (1, len(rows)):  # one archive; mostly one record in each
+        pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartitionByRange(parts, "page_id")
+        for least in (0, 10**6):
+            path = tmp_path / f"{parts}-{least}"
+            got = archive_index(pages, least, path=str(path)).collect()
+            assert sorted((r.page_id, r.payload_bytes, r.payload_digest) for r in got) == want
+            data = {f.name: gzip.open(f).read() for f in path.glob("part-*.gz")}
+            for r in got:
+                head = data[r.archive.rsplit("/", 1)[1]][r.at_byte:].partition(b"\r\n\r\n")[0]
+                assert head.startswith(b"WARC/1.1\r\n") and f"\r\nWARC-Record-ID: <urn:x-page:{r.page_id}>\r\n".encode() in head
+
+
+def test_reader_notices_a_wrong_length():
+    head = b"WARC/1.1\r\nContent-Length: %d"
+    for size, rest in ((3, [b"ab", b"\r\nWARC/1.1"]), (4, [b"ab", b"WARC/1.1"]), (1, [b"ab"])):
+        reader = Reader()
+        assert reader.feed("f", head % size) is None
+        with pytest.raises(ValueError, match="longer than its Content-Length"):
+            for piece in rest:
+                reader.feed("f", piece)
+    reader = Reader()
+    assert [reader.feed("f", p) for p in (head % 4, b"ab", b"\r\n" + head % 0)][:2] == [None, None]
+    assert reader.head == {"Content-Length": "0"} and reader.start == len(head % 4) + 4 + 4 + 4
+    assert reader.feed("f", b"")[3] == b""
+
+
 def test_history_is_globally_ordered(spark):
     r = random.Random(3)
     rows = [(i, f"http://h{r.randint(0, 3)}.example/{r.randint(0, 2)}", f"<p>{i}") for i in range(500)]
