@@ -13,7 +13,10 @@ chunk, from its first place; the key's part answers which places are not the
 first of all.  (3) The words of these windows are removed.
 
 A passage that stands in a third of all documents is one hash or key for each
-chunk, so no part grows with it.
+chunk, so no part grows with it.  Rows of an id that has more text than a
+chunk are made one row and a count where their texts are equal, and dealt by id
+and text; their keys carry the place in the document, by which their parts find
+the first place of an id that stands in several chunks.
 """
 
 from __future__ import annotations
@@ -26,11 +29,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.spread import materialize
 from .common import sha
 
 WINDOW = 20
 CHUNK_BYTES = 8 << 20  # text of a chunk
 PART_ENTRIES = 2_000_000  # hashes of a part of the index
+ROW_BYTES = 64  # what a row counts besides its text
+REPEATS = 10_000  # equal rows that are written at once
 NULL_ID = -(1 << 63)  # stands for a null id, before all others
 _B1, _B2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -58,6 +64,8 @@ class Chunk:
         data = [t or b"" for t in table.column("text").cast(pa.binary()).to_pylist()]
         order = sorted(range(len(ids)), key=lambda i: (NULL_ID if ids[i] is None else ids[i], data[i]))
         self.ids = [ids[i] for i in order]
+        many = table.column("n").to_pylist() if "n" in table.column_names else [1] * len(ids)
+        self.many = [many[i] for i in order]  # equal rows that a document stands for
         self.words = [data[i].split() for i in order]
         self.size = np.fromiter(map(len, self.words), np.int64, len(order))
         self.start = np.cumsum(self.size) - self.size
@@ -105,7 +113,7 @@ def _table(schema: pa.Schema, rows: list[tuple]) -> pa.Table:
 _PROBE = pa.schema([("part", pa.int64()), ("chunk", pa.int64()), ("low", pa.binary()), ("reference", pa.binary()), ("twice", pa.binary())])
 _ANSWER = pa.schema([("chunk", pa.int64()), ("part", pa.int64()), ("anchor", pa.binary()), ("repeated", pa.binary())])
 _KEYS = pa.schema([("part", pa.int64()), ("chunk", pa.int64()), ("kind", pa.int64()), ("k1", pa.binary()), ("k2", pa.binary()),
-                   ("at", pa.binary()), ("doc", pa.binary())])
+                   ("at", pa.binary()), ("doc", pa.binary()), ("place", pa.binary())])
 _REMOVED = pa.schema([("chunk", pa.int64()), ("kind", pa.int64()), ("at", pa.binary()), ("more", pa.binary())])
 
 
@@ -133,8 +141,9 @@ def _answer_probes(table: pa.Table) -> pa.Table:
         table.column("chunk").to_pylist(), table.column("part").to_pylist(), cut[:-1], cut[1:])])
 
 
-def _send_keys(chunk: Chunk, number: int, answers: pa.Table, parts: int) -> pa.Table:
-    """Keys of the windows inside extended hits, each from its first place; the other places are removed here."""
+def _send_keys(chunk: Chunk, number: int, answers: pa.Table, parts: int, places: bool) -> pa.Table:
+    """Keys of the windows inside extended hits, each from its first place; the other places are removed here.
+    ``places``: an id may stand in several chunks, so that the place in the document is sent too."""
     h = chunk.hashes()
     part, low, _, _, at, inverse = chunk.blocks(h, parts)
     anchor, repeated = np.zeros(len(low), bool), np.zeros(len(low), bool)
@@ -164,10 +173,11 @@ def _send_keys(chunk: Chunk, number: int, answers: pa.Table, parts: int) -> pa.T
     sent = np.sort(order[first])
     to = (k1[sent] >> np.uint64(20)) % np.uint64(parts)
     sent = sent[by := np.argsort(to, kind="stable")]
-    rows = [(number % parts, number, 1, None, None, _bits(removed), tied.tobytes())]
+    rows = [(number % parts, number, 1, None, None, _bits(removed), tied.tobytes(), None)]
     for p, a, b in _cuts(to[by].astype(np.int64)):
         i = sent[a:b]
-        rows.append((p, number, 0, k1[i].tobytes(), k2[i].tobytes(), w[i].astype(np.uint32).tobytes(), ids[owner[i]].tobytes()))
+        rows.append((p, number, 0, k1[i].tobytes(), k2[i].tobytes(), w[i].astype(np.uint32).tobytes(), ids[owner[i]].tobytes(),
+                     chunk.place[w[i]].astype(np.uint32).tobytes() if places else None))
     return _table(_KEYS, rows)
 
 
@@ -183,9 +193,14 @@ def _answer_keys(table: pa.Table) -> pa.Table:
         k2 = np.concatenate([np.frombuffer(b, np.uint32) for i in some for b in [table.column("k2")[i].as_py()]])
         ids = [np.frombuffer(doc[i], np.int64) for i in some]
         d = np.concatenate(ids)
-        order = np.lexsort((d, k2, k1))
+        place = [table.column("place")[i].as_py() for i in some]
+        place = np.concatenate([np.zeros(len(x), np.uint32) if b is None else np.frombuffer(b, np.uint32) for b, x in zip(place, ids)])
+        order = np.lexsort((place, d, k2, k1))
+        s1, s2 = k1[order], k2[order]
+        first = np.append(True, (s1[1:] != s1[:-1]) | (s2[1:] != s2[:-1]))
+        lead = order[np.flatnonzero(first)][np.cumsum(first) - 1]
         late = np.empty(len(order), bool)
-        late[order] = np.append(False, (k1[order][1:] == k1[order][:-1]) & (k2[order][1:] == k2[order][:-1]))
+        late[order] = (d[order] != d[lead]) | (place[order] != place[lead])  # rows of one id at the same place are no later
         end = 0
         for i, x in zip(some, ids):
             begin, end = end, end + len(x)
@@ -195,6 +210,24 @@ def _answer_keys(table: pa.Table) -> pa.Table:
     return _table(_REMOVED, rows)
 
 
+def deal(ids: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> tuple[DataFrame, int, int, bool]:
+    """``(rows dealt by chunk, chunks, bytes of text, whether an id may stand in several chunks)`` of
+    ``ids(doc_id, text)``; if so, equal rows of such an id are one with their number ``n``."""
+    size = F.coalesce(F.octet_length("text"), F.lit(0))
+    sizes = ids.groupBy("doc_id").agg(F.sum(size).alias("bytes"), F.sum(size + F.lit(ROW_BYTES)).alias("weight"))
+    total, most = sizes.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.coalesce(F.max("weight"), F.lit(0))).first()
+    chunks = max(1, -(-total // chunk_bytes))
+    known = F.coalesce("doc_id", F.lit(NULL_ID))
+    rows = ids.select(F.pmod(F.xxhash64(known), F.lit(chunks)).alias("chunk"), "doc_id", "text")
+    if most > chunk_bytes:
+        hot = materialize(sizes.where(F.col("weight") > chunk_bytes).select(F.col("doc_id").alias("hot_id")), "hot")
+        same = F.col("doc_id").eqNullSafe(F.col("hot_id"))
+        equal = ids.join(hot, same, "left_semi").groupBy("doc_id", "text").agg(F.count(F.lit(1)).alias("n"))
+        equal = equal.select(F.pmod(F.xxhash64(known, "text"), F.lit(chunks)).alias("chunk"), "doc_id", "text", "n")
+        rows = rows.join(hot, same, "left_anti").withColumn("n", F.lit(1).cast("long")).unionByName(equal)
+    return rows.repartition(chunks, "chunk"), chunks, total, most > chunk_bytes
+
+
 def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True,
                    chunk_bytes: int = CHUNK_BYTES, part_entries: int = PART_ENTRIES) -> DataFrame:
     """Per row: ``doc_id, n_words, n_removed, kept_sha256`` and, with ``keep_text``, ``kept`` (words joined by a space).
@@ -207,23 +240,22 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     and empty texts have no words; an empty table gives no rows.
     """
     ids = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    total = ids.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    chunks = max(1, -(-total // chunk_bytes))
+    dealt, chunks, total, shared = deal(ids, chunk_bytes)
     parts = max(1, -(-total // (6 * part_entries)))  # about a word for six bytes
-    number = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(NULL_ID))), F.lit(chunks))
-    dealt = ids.select(number.alias("chunk"), "doc_id", "text").repartition(chunks, "chunk")
 
     def probe(key, table):  # (these have no type hints: Spark would read them)
         part, low, reference, twice, _, _ = (c := Chunk(table, window)).blocks(c.hashes(), parts)
         return _table(_PROBE, [(p, key[0].as_py(), low[a:b].tobytes(), _bits(reference[a:b]), _bits(twice[a:b])) for p, a, b in _cuts(part)])
 
     def send(key, table, answers):
-        return _send_keys(Chunk(table, window), key[0].as_py(), answers, parts)
+        return _send_keys(Chunk(table, window), key[0].as_py(), answers, parts, shared)
 
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
     out = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string" + (", kept string" if keep_text else "")
+    columns = StructType.fromDDL(out).names
+    out += ", n bigint" if shared else ""
     out_arrow = to_arrow_schema(StructType.fromDDL(out))
 
     def finish(key, table, removed):
@@ -243,14 +275,19 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
         np.add.at(delta, begin + window, -1)
         keep = np.cumsum(delta)[:-1] == 0
         rows = []
-        for i, words, s in zip(c.ids, c.words, c.start.tolist()):
+        for i, words, s, n in zip(c.ids, c.words, c.start.tolist(), c.many):
             mine = keep[s:s + len(words)]
             kept = b" ".join(words if mine.all() else compress(words, mine.tolist()))
-            rows.append((i, len(words), int(len(words) - mine.sum()), sha(kept), kept.decode())[:5 if keep_text else 4])
+            rows.append((i, len(words), int(len(words) - mine.sum()), sha(kept), *([kept.decode()] if keep_text else []), *([n] if shared else [])))
         return _table(out_arrow, rows)
 
     probes = dealt.groupBy("chunk").applyInArrow(probe, _ddl(_PROBE))
     answers = probes.repartition(parts, "part").groupBy("part").applyInArrow(lambda t: _answer_probes(t), _ddl(_ANSWER)).repartition(chunks, "chunk")
     keys = dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(send, _ddl(_KEYS))
     removed = keys.repartition(parts, "part").groupBy("part").applyInArrow(lambda t: _answer_keys(t), _ddl(_REMOVED)).repartition(chunks, "chunk")
-    return dealt.groupBy("chunk").cogroup(removed.groupBy("chunk")).applyInArrow(finish, out)
+    done = dealt.groupBy("chunk").cogroup(removed.groupBy("chunk")).applyInArrow(finish, out)
+    if not shared:
+        return done
+    # equal rows are written again, many of them by several tasks
+    pieces = done.select(*columns, "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(REPEATS))).alias("from")).repartition(chunks)
+    return pieces.select(*columns, F.explode(F.sequence(F.col("from"), F.least("n", F.col("from") + REPEATS) - 1)).alias("i")).select(*columns)

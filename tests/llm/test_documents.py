@@ -357,6 +357,25 @@ def test_remove_repeats(spark, window, size):
     assert all(x.kept_sha256 == sha(x.kept.encode()) for x in got.collect())
 
 
+@pytest.mark.parametrize("hot", [None, 7])
+def test_a_hot_id_stands_in_several_chunks(spark, hot):
+    from ferrule.llm.anchor_dedup import deal, remove_repeats
+
+    r = random.Random(5)
+    passage = words(51, 30)
+    rows = [(i, f"{words(500 + i, r.randint(0, 30))} {passage} {words(600 + i, 20)}") for i in range(6, 60)]
+    rows += [(hot, f"{words(700 + i % 40, r.choice([4, 4, 9]))} {passage} {words(800 + i % 3, 30)}") for i in range(80)]
+    rows += [(hot, words(900, 40))] * 200 + [(hot, None)] * 100 + [(hot, "")] * 3
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    dealt, chunks, total, shared = deal(docs, 2000)
+    assert shared and chunks > 20 and dealt.agg(F.sum("n")).first()[0] == len(rows)
+    assert dealt.where(F.col("doc_id").eqNullSafe(F.lit(hot))).select("chunk").distinct().count() > 10
+    assert dealt.groupBy("chunk").agg(F.sum(F.octet_length("text")).alias("b")).agg(F.max("b")).first()[0] < total / 10
+    got = remove_repeats(docs, 10, chunk_bytes=2000, part_entries=300)
+    assert result(got, "doc_id", "n_words", "n_removed", "kept") == plain_removal(rows, 10)
+    assert result(remove_repeats(docs, 10, keep_text=False), "doc_id", "n_words", "n_removed") == [x[:3] for x in plain_removal(rows, 10)]
+
+
 def test_remove_repeats_empty(spark):
     from ferrule.llm.anchor_dedup import remove_repeats
 
