@@ -27,7 +27,7 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 ASSIGN_LEAST = 12
 KINDS = ("assign", "access", "hex", "markov")  # order among spans of one start
 
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{12,}")  # the least length of an assigned value
 WORD = re.compile(r"[A-Za-z0-9+/_=-]{4,}")
 SYMBOLS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"  # fixed value: the candidates' characters
 _CODE = np.full(128, -1, np.int64)
@@ -74,7 +74,7 @@ def drawn_strings(count: int = 2000, seed: int = 17) -> list[str]:
     """Labelled random strings over the usual alphabets of keys."""
     r = random.Random(seed)
     alphabets = [SYMBOLS[:62], SYMBOLS[:64], SYMBOLS[:62] + "_-", SYMBOLS[:26] + SYMBOLS[52:62], SYMBOLS[26:62]]
-    return ["".join(r.choices(r.choice(alphabets), k=r.randint(16, 48))) for _ in range(count)]
+    return ["".join(r.choices(r.choice(alphabets), k=r.randint(ASSIGN_LEAST, 48))) for _ in range(count)]
 
 
 def log_ratio(random_counts: np.ndarray, plain_counts: np.ndarray, smooth: float = 0.5) -> np.ndarray:
@@ -129,8 +129,9 @@ def find_secrets(docs: DataFrame, ratio: np.ndarray | None = None, threshold: fl
     """Per row: ``doc_id, n_assign, n_access, n_hex, n_markov, base`` and ``spans`` (``kind:start:end`` by start,
     then kind; code points, end exclusive) and ``base_sha256``.
 
-    A candidate run that no base span touches becomes a ``markov`` span when
-    its mean ratio passes ``threshold``.  Null and empty texts have no spans;
+    A candidate run becomes a ``markov`` span when the mean ratio of the whole
+    run passes ``threshold`` and no base span covers it entirely; base spans may
+    lie inside it.  Null and empty texts have no spans;
     repeated rows give repeated results; ids may be null.  One pass without a
     shuffle; ``ratio`` is a table of fixed size.
     """
@@ -143,7 +144,7 @@ def find_secrets(docs: DataFrame, ratio: np.ndarray | None = None, threshold: fl
         for i, t in enumerate(ts):
             for m in CANDIDATE.finditer(t):
                 s, e = m.span()
-                if not any(a < e and s < b for a, _, b in base[i]):
+                if not any(a <= s and e <= b for a, _, b in base[i]):
                     where.append((i, s, e))
                     words.append(m[0])
         spans = [list(b) for b in base]

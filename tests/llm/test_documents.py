@@ -211,6 +211,33 @@ def test_markov_spans(spark):
     assert find_secrets(no_docs(spark)).count() == 0
 
 
+def test_markov_scores_whole_and_short_runs(spark):
+    from ferrule.llm.secrets import find_secrets
+
+    plain = " ".join(words(k, 200) for k in range(3)) + " configuration getElements internationalization"
+    keys = {1: "Xk29fLq0ZtRw", 2: "qZ7LwX0Kf3bVTr0123456789abcdefYcJ1sNbV8m", 3: "x8KdQ2mZr7AKIAABCDEFGHIJ0123", 4: "0123456789abcdef0", 5: "Xk29fLq0ZtR"}
+    rows = [(i, f"{plain} {k} {plain}") for i, k in keys.items()] + [(6, "token=Xk29fLq0ZtRw7Yc")]
+    got = {r.doc_id: r for r in find_secrets(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    at = len(plain) + 1
+    for i, k in keys.items():
+        marked = f"markov:{at}:{at + len(k)}"
+        # covered by a base span entirely, or shorter than an assigned value: no span
+        assert got[i].n_markov == (i < 4) and (marked in got[i].spans.split(",")) == (i < 4), got[i].spans
+    assert (got[2].n_hex, got[3].n_access, got[4].n_hex, got[6].n_assign, got[6].n_markov) == (1, 1, 1, 1, 0)
+
+
+@pytest.mark.parametrize("size", [12, 13, 14, 15, 16, 24])
+def test_markov_threshold_by_length(spark, size):
+    from ferrule.llm.secrets import THRESHOLD, base_spans, drawn_strings, scores, train
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    ratio = train(docs)
+    drawn = [x[:size] for x in drawn_strings(4000, seed=99) if len(x) >= size]
+    assert (scores(ratio, drawn) > THRESHOLD).mean() >= 0.98
+    plain = [w for r in docs.collect() if r.text and not base_spans(r.text) for w in re.findall(r"[A-Za-z0-9+/_=-]+", r.text) if len(w) == size]
+    assert not plain or (scores(ratio, plain) > THRESHOLD).mean() <= 0.001
+
+
 # ---- 7 SimHash
 
 def plain_fingerprint(t):
