@@ -1,4 +1,4 @@
-"""The thin queries of the ten operators: production parameters, whole tables, digest columns."""
+"""The thin queries of the operators: production parameters, whole tables, digest columns."""
 
 from __future__ import annotations
 
@@ -128,3 +128,39 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     return archive_index(table(spark, sf_dir, "pages"), least=0).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def _license_sql() -> str:
+    """The twin of ``scan_licenses``, with the templates as rows."""
+    from .licenses import SLACK, TEMPLATES
+
+    rows = ", ".join(f"({n}, '{t.label}', {str(t.base).lower()}, {min(t.k, t.size)}, {t.least}, '{t.words}')" for n, t in enumerate(TEMPLATES))
+    return rf"""
+    with d as (select doc_id, text, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                      '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+    t as (select *, string_split(words, ' ') as tw from (values {rows}) v(template, label, base, k, least, words)),
+    tg as (select t.*, q, array_to_string(tw[q + 1 : q + k], ' ') as gram from (select *, unnest(generate_series(0, len(tw) - k)) as q from t) t),
+    dg as (select doc_id, text, k, p, array_to_string(w[p + 1 : p + k], ' ') as gram
+           from (select doc_id, text, k, w, unnest(generate_series(0, len(w) - k)) as p from (select distinct doc_id, text, w from d), (select distinct k from t))),
+    hit as (select doc_id, text, template, label, base, least, tg.k, len(tw) as size, q, p from dg join tg on dg.k = tg.k and dg.gram = tg.gram),
+    di as (select doc_id, text, template, label, base, least, k, size, p - q as d, min(p) as f, list(distinct q) as qs
+           from hit group by all),
+    ne as (select *, coalesce(least >= 1 or d - lag(d) over x > {SLACK}, true) as fresh from di window x as (partition by doc_id, text, template order by d)),
+    sp as (select *, sum(cast(fresh as int)) over (partition by doc_id, text, template order by d) as s from ne),
+    got as (select doc_id, text, template, label, base, least, k, size, s, min(f) as f, flatten(list(qs)) as qs from sp group by all),
+    ok as (select *, len(list_distinct(flatten(list_transform(qs, lambda q: generate_series(q, q + k - 1))))) / size as score from got),
+    per as (select doc_id, text, count(*) filter (base) as n_base, min(f) filter (base) as first_word, max(f) filter (base) as last_word,
+                   string_agg(distinct label, ',' order by label) filter (base) as base_labels, string_agg(distinct label, ',' order by label) as labels,
+                   max(score) as score
+            from ok where score >= least group by doc_id, text)
+    select d.doc_id, len(w) as n_words, coalesce(n_base, 0) as n_base, first_word, last_word, coalesce(base_labels, '') as base_labels,
+           coalesce(labels, '') as labels, cast(coalesce(score, 0) as double) as score
+    from d left join per on per.doc_id is not distinct from d.doc_id and per.text is not distinct from d.text
+    """
+
+
+@query("op12_licenses", sql=_license_sql())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import scan_licenses
+
+    return scan_licenses(table(spark, sf_dir, "documents"))
