@@ -164,3 +164,31 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .licenses import scan_licenses
 
     return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+@query("op13_collocations", sql=r"""
+    with p as (select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                      'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents),
+    w as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from p),
+    g as (select lang, m, array_to_string(w[i : i + m - 1], ' ') as phrase
+          from (select lang, w, m, unnest(generate_series(1, len(w) - m + 1)) as i from w, (values (1), (2), (3), (4)) v(m))),
+    f as (select lang, phrase, m, count(*) as f from g group by all),
+    t as (select lang, sum(f) as n from f where m = 1 group by lang),
+    c as (select lang, phrase, m, f as a, string_split(phrase, ' ') as w from f where m > 1 and f >= 30),
+    k as (select *, unnest(generate_series(1, m - 1)) as k from c),
+    s as (select k.lang, k.phrase, k.a, k, x.f as l, y.f as r, (2000000::hugeint * k.a) // (x.f + y.f) as score
+          from k join f x on x.lang = k.lang and x.phrase = array_to_string(w[1 : k], ' ')
+                 join f y on y.lang = k.lang and y.phrase = array_to_string(w[k + 1 : k.m], ' ')),
+    b as (select lang, phrase, a, l, r, score from s qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+    i as (select lang, a, array_to_string(w[s : s + z - 1], ' ') as phrase
+          from (select *, unnest(generate_series(1, m - z + 1)) as s from (select *, unnest(generate_series(2, m - 1)) as z from c))),
+    o as (select lang, phrase, max(a) as longer from i group by all),
+    left_ as (select b.* from b left join o on o.lang = b.lang and o.phrase = b.phrase
+              where longer is null or 100::hugeint * longer < 80::hugeint * a),
+    ranked as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from left_)
+    select lang, rank, phrase, a, l, r, cast(n as bigint) as n, cast(score as bigint) as score from ranked join t using (lang) where rank <= 2000
+""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .collocations import collocations
+
+    return collocations(table(spark, sf_dir, "documents"))
