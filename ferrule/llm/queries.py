@@ -192,3 +192,10 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .collocations import collocations
 
     return collocations(table(spark, sf_dir, "documents"))
+
+
+@query("op11_token_alignment")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_align import align
+
+    return align(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), _vocabulary("piece_bpe_32k.model"))
