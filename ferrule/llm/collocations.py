@@ -11,9 +11,9 @@ the chunk that owns its first word, so once.
 
 The distinct chunks of a language are the dictionary, with the number of times
 the parse uses them.  Phrases are counted inside the dictionary, weighted by
-those numbers, in three passes: one and two words; three words; four words.
-A phrase can only be frequent if its two shorter parts are, so the later
-passes skip what a Bloom filter over the frequent shorter phrases does not
+those numbers, in passes of two, three and four words (single words are counted
+while parsing).  A phrase can only be frequent if its two shorter parts are, so
+a pass skips what a Bloom filter over the frequent shorter phrases does not
 hold.  The filter is sized by their number, at most ``MOST_BITS``; beyond that
 it lets more through, and the counts stay exact.
 
@@ -31,6 +31,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -44,7 +45,7 @@ from .common import slices
 LONGEST = 4  # words of a phrase
 EVERY = 16  # words a chunk owns on average
 SEGMENT = 1 << 20  # bytes of a text parsed at once
-GATHER = 4 << 20  # bytes of chunks counted at once
+GATHER = 8 << 20  # bytes of chunks counted at once
 MOST_BITS = 1 << 28  # of a Bloom filter: 32 MB
 PROBES = 3
 BREAKS = b".,;:!?\n\x0b\x0c\r"
@@ -77,8 +78,19 @@ def segments(text: bytes) -> Iterator[tuple[bytes, int]]:
     yield text[at:], 0
 
 
-def parse(texts: list[bytes]) -> tuple[list[int], list[bytes], list[int]]:
-    """Chunks of some texts: the text each comes from, its words joined by one space, and how many it owns."""
+class Parse(NamedTuple):
+    """Chunks of some texts: the text each comes from, its words joined by one space, how many it owns; and each word's text and
+    code among the distinct words."""
+
+    of: list[int]
+    chunks: list[bytes]
+    own: list[int]
+    word_of: np.ndarray
+    codes: np.ndarray
+    distinct: list[bytes]
+
+
+def parse(texts: list[bytes]) -> Parse:
     words, ends, owned, of = [], [], [], []
     for n, t in enumerate(texts):
         for part, ahead in segments(t):
@@ -91,7 +103,7 @@ def parse(texts: list[bytes]) -> tuple[list[int], list[bytes], list[int]]:
                     owned.append(len(words) - (ahead if i == len(pieces) else 0))
                     of.append(n)
     if not words:
-        return [], [], []
+        return Parse([], [], [], np.zeros(0, np.int64), np.zeros(0, np.int64), [])
     codes, distinct = _encode(words)
     h = _word_hashes(distinct)[codes]
     ends, owned, of = np.array(ends), np.array(owned), np.array(of)
@@ -106,26 +118,35 @@ def parse(texts: list[bytes]) -> tuple[list[int], list[bytes], list[int]]:
     at = piece[starts]
     body = np.minimum(np.append(starts[1:], len(h)), owned[at])
     stop = np.minimum(body + LONGEST - 1, ends[at])
-    return of[at].tolist(), [b" ".join(words[a:b]) for a, b in zip(starts.tolist(), stop.tolist())], (body - starts).tolist()
+    chunks = [b" ".join(words[a:b]) for a, b in zip(starts.tolist(), stop.tolist())]
+    mine = np.flatnonzero(place < owned[piece])
+    return Parse(of[at].tolist(), chunks, (body - starts).tolist(), of[piece[mine]], codes[mine], distinct)
 
 
 def dictionary(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The distinct chunks: ``lang, chunk, own, uses``."""
+    """The distinct chunks: ``lang, chunk, own, uses``; and, counted in the same pass, the distinct words, with ``own`` 0."""
     rows = spread(docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"),
                               F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")))
 
     def run(batches):
         for batch in batches:
             for some in slices(batch):
-                of, chunk, own = parse(some.column(1).cast(pa.binary()).to_pylist())
-                got = pa.table({"lang": some.column(0).take(pa.array(of, pa.int64())), "chunk": pa.array(chunk, pa.binary()), "own": pa.array(own, pa.int32())})
-                got = got.group_by(["lang", "chunk", "own"]).aggregate([([], "count_all")])
-                got = pa.table([got["lang"], got["chunk"].cast(pa.string()), got["own"], got["count_all"]], ["lang", "chunk", "own", "uses"])
-                yield from got.to_batches(max_chunksize=50_000)
+                got = parse(some.column(1).cast(pa.binary()).to_pylist())
+                table = pa.table({"lang": some.column(0).take(pa.array(got.of, pa.int64())), "chunk": pa.array(got.chunks, pa.binary()), "own": pa.array(got.own, pa.int32())})
+                table = table.group_by(["lang", "chunk", "own"]).aggregate([([], "count_all")])
+                yield from _rows(table["lang"], table["chunk"], table["own"], table["count_all"])
+                lang = some.column(0).dictionary_encode()
+                key, count = np.unique(lang.indices.to_numpy()[got.word_of] * max(len(got.distinct), 1) + got.codes, return_counts=True)
+                names = pa.array(got.distinct, pa.binary()).take(pa.array(key % max(len(got.distinct), 1)))
+                yield from _rows(lang.dictionary.take(pa.array(key // max(len(got.distinct), 1))), names, pa.array(np.zeros(len(key), np.int32)), pa.array(count))
 
     return rows.mapInArrow(run, "lang string, chunk string, own int, uses bigint").groupBy("lang", "chunk", "own").agg(F.sum("uses").alias("uses"))
 
 
+def _rows(lang, chunk, own, uses) -> Iterator[pa.RecordBatch]:
+    return pa.table([lang, chunk.cast(pa.string()), own, uses], ["lang", "chunk", "own", "uses"]).to_batches(max_chunksize=50_000)
+
+
 class Flat:
     """The words of some rows (language, words joined by spaces) one after another."""
 
@@ -184,24 +205,22 @@ def bloom(phrases: DataFrame, n: int) -> np.ndarray:
     return words
 
 
-def count_phrases(flat: Flat, own: np.ndarray, uses: np.ndarray, sizes: tuple[int, ...], frequent: np.ndarray | None) -> Iterator[tuple]:
-    """(languages, phrases, counts) of the phrases of each size, first words owned only, that the filter over phrases one word
-    shorter may hold."""
+def count_phrases(flat: Flat, own: np.ndarray, uses: np.ndarray, n: int, frequent: np.ndarray) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """Languages, phrases and counts of the phrases of ``n`` words whose first word is owned and whose two parts of a word less
+    the filter may hold."""
     own, length, weight = own[flat.row], flat.length[flat.row], uses[flat.row]
-    for n in sizes:
-        at = np.flatnonzero((flat.place < own) & (flat.place + n <= length))
-        if frequent is not None and len(at):
-            at = at[_holds(frequent, flat.phrase_hash(at, n - 1))]
-            at = at[_holds(frequent, flat.phrase_hash(at + 1, n - 1))]
-        key = flat.lang[at]
-        for j in range(n):  # two phrases have the same key exactly if they are equal
-            key = pd.factorize(key)[0] * flat.distinct + flat.codes[at + j]
-        codes, distinct = pd.factorize(key)
-        count = np.zeros(len(distinct), np.int64)
-        np.add.at(count, codes, weight[at])
-        some = np.zeros(len(distinct), np.int64)
-        some[codes] = at
-        yield flat.lang[some], [b" ".join(flat.words[i:i + n]) for i in some.tolist()], count
+    at = np.flatnonzero((flat.place < own) & (flat.place + n <= length))
+    at = at[_holds(frequent, flat.phrase_hash(at, n - 1))]
+    at = at[_holds(frequent, flat.phrase_hash(at + 1, n - 1))]
+    key = flat.lang[at]
+    for j in range(n):  # two phrases have the same key exactly if they are equal
+        key = pd.factorize(key)[0] * flat.distinct + flat.codes[at + j]
+    codes, distinct = pd.factorize(key)
+    count = np.zeros(len(distinct), np.int64)
+    np.add.at(count, codes, weight[at])
+    some = np.zeros(len(distinct), np.int64)
+    some[codes] = at
+    return flat.lang[some], [b" ".join(flat.words[i:i + n]) for i in some.tolist()], count
 
 
 def _gathered(batches, limit: int) -> Iterator[pa.Table]:
@@ -216,29 +235,28 @@ def _gathered(batches, limit: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def phrase_counts(chunks: DataFrame, sizes: tuple[int, ...], least: int, frequent: np.ndarray | None = None) -> DataFrame:
-    """``lang, phrase, size, f`` of all phrases of the sizes with at least ``least`` occurrences."""
-    held = chunks.sparkSession.sparkContext.broadcast(frequent) if frequent is not None else None
+def phrase_counts(chunks: DataFrame, n: int, least: int, frequent: np.ndarray) -> DataFrame:
+    """``lang, phrase, size, f`` of all phrases of ``n`` words with at least ``least`` occurrences; ``frequent``: see ``bloom``."""
+    held = chunks.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches):
         for some in _gathered(batches, GATHER):
             flat = Flat(some["lang"].to_pylist(), some["chunk"].cast(pa.binary()).to_pylist())
-            own, uses = some["own"].to_numpy().astype(np.int64), some["uses"].to_numpy()
-            for n, (lang, phrase, count) in zip(sizes, count_phrases(flat, own, uses, sizes, held.value if held else None)):
-                names = pa.DictionaryArray.from_arrays(pa.array(lang, pa.int32()), pa.array(flat.langs, pa.binary())).cast(pa.binary())
-                got = pa.table([names.cast(pa.string()), pa.array(phrase, pa.binary()).cast(pa.string()), pa.array(np.full(len(phrase), n, np.int32)), pa.array(count)],
-                               ["lang", "phrase", "size", "f"])
-                yield from got.to_batches(max_chunksize=50_000)
+            lang, phrase, count = count_phrases(flat, some["own"].to_numpy().astype(np.int64), some["uses"].to_numpy(), n, held.value)
+            names = pa.array(flat.langs, pa.binary()).cast(pa.string()).take(pa.array(lang))
+            got = pa.table([names, pa.array(phrase, pa.binary()).cast(pa.string()), pa.array(count)], ["lang", "phrase", "f"])
+            yield from got.to_batches(max_chunksize=50_000)
 
-    return chunks.mapInArrow(run, "lang string, phrase string, size int, f bigint").groupBy("lang", "phrase", "size").agg(F.sum("f").alias("f")).where(
-        F.col("f") >= least)
+    got = chunks.mapInArrow(run, "lang string, phrase string, f bigint").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+    return got.where(F.col("f") >= least).select("lang", "phrase", F.lit(n).alias("size"), "f")
 
 
 def frequent_phrases(chunks: DataFrame, least: int) -> DataFrame:
     """All phrases of up to ``LONGEST`` words with at least ``least`` occurrences: ``lang, phrase, size, f``."""
-    all_ = short = materialize(phrase_counts(chunks, (1, 2), least), "phrases")
-    for n in range(3, LONGEST + 1):
-        short = materialize(phrase_counts(chunks, (n,), least, bloom(short.where(f"size = {n - 1}"), n - 1)), "phrases")
+    words, chunks = chunks.where("own = 0"), chunks.where("own > 0")
+    all_ = short = words.where(F.col("uses") >= least).select("lang", F.col("chunk").alias("phrase"), F.lit(1).alias("size"), F.col("uses").alias("f"))
+    for n in range(2, LONGEST + 1):
+        short = materialize(phrase_counts(chunks, n, least, bloom(short, n - 1)), "phrases")
         all_ = all_.unionByName(short)
     return all_
 
@@ -251,7 +269,7 @@ def collocations(docs: DataFrame, least: int = 30, top: int = 2000, share: int =
     their count are dropped; the first ``top`` by score, a (both falling) and phrase stay.
     """
     chunks = materialize(dictionary(docs, text_col, lang_col), "chunks")
-    total = chunks.groupBy("lang").agg(F.sum(F.col("uses") * F.col("own")).alias("n"))
+    total = chunks.where("own = 0").groupBy("lang").agg(F.sum("uses").alias("n"))
     f = frequent_phrases(chunks, least)
     words = F.split("phrase", " ")
     candidates = f.where("size > 1").select("lang", "phrase", "size", F.col("f").alias("a"), words.alias("w"))

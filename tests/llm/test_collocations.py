@@ -74,7 +74,7 @@ def test_parse_owns_every_word_once(monkeypatch):
     for segment in (10, 37, 1 << 20):
         monkeypatch.setattr(C, "SEGMENT", segment)
         texts = [(t or "").encode() for t, _ in corpus(5, 60)] + [words(3, 500).encode(), b"x" * 100, b" \n ", b"a\n b"]
-        of, chunks, own = C.parse(texts)
+        of, chunks, own, *_ = C.parse(texts)
         for n, t in enumerate(texts):
             pieces = [p.split() for p in re.split(rb"[.,;:!?\n\x0b\x0c\r]", t.lower().replace(b"\t", b" "))]
             mine = [(c.split(b" "), k) for o, c, k in zip(of, chunks, own) if o == n]
@@ -89,6 +89,8 @@ def test_shared_passages_share_chunks(spark):
     passage = words(11, 2000)
     rows = [(i, words(100 + i, 30) + " " + passage, "en") for i in range(40)]
     d = dictionary(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    assert d.where("own = 0").agg(F.sum("uses")).first()[0] == 40 * 2030
+    d = d.where("own > 0")
     assert d.count() < 500 and d.where(F.col("uses") >= 40).count() > 80
 
 
@@ -106,7 +108,7 @@ def test_scores_beyond_64_bits(spark, monkeypatch):
     from ferrule.llm import collocations as C
 
     big = 1 << 58
-    chunks = spark.createDataFrame([("en", "a b", 2, big), ("en", "a", 1, 5)], "lang string, chunk string, own int, uses bigint")
+    chunks = spark.createDataFrame([("en", "a b", 2, big), ("en", "a", 1, 5), ("en", "a", 0, big + 5), ("en", "b", 0, big)], "lang string, chunk string, own int, uses bigint")
     monkeypatch.setattr(C, "dictionary", lambda *a: chunks)
     got = C.collocations(chunks).collect()
     assert [tuple(r) for r in got] == [("en", 1, "a b", big, big + 5, big, 2 * big + 5, 2_000_000 * big // (2 * big + 5))]

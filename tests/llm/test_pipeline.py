@@ -23,7 +23,7 @@ def rows(table):
 
 def test_every_operator_has_a_query():
     q, _ = registered()
-    assert sorted(int(n[2:].split("_")[0]) for n in q) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in q) == list(range(1, 14))
     entry = importlib.import_module("__spark_entry__")
     assert set(q) | {"pipeline"} <= set(entry.queries())
 
@@ -89,5 +89,9 @@ def test_stages_on_edges(spark):
         assert stage(spark, empty, SF).count() == 0, name
 
 
-def test_fold_rule():
-    assert zlib.crc32(b"12") % 4 in range(4)
+def test_fold_rule(spark):
+    from ferrule.llm.langid import in_fold
+
+    got = spark.range(200).withColumnRenamed("id", "doc_id").withColumn("out", in_fold()).collect()
+    assert all(r.out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got)
+    assert not spark.sql("select cast(null as bigint) as doc_id").select(in_fold()).first()[0]
