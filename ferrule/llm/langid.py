@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import filter_rows, id_text, map_batches, texts
@@ -22,6 +22,8 @@ ORDERS = 3
 PIECE = 1 << 20  # characters whose n-grams are sorted at once
 SLICE = 2 << 20  # bytes of text whose features are held at once
 FIT_ROWS, TUNE_ROWS = 3000, 1000  # bounds of the samples that the weights and the temperature are fitted on
+FIT_BYTES = 64 << 20  # bound of the characters of both samples
+LANGUAGES = 400  # languages learned, the most frequent ones
 UNKNOWN = "und"
 _MULT = [np.uint32(m) for m in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)]
 
@@ -76,22 +78,23 @@ def features(batch: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(feats), np.concatenate(counts)
 
 
-def document_frequency(labelled: DataFrame) -> tuple[np.ndarray, int]:
-    """In how many of the rows each feature occurs, and how many rows there are; summed inside the tasks first."""
+def corpus_counts(labelled: DataFrame) -> tuple[np.ndarray, int, dict[str, int]]:
+    """In how many of the rows each feature occurs, how many rows there are, and of each language; one pass, summed inside the tasks first."""
 
     def run(batch: pa.RecordBatch) -> dict:
         _, f, _ = features(texts(batch, "text"))
         seen, n = np.unique(f, return_counts=True)
-        return {"f": np.append(seen, -1), "n": np.append(n, batch.num_rows)}
+        langs = batch.column(1).value_counts()
+        return {"f": [*seen.tolist(), *[-1] * len(langs)], "lang": [None] * len(seen) + langs.field(0).to_pylist(), "n": [*n.tolist(), *langs.field(1).to_pylist()]}
 
-    got = map_batches(labelled, run, "f bigint, n bigint", limit=SLICE).groupBy("f").agg(F.sum("n").alias("n")).toPandas()
-    df, total = np.zeros(1 << BITS), 0
-    for f, n in zip(got["f"], got["n"]):
+    got = map_batches(labelled.select("text", "lang"), run, "f bigint, lang string, n bigint", limit=SLICE).groupBy("f", "lang").agg(F.sum("n").alias("n"))
+    df, langs = np.zeros(1 << BITS), {}
+    for f, lang, n in got.toPandas().itertuples(index=False):
         if f < 0:
-            total = int(n)
+            langs[lang] = int(n)
         else:
             df[f] = n
-    return df, total
+    return df, sum(langs.values()), langs
 
 
 @dataclass
@@ -161,42 +164,45 @@ def fit_temperature(model: Model, logits: np.ndarray, y: np.ndarray) -> float:
     return at
 
 
-def train(labelled: DataFrame, fit_rows: int = FIT_ROWS, tune_rows: int = TUNE_ROWS) -> Model | None:
+def sample(rows: DataFrame, langs: int, fit_rows: int, tune_rows: int, fit_bytes: int) -> DataFrame:
+    """Of each language the distinct (id, text) rows that come first by hash, ``h, lang, text``: at most its share of the rows
+    and, but for one row, of the characters."""
+    per, size = (fit_rows + tune_rows) // langs + 1, fit_bytes // langs
+    rows = rows.withColumn("h", F.xxhash64("doc_id", "text"))
+    order = Window.partitionBy("lang").orderBy("h")
+    first = rows.select("lang", "h", F.length("text").cast("long").alias("n")).groupBy("lang", "h").agg(F.max("n").alias("n"))
+    first = first.withColumn("k", F.row_number().over(order)).where(F.col("k") <= per)
+    first = first.withColumn("so_far", F.sum("n").over(order)).where((F.col("k") == 1) | (F.col("so_far") <= size))
+    own = F.broadcast(first.select("lang", "h"))  # at most fit_rows + tune_rows + a row of each language
+    return rows.join(own, ["lang", "h"]).groupBy("lang", "h").agg(F.max("text").alias("text"))
+
+
+def train(labelled: DataFrame, fit_rows: int = FIT_ROWS, tune_rows: int = TUNE_ROWS, languages: int = LANGUAGES, fit_bytes: int = FIT_BYTES) -> Model | None:
     """A model from ``labelled(doc_id, text, lang)``; rows without text or language are left out.
 
-    Document frequencies come from all rows.  The weights come from
-    ``fit_rows`` and the temperature from ``tune_rows`` rows at most, the
-    first by hash of the id within each language; only their features reach
-    the driver.  Rows with a null id are not picked.  Without any row to fit on there is no model.
+    Document frequencies come from all rows.  Three bounds keep the fit on the driver: the weights come from ``fit_rows`` and
+    the temperature from ``tune_rows`` rows at most, both together from ``fit_bytes`` characters, and at most ``languages``
+    languages are learned, the most frequent ones (each costs 2 MB of weights on the driver and in a worker).  Rows are picked by
+    hash of id and text within each language, repeated rows once, rows with a null id like any other; only their features
+    reach the driver.  The table is read three times whatever the languages.  Without any row to fit on there is no model.
     """
     rows = labelled.where("text is not null and lang is not null and trim(text) <> ''")
-    langs = sorted(r[0] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(200).select("lang").collect())
+    df, total, counts = corpus_counts(rows)
+    langs = sorted(sorted(counts, key=lambda x: (-counts[x], x))[:languages])
     if not langs:
         return None
-    df, total = document_frequency(rows)
     idf = np.log((1 + total) / (1 + df)) + 1
-    per = (fit_rows + tune_rows) // len(langs) + 1
-    h = F.xxhash64(F.col("doc_id"), F.lit(1))
-    picked = None  # at most `per` ids of each language, each by a top-k
-    for lang in langs:
-        some = rows.where(F.col("lang") == lang).select("doc_id", "lang", h.alias("h")).orderBy("h").limit(per)
-        picked = some if picked is None else picked.unionByName(some)
-    picked = picked.select("doc_id", "lang").where("doc_id is not null")
-    ids = labelled.sparkSession.createDataFrame(picked.collect(), picked.schema)  # of a bounded number
-    sample = rows.join(F.broadcast(ids), ["doc_id", "lang"], "left_semi")
+    picked = sample(rows.where(F.col("lang").isin(langs)) if len(counts) > languages else rows, len(langs), fit_rows, tune_rows, fit_bytes)
 
     def run(batch: pa.RecordBatch) -> dict:
         r, f, c = features(texts(batch, "text"))
         at = np.searchsorted(r, np.arange(batch.num_rows + 1))
         cut = list(zip(at[:-1], at[1:]))
-        return {"doc_id": batch.column(0), "lang": batch.column(2), "f": [f[a:b].astype(np.int32).tobytes() for a, b in cut],
+        return {"h": batch.column(0), "lang": batch.column(1), "f": [f[a:b].astype(np.int32).tobytes() for a, b in cut],
                 "c": [c[a:b].astype(np.int32).tobytes() for a, b in cut]}
 
-    got = map_batches(sample.select("doc_id", "text", "lang"), run,
-                      f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, lang string, f binary, c binary", limit=SLICE).limit(2 * (fit_rows + tune_rows)).toPandas()
-    if got.empty:
-        return None
-    got = got.sort_values(["doc_id", "lang"], ignore_index=True)
+    got = map_batches(picked.select("h", "lang", "text"), run, "h bigint, lang string, f binary, c binary", limit=SLICE).toPandas()
+    got = got.sort_values(["h", "lang"], ignore_index=True)
     number = {x: k for k, x in enumerate(langs)}
     y = got["lang"].map(number).to_numpy()
     model = Model(langs, np.zeros((1 << BITS, len(langs))), np.zeros(len(langs)), idf)
@@ -254,10 +260,16 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     return predict(rows, model).select("doc_id", in_fold().alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, least: float, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """Rows (all columns) whose language is known with a probability of ``least`` or more; one pass, no shuffle."""
+def least_score(languages: int, lead: float = 1.2) -> float:
+    """The least probability that counts as known: ``lead`` times chance among the learned languages, 1 at most."""
+    return min(1.0, lead / max(languages, 1))
+
+
+def keep_identified(docs: DataFrame, lead: float = 1.2, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """Rows (all columns) whose language is known with a probability of ``least_score`` or more; one pass, no shuffle."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     model = train(rows.where(~in_fold()))
+    least = least_score(len(model.languages) if model else 0, lead)
 
     def keep(batch: pa.RecordBatch) -> list[bool]:
         return [x != UNKNOWN and v >= least for x, v in zip(*judge(texts(batch), model))]
