@@ -35,7 +35,6 @@ _CODE[[ord(c) for c in SYMBOLS]] = np.arange(len(SYMBOLS))
 N = len(SYMBOLS) + 1  # and a state for the start
 
 SAMPLE_DOCS = 4000  # documents of the training sample, the first by hash of the id
-SAMPLE_WORDS = 400  # words of one sampled document at most
 PLAIN_DIGITS = 2  # an ordinary identifier has no more digits
 THRESHOLD = 2.0  # mean log-likelihood ratio of a character, in nats
 
@@ -113,7 +112,7 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> np.ndarray:
             clear = list(t)
             for s, _, e in spans:
                 clear[s:e] = " " * (e - s)
-            plain += [w for w in WORD.findall("".join(clear)) if sum(map(str.isdigit, w)) <= PLAIN_DIGITS][:SAMPLE_WORDS]
+            plain += [w for w in WORD.findall("".join(clear)) if sum(map(str.isdigit, w)) <= PLAIN_DIGITS]
         return {"good": [pair_counts(good).ravel().tolist()], "plain": [pair_counts(plain).ravel().tolist()]}
 
     sums = map_batches(rows.where(at <= F.lit(edge)), run, "good array<double>, plain array<double>")
@@ -142,9 +141,13 @@ def find_secrets(docs: DataFrame, ratio: np.ndarray | None = None, threshold: fl
         base = [base_spans(t) for t in ts]
         where, words = [], []
         for i, t in enumerate(ts):
-            for m in CANDIDATE.finditer(t):
+            k, reach, own = 0, 0, base[i]
+            for m in CANDIDATE.finditer(t):  # both in order of their starts: one walk
                 s, e = m.span()
-                if not any(a <= s and e <= b for a, _, b in base[i]):
+                while k < len(own) and own[k][0] <= s:
+                    reach = max(reach, own[k][2])
+                    k += 1
+                if reach < e:
                     where.append((i, s, e))
                     words.append(m[0])
         spans = [list(b) for b in base]
