@@ -446,3 +446,50 @@ def test_language_edges(spark):
     assert left.columns == docs.columns and left.count() == len(edge_rows()) - 4 and set(left.columns) > set(CLASH)
     assert identify(no_docs(spark)).count() == 0
     assert {r.lang_pred for r in identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
+
+
+def many_languages(spark, n, each=30):
+    rng = random.Random(n)
+    rows = []
+    for k in range(n):
+        letters = [chr(0x61 + (k * 5 + j) % 26) for j in range(6)] + [chr(0x100 + k)]
+        for i in range(each):
+            t = " ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 7))) for _ in range(20))
+            rows.append((k * each + i, t, f"l{k:03d}"))
+    return spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+
+
+@pytest.mark.parametrize("n", [2, 20, 300])
+def test_every_language_can_be_predicted(spark, n):
+    from ferrule.llm.langid import identify, keep_identified, least_score
+
+    docs = many_languages(spark, n, 30 if n < 300 else 12)
+    got = identify(docs).join(docs.select("doc_id", "lang"), "doc_id").collect()
+    assert len({r.lang_pred for r in got}) == n
+    held = [r for r in got if r.held_out]
+    assert sum(r.lang == r.lang_pred for r in held) >= 0.9 * len(held)
+    assert 1 / n < least_score(n) < 1
+    if n < 300:  # clean texts stay, whatever the number of languages
+        assert keep_identified(docs).count() >= 0.95 * docs.count()
+
+
+def test_language_sample_rows(spark):
+    from ferrule.llm import langid as G
+
+    rows = [(None, f"null id number {i}", "a") for i in range(10)] + [(7, "one hot id", "a")] * 500 + [(i, words(i, 50), "b") for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    got = G.sample(docs, 2, 30, 10, 1 << 20).collect()
+    assert sum(r.text == "one hot id" for r in got) == 1 and sum(r.text.startswith("null id") for r in got) == 10
+    assert sum(r.lang == "b" for r in got) == 21
+    few = G.sample(docs, 2, 30, 10, 1000).collect()  # half of the characters for each language, but at least a row
+    assert 1 <= sum(r.lang == "b" for r in few) <= 4
+    assert sorted(got) == sorted(G.sample(docs.repartition(5), 2, 30, 10, 1 << 20).collect())
+    only_null = spark.createDataFrame([(None, f"text {i}", "a") for i in range(5)], docs.schema)
+    assert {r.lang_pred for r in G.identify(only_null).collect()} == {"a"}
+
+
+def test_the_most_frequent_languages_are_learned(spark):
+    from ferrule.llm.langid import train
+
+    docs = many_languages(spark, 5).where("lang <> 'l002' or doc_id % 3 = 0")
+    assert train(docs, languages=4).languages == ["l000", "l001", "l003", "l004"]

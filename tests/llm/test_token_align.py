@@ -65,9 +65,9 @@ def test_alignment_equals_brute_force(spark, tool, monkeypatch, unit, run, wide)
     for k, v in [("UNIT", unit), ("RUN", run), ("WIDE", wide), ("BLOCK_BYTES", run)]:
         monkeypatch.setattr(T, k, v)
     r = random.Random(2)
-    texts = ODD + ["", None] + [" ".join(r.choice(ODD + ["the", "of", "and", "License", "naïve"]) for _ in range(r.randint(1, 30))) for _ in range(60)]
-    texts += [words(s, 200) for s in range(5)] * 2
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    texts = ODD + ["", None] + [" ".join(r.choice(ODD + ["the", "of", "and", "License", "naïve"]) for _ in range(r.randint(1, 30))) for _ in range(25)]
+    texts += [words(s, 60) for s in range(3)] * 2
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(2)
     assert result(T.align(docs, A, B), *COLUMNS) == [(i, *p) for i, p in enumerate(plain(tool, texts))]
 
 
