@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.embed import model_results, with_counts, with_vector
 from ..functions.json import json_vector
 from ..functions.vector import as_double, cosine
+from ..operators import pivots, pq_index
 from ..operators.quality import vector_contract as vector_rules, with_reasons
 from ..operators.retrieve import first_in_epoch, rag_context
 from ..operators.spread import materialize, spread
@@ -101,6 +102,37 @@ def knn_approx_recall(spark, d):
     return r.agg(F.count(F.lit(1)).alias("n_queries"), F.round(F.avg("recall"), 4).alias("recall"))
 
 
+def _asked(spark, d):
+    """The searches: every row whose id is divisible by 50, against all rows."""
+    return _emb(spark, d).where(F.col("vec_id") % 50 == 0)
+
+
+_PRUNED_SQL = f"""
+    SELECT qid, rank::INTEGER AS rank, id, round(score, 6) AS score FROM ({knn_embeddings_sql(5)}) WHERE qid % 50 = 0"""
+
+
+@query("knn_pruned", _PRUNED_SQL)
+def knn_pruned(spark, d):
+    """Exact top-5 that visits only the cells whose angle bounds can still matter."""
+    e = _emb(spark, d)
+    index = pivots.build(e, pivots=64, id_col="vec_id", vec_col="embedding")
+    hits, _ = pivots.search(index, _asked(spark, d), k=5, query_id="vec_id", vec_col="embedding", exclude_self=True)
+    return hits.withColumn("score", F.round("score", 6))
+
+
+@query("knn_index_recall")
+def knn_index_recall(spark, d):
+    """The trained index (cells, product-quantised residuals, exact scores of the best 5 %) against exact search."""
+    e = _emb(spark, d)
+    n = e.count()
+    kw = dict(id_col="vec_id", vec_col="embedding")
+    model = pq_index.train(e, cells=32, parts=16, **kw)
+    found = pq_index.search(model, pq_index.build(model, e, **kw), e, _asked(spark, d), k=5, probes=28, rerank=max(50, n // 20), query_id="vec_id", exclude_self=True, **kw)
+    exact = knn(_asked(spark, d), e, k=5, query_id="vec_id", exclude_self=True, **kw)
+    r = recall(found, exact)
+    return r.agg(F.count(F.lit(1)).alias("n_queries"), F.round(F.avg("recall"), 4).alias("recall"))
+
+
 @query("novelty_filter", f"""
     WITH h AS ({knn_embeddings_sql(2)}),
     s AS (SELECT h.*, e.label FROM h JOIN embeddings e ON e.vec_id = h.qid),
