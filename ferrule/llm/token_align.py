@@ -33,6 +33,7 @@ import hashlib
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -49,7 +50,12 @@ RUN = 1 << 20  # characters aligned at once
 BLOCK_BYTES, BLOCK_ROWS = 4 << 20, 1 << 16
 WIDE = 1 << 12  # links of a group that are written out one by one
 HALF = 32  # a pair is A's id shifted by this, or B's id
+KEPT_WORDS = 200_000  # encodings kept per worker and side
 _BORDER = re.compile(r"(?<=[^\W\d_]) (?=[^\W\d_])")
+_WORDS_B = re.compile(" *[^ ]+| +")  # cut before a space after another character
+#: Below this code point, and beside the four separators, the pattern's classes agree between the libraries.
+PLAIN_BELOW = 0x530
+_ODD = re.compile(f"[^\\x00-\\x1b\\x20-{chr(PLAIN_BELOW - 1)}]")
 
 
 def _byte_of() -> dict[str, int]:
@@ -65,8 +71,38 @@ def _strings(n: int, end: str) -> np.ndarray:
     return out
 
 
+def _words_a() -> re.Pattern:
+    """The byte-level pre-tokens of texts without odd characters."""
+    import regex
+
+    plain = [chr(c) for c in range(PLAIN_BELOW) if not 0x1C <= c <= 0x1F]
+    L, N, S = ("".join(re.escape(c) for c in plain if regex.match(k, c)) for k in (r"\p{L}", r"\p{N}", r"\s"))
+    # fixed value: the byte-level pattern, its classes written out
+    return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{L}]+| ?[{N}]+| ?[^{S}{L}{N}]+|[{S}]+(?![^{S}])|[{S}]+")
+
+
+class Words:
+    """Encodings of words of one side: word -> ids, or None where the ids do not spell the word."""
+
+    def __init__(self, encode, spell):
+        self.encode, self.spell, self.known = encode, spell, {}
+
+    def ids(self, texts: list[list[str]]) -> list[list[int] | None]:
+        known = self.known
+        if len(known) > KEPT_WORDS:
+            known.clear()
+        new = list(set(chain.from_iterable(texts)).difference(known))
+        for w, ids in zip(new, self.encode(new) if new else ()):
+            known[w] = ids if self.spell(ids) == w.encode() else None
+        out = []
+        for words in texts:
+            parts = list(map(known.__getitem__, words))
+            out.append(None if None in parts else list(chain.from_iterable(parts)))
+        return out
+
+
 class Aligner:
-    """Both tokenizers with the bytes of their tokens."""
+    """Both tokenizers with the bytes of their tokens.  Words that neither side's tokens cross are encoded once and kept."""
 
     def __init__(self, a_path: str, b_path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -87,9 +123,17 @@ class Aligner:
         self.b_size = np.fromiter(map(len, self.b_bytes), np.int64, len(self.b_bytes))
         self.a_ends = _strings(len(self.a_bytes), ","), _strings(len(self.a_bytes), "|")
         self.b_ends = _strings(len(self.b_bytes), ","), _strings(len(self.b_bytes), ";")
-        # a cut before a space between letters: no piece of B has a space after another character, and A splits there first
+        # no piece of B has a space after another character, and A splits before a space first
         split = self.a.pre_tokenizer.pre_tokenize_str("é ñ") if self.a.pre_tokenizer and not self.a.normalizer else []
         self.cut = not any(MARK in p.lstrip(MARK) for p in pieces) and [at for _, at in split] == [(0, 1), (1, 3)]
+        pattern = _words_a()
+        probe = "It's  don't\t\n x1 22 a.b!! \xa0 é\u0301 ''s we'll \x85 "
+        got = [probe[a:b] for _, (a, b) in self.a.pre_tokenizer.pre_tokenize_str(probe)] if self.cut else []
+        self.split_a = pattern.findall if got == pattern.findall(probe) else None
+        self.words_a = Words(lambda w: [e.ids for e in self.a.encode_batch_fast(w, add_special_tokens=False)],
+                             lambda ids: b"".join(map(self.a_bytes.__getitem__, ids)))
+        # B puts a space before each word: the words given to it have one less
+        self.words_b = Words(lambda w: self.b.encode([x[1:] for x in w], num_threads=1), lambda ids: b"".join(map(self.b_bytes.__getitem__, ids)))
 
     def units(self, text: str) -> Iterator[str]:
         """Parts of a text between spaces at which it is cut (those spaces left out)."""
@@ -99,22 +143,23 @@ class Aligner:
             at = m.end()
         yield text[at:]
 
-    def encode(self, units: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        a = self.a.encode_batch_fast([" " + u for u in units], add_special_tokens=False)
-        return [e.ids for e in a], self.b.encode(units, num_threads=1)
-
-    def spelled(self, unit: str, a: list[int], b: list[int]) -> bool:
-        want = b" " + unit.encode()
-        return b"".join(map(self.a_bytes.__getitem__, a)) == want and b"".join(map(self.b_bytes.__getitem__, b)) == want
+    def encode(self, units: list[str]) -> tuple[list[list[int] | None], list[list[int] | None]]:
+        """Ids of both sides of each unit (with a space before it); None where they do not spell it."""
+        whole = [" " + u for u in units]
+        # a word of one character or more after each space: every word but those of an empty unit begins with a space
+        a = self.words_a.ids([self.split_a(t) if self.split_a and not _ODD.search(t) else [t] for t in whole])
+        b = self.words_b.ids([_WORDS_B.findall(t) if self.cut else [t] for t in whole])
+        return a, b
 
 
 def overlaps(a_start: np.ndarray, a_doc: np.ndarray, b_start: np.ndarray, b_doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All pairs of tokens (by place) that share a byte: each token's start with the token of the other side that covers it."""
     a = pd.DataFrame({"start": a_start, "doc": a_doc, "a": np.arange(len(a_start))})
     b = pd.DataFrame({"start": b_start, "doc": b_doc, "b": np.arange(len(b_start))})
-    found = pd.concat([pd.merge_asof(a, b, on="start", by="doc")[["a", "b"]], pd.merge_asof(b, a, on="start", by="doc")[["a", "b"]]])
-    key = np.unique(found["a"].to_numpy(np.int64) * max(len(b), 1) + found["b"].to_numpy(np.int64))
-    return key // max(len(b), 1), key % max(len(b), 1)
+    of_a = pd.merge_asof(a[["start", "doc"]], b, on="start", by="doc")["b"].to_numpy(np.int64)
+    of_b = pd.merge_asof(b[["start", "doc"]], a, on="start", by="doc")["a"].to_numpy(np.int64)
+    new = np.flatnonzero(a_start[of_b] != b_start)  # tokens that start together are found from both sides
+    return np.concatenate([np.arange(len(of_a)), of_b[new]]), np.concatenate([of_a, new])
 
 
 class Run:
@@ -129,9 +174,10 @@ class Run:
         x, y = overlaps(a_end - tool.a_size[self.a], self.a_doc, b_end - tool.b_size[self.b], self.b_doc)
         self.x, self.y = x, y
         same = a_end[x] == b_end[y]
-        ends = a_end[x[same]]  # in order, each once
+        last = np.sort(x[same])  # A tokens that end a group
+        ends = a_end[last]
         self.a_group, self.b_group = np.searchsorted(ends, a_end), np.searchsorted(ends, b_end)
-        self.group_doc = self.a_doc[x[same]]
+        self.group_doc = self.a_doc[last]
         self.m, self.n = np.bincount(self.a_group, minlength=len(ends)), np.bincount(self.b_group, minlength=len(ends))
         self.a_first, self.b_first = np.cumsum(self.m) - self.m, np.cumsum(self.n) - self.n
         self.tool = tool
@@ -218,7 +264,7 @@ def align_texts(tool: Aligner, texts: list[str]) -> list[tuple]:
     docs, bad = [Doc() for _ in texts], set()
     for units in _runs(tool, texts):
         a, b = tool.encode([u for _, u in units])
-        bad |= {d for (d, u), x, y in zip(units, a, b) if not tool.spelled(u, x, y)}
+        bad |= {d for (d, _), x, y in zip(units, a, b) if x is None or y is None}
         good = [i for i, (d, _) in enumerate(units) if d not in bad]
         if not good:
             continue
