@@ -52,7 +52,7 @@ WIDE = 1 << 12  # links of a group that are written out one by one
 HALF = 32  # a pair is A's id shifted by this, or B's id
 KEPT_WORDS = 200_000  # encodings kept per worker and side
 _BORDER = re.compile(r"(?<=[^\W\d_]) (?=[^\W\d_])")
-_WORDS_B = re.compile(" *[^ ]+| +")  # cut before a space after another character
+_WORDS_B = re.compile(r" *[^ ]+(?: +\Z)?| +")  # cut before a space after another character, but for those at the end
 #: Below this code point, and beside the four separators, the pattern's classes agree between the libraries.
 PLAIN_BELOW = 0x530
 _ODD = re.compile(f"[^\\x00-\\x1b\\x20-{chr(PLAIN_BELOW - 1)}]")
@@ -146,7 +146,6 @@ class Aligner:
     def encode(self, units: list[str]) -> tuple[list[list[int] | None], list[list[int] | None]]:
         """Ids of both sides of each unit (with a space before it); None where they do not spell it."""
         whole = [" " + u for u in units]
-        # a word of one character or more after each space: every word but those of an empty unit begins with a space
         a = self.words_a.ids([self.split_a(t) if self.split_a and not _ODD.search(t) else [t] for t in whole])
         b = self.words_b.ids([_WORDS_B.findall(t) if self.cut else [t] for t in whole])
         return a, b

@@ -34,8 +34,9 @@ def plain(tool, texts):
         ea, eb = np.cumsum([len(x) for x in ab]).tolist(), np.cumsum([len(x) for x in bb]).tolist()
         cuts = sorted(set(ea) & set(eb))
         groups, i, j = [], 0, 0
+        in_a, in_b = ({e: n + 1 for n, e in enumerate(x)} for x in (ea, eb))
         for c in cuts:
-            x, y = ea.index(c) + 1, eb.index(c) + 1
+            x, y = in_a[c], in_b[c]
             groups.append((a[i:x], b[j:y]))
             i, j = x, y
         rows.append((groups, [Counter((p, q) for g in groups for p in g[0] for q in g[1])]))
