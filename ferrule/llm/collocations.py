@@ -61,9 +61,15 @@ def _word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, len(words))
 
 
-def _encode(words: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
-    """Code of each word, and the distinct words."""
-    got = pa.array(words, pa.binary()).dictionary_encode()
+def _encode(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """Code of each word (bytes ``begins`` to ``ends`` of ``data``, in order), and the distinct words."""
+    size = ends - begins
+    inside = np.zeros(len(data) + 1, np.int8)
+    inside[begins] += 1
+    inside[ends] -= 1  # words are never empty and have a byte between them
+    words = data[np.cumsum(inside[:-1], dtype=np.int8).view(bool)]
+    offsets = np.append(0, np.cumsum(size)).astype(np.int64)
+    got = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(words)]).dictionary_encode()
     return got.indices.to_numpy(zero_copy_only=False).astype(np.int64), got.dictionary.to_pylist()
 
 
@@ -91,34 +97,41 @@ class Parse(NamedTuple):
 
 
 def parse(texts: list[bytes]) -> Parse:
-    words, ends, owned, of = [], [], [], []
-    for n, t in enumerate(texts):
-        for part, ahead in segments(t):
-            pieces = part.split(b"\n")
-            for i, piece in enumerate(pieces, 1):
-                w = piece.split()
-                if w:
-                    words += w
-                    ends.append(len(words))
-                    owned.append(len(words) - (ahead if i == len(pieces) else 0))
-                    of.append(n)
-    if not words:
-        return Parse([], [], [], np.zeros(0, np.int64), np.zeros(0, np.int64), [])
-    codes, distinct = _encode(words)
+    parts = [(n, *x) for n, t in enumerate(texts) for x in segments(t)]
+    text = b"\n".join([x[1] for x in parts] + [b""])  # parts end like pieces
+    data = np.frombuffer(text, np.uint8)
+    line = data == 10
+    edge = np.diff((~(line | (data == 32))).astype(np.int8), prepend=0)
+    begins, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    if not len(begins):
+        return Parse([], [], [], begins, begins, [])
+    codes, distinct = _encode(data, begins, ends)
     h = _word_hashes(distinct)[codes]
-    ends, owned, of = np.array(ends), np.array(owned), np.array(of)
-    begins = np.append(0, ends[:-1])
-    piece = np.repeat(np.arange(len(ends)), ends - begins)
+    lines = np.cumsum(line)[begins]
+    first = np.flatnonzero(np.append(True, lines[1:] != lines[:-1]))  # words that begin pieces
+    last = np.append(first[1:], len(h))
+    piece = np.repeat(np.arange(len(first)), last - first)
+    until = np.cumsum([len(x[1]) + 1 for x in parts])
+    of = np.array([x[0] for x in parts])[np.searchsorted(until, begins[first], "right")]
+    owned = last.copy()
+    for n, (_, _, ahead) in enumerate(parts):
+        if ahead:  # the last words of a part that go on in the next one
+            owned[piece[np.searchsorted(begins, until[n]) - 1]] -= ahead
     three = np.zeros(len(h), np.uint64)
-    three[:-2] = h[:-2] * _A + h[1:-1] * _B + h[2:] if len(h) > 2 else 0
+    if len(h) > 2:
+        three[:-2] = h[:-2] * _A + h[1:-1] * _B + h[2:]
     place = np.arange(len(h))
-    start = ((three >> np.uint64(32)) % np.uint64(EVERY) == 0) & (place + LONGEST - 1 <= ends[piece]) & (place < owned[piece])
-    start[begins[begins < owned]] = True
+    start = ((three >> np.uint64(32)) % np.uint64(EVERY) == 0) & (place + LONGEST - 1 <= last[piece]) & (place < owned[piece])
+    start[first[first < owned]] = True
     starts = np.flatnonzero(start)
     at = piece[starts]
     body = np.minimum(np.append(starts[1:], len(h)), owned[at])
-    stop = np.minimum(body + LONGEST - 1, ends[at])
-    chunks = [b" ".join(words[a:b]) for a, b in zip(starts.tolist(), stop.tolist())]
+    stop = np.minimum(body + LONGEST - 1, last[at])
+    lo, hi = begins[starts], ends[stop - 1]
+    chunks = [text[a:b] for a, b in zip(lo.tolist(), hi.tolist())]
+    gaps = np.append(0, np.cumsum(np.append(begins[1:] - ends[:-1] > 1, False)))  # where words have more than a space between them
+    for i in np.flatnonzero(gaps[stop - 1] > gaps[starts]).tolist():
+        chunks[i] = b" ".join(chunks[i].split())
     mine = np.flatnonzero(place < owned[piece])
     return Parse(of[at].tolist(), chunks, (body - starts).tolist(), of[piece[mine]], codes[mine], distinct)
 
@@ -148,20 +161,26 @@ def _rows(lang, chunk, own, uses) -> Iterator[pa.RecordBatch]:
 
 
 class Flat:
-    """The words of some rows (language, words joined by spaces) one after another."""
-
-    def __init__(self, langs: list[str], texts: list[bytes]):
-        parts = [t.split(b" ") for t in texts]
-        self.length = np.fromiter(map(len, parts), np.int64, len(parts))
-        self.words = [w for p in parts for w in p]
-        self.codes, distinct = _encode(self.words)
+    """The words of some rows (language, words joined by single spaces) one after another."""
+
+    def __init__(self, langs: pa.Array, texts: pa.Array):
+        rows = texts.cast(pa.binary()).to_pylist()
+        size = np.fromiter(map(len, rows), np.int64, len(rows))
+        self.text = b" ".join([*rows, b""])  # a space after every row, so that every word has one
+        data = np.frombuffer(self.text, np.uint8)
+        self.ends = np.flatnonzero(data == 32)
+        self.begins = np.append(0, self.ends[:-1] + 1) if len(self.ends) else self.ends
+        self.codes, distinct = _encode(data, self.begins, self.ends)
         self.distinct = len(distinct)
         self.hash = _word_hashes(distinct)[self.codes]
-        lang, names = _encode([x.encode() for x in langs])
-        self.row = np.repeat(np.arange(len(parts)), self.length)
-        self.lang, self.langs = lang[self.row], names
-        self.lang_hash = _word_hashes(names)[self.lang]
-        self.place = np.arange(len(self.words)) - np.repeat(np.cumsum(self.length) - self.length, self.length)
+        close = np.searchsorted(self.ends, np.cumsum(size + 1) - 1)  # last word of each row
+        self.length = np.diff(np.append(-1, close))
+        lang = langs.dictionary_encode()
+        self.langs = lang.dictionary.to_pylist()
+        self.row = np.repeat(np.arange(len(rows)), self.length)
+        self.lang = lang.indices.to_numpy(zero_copy_only=False).astype(np.int64)[self.row]
+        self.lang_hash = _word_hashes([x.encode() for x in self.langs])[self.lang]
+        self.place = np.arange(len(self.codes)) - np.repeat(np.cumsum(self.length) - self.length, self.length)
 
     def phrase_hash(self, at: np.ndarray, n: int) -> np.ndarray:
         h = self.lang_hash[at]
@@ -192,7 +211,7 @@ def bloom(phrases: DataFrame, n: int) -> np.ndarray:
 
     def run(batches):
         for batch in batches:
-            flat = Flat(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist())
+            flat = Flat(batch.column(0), batch.column(1))
             h = flat.phrase_hash(np.flatnonzero(flat.place == 0), n)
             b = np.unique(np.concatenate(_bits(h, size)))
             at, first = np.unique(b >> 6, return_index=True)
@@ -220,7 +239,7 @@ def count_phrases(flat: Flat, own: np.ndarray, uses: np.ndarray, n: int, frequen
     np.add.at(count, codes, weight[at])
     some = np.zeros(len(distinct), np.int64)
     some[codes] = at
-    return flat.lang[some], [b" ".join(flat.words[i:i + n]) for i in some.tolist()], count
+    return flat.lang[some], [flat.text[a:b] for a, b in zip(flat.begins[some].tolist(), flat.ends[some + n - 1].tolist())], count
 
 
 def _gathered(batches, limit: int) -> Iterator[pa.Table]:
@@ -241,9 +260,9 @@ def phrase_counts(chunks: DataFrame, n: int, least: int, frequent: np.ndarray) -
 
     def run(batches):
         for some in _gathered(batches, GATHER):
-            flat = Flat(some["lang"].to_pylist(), some["chunk"].cast(pa.binary()).to_pylist())
+            flat = Flat(some["lang"].combine_chunks(), some["chunk"].combine_chunks())
             lang, phrase, count = count_phrases(flat, some["own"].to_numpy().astype(np.int64), some["uses"].to_numpy(), n, held.value)
-            names = pa.array(flat.langs, pa.binary()).cast(pa.string()).take(pa.array(lang))
+            names = pa.array(flat.langs, pa.string()).take(pa.array(lang))
             got = pa.table([names, pa.array(phrase, pa.binary()).cast(pa.string()), pa.array(count)], ["lang", "phrase", "f"])
             yield from got.to_batches(max_chunksize=50_000)
 
