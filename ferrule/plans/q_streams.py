@@ -14,12 +14,14 @@ from ..sources.vector_store import to_points
 from ..streaming.runner import read_output, read_staged, read_table_stream, run_to_table, staged
 from ..streaming.streams import (
     correlate_stream,
-    current_snapshot,
+    current_rows,
     drain,
-    merge_snapshot,
     rag_turn_step,
+    reply_join,
     run_append,
+    run_live_state,
     session_clock,
+    session_ends,
     session_turns,
     split_stream,
 )
@@ -172,15 +174,71 @@ def stream_quarantine(spark, d):
 
 @query("stream_current_state", ORACLE["cdc_current_state"])
 def stream_current_state(spark, d):
-    """Live current state of a change stream: each micro-batch is merged into
-    a versioned snapshot (foreachBatch), read back at the end."""
+    """Live current state of a change stream: a streaming aggregation in update mode keeps the last row of each key,
+    every micro-batch writes the rows it changed, the state is the last of those."""
     s = _batches(spark, d, "events", "event_id").select(
         "user_id", event_op().alias("op"), "value", "props", "ts", "event_id"
     )
     base = scratch_path(spark, "stream_current_state")
-    run_to_table(s, base=base, foreach_batch=lambda b, i, o: merge_snapshot("user_id", SEQ)(b, i, f"{base}/snap"))
-    snap = current_snapshot(spark, f"{base}/snap")
-    return snap.where(F.col("op") != "d").select("user_id", "op", "value", "props", "ts", "event_id")
+    run_live_state(s, "user_id", SEQ, base)
+    return current_rows(spark, base, s.schema, "user_id", SEQ).where(F.col("op") != "d")
+
+
+def _with_sentinel(spark, stream, last, run):
+    """Run ``run(stream + an empty folder)``, then once more on its checkpoint with a row later than everything in that
+    folder, so that the watermark passes every deadline only after all data has been seen."""
+    folder = scratch_path(spark, "sentinel")
+    spark.createDataFrame([], stream.schema).write.parquet(folder)
+    both = lambda: run(stream.unionByName(spark.readStream.schema(stream.schema).parquet(folder)))
+    both()
+    last.write.mode("append").parquet(folder)
+    return both()
+
+
+@query("stream_session_ends", """
+    WITH c AS (SELECT user_id, event_type, epoch_us(ts) AS t, lead(event_type) OVER w AS nxt, epoch_us(lead(ts) OVER w) AS nt
+               FROM events WHERE event_type IN ('signup', 'error') WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+    SELECT user_id, t AS start_us, CASE WHEN nt <= t + 3600000000 THEN nt ELSE t + 3600000000 END AS end_us,
+           CASE WHEN nt <= t + 3600000000 THEN CASE WHEN nxt = 'error' THEN 'logout' ELSE 'restart' END ELSE 'expired' END AS reason
+    FROM c WHERE event_type = 'signup'""")
+def stream_session_ends(spark, d):
+    """How each session ends on a stream: by logout, by a new start, or by a timer an hour after its start."""
+    base = scratch_path(spark, "stream_session_ends")
+    s = events_as_actions(_batches(spark, d, "events", "ts")).select("user_id", "event_id", "ts", "mid")
+    last = table(spark, d, "events").agg(F.max("ts").alias("ts")).select(
+        F.lit(-1).cast("long").alias("user_id"), F.lit(-1).cast("long").alias("event_id"), (F.col("ts") + F.expr("INTERVAL 1 DAY")).alias("ts"), F.lit(None).cast("long").alias("mid"))
+    out = _with_sentinel(spark, s, last, lambda x: run_to_table(session_ends(x, 3600), base=base))  # a logout without a session gives no row
+    return spark.read.parquet(out)
+
+
+_REPLY_LIMIT = 120
+
+
+@query("stream_turn_replies", f"""
+    WITH u AS (SELECT DISTINCT conv_id::VARCHAR AS session, turn::VARCHAR AS mid, turn * 60 AS t FROM conversations WHERE role = 'user'),
+    a AS (SELECT conv_id::VARCHAR AS session, (turn - 1)::VARCHAR AS mid, (turn - 1) * 60 + length(coalesce(text, '')) % 240 AS t, turn FROM conversations WHERE role = 'assistant'),
+    m AS (SELECT u.session, u.mid, u.t, min(row(a.t, a.turn)) FILTER (a.t IS NOT NULL) AS f FROM u LEFT JOIN a
+          ON a.session = u.session AND a.mid = u.mid AND a.t BETWEEN u.t AND u.t + {_REPLY_LIMIT} GROUP BY ALL)
+    SELECT session, mid, f[2] AS reply_turn, f[1] - t AS waited_s, CASE WHEN f IS NULL THEN 'timeout' ELSE 'matched' END AS status FROM m""")
+def stream_turn_replies(spark, d):
+    """User turn -> the assistant's reply to it, correlated on (session, mid) as texts within 120 s by a stream-stream join.
+    A turn's time is its number in minutes; a reply comes as many seconds later as its text is long, modulo 240."""
+    base = scratch_path(spark, "stream_turn_replies")
+    c = _batches(spark, d, "conversations", "turn").select("conv_id", "turn", "role", "text")
+    last = spark.createDataFrame([(-1, 10_000_000, r, "") for r in ("user", "assistant")], "conv_id long, turn long, role string, text string").select(
+        *[F.col(f.name).cast(f.dataType) for f in c.schema])
+
+    def run(s):
+        late = F.when(F.col("role") == "user", F.lit(0)).otherwise(F.length(F.coalesce("text", F.lit(""))) % 240)
+        mid = F.col("turn") - F.when(F.col("role") == "user", 0).otherwise(1)
+        t = s.select(F.col("conv_id").cast("string").alias("session"), mid.cast("string").alias("mid"), "role", "turn", F.timestamp_seconds(86400 + mid * 60 + late).alias("at"))  # a day on: a stream starts with the watermark 0
+        asked = t.where("role = 'user'").select("session", "mid", F.col("at").alias("req_ts"))
+        told = t.where("role = 'assistant'").select("session", "mid", F.col("at").alias("resp_ts"), "turn")
+        return run_to_table(reply_join(asked, told, ["session", "mid"], "req_ts", "resp_ts", _REPLY_LIMIT, delay="4 minutes"), base=base)
+
+    r = spark.read.parquet(_with_sentinel(spark, c, last, run)).where("session <> '-1'")
+    waited = (F.unix_seconds("reply.resp_ts") - F.unix_seconds("req_ts")).alias("waited_s")
+    return r.select("session", "mid", F.col("reply.turn").alias("reply_turn"), waited, "status")
 
 
 @query("stream_request_response", ORACLE["request_response"])
@@ -225,7 +283,7 @@ def stream_request_response(spark, d):
 @query("stream_rag_turn", ORACLE["rag_context"])
 def stream_rag_turn(spark, d):
     """Whole turn on a stream: action -> embed -> top-k -> novelty across
-    micro-batches (seen snapshot) -> context rows."""
+    micro-batches (titles given so far, by batch) -> context rows."""
     _, corpus, texts = q_vectors.rag_inputs(spark, d)
     s = _batches(spark, d, "conversations", "turn").where(F.col("role") == "user").select(
         q_vectors.turn_key().alias("qid"), "conv_id", "turn", F.col("text").alias("query")

@@ -24,11 +24,10 @@ SESSION_STATE = "started boolean, epoch long, seen string"
 
 
 def _controls(pdf: pd.DataFrame, started0: bool):
-    """Vectorised control codes of a key's rows (sorted): start/logout masks
-    and whether the session is open at each row (last control wins)."""
-    mid = pdf["mid"]
-    logout = mid.isna().to_numpy()
-    start = (mid == 0).to_numpy() & ~logout
+    """Vectorised control codes of a key's rows (sorted; ``mid`` without nulls, which ``logout``
+    marks, so that ids stay 64-bit integers): start/logout masks and whether the session is open at each row (last control wins)."""
+    logout = pdf["logout"].to_numpy()
+    start = (pdf["mid"] == 0).to_numpy() & ~logout
     ctrl = pd.Series(np.where(start, 1.0, np.where(logout, 0.0, np.nan))).ffill()
     open_ = ctrl.fillna(1.0 if started0 else 0.0).to_numpy() == 1.0
     return start, logout, open_
@@ -61,9 +60,8 @@ def session_machine(key, pdfs, state: GroupState):
     err = msg & ~open_
     n = len(pdf)
     none = np.full(n, None, dtype=object)
-    mids = pdf["mid"].to_numpy(dtype="float64")
     mid_obj = none.copy()
-    mid_obj[~logout] = mids[~logout].astype(np.int64).tolist()
+    mid_obj[~logout] = pdf["mid"][~logout].astype("int64").tolist()
     novel_obj = none.copy()
     novel_obj[ok_msg] = novel[ok_msg].tolist()
     resp_obj = none.copy()
@@ -192,3 +190,41 @@ def make_session_clock(ttl_us: int):
         yield out
 
     return run
+
+
+ENDS_OUT = "user_id long, start_us long, end_us long, reason string"
+ENDS_STATE = "start_us long"
+
+
+def make_session_ends(ttl_us: int):
+    """One row per session when it ends: by logout, by the next start, or by a timer ``ttl_us`` after its start, whichever is
+    first (a control at that very instant counts as one).  Rows are control codes only, in order across batches; an open
+    session is one number of state, an ended one none."""
+
+    def ends(user, starts, until, reason):
+        return pd.DataFrame({"user_id": np.full(len(starts), user), "start_us": np.asarray(starts, np.int64), "end_us": np.asarray(until, np.int64),
+                             "reason": np.asarray(reason, object)})
+
+    def run(key, pdfs, state: GroupState):
+        held = [state.get[0]] if state.exists else []
+        if state.hasTimedOut:
+            yield ends(key[0], held, [held[0] + ttl_us], ["expired"])
+            state.remove()
+            return
+        pdf = pd.concat(list(pdfs)).sort_values(["ts", "event_id"])
+        t = np.array([*held, *pdf["t"]], np.int64)
+        start = np.array([True] * len(held) + (~pdf["mid"].isna()).tolist())
+        begun, nxt = np.flatnonzero(start), np.flatnonzero(start) + 1
+        follows = nxt < len(t)
+        at = t[np.minimum(nxt, len(t) - 1)]
+        in_time = follows & (at <= t[begun] + ttl_us)
+        reason = np.where(~in_time, "expired", np.where(start[np.minimum(nxt, len(t) - 1)], "restart", "logout"))
+        done = follows
+        yield ends(key[0], t[begun][done], np.where(in_time, at, t[begun] + ttl_us)[done], reason[done])
+        if len(t) and start[-1]:
+            state.update((int(t[-1]),))
+            state.setTimeoutTimestamp(max((int(t[-1]) + ttl_us) // 1000 + 1, (state.getCurrentWatermarkMs() or 0) + 1))
+        elif state.exists:
+            state.remove()
+
+    return run

@@ -11,21 +11,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..functions.time import epoch_us
 from ..operators.cdc import compact
 from ..operators.retrieve import CONTEXT_HEADING, context_block, novel_hits
-from ..session import remove_path, scratch_path
+from ..session import scratch_path
 from .processors import (
     CLOCK_OUT,
     CLOCK_STATE,
     CORRELATE_OUT,
     CORRELATE_STATE,
+    ENDS_OUT,
+    ENDS_STATE,
     SESSION_OUT,
     SESSION_STATE,
     make_correlator,
     make_session_clock,
+    make_session_ends,
     session_machine,
 )
 from .runner import read_if_there, read_output, run_to_table
@@ -36,9 +40,14 @@ def run_append(df: DataFrame, base: str | None = None, name: str = "append") ->
     return run_to_table(df, base, name)
 
 
+def _marked(actions: DataFrame) -> DataFrame:
+    """``mid`` without nulls beside a ``logout`` mark: a column with nulls reaches pandas as float64, which rounds large ids."""
+    return actions.withColumn("logout", F.col("mid").isNull()).withColumn("mid", F.coalesce(F.col("mid"), F.lit(0).cast("long")))
+
+
 def session_turns(actions: DataFrame) -> DataFrame:
     """Per-session state machine over (user_id, event_id, ts, mid, title)."""
-    return actions.groupBy("user_id").applyInPandasWithState(
+    return _marked(actions).groupBy("user_id").applyInPandasWithState(
         session_machine, SESSION_OUT, SESSION_STATE, "append", GroupStateTimeout.NoTimeout
     )
 
@@ -61,7 +70,7 @@ def split_stream(rules: dict, id_cols: list[str]):
 
 def session_clock(actions: DataFrame, ttl_seconds: int = 3600) -> DataFrame:
     """Login expiry on a stream of (user_id, event_id, ts, mid)."""
-    a = actions.withColumn("t", epoch_us(F.col("ts"), actions.schema["ts"].dataType))
+    a = _marked(actions).withColumn("t", epoch_us(F.col("ts"), actions.schema["ts"].dataType))
     return a.groupBy("user_id").applyInPandasWithState(
         make_session_clock(ttl_seconds * 1_000_000), CLOCK_OUT, CLOCK_STATE, "append", GroupStateTimeout.NoTimeout
     )
@@ -80,76 +89,64 @@ def correlate_stream(events: DataFrame, limit_seconds: int, delay: str = "0 seco
     )
 
 
-# ---------------------------------------------------------------------------
-# snapshot state kept by foreachBatch (current state of a change stream)
-# ---------------------------------------------------------------------------
-
-BUCKETS = 32  # parts of a snapshot by key; a batch rewrites those it touches
-_COMMITS = "v bigint, b int"
-
-
-def _versions(spark: SparkSession, base: str) -> dict[int, list[int]]:
-    """Bucket -> its newest complete versions, two at most (so at most one row a bucket).  A version counts once
-    its row is in the commit log, which is appended to only after the version's files are written; a log that
-    cannot be read is an error, not an empty state."""
-    log = read_if_there(spark, f"{base}/commits", _COMMITS)
-    if log is None:
-        return {}
-    newest = log.groupBy("b").agg(F.slice(F.sort_array(F.collect_set("v"), asc=False), 1, 2).alias("v"))
-    return {r.b: r.v for r in newest.collect()}
-
-
-def _last_batch(spark: SparkSession, base: str) -> int | None:
-    log = read_if_there(spark, f"{base}/commits", _COMMITS)
-    return None if log is None else log.agg(F.max("v")).first()[0]
-
-
-def _commit(spark: SparkSession, base: str, version: int, buckets: list[int]) -> None:
-    spark.createDataFrame([(version, b) for b in buckets], _COMMITS).coalesce(1).write.mode("append").parquet(f"{base}/commits")
+def reply_join(requests: DataFrame, replies: DataFrame, keys: list[str], req_ts: str, resp_ts: str, limit_seconds: int,
+               delay: str = "0 seconds") -> DataFrame:
+    """First reply of each request within ``limit_seconds``, by Spark's own stream-stream join: keys, ``req_ts``, ``status``
+    (matched / timeout) and ``reply`` (the first reply's columns; null on a timeout).
+
+    Both sides are watermarked; a left outer interval join holds a request until the watermark has passed its limit, and an
+    aggregation over its (keys, time) keeps the earliest reply (ties by the other columns).  Keys may be of any type and
+    match null-safely only if neither is null; requests that repeat keys and time are one.  ``req_ts`` and ``resp_ts`` are
+    instants (``timestamp``)."""
+    columns = [c for c in replies.columns if c not in keys]
+    q = requests.select(*[F.col(k).alias(f"_q_{k}") for k in keys], F.col(req_ts)).withWatermark(req_ts, delay)
+    r = replies.withWatermark(resp_ts, delay)
+    on = (F.col(resp_ts) >= F.col(req_ts)) & (F.col(resp_ts) <= F.col(req_ts) + F.expr(f"INTERVAL {int(limit_seconds)} SECOND"))
+    for k in keys:
+        on = (F.col(f"_q_{k}") == F.col(k)) & on
+    order = F.struct(F.col(resp_ts), *[F.col(c) for c in columns if c != resp_ts])
+    # the groups are windows of a request's own instant: the time stays the event time of the result
+    first = q.join(r, on, "left_outer").groupBy(F.window(req_ts, "1 microsecond").alias("_w"), *[f"_q_{k}" for k in keys]).agg(
+        F.min_by(F.when(F.col(resp_ts).isNotNull(), F.struct(*columns)), order).alias("reply"))
+    return first.select(*[F.col(f"_q_{k}").alias(k) for k in keys], F.col("_w.start").alias(req_ts),
+                        F.when(F.col("reply").isNull(), F.lit("timeout")).otherwise(F.lit("matched")).alias("status"), "reply")
+
+
+def session_ends(actions: DataFrame, ttl_seconds: int = 3600, delay: str = "0 seconds") -> DataFrame:
+    """One row per session of a stream of (user_id, event_id, ts, mid), when it ends: ``user_id, start_us, end_us, reason``
+    (logout, restart, or expired ``ttl_seconds`` after the start).  A timer ends a session that nothing follows; an ended
+    session leaves no state."""
+    a = actions.where(F.col("mid").isNull() | (F.col("mid") == 0)).withColumn("t", epoch_us(F.col("ts"), actions.schema["ts"].dataType))
+    a = a.withColumn("ets", F.timestamp_micros("t")).withWatermark("ets", delay)
+    return a.groupBy("user_id").applyInPandasWithState(
+        make_session_ends(ttl_seconds * 1_000_000), ENDS_OUT, ENDS_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def _parts(spark: SparkSession, base: str, versions: dict[int, int]) -> DataFrame | None:
-    """The given versions of the given buckets (read by folder: nothing else is listed)."""
-    paths = [f"{base}/data/v={v}/b={b}" for b, v in sorted(versions.items())]
-    return spark.read.parquet(*paths) if paths else None
+# ---------------------------------------------------------------------------
+# current state of a change stream, in Spark's own state
+# ---------------------------------------------------------------------------
 
 
-def fold_snapshot(batch: DataFrame, batch_id: int, base: str, key: list[str], fold, buckets: int = BUCKETS) -> None:
-    """Fold a batch into the snapshot below ``base``: the buckets it touches are read, folded by
-    ``fold(rows)`` and written as version ``batch_id``, then committed.  A batch that is already committed is
-    skipped; one that was written but not committed is written again.  Versions that no bucket needs any more
-    are removed, keeping the one before (for readers that started earlier)."""
-    spark = batch.sparkSession
-    last = _last_batch(spark, base)
-    if last is not None and last >= batch_id:
-        return
-    keyed = batch.withColumn("_b", F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int"))
-    touched = sorted(r[0] for r in keyed.select("_b").distinct().collect())
-    if not touched:
-        return
-    versions = _versions(spark, base)
-    old = _parts(spark, base, {b: versions[b][0] for b in touched if b in versions})
-    rows = batch if old is None else old.unionByName(batch)
-    new = fold(rows).withColumn("b", F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int"))
-    new.write.mode("overwrite").partitionBy("b").parquet(f"{base}/data/v={batch_id}")
-    _commit(spark, base, batch_id, touched)
-    for b in touched:
-        for older in versions.get(b, [])[1:]:
-            remove_path(spark, f"{base}/data/v={older}/b={b}")
+def live_state(changes: DataFrame, key: str, seq: list[str]) -> DataFrame:
+    """Last write per key of a change stream: a streaming ``max_by`` whose state Spark keeps (RocksDB).  In update mode every
+    micro-batch gives the rows of the keys it changed, and no others.  Partial sums before the shuffle: a hot key is one row a task."""
+    rest = [c for c in changes.columns if c != key]
+    return changes.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(*seq)).alias("_last")).select(key, "_last.*")
 
 
-def merge_snapshot(key: str, seq: list[str], buckets: int = BUCKETS):
-    """foreachBatch step: last write per key into a bucketed snapshot, tombstones kept."""
+def write_changed(batch: DataFrame, batch_id: int, out: str) -> None:
+    """foreachBatch step: the changed rows of a micro-batch, by its id; a batch that runs again writes the same rows again."""
+    batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
-    def step(batch: DataFrame, batch_id: int, base: str) -> None:
-        fold_snapshot(batch, batch_id, base, [key], lambda rows: compact(rows, key, seq), buckets)
 
-    return step
+def run_live_state(changes: DataFrame, key: str, seq: list[str], base: str) -> None:
+    """Run the change stream below ``base`` and write what changes (a restart goes on where it stopped)."""
+    run_to_table(live_state(changes, key, seq), base=base, mode="update", foreach_batch=write_changed)
 
 
-def current_snapshot(spark: SparkSession, base: str) -> DataFrame | None:
-    """The committed state; None before the first commit."""
-    return _parts(spark, base, {b: v[0] for b, v in _versions(spark, base).items()})
+def current_rows(spark: SparkSession, base: str, schema, key: str, seq: list[str]) -> DataFrame:
+    """The current state: the last of each key's written rows, tombstones kept; no rows before the first batch."""
+    return compact(read_output(spark, f"{base}/out", schema), key, seq)
 
 
 def drain(stream: DataFrame, base: str) -> DataFrame:
@@ -167,21 +164,19 @@ def rag_turn_step(corpus: DataFrame, k: int, min_score: float, session: list[str
                   supplied: str | None = None, heading: str = CONTEXT_HEADING, texts: DataFrame | None = None,
                   n_corpus: int | None = None):
     """foreachBatch step of the retrieval turn: embed + top-k against the
-    static corpus, drop titles given in earlier batches (seen snapshot),
-    write the context rows and the new seen snapshot."""
+    static corpus, drop titles given in earlier batches, write the context
+    rows and the titles this batch gave, both by batch id."""
     from ..functions.embed import with_vector
 
     def step(batch: DataFrame, batch_id: int, out: str) -> None:
         spark = batch.sparkSession
-        seen_base = f"{out}/_seen"
-        last = _last_batch(spark, seen_base)
-        if last is not None and last >= batch_id:
-            return
         actions = with_vector(batch, "query", dim)
-        seen = current_snapshot(spark, seen_base)
+        # titles given in earlier batches; a batch that runs again reads and writes the same
+        seen = read_if_there(spark, f"{out}/seen", T.StructType([*[batch.schema[c] for c in session], T.StructField("title", T.StringType()), T.StructField("batch", T.LongType())]))
+        seen = seen.where(F.col("batch") < batch_id) if seen is not None else None
         novel = novel_hits(actions, corpus, k, min_score, session, turn, seen=seen, sparse_dim=dim, n_corpus=n_corpus).persist()
         context_block(actions, novel, session, turn, supplied, heading, texts if texts is not None else corpus).write.mode("overwrite").parquet(f"{out}/ctx/batch={batch_id}")
-        fold_snapshot(novel.select(*session, "title"), batch_id, seen_base, [*session, "title"], lambda rows: rows.distinct())
+        novel.select(*session, "title").distinct().write.mode("overwrite").parquet(f"{out}/seen/batch={batch_id}")
         novel.unpersist()
 
     return step

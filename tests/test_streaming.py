@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ferrule.sources.changes import event_op, events_as_actions
 from ferrule.streaming.runner import run_to_table
-from ferrule.streaming.streams import correlate_stream, current_snapshot, merge_snapshot, session_clock, session_turns
+from ferrule.streaming.streams import correlate_stream, current_rows, reply_join, run_live_state, session_clock, session_ends, session_turns
 from tests.conftest import SF_SMALL, rows
 
 import __spark_entry__ as E
@@ -61,12 +61,13 @@ def test_session_turns_stream_equals_batch(spark, duck):
 def test_current_state_stream_equals_batch(spark):
     path, schema = staged_events(spark)
     s = stream(spark, path, schema).select("user_id", event_op().alias("op"), "value", "props", "ts", "event_id")
-    base = tempfile.mkdtemp(prefix="ferrule-snap-")
-    run_to_table(s, base=base, foreach_batch=lambda b, i, o: merge_snapshot("user_id", ["ts", "event_id"])(b, i, f"{base}/snap"))
-    got = current_snapshot(spark, f"{base}/snap").where("op != 'd'")
+    base = tempfile.mkdtemp(prefix="ferrule-state-")
+    run_live_state(s, "user_id", ["ts", "event_id"], base)
+    got = current_rows(spark, base, s.schema, "user_id", ["ts", "event_id"]).where("op != 'd'")
     want = E.queries()["cdc_current_state"](spark, SF_SMALL)
     cols = ["user_id", "op", "value", "props", "event_id"]
     assert rows(got, cols) == rows(want, cols)
+    assert len(glob.glob(f"{base}/out/batch=*")) >= 4
 
 
 def test_correlate_stream_equals_batch(spark):
@@ -95,40 +96,96 @@ def test_session_clock_stream_equals_batch(spark):
     assert rows(got, cols) == rows(want, cols)
 
 
-def test_a_crash_between_write_and_commit_loses_nothing(spark, monkeypatch):
+STATE = "k long, t long, v string"
+
+
+def put(spark, folder, *data):
+    spark.createDataFrame(data, STATE).coalesce(1).write.mode("append").parquet(folder)
+
+
+def test_a_batch_that_fails_is_written_again_and_only_changed_rows_are_written(spark, monkeypatch):
     from ferrule.streaming import streams
 
-    base = tempfile.mkdtemp(prefix="ferrule-crash-")
-    step = merge_snapshot("k", ["t"], buckets=4)
-    batch = lambda *rows: spark.createDataFrame(rows, "k long, t long, v string")
-    step(batch((1, 1, "a"), (2, 1, "b")), 0, base)
-    real = streams._commit
-    monkeypatch.setattr(streams, "_commit", lambda *a: (_ for _ in ()).throw(RuntimeError("killed")))
+    base, src = tempfile.mkdtemp(prefix="ferrule-crash-"), tempfile.mkdtemp(prefix="ferrule-src-") + "/in"
+    schema = spark.createDataFrame([], STATE).schema
+    assert current_rows(spark, base, schema, "k", ["t"]).count() == 0
+    go = lambda: run_live_state(spark.readStream.schema(schema).parquet(src), "k", ["t"], base)
+    now = lambda: rows(current_rows(spark, base, schema, "k", ["t"]), ["k", "v"])
+    put(spark, src, (1, 1, "a"), (2, 1, "b"))
+    go()
+    put(spark, src, (1, 2, "c"), (3, 1, "d"))
+    real = streams.write_changed
+
+    def killed(batch, batch_id, out):  # after its files are written
+        real(batch, batch_id, out)
+        raise RuntimeError("killed")
+
+    monkeypatch.setattr(streams, "write_changed", killed)
     try:
-        step(batch((1, 2, "c"), (3, 1, "d")), 1, base)
-    except RuntimeError:
-        pass
-    assert rows(current_snapshot(spark, base), ["k", "v"]) == [(1, "a"), (2, "b")]
-    monkeypatch.setattr(streams, "_commit", real)
-    step(batch((1, 2, "c"), (3, 1, "d")), 1, base)
-    step(batch((9, 9, "late")), 1, base)  # already committed: skipped
-    for i in range(2, 6):
-        step(batch((1, i + 1, f"v{i}")), i, base)
-    assert rows(current_snapshot(spark, base), ["k", "v"]) == [(1, "v5"), (2, "b"), (3, "d")]
-    assert len(glob.glob(f"{base}/data/v=*/b=*")) <= 3 + 3  # older versions are removed
-
-
-def test_an_unreadable_commit_log_is_an_error(spark):
-    import pytest
-
-    base = tempfile.mkdtemp(prefix="ferrule-log-")
-    step = merge_snapshot("k", ["t"], buckets=2)
-    step(spark.createDataFrame([(1, 1)], "k long, t long"), 0, base)
-    for f in glob.glob(f"{base}/commits/*.parquet"):
-        with open(f, "wb") as out:
-            out.write(b"broken")
-    with pytest.raises(Exception):
-        step(spark.createDataFrame([(2, 1)], "k long, t long"), 1, base)
+        go()
+    except Exception as e:
+        assert "killed" in str(e)
+    monkeypatch.setattr(streams, "write_changed", real)
+    go()
+    assert now() == [(1, "c"), (2, "b"), (3, "d")]
+    put(spark, src, (1, 1, "late"), (2, 5, "e"))
+    go()
+    assert now() == [(1, "c"), (2, "e"), (3, "d")]
+    batches = [spark.read.parquet(f).count() for f in sorted(glob.glob(f"{base}/out/batch=*"))]
+    assert sum(batches) == 6  # each batch wrote the keys it touched, once
+
+
+ACTIONS = "user_id long, event_id long, ts timestamp_ntz, mid long"
+
+
+def test_sessions_end_by_logout_restart_or_timer_and_leave_no_state(spark):
+    src, base = tempfile.mkdtemp(prefix="ferrule-ends-") + "/in", tempfile.mkdtemp(prefix="ferrule-ends-")
+    t0 = dt.datetime(2024, 1, 1)
+    at = lambda s: t0 + dt.timedelta(seconds=s)
+    us = lambda s: int((at(s) - dt.datetime(1970, 1, 1)).total_seconds()) * 1_000_000
+    files = [
+        [(1, 1, at(0), 0), (2, 2, at(0), 0), (3, 3, at(5), None), (4, 4, at(9), 0)],
+        [(1, 5, at(50), None), (2, 6, at(100), 0), (1, 7, at(60), 7)],  # logout; restart at the very limit; a message
+        [(4, 8, at(500), None), (5, 9, at(500), 0)],  # long after the limit
+        [(9, 10, at(9000), None)],  # moves the watermark past everything
+        [(9, 11, at(9001), None)],
+    ]
+    schema = spark.createDataFrame([], ACTIONS).schema
+    for f in files:
+        spark.createDataFrame(f, ACTIONS).coalesce(1).write.mode("append").parquet(src)
+        out, q = run_to_table(session_ends(spark.readStream.schema(schema).parquet(src), 100), base=base, wait=False)
+        q.awaitTermination()
+    got = sorted(tuple(r) for r in spark.read.parquet(out).collect())
+    assert got == [(1, us(0), us(50), "logout"), (2, us(0), us(100), "restart"), (2, us(100), us(200), "expired"),
+                   (4, us(9), us(109), "expired"), (5, us(500), us(600), "expired")]
+    assert q.lastProgress["stateOperators"][0]["numRowsTotal"] == 0
+
+
+def test_replies_are_correlated_on_session_and_message(spark):
+    t0 = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
+    at = lambda s: t0 + dt.timedelta(seconds=s)
+    asked = [[("a", "1", at(0)), ("a", "2", at(10)), ("b:x", "1", at(0))], [("a", "3", at(200)), ("c", "1", at(210))], [("z", "0", at(9000))], [("z", "9", at(9001))]]
+    told = [[("a", "2", at(5), "before"), ("b:x", "1", at(119), "in time")],
+            [("a", "1", at(60), "second"), ("a", "1", at(30), "first"), ("a", "2", at(131), "late"), ("c", "1", at(210), "at once")],
+            [("a", "3", at(320), "at the limit"), ("z", "1", at(9000), "")], [("z", "2", at(9001), "")]]
+    src, base = tempfile.mkdtemp(prefix="ferrule-join-"), tempfile.mkdtemp(prefix="ferrule-join-")
+    q, r = "session string, mid string, req_ts timestamp", "session string, mid string, resp_ts timestamp, text string"
+    for a, b in zip(asked, told):
+        spark.createDataFrame(a, q).coalesce(1).write.mode("append").parquet(f"{src}/q")
+        spark.createDataFrame(b, r).coalesce(1).write.mode("append").parquet(f"{src}/r")
+        j = reply_join(spark.readStream.schema(q).parquet(f"{src}/q"), spark.readStream.schema(r).parquet(f"{src}/r"), ["session", "mid"], "req_ts", "resp_ts", 120, "3 minutes")
+        out = run_to_table(j, base=base)
+    got = sorted((x.session, x.mid, x.status, x.reply and x.reply.text) for x in spark.read.parquet(out).collect() if x.session != "z")
+    assert got == [("a", "1", "matched", "first"), ("a", "2", "timeout", None), ("a", "3", "matched", "at the limit"),
+                   ("b:x", "1", "matched", "in time"), ("c", "1", "matched", "at once")]
+
+
+def test_message_ids_beyond_float64_are_kept(spark):
+    src, big = tempfile.mkdtemp(prefix="ferrule-mid-") + "/in", 9007199254740993
+    data = [(1, i, dt.datetime(2024, 1, 1, 0, i), mid, "t") for i, mid in enumerate([0, big, None, big + 2])]
+    spark.createDataFrame(data, ACTIONS + ", title string").coalesce(1).write.parquet(src)
+    out = run_to_table(session_turns(spark.readStream.schema(ACTIONS + ", title string").parquet(src)), name="t_mid")
+    assert [r.mid for r in spark.read.parquet(out).orderBy("event_id").collect()] == [0, big, None, big + 2]
 
 
 def test_streams_in_a_uri_folder(spark, monkeypatch):
