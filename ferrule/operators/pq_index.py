@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .pivots import sample_vectors, unit
 from .spread import materialize, spread
-from .vectors import RANK_DIGITS, _final_topk, _prep
+from .vectors import FLOAT_ERROR, _final_topk, _prep
 
 WORDS = 256  # codewords of a part: a byte
 SAMPLE_ROWS = 20_000
@@ -178,5 +178,5 @@ def search(model: Model, codes: DataFrame, corpus: DataFrame, queries: DataFrame
 
     scored = pairs.select("qid", "id", cosine("v", "c").alias("score"))
     if min_score is not None:
-        scored = scored.where(F.round("score", RANK_DIGITS) >= min_score)
+        scored = scored.where(F.col("score") >= min_score - FLOAT_ERROR)
     return _final_topk(scored, k).select("qid", "rank", "id", "score")

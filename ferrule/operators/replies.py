@@ -78,8 +78,14 @@ def reply_cache(replies: DataFrame, key: str, seq: list[str]) -> DataFrame:
     )
 
 
-def purge_prefix(cache: DataFrame, sessions: DataFrame, key: str, session: str, sep: str = ":") -> DataFrame:
-    """Drop cache entries whose key starts with ``<session><sep>``."""
-    s = sessions.select(F.col(session).cast("string").alias("_s")).distinct()
-    c = cache.withColumn("_s", F.split_part(F.col(key), F.lit(sep), F.lit(1)))
-    return c.join(s, "_s", "left_anti").drop("_s")
+def purge_prefix(cache: DataFrame, sessions: DataFrame, key: str, session: str, sep: str = "") -> DataFrame:
+    """Drop cache entries whose key starts with ``<session><sep>`` of any session; ids may hold ``sep`` and be prefixes of others.
+
+    Each distinct key meets the sessions by one equality per prefix length that the sessions have, so nothing is compared
+    pairwise.  Null keys stay, null sessions purge nothing, an empty session with an empty ``sep`` purges every key."""
+    s = sessions.select(F.concat(F.col(session).cast("string"), F.lit(sep)).alias("_s")).where("_s is not null").distinct()
+    lengths = s.agg(F.sort_array(F.collect_set(F.length("_s")))).scalar()
+    keys = cache.select(F.col(key).cast("string").alias("_k")).where("_k is not null").distinct()
+    each = keys.select("_k", lengths.alias("_n")).select("_k", F.explode("_n").alias("_n")).where(F.col("_n") <= F.length("_k"))
+    gone = each.select("_k", F.substring("_k", F.lit(1), F.col("_n")).alias("_s")).join(s, "_s", "left_semi").select("_k").distinct()
+    return cache.join(gone, F.col(key).cast("string") == F.col("_k"), "left_anti")

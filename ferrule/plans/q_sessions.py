@@ -164,7 +164,21 @@ def prefix_purge(spark, d):
     a = _actions(spark, d)
     cache = a.where(~F.col("event_type").isin("signup", "error")).select(reply_key("user_id", "mid").alias("reply_key"))
     gone = a.where((F.col("event_type") == "error") & (F.col("user_id") % 2 == 0)).select("user_id")
-    return purge_prefix(cache, gone, "reply_key", "user_id")
+    return purge_prefix(cache, gone, "reply_key", "user_id", ":")
+
+
+@query("prefix_purge_nested", """
+    WITH k AS (SELECT o_orderkey, o_custkey::VARCHAR || ':' || replace(left(o_orderdate::VARCHAR, 10), '-', ':') AS reply_key FROM orders),
+    s AS (SELECT DISTINCT user_id::VARCHAR || CASE WHEN event_type = 'error' THEN ':' ELSE ':1996' END AS session FROM events)
+    SELECT o_orderkey, reply_key FROM k WHERE NOT EXISTS (SELECT 1 FROM s WHERE starts_with(k.reply_key, s.session))""")
+def prefix_purge_nested(spark, d):
+    """Keys ``customer:year:month:day`` purged by sessions that hold the separator and are prefixes of others: a user with an
+    error purges ``user:``, every user ``user:1996``."""
+    day = F.replace(F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("-"), F.lit(":"))
+    keys = table(spark, d, "orders").select("o_orderkey", F.concat(F.col("o_custkey").cast("string"), F.lit(":"), day).alias("reply_key"))
+    end = F.when(F.col("event_type") == "error", F.lit(":")).otherwise(F.lit(":1996"))
+    sessions = table(spark, d, "events").select(F.concat(F.col("user_id").cast("string"), end).alias("session"))
+    return purge_prefix(keys, sessions, "reply_key", "session")
 
 
 def known_profiles(spark, d):

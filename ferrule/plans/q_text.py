@@ -181,8 +181,19 @@ def strip_fences(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", H.strip_fences(fenced).alias("text_out"))
 
 
-@query("html_headings", """
-    SELECT page_id, regexp_replace(html, '(?i)<(/?)h[1-5]([ \\t\\n\\f\\r>/])', '<\\1h6\\2', 'g') AS html_out FROM pages""")
+# the scan of the rewrites as a pattern without possessive repeats, and a text as its tokens
+_SCAN_SQL = ("(?i)<!--[\\s\\S]*?-->|<script\\b[^>]*>[\\s\\S]*?</script\\s*>|<style\\b[^>]*>[\\s\\S]*?</style\\s*>|"
+             "<[a-zA-Z/](?:[^\"''>]|\"[^\"]*\"|''[^'']*'')*>|[^<]+|<")
+
+
+def _tags_sql(x, change):
+    return f"array_to_string(list_transform(regexp_extract_all({x}, '{_SCAN_SQL}'), lambda t: {change}), '')"
+
+
+_HEADINGS_SQL = _tags_sql("html", "regexp_replace(t, '(?i)^<(/?)h[1-5]([ \\t\\n\\f\\r>/])', '<\\1h6\\2')")
+
+
+@query("html_headings", f"SELECT page_id, {_HEADINGS_SQL} AS html_out FROM pages")
 def html_headings(spark, d):
     """h1..h5 -> h6."""
     return spread(table(spark, d, "pages")).select("page_id", H.html_headings("html").alias("html_out"))
@@ -190,8 +201,12 @@ def html_headings(spark, d):
 
 def _set_class_sql(x, e, classes):
     ws = "[ \\t\\n\\f\\r]"
-    step1 = f"regexp_replace({x}, '(?i)(<{e}\\b[^>]*?){ws}+class{ws}*={ws}*(?:\"[^\"]*\"|''[^'']*''|[^ \\t\\n\\f\\r>]+)', '\\1', 'g')"
-    return f"regexp_replace({step1}, '(?i)<({e})\\b', '<\\1 class=\"{classes}\"', 'g')"
+    attribute = f"[^ \\t\\n\\f\\r\"''>/=]+(?:{ws}*={ws}*(?:\"[^\"]*\"|''[^'']*''|[^ \\t\\n\\f\\r\"''>]+))?"
+    rest = f"regexp_extract(t, '(?i)^<{e}([ \\t\\n\\f\\r>/][\\s\\S]*)$', 1)"
+    own = (f"list_filter(regexp_extract_all(regexp_replace({rest}, '/?>$', ''), '{attribute}'), lambda a: NOT regexp_matches(a, '(?i)^class({ws}*=|$)'))")
+    made = (f"'<' || regexp_extract(t, '(?i)^<({e})', 1) || ' class=\"{classes}\"' || array_to_string(list_transform({own}, lambda a: ' ' || a), '') "
+            f"|| regexp_extract(t, '(/?>)$', 1)")
+    return _tags_sql(x, f"CASE WHEN regexp_matches(t, '(?i)^<{e}[ \\t\\n\\f\\r>/]') THEN {made} ELSE t END")
 
 
 _NAV_CLASSES = "nav nav-pills"

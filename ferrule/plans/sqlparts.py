@@ -46,7 +46,7 @@ def hashed_terms_sql(src: str, id_expr: str, text_expr: str, dim: int) -> str:
 
 # leave-one-out cosine top-k over embeddings (rank on round(score, 9), then id)
 def knn_embeddings_sql(k: int, min_score: float | None = None) -> str:
-    thr = f"AND round(score, 9) >= {min_score}" if min_score is not None else ""
+    thr = f"AND score >= {min_score} - 1e-12" if min_score is not None else ""
     return f"""
     WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
     p AS (SELECT a.vec_id AS qid, b.vec_id AS id, {cosine_sql('a.v', 'b.v')} AS score

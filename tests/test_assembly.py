@@ -53,6 +53,7 @@ def test_novelty_again_after_restart(spark):
         "ts": [t0 + dt.timedelta(seconds=i) for i in range(5)],
         "mid": [0, 10, 11, 0, 12],
         "title": [None, "a", "a", None, "a"],
+        "logout": [False] * 5,
     })
 
     class State:
@@ -79,7 +80,13 @@ def test_soft_delete_point_and_helpers(spark):
 
     cache = spark.createDataFrame([("s1:5",), ("s10:5",), ("s2:None",)], "reply_key string")
     gone = spark.createDataFrame([("s1",)], "sid string")
-    assert rows(purge_prefix(cache, gone, "reply_key", "sid")) == [("s10:5",), ("s2:None",)]
+    assert rows(purge_prefix(cache, gone, "reply_key", "sid", ":")) == [("s10:5",), ("s2:None",)]
+    assert rows(purge_prefix(cache, gone, "reply_key", "sid")) == [("s2:None",)]  # a plain prefix
+    odd = spark.createDataFrame([("a:b:1",), ("a:bc:1",), ("a:1",), ("é:x:1",), (None,)], "reply_key string")
+    ids = spark.createDataFrame([("a:b",), ("é:x",), ("a:b",), (None,), ("a:b:1:long",)], "sid string")
+    left = [r[0] for r in purge_prefix(odd, ids, "reply_key", "sid", ":").collect()]
+    assert len(left) == 3 and set(left) == {None, "a:1", "a:bc:1"}
+    assert purge_prefix(odd, ids.limit(0), "reply_key", "sid").count() == 5
 
     a = spark.createDataFrame([(1, ["x", "y", "z"])], "id int, l array<string>")
     b = spark.createDataFrame([(1, ["p", "q"])], "id int, m array<string>")

@@ -89,6 +89,20 @@ def test_strip_fences(spark):
     assert one(spark, H.strip_fences("x"), "```json{}``` x") == "{} x"
 
 
+def test_html_scan_leaves_what_is_no_tag(spark):
+    keep = """<!-- <h1>no</h1> <p> --><script>var t="</p><h2>";</script><STYLE>h1{}</STYLE ><img alt="<h3> class=x <p>" title='>'>a < b <"""
+    assert one(spark, H.html_headings("x"), keep + "<h1 a='<h2>'>t</h1><h1x><hr>") == keep + "<h6 a='<h2>'>t</h6><h1x><hr>"
+    assert one(spark, H.html_set_class("x", "p", "c"), keep + "<p-x><pre><p>") == keep + '<p-x><pre><p class="c">'
+    got = one(spark, H.html_set_class("x", "p", "c"), """<P data-x='class="k"' CLASS = old id=i hidden><p class/><p\nclass="a>b" title="class=z">""")
+    assert got == """<P class="c" data-x='class="k"' id=i hidden><p class="c"/><p class="c" title="class=z">"""
+    for broken in ("<h1", "<!-- <h1>", '<p class="x', "<script><h1>", "", "<<h1>>"):
+        tokens = one(spark, H.html_tokens("x"), broken)
+        assert "".join(tokens) == broken
+    assert one(spark, H.html_headings("x"), "<!-- open <h1>") == "<!-- open <h6>"
+    deep = "<p " + "a='b' " * 20000 + ">"
+    assert one(spark, H.html_set_class("x", "p", "c"), deep + "<!--" + "x" * 100000 + "-->").startswith('<p class="c" a=')
+
+
 def test_html_rewrites(spark):
     assert one(spark, H.html_headings("x"), "<H2 id=a>t</h2><h6>s</h6><hr>") == "<h6 id=a>t</h6><h6>s</h6><hr>"
     got = one(spark, H.html_set_class("x", "p", "c1 c2"), "<p class='old'>a</p><pre>b</pre><P>c</P>")
