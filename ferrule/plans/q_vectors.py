@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.embed import model_results, with_counts, with_vector
 from ..functions.json import json_vector
+from ..functions.sql import register
 from ..functions.vector import as_double, cosine
 from ..operators import pivots, pq_index
 from ..operators.quality import vector_contract as vector_rules, with_reasons
@@ -245,6 +246,33 @@ def embed_results(spark, d):
     return r.select("doc_id", F.get("r.vector", F.lit(0)).alias("v0"), F.get("r.vector", F.lit(1)).alias("v1"), "r.status_code", "r.error", "r.message")
 
 
+@query("sql_vector_data", f"""
+    WITH t AS {hashed_terms_sql('documents', 'doc_id', 'text', DIM_TEXT)},
+    n AS (SELECT id, sum(tf) / sqrt(sum(tf * tf)) AS vsum FROM t GROUP BY id)
+    SELECT doc_id, regexp_replace(md5(text), '^(.{{8}})(.{{4}})(.{{4}})(.{{4}})(.{{12}})$', '\\1-\\2-\\3-\\4-\\5') AS text_uuid,
+           CASE WHEN text IS NULL THEN NULL ELSE {DIM_TEXT}::BIGINT END AS dim, CASE WHEN text IS NOT NULL THEN round(coalesce(vsum, 0), 6) END AS vsum,
+           CASE WHEN text IS NOT NULL THEN 200 END AS status_code
+    FROM documents LEFT JOIN n ON n.id = doc_id""")
+def sql_vector_data(spark, d):
+    """The registered SQL functions ``hash_md5`` and ``get_vector_data`` over every document."""
+    register(spark, dim=DIM_TEXT)
+    told = spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.expr("hash_md5(text)").alias("text_uuid"), F.expr("get_vector_data(text)").alias("v"))
+    told = told.withColumn("r", F.from_json("v", "vector_data array<double>, status_code int"))
+    vsum = F.aggregate("r.vector_data", F.lit(0.0), lambda a, x: a + x)
+    dim = F.when(F.col("r.vector_data").isNotNull(), F.size("r.vector_data").cast("long"))
+    return told.select("doc_id", "text_uuid", dim.alias("dim"), F.round(vsum, 6).alias("vsum"), F.col("r.status_code").alias("status_code"))
+
+
+@query("sql_hashed_terms", f"""
+    SELECT id AS doc_id, bucket, tf FROM {hashed_terms_sql('documents', 'doc_id', 'text', DIM_TEXT)}""")
+def sql_hashed_terms(spark, d):
+    """The registered table function ``hashed_terms`` joined to every document."""
+    register(spark, dim=DIM_TEXT)
+    view = "ferrule_documents"
+    spread(table(spark, d, "documents").select("doc_id", "text")).createOrReplaceTempView(view)
+    return spark.sql(f"SELECT doc_id, bucket, tf FROM {view}, LATERAL hashed_terms(text, {DIM_TEXT})")
+
+
 def _doc_changes(spark, d):
     docs = spread(table(spark, d, "documents").select("doc_id", "text"))  # before the join: the scan may be one task
     lab = table(spark, d, "labels").select("doc_id", "toxic")
