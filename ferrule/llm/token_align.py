@@ -50,7 +50,7 @@ RUN = 1 << 20  # characters aligned at once
 BLOCK_BYTES, BLOCK_ROWS = 4 << 20, 1 << 16
 WIDE = 1 << 12  # links of a group that are written out one by one
 HALF = 32  # a pair is A's id shifted by this, or B's id
-KEPT_WORDS = 200_000  # encodings kept per worker and side
+KEPT_WORDS = 300_000  # encodings kept per worker and side
 _BORDER = re.compile(r"(?<=[^\W\d_]) (?=[^\W\d_])")
 _WORDS_B = re.compile(r" *[^ ]+(?: +\Z)?| +")  # cut before a space after another character, but for those at the end
 #: Below this code point, and beside the four separators, the pattern's classes agree between the libraries.
@@ -82,23 +82,33 @@ def _words_a() -> re.Pattern:
 
 
 class Words:
-    """Encodings of words of one side: word -> ids, or None where the ids do not spell the word."""
-
-    def __init__(self, encode, spell):
-        self.encode, self.spell, self.known = encode, spell, {}
-
-    def ids(self, texts: list[list[str]]) -> list[list[int] | None]:
-        known = self.known
-        if len(known) > KEPT_WORDS:
-            known.clear()
-        new = list(set(chain.from_iterable(texts)).difference(known))
-        for w, ids in zip(new, self.encode(new) if new else ()):
-            known[w] = ids if self.spell(ids) == w.encode() else None
-        out = []
-        for words in texts:
-            parts = list(map(known.__getitem__, words))
-            out.append(None if None in parts else list(chain.from_iterable(parts)))
-        return out
+    """Encodings of words of one side, kept as packed 32-bit ids (small objects, and texts are joined without a list of numbers)."""
+
+    def __init__(self, encode, token_bytes: list[bytes], token_size: np.ndarray):
+        self.encode, self.token_bytes, self.token_size = encode, token_bytes, token_size
+        self.known: dict[str, bytes] = {}
+        self.bad: set[str] = set()  # words that their ids do not spell
+
+    def learn(self, words: list[str]) -> None:
+        got = self.encode(words)
+        size = np.fromiter(map(len, got), np.int64, len(got))
+        flat = np.fromiter(chain.from_iterable(got), np.int32, int(size.sum()))
+        packed, ends = flat.tobytes(), (4 * np.cumsum(size)).tolist()
+        self.known.update(zip(words, map(packed.__getitem__, map(slice, [0, *ends[:-1]], ends))))
+        raw = [w.encode() for w in words]
+        spelled = np.add.reduceat(np.append(self.token_size[flat], 0), np.minimum(np.cumsum(size) - size, len(flat))) * (size > 0)
+        if (spelled == np.fromiter(map(len, raw), np.int64, len(raw))).all() and b"".join(map(self.token_bytes.__getitem__, flat.tolist())) == b"".join(raw):
+            return
+        self.bad.update(w for w, r, ids in zip(words, raw, got) if b"".join(map(self.token_bytes.__getitem__, ids)) != r)
+
+    def ids(self, texts: list[list[str]]) -> list[np.ndarray | None]:
+        if len(self.known) > KEPT_WORDS:
+            self.known.clear()
+            self.bad.clear()
+        if new := list(set(chain.from_iterable(texts)).difference(self.known)):
+            self.learn(new)
+        known = self.known.__getitem__
+        return [None if self.bad and not self.bad.isdisjoint(words) else np.frombuffer(b"".join(map(known, words)), np.int32) for words in texts]
 
 
 class Aligner:
@@ -130,10 +140,9 @@ class Aligner:
         probe = "It's  don't\t\n x1 22 a.b!! \xa0 é\u0301 ''s we'll \x85 "
         got = [probe[a:b] for _, (a, b) in self.a.pre_tokenizer.pre_tokenize_str(probe)] if self.cut else []
         self.split_a = pattern.findall if got == pattern.findall(probe) else None
-        self.words_a = Words(lambda w: [e.ids for e in self.a.encode_batch_fast(w, add_special_tokens=False)],
-                             lambda ids: b"".join(map(self.a_bytes.__getitem__, ids)))
+        self.words_a = Words(lambda w: [e.ids for e in self.a.encode_batch_fast(w, add_special_tokens=False)], self.a_bytes, self.a_size)
         # B puts a space before each word: the words given to it have one less
-        self.words_b = Words(lambda w: self.b.encode([x[1:] for x in w], num_threads=1), lambda ids: b"".join(map(self.b_bytes.__getitem__, ids)))
+        self.words_b = Words(lambda w: self.b.encode([x[1:] for x in w], num_threads=1), self.b_bytes, self.b_size)
 
     def units(self, text: str) -> Iterator[str]:
         """Parts of a text between spaces at which it is cut (those spaces left out)."""
@@ -143,7 +152,7 @@ class Aligner:
             at = m.end()
         yield text[at:]
 
-    def encode(self, units: list[str]) -> tuple[list[list[int] | None], list[list[int] | None]]:
+    def encode(self, units: list[str]) -> tuple[list[np.ndarray | None], list[np.ndarray | None]]:
         """Ids of both sides of each unit (with a space before it); None where they do not spell it."""
         whole = [" " + u for u in units]
         a = self.words_a.ids([self.split_a(t) if self.split_a and not _ODD.search(t) else [t] for t in whole])
@@ -164,7 +173,7 @@ def overlaps(a_start: np.ndarray, a_doc: np.ndarray, b_start: np.ndarray, b_doc:
 class Run:
     """Aligned tokens of some units one after another, of which each belongs to a document."""
 
-    def __init__(self, tool: Aligner, docs: list[int], a: list[list[int]], b: list[list[int]]):
+    def __init__(self, tool: Aligner, docs: list[int], a: list[np.ndarray], b: list[np.ndarray]):
         n_a, n_b = np.fromiter(map(len, a), np.int64, len(a)), np.fromiter(map(len, b), np.int64, len(b))
         doc = np.array(docs, np.int64)
         self.a, self.b = np.concatenate(a).astype(np.int64), np.concatenate(b).astype(np.int64)
