@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 
 from ..functions.embed import with_counts
 from ..session import scratch_path, table
+from ..sources.change_source import read_change_log
 from ..sources.changes import event_op, events_as_actions
 from ..sources.vector_store import to_points
 from ..streaming.runner import read_output, read_staged, read_table_stream, run_to_table, staged
@@ -27,6 +28,7 @@ from ..streaming.streams import (
 )
 from . import q_changes, q_sessions, q_vectors
 from .registry import ORACLE, query
+from .sqlparts import EVENT_OP
 
 SEQ = ["ts", "event_id"]
 
@@ -89,6 +91,19 @@ def resume_exactly_once(spark, d):
     return spark.read.parquet(f"{base}/out")
 
 
+@query("stream_change_log", f"SELECT event_id, user_id, {EVENT_OP} AS op, value FROM events")
+def stream_change_log(spark, d):
+    """The change log as a source of its own: read from its first row, stopped, and resumed on what came since."""
+    base = scratch_path(spark, "change_log")
+    e = table(spark, d, "events").select("event_id", "ts", "user_id", event_op().alias("op"), "value")
+    half = e.agg(((F.min("event_id") + F.max("event_id")) / 2).cast("long")).first()[0]
+    for later in (False, True):
+        e.where((F.col("event_id") > half) == F.lit(later)).write.mode("append").parquet(f"{base}/log")
+        log = read_change_log(spark, f"{base}/log", seq="event_id", schema=e.schema)
+        run_to_table(log.select("event_id", "user_id", "op", "value"), base=base)
+    return spark.read.parquet(f"{base}/out")
+
+
 @query("drain_once", "SELECT event_id, ts, (event_id % 2)::INTEGER AS call FROM events")
 def drain_once(spark, d):
     """Drains on one checkpoint: each call hands out what came since the last one, and a call without new rows
