@@ -20,6 +20,7 @@ from ..streaming.streams import (
     rag_turn_step,
     reply_join,
     run_append,
+    run_live_first,
     run_live_state,
     session_clock,
     session_ends,
@@ -199,6 +200,15 @@ def stream_current_state(spark, d):
     return current_rows(spark, base, s.schema, "user_id", SEQ).where(F.col("op") != "d")
 
 
+@query("stream_first_titles", """
+    SELECT user_id, event_type AS title, ts, event_id
+    FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS n FROM events) WHERE n = 1""")
+def stream_first_titles(spark, d):
+    """The first time each user gets each title, on a stream whose batches are not in time order."""
+    s = _batches(spark, d, "events", "event_id").select("user_id", F.col("event_type").alias("title"), "ts", "event_id")
+    return run_live_first(s, ["user_id"], "title", SEQ, scratch_path(spark, "stream_first_titles")).select("user_id", "title", *SEQ)
+
+
 def _with_sentinel(spark, stream, last, run):
     """Run ``run(stream + an empty folder)``, then once more on its checkpoint with a row later than everything in that
     folder, so that the watermark passes every deadline only after all data has been seen."""

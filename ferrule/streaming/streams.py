@@ -134,6 +134,24 @@ def live_state(changes: DataFrame, key: str, seq: list[str]) -> DataFrame:
     return changes.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(*seq)).alias("_last")).select(key, "_last.*")
 
 
+def live_first(hits: DataFrame, session: list[str], title: str, order: list[str]) -> DataFrame:
+    """First hit of each title in its session (epoch) on a stream: the twin of ``first_in_epoch``.  The state is one row per
+    (session, title), spread over the tasks by both, not a set per session; in update mode a batch gives the titles that are
+    new to their session, and a title again only if an earlier hit of it arrives late."""
+    rest = [c for c in hits.columns if c not in (*session, title)]
+    first = hits.groupBy(*session, title).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_first"))
+    return first.select(*session, title, "_first.*")
+
+
+def run_live_first(hits: DataFrame, session: list[str], title: str, order: list[str], base: str) -> DataFrame:
+    """Run the stream below ``base``; the first hits so far.  A batch writes what it found for the titles it touched; the
+    first of those is the answer."""
+    from ..operators.retrieve import first_in_epoch
+
+    run_to_table(live_first(hits, session, title, order), base=base, mode="update", foreach_batch=write_changed)
+    return first_in_epoch(read_output(hits.sparkSession, f"{base}/out", hits.schema), session, title, order)
+
+
 def write_changed(batch: DataFrame, batch_id: int, out: str) -> None:
     """foreachBatch step: the changed rows of a micro-batch, by its id; a batch that runs again writes the same rows again."""
     batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
