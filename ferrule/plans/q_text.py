@@ -235,6 +235,17 @@ def json_annotate_q(spark, d):
     return e.select("event_id", json_annotate("props", [("k", "bigint")], code).alias("annotated"))
 
 
+@query("json_annotate_all", """
+    SELECT event_id, json_merge_patch(props, json_object('at', json_object('user', user_id), 'status_code', CASE WHEN event_type = 'error' THEN 500 ELSE 200 END,
+                                                         'error', event_type = 'error'))::VARCHAR AS annotated FROM events""")
+def json_annotate_all(spark, d):
+    """The same for payloads of any fields, here with a nested one put in: all are kept."""
+    e = table(spark, d, "events")
+    code = F.when(F.col("event_type") == "error", F.lit(500)).otherwise(F.lit(200))
+    more = F.concat(F.expr("substring(props, 1, length(props) - 1)"), F.lit(', "at": {"user": '), F.col("user_id").cast("string"), F.lit('}, "error": "old"}'))
+    return e.select("event_id", json_annotate(more, None, code).alias("annotated"))
+
+
 @query("attribute_list", """
     SELECT p_partkey, 'P_Size ' || coalesce(p_size::VARCHAR, 'None') || ', P_Retailprice ' || coalesce(p_retailprice::VARCHAR, 'None') AS attrs FROM part""")
 def attribute_list_q(spark, d):

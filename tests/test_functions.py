@@ -114,6 +114,14 @@ def test_json_vector(spark):
     assert one(spark, json_vector("x"), '{"other": 1}') is None
 
 
+def test_json_annotate_keeps_every_field(spark):
+    data = [('{"b":{"x":[1,null]},"a":1.5,"error":"old","q\\"k.":"s\\"t","status_code":7,"n":null}',), ("{}",), ("[1]",), ("nope",), (None,)]
+    df = spark.createDataFrame(data, "x string")
+    got = [r[0] for r in df.select(json_annotate("x", None, F.lit(500))).collect()]
+    only = '{"status_code":500,"error":true}'
+    assert got == ['{"b":{"x":[1,null]},"a":1.5,"q\\"k.":"s\\"t","n":null,"status_code":500,"error":true}', only, only, only, only]
+
+
 def test_json_annotate_and_kind(spark):
     df = spark.createDataFrame([('{"k": 5}', 500)], "x string, c int")
     assert df.select(json_annotate("x", [("k", "bigint")], F.col("c"))).first()[0] == '{"k":5,"status_code":500,"error":true}'
