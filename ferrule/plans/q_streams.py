@@ -11,6 +11,7 @@ from ..functions.embed import with_counts
 from ..session import scratch_path, table
 from ..sources.change_source import read_change_log
 from ..sources.changes import event_op, events_as_actions
+from ..sources.reported_sink import delivery_reports, write_delivered
 from ..sources.vector_store import to_points
 from ..streaming.runner import read_output, read_staged, read_table_stream, run_to_table, staged
 from ..streaming.streams import (
@@ -105,6 +106,19 @@ def stream_change_log(spark, d):
     return spark.read.parquet(f"{base}/out")
 
 
+@query("stream_delivery_report", """
+    SELECT sum(CASE WHEN user_id % 10 <> 3 THEN 1 ELSE 0 END)::BIGINT AS rows, sum(CASE WHEN user_id % 10 = 3 THEN 1 ELSE 0 END)::BIGINT AS failed,
+           min(user_id) FILTER (user_id % 10 <> 3) AS min_key, max(user_id) FILTER (user_id % 10 <> 3) AS max_key FROM events""")
+def stream_delivery_report(spark, d):
+    """Events delivered by a stream to the reporting sink, over its batches' reports; keys that end in 3 are taken away, so
+    those rows fail."""
+    base = scratch_path(spark, "delivery")
+    s = _batches(spark, d, "events", "event_id").select(F.when(F.col("user_id") % 10 != 3, F.col("user_id")).alias("user_id"), "event_id")
+    write_delivered(s, f"{base}/out", "user_id", f"{base}/chk")
+    r = delivery_reports(spark, f"{base}/out")
+    return r.agg(F.sum("rows").alias("rows"), F.sum("failed").alias("failed"), F.min(F.col("min_key").cast("long")).alias("min_key"), F.max(F.col("max_key").cast("long")).alias("max_key"))
+
+
 @query("drain_once", "SELECT event_id, ts, (event_id % 2)::INTEGER AS call FROM events")
 def drain_once(spark, d):
     """Drains on one checkpoint: each call hands out what came since the last one, and a call without new rows
