@@ -172,13 +172,13 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     w as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from p),
     g as (select lang, m, array_to_string(w[i : i + m - 1], ' ') as phrase
           from (select lang, w, m, unnest(generate_series(1, len(w) - m + 1)) as i from w, (values (1), (2), (3), (4)) v(m))),
-    f as (select lang, phrase, m, count(*) as f from g group by all),
+    f as materialized (select lang, phrase, m, count(*) as f from g group by all),
     t as (select lang, sum(f) as n from f where m = 1 group by lang),
-    c as (select lang, phrase, m, f as a, string_split(phrase, ' ') as w from f where m > 1 and f >= 30),
-    k as (select *, unnest(generate_series(1, m - 1)) as k from c),
-    s as (select k.lang, k.phrase, k.a, k, x.f as l, y.f as r, (2000000::hugeint * k.a) // (x.f + y.f) as score
-          from k join f x on x.lang = k.lang and x.phrase = array_to_string(w[1 : k], ' ')
-                 join f y on y.lang = k.lang and y.phrase = array_to_string(w[k + 1 : k.m], ' ')),
+    c as materialized (select lang, phrase, m, f as a, string_split(phrase, ' ') as w from f where m > 1 and f >= 30),
+    e as materialized (select lang, phrase, a, cut, array_to_string(w[1 : cut], ' ') as lp, array_to_string(w[cut + 1 : m], ' ') as rp
+                       from (select *, unnest(generate_series(1, m - 1)) as cut from c)),
+    s as (select e.lang, e.phrase, e.a, e.cut as k, x.f as l, y.f as r, (2000000::hugeint * e.a) // (x.f + y.f) as score
+          from e join f x on x.lang = e.lang and x.phrase = e.lp join f y on y.lang = e.lang and y.phrase = e.rp),
     b as (select lang, phrase, a, l, r, score from s qualify row_number() over (partition by lang, phrase order by score, k) = 1),
     i as (select lang, a, array_to_string(w[s : s + z - 1], ' ') as phrase
           from (select *, unnest(generate_series(1, m - z + 1)) as s from (select *, unnest(generate_series(2, m - 1)) as z from c))),
