@@ -92,12 +92,35 @@ def session_machine(key, pdfs, state: GroupState):
     yield out
 
 
+KEYS = 1024  # groups the users of a stream are dealt to; part of a checkpoint's state
+
+
+def _packed(*columns) -> bytes:
+    """Rows of 64-bit integers as bytes of state."""
+    return np.stack([np.asarray(c, np.int64) for c in columns], 1).tobytes()
+
+
+def _unpacked(state: GroupState, width: int) -> np.ndarray:
+    """Columns of the rows a state holds (none without a state)."""
+    return np.frombuffer(bytes(state.get[0]) if state.exists else b"", np.int64).reshape(-1, width).T
+
+
+def _joined(held: np.ndarray, pdfs, columns: list[str]) -> list[np.ndarray]:
+    """Columns of the held rows, then of the new ones (none on a timeout)."""
+    new = [] if pdfs is None else [p[columns] for p in pdfs]
+    return [np.concatenate([h, *(p[c].to_numpy(np.int64) for p in new)]) for c, h in zip(columns, held)]
+
+
+def _users(no_user: np.ndarray, user: np.ndarray):
+    return pd.arrays.IntegerArray(user.copy(), no_user.astype(bool))
+
+
 CORRELATE_OUT = "user_id long, event_id long, ts_us long, resp_event_id long, resp_us long, status string"
-CORRELATE_STATE = "pending string"
+CORRELATE_STATE = "pending binary"
 
 
 def make_correlator(limit_us: int):
-    """As-of correlation per key without pairs: each request takes the first
+    """As-of correlation per user without pairs: each request takes the first
     response at or after it (same instant counts) if it is within the limit.
 
     Only the watermark decides: a request is matched once the watermark has
@@ -105,51 +128,46 @@ def make_correlator(limit_us: int):
     it has passed its limit.  Until then requests and responses wait in state,
     so the order in which they arrive within the watermark's delay makes no
     difference.  The state holds the rows of the last ``limit`` + delay.
-    Vectorised: carried and new rows are sorted together and a reverse running
-    minimum of response positions gives every request its next response."""
-    cols = ["user_id", "event_id", "ts_us", "resp_event_id", "resp_us", "status"]
-
-    def emit(user, req_id, req_t, resp_id, resp_t, status):
-        n = len(req_id)
-        return pd.DataFrame({
-            "user_id": np.full(n, user),
-            "event_id": np.asarray(req_id, dtype=np.int64),
-            "ts_us": np.asarray(req_t, dtype=np.int64),
-            "resp_event_id": np.asarray(resp_id, dtype=object),
-            "resp_us": np.asarray(resp_t, dtype=object),
-            "status": np.full(n, status, dtype=object),
-        }, columns=cols)
+    A group holds many users (``no_user``, ``user_id``).  Vectorised: carried
+    and new rows are sorted together and a reverse running minimum of response
+    positions gives every request its user's next response."""
+    columns = ["no_user", "user_id", "t", "kind", "id"]
 
     def run(key, pdfs, state: GroupState):
-        held = json.loads(state.get[0]) if state.exists else []
-        parts = [pd.DataFrame(held, columns=["t", "kind", "id"], dtype="int64")]
-        if not state.hasTimedOut:
-            parts += [p[["t", "kind", "id"]] for p in pdfs]
-        df = pd.concat(parts).sort_values(["t", "kind", "id"]).reset_index(drop=True)
-        t = df["t"].to_numpy(dtype=np.int64)
-        kind = df["kind"].to_numpy()
-        ids = df["id"].to_numpy(dtype=np.int64)
-        n = len(df)
+        no_user, user, t, kind, ids = _joined(_unpacked(state, 5), None if state.hasTimedOut else pdfs, columns)
+        order = np.lexsort((ids, kind, t, user, no_user))
+        no_user, user, t, kind, ids = (x[order] for x in (no_user, user, t, kind, ids))
+        n = len(t)
+        if not n:
+            return
+        of = np.append(0, np.cumsum((user[1:] != user[:-1]) | (no_user[1:] != no_user[:-1])))
         # a request comes before a response of its instant, so the next response may be at the same instant
-        pos = np.where(kind == 1, np.arange(n), n)
-        nxt = np.minimum.accumulate(pos[::-1])[::-1]
+        nxt = np.minimum.accumulate(np.where(kind == 1, np.arange(n), n)[::-1])[::-1]
+        there = np.minimum(nxt, n - 1)
+        nt = t[there]
         req = kind == 0
-        nt = t[np.minimum(nxt, n - 1)] if n else t
-        found = req & (nxt < n) & (nt - t <= limit_us)
+        found = req & (nxt < n) & (of[there] == of) & (nt - t <= limit_us)
         passed = (state.getCurrentWatermarkMs() or 0) * 1000  # rows at or after this instant can still come
         matched = found & (nt < passed)
         timed_out = req & ~found & (t + limit_us < passed)
         wait = req & ~matched & ~timed_out
-        yield pd.concat([
-            emit(key[0], ids[matched], t[matched], ids[nxt[matched]], nt[matched], "matched"),
-            emit(key[0], ids[timed_out], t[timed_out], [None] * int(timed_out.sum()), [None] * int(timed_out.sum()), "timeout"),
-        ], ignore_index=True)
-        first = min(int(t[wait].min()) if wait.any() else passed, passed)  # responses before it serve no request
-        keep = wait | ((kind == 1) & (t >= first))
+        at = np.flatnonzero(matched | timed_out)
+        yield pd.DataFrame({
+            "user_id": _users(no_user[at], user[at]),
+            "event_id": ids[at],
+            "ts_us": t[at],
+            "resp_event_id": pd.arrays.IntegerArray(ids[there[at]], timed_out[at]),
+            "resp_us": pd.arrays.IntegerArray(nt[at], timed_out[at]),
+            "status": np.where(matched[at], "matched", "timeout").astype(object),
+        })
+        first = np.full(of[-1] + 1, passed)  # responses of a user before it serve no request
+        np.minimum.at(first, of[wait], t[wait])
+        keep = wait | ((kind == 1) & (t >= first[of]))
         if not keep.any():
-            state.remove()
+            if state.exists:
+                state.remove()
             return
-        state.update((json.dumps([[int(a), int(b), int(c)] for a, b, c in zip(t[keep], kind[keep], ids[keep])]),))
+        state.update((_packed(no_user[keep], user[keep], t[keep], kind[keep], ids[keep]),))
         due = np.where(found, nt, t + limit_us)[wait]
         due = int(due.min()) if len(due) else int(t[keep].max())
         state.setTimeoutTimestamp(max(due // 1000 + 1, (state.getCurrentWatermarkMs() or 0) + 1))

@@ -200,3 +200,34 @@ def test_streams_in_a_uri_folder(spark, monkeypatch):
     assert bad == q["quarantine"](spark, SF_SMALL).count() > 0
     assert rows(q["stream_current_state"](spark, SF_SMALL), ["user_id", "event_id"]) == rows(q["cdc_current_state"](spark, SF_SMALL), ["user_id", "event_id"])
     assert glob.glob(folder.removeprefix("file:") + "/ferrule/*/*")
+
+
+def test_correlation_of_users_that_share_groups(spark):
+    from ferrule.streaming.processors import KEYS
+
+    src, base, big = tempfile.mkdtemp(prefix="ferrule-corr-") + "/in", tempfile.mkdtemp(prefix="ferrule-corr-"), 9007199254740993
+    t0 = dt.datetime(2024, 1, 1)
+    at = lambda s: t0 + dt.timedelta(seconds=s)
+    users, schema, held = [None, *range(big, big + 3 * KEYS)], "user_id long, id long, ts timestamp_ntz, kind int", []
+    files = [[(u, big + i, at(0), 0) for i, u in enumerate(users)], [(u, -i, at(50 + i % 100), 1) for i, u in enumerate(users) if i % 2 == 0],
+             [(-1, -1, at(9000), 1)], [(-1, -2, at(9001), 1)]]
+    for f in files:
+        spark.createDataFrame(f, schema).coalesce(1).write.mode("append").parquet(src)
+        out, q = run_to_table(correlate_stream(spark.readStream.schema(schema).parquet(src), 100), base=base, wait=False)
+        q.awaitTermination()
+        held.append(q.lastProgress["stateOperators"][0]["numRowsTotal"])
+    got = {(r.user_id, r.event_id): (r.resp_event_id, r.status) for r in spark.read.parquet(out).collect()}
+    assert got == {(u, big + i): (-i, "matched") if i % 2 == 0 and i % 100 <= 50 else (None, "timeout") for i, u in enumerate(users)}
+    assert held[0] <= KEYS
+
+
+def test_staged_sets_of_files_are_batches_in_order(spark):
+    from ferrule.streaming.runner import read_staged, staged
+
+    df = spark.range(3000).withColumnRenamed("id", "n")
+    path, files = staged(spark, df, "n", file_rows=250)
+    assert files == 4 and len(glob.glob(f"{path}/*.parquet")) == 12
+    seen = []
+    run_to_table(read_staged(spark, path, df.schema, files), name="t_sets", foreach_batch=lambda b, i, o: seen.append(tuple(b.agg(F.min("n"), F.max("n")).first())))
+    assert seen == [(0, 999), (1000, 1999), (2000, 2999)]
+    assert staged(spark, df.where("n < 2100"), "n", file_rows=800)[1] == 1
