@@ -211,37 +211,39 @@ def make_session_clock(ttl_us: int):
 
 
 ENDS_OUT = "user_id long, start_us long, end_us long, reason string"
-ENDS_STATE = "start_us long"
+ENDS_STATE = "open binary"
 
 
 def make_session_ends(ttl_us: int):
     """One row per session when it ends: by logout, by the next start, or by a timer ``ttl_us`` after its start, whichever is
-    first (a control at that very instant counts as one).  Rows are control codes only, in order across batches; an open
-    session is one number of state, an ended one none."""
-
-    def ends(user, starts, until, reason):
-        return pd.DataFrame({"user_id": np.full(len(starts), user), "start_us": np.asarray(starts, np.int64), "end_us": np.asarray(until, np.int64),
-                             "reason": np.asarray(reason, object)})
+    first (a control at that very instant counts as one).  Rows are control codes only, in order across batches.  A group
+    holds many users (``no_user``, ``user_id``): an open session is three numbers of state, an ended one none, and the
+    group's timer is that of its oldest session."""
+    columns = ["no_user", "user_id", "t", "event_id", "start"]
 
     def run(key, pdfs, state: GroupState):
-        held = [state.get[0]] if state.exists else []
-        if state.hasTimedOut:
-            yield ends(key[0], held, [held[0] + ttl_us], ["expired"])
-            state.remove()
+        held = _unpacked(state, 3)
+        none, one = np.zeros(held.shape[1], np.int64), np.ones(held.shape[1], np.int64)
+        no_user, user, t, event, start = _joined([*held, none, one], None if state.hasTimedOut else pdfs, columns)
+        n = len(t)
+        if not n:
             return
-        pdf = pd.concat(list(pdfs)).sort_values(["ts", "event_id"])
-        t = np.array([*held, *pdf["t"]], np.int64)
-        start = np.array([True] * len(held) + (~pdf["mid"].isna()).tolist())
-        begun, nxt = np.flatnonzero(start), np.flatnonzero(start) + 1
-        follows = nxt < len(t)
-        at = t[np.minimum(nxt, len(t) - 1)]
-        in_time = follows & (at <= t[begun] + ttl_us)
-        reason = np.where(~in_time, "expired", np.where(start[np.minimum(nxt, len(t) - 1)], "restart", "logout"))
-        done = follows
-        yield ends(key[0], t[begun][done], np.where(in_time, at, t[begun] + ttl_us)[done], reason[done])
-        if len(t) and start[-1]:
-            state.update((int(t[-1]),))
-            state.setTimeoutTimestamp(max((int(t[-1]) + ttl_us) // 1000 + 1, (state.getCurrentWatermarkMs() or 0) + 1))
+        order = np.lexsort((event, t, np.arange(n) >= len(none), user, no_user))  # what a user holds comes first
+        no_user, user, t, start = (x[order] for x in (no_user, user, t, start))
+        begun = np.flatnonzero(start)
+        nxt = np.minimum(begun + 1, n - 1)
+        follows = (begun + 1 < n) & (user[nxt] == user[begun]) & (no_user[nxt] == no_user[begun])
+        until = t[begun] + ttl_us
+        in_time = follows & (t[nxt] <= until)
+        reason = np.where(~in_time, "expired", np.where(start[nxt] == 1, "restart", "logout")).astype(object)
+        done = follows | (until < (state.getCurrentWatermarkMs() or 0) * 1000)
+        at = begun[done]
+        yield pd.DataFrame({"user_id": _users(no_user[at], user[at]), "start_us": t[at], "end_us": np.where(in_time, t[nxt], until)[done],
+                            "reason": reason[done]})
+        open_ = begun[~done]
+        if len(open_):
+            state.update((_packed(no_user[open_], user[open_], t[open_]),))
+            state.setTimeoutTimestamp(max((int(t[open_].min()) + ttl_us) // 1000 + 1, (state.getCurrentWatermarkMs() or 0) + 1))
         elif state.exists:
             state.remove()
 

@@ -202,6 +202,26 @@ def test_streams_in_a_uri_folder(spark, monkeypatch):
     assert glob.glob(folder.removeprefix("file:") + "/ferrule/*/*")
 
 
+def test_users_share_groups_of_state(spark):
+    from ferrule.streaming.processors import KEYS
+
+    src, base, big = tempfile.mkdtemp(prefix="ferrule-groups-") + "/in", tempfile.mkdtemp(prefix="ferrule-groups-"), 9007199254740993
+    t0 = dt.datetime(2024, 1, 1)
+    at = lambda s: t0 + dt.timedelta(seconds=s)
+    users = [None, *range(big, big + 3 * KEYS)]
+    files = [[(u, i, at(0), 0) for i, u in enumerate(users)], [(u, big + i, at(50), None) for i, u in enumerate(users) if i % 2 == 0],
+             [(-1, -1, at(9000), None)], [(-1, -2, at(9001), None)]]
+    schema, held = spark.createDataFrame([], ACTIONS).schema, []
+    for f in files:
+        spark.createDataFrame(f, ACTIONS).coalesce(1).write.mode("append").parquet(src)
+        out, q = run_to_table(session_ends(spark.readStream.schema(schema).parquet(src), 100), base=base, wait=False)
+        q.awaitTermination()
+        held.append(q.lastProgress["stateOperators"][0]["numRowsTotal"])
+    got = {r.user_id: (r.end_us - r.start_us, r.reason) for r in spark.read.parquet(out).collect()}
+    assert got == {u: (50_000_000, "logout") if i % 2 == 0 else (100_000_000, "expired") for i, u in enumerate(users)}
+    assert held[0] <= KEYS and held[-1] == 0
+
+
 def test_correlation_of_users_that_share_groups(spark):
     from ferrule.streaming.processors import KEYS
 
