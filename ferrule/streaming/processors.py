@@ -92,6 +92,7 @@ def session_machine(key, pdfs, state: GroupState):
     yield out
 
 
+NONE, NEVER = -(2**63), 2**63 - 1  # instead of a null id and a null time
 KEYS = 1024  # groups the users of a stream are dealt to; part of a checkpoint's state
 
 
@@ -108,7 +109,7 @@ def _unpacked(state: GroupState, width: int) -> np.ndarray:
 def _joined(held: np.ndarray, pdfs, columns: list[str]) -> list[np.ndarray]:
     """Columns of the held rows, then of the new ones (none on a timeout)."""
     new = [] if pdfs is None else [p[columns] for p in pdfs]
-    return [np.concatenate([h, *(p[c].to_numpy(np.int64) for p in new)]) for c, h in zip(columns, held)]
+    return [np.concatenate([h, *(p[c].astype("int64").to_numpy() for p in new)]) for c, h in zip(columns, held)]
 
 
 def _users(no_user: np.ndarray, user: np.ndarray):
@@ -128,14 +129,15 @@ def make_correlator(limit_us: int):
     it has passed its limit.  Until then requests and responses wait in state,
     so the order in which they arrive within the watermark's delay makes no
     difference.  The state holds the rows of the last ``limit`` + delay.
-    A group holds many users (``no_user``, ``user_id``).  Vectorised: carried
+    A request without a time (``NEVER``) is matched at once with a response without
+    one that came beside it, or times out.  A group holds many users (``no_user``, ``user_id``).  Vectorised: carried
     and new rows are sorted together and a reverse running minimum of response
     positions gives every request its user's next response."""
     columns = ["no_user", "user_id", "t", "kind", "id"]
 
     def run(key, pdfs, state: GroupState):
         no_user, user, t, kind, ids = _joined(_unpacked(state, 5), None if state.hasTimedOut else pdfs, columns)
-        order = np.lexsort((ids, kind, t, user, no_user))
+        order = np.lexsort((ids, ids == NONE, kind, t, user, no_user))
         no_user, user, t, kind, ids = (x[order] for x in (no_user, user, t, kind, ids))
         n = len(t)
         if not n:
@@ -146,23 +148,26 @@ def make_correlator(limit_us: int):
         there = np.minimum(nxt, n - 1)
         nt = t[there]
         req = kind == 0
-        found = req & (nxt < n) & (of[there] == of) & (nt - t <= limit_us)
+        timed = t < NEVER
+        found = req & (nxt < n) & (of[there] == of) & (timed == timed[there])
+        found[found] = nt[found] - t[found] <= limit_us
         passed = (state.getCurrentWatermarkMs() or 0) * 1000  # rows at or after this instant can still come
-        matched = found & (nt < passed)
-        timed_out = req & ~found & (t + limit_us < passed)
+        matched = found & (~timed | (nt < passed))
+        timed_out = req & ~found & (~timed | (t < passed - limit_us))
         wait = req & ~matched & ~timed_out
         at = np.flatnonzero(matched | timed_out)
-        yield pd.DataFrame({
-            "user_id": _users(no_user[at], user[at]),
-            "event_id": ids[at],
-            "ts_us": t[at],
-            "resp_event_id": pd.arrays.IntegerArray(ids[there[at]], timed_out[at]),
-            "resp_us": pd.arrays.IntegerArray(nt[at], timed_out[at]),
-            "status": np.where(matched[at], "matched", "timeout").astype(object),
-        })
+        if len(at):
+            yield pd.DataFrame({
+                "user_id": _users(no_user[at], user[at]),
+                "event_id": ids[at],
+                "ts_us": np.where(timed, t, NONE)[at],
+                "resp_event_id": pd.arrays.IntegerArray(ids[there[at]], timed_out[at]),
+                "resp_us": pd.arrays.IntegerArray(np.where(timed, nt, NONE)[at], timed_out[at]),
+                "status": np.where(matched[at], "matched", "timeout").astype(object),
+            })
         first = np.full(of[-1] + 1, passed)  # responses of a user before it serve no request
         np.minimum.at(first, of[wait], t[wait])
-        keep = wait | ((kind == 1) & (t >= first[of]))
+        keep = wait | ((kind == 1) & timed & (t >= first[of]))
         if not keep.any():
             if state.exists:
                 state.remove()
@@ -238,8 +243,9 @@ def make_session_ends(ttl_us: int):
         reason = np.where(~in_time, "expired", np.where(start[nxt] == 1, "restart", "logout")).astype(object)
         done = follows | (until < (state.getCurrentWatermarkMs() or 0) * 1000)
         at = begun[done]
-        yield pd.DataFrame({"user_id": _users(no_user[at], user[at]), "start_us": t[at], "end_us": np.where(in_time, t[nxt], until)[done],
-                            "reason": reason[done]})
+        if len(at):
+            yield pd.DataFrame({"user_id": _users(no_user[at], user[at]), "start_us": t[at], "end_us": np.where(in_time, t[nxt], until)[done],
+                                "reason": reason[done]})
         open_ = begun[~done]
         if len(open_):
             state.update((_packed(no_user[open_], user[open_], t[open_]),))

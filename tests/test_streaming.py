@@ -231,13 +231,16 @@ def test_correlation_of_users_that_share_groups(spark):
     users, schema, held = [None, *range(big, big + 3 * KEYS)], "user_id long, id long, ts timestamp_ntz, kind int", []
     files = [[(u, big + i, at(0), 0) for i, u in enumerate(users)], [(u, -i, at(50 + i % 100), 1) for i, u in enumerate(users) if i % 2 == 0],
              [(-1, -1, at(9000), 1)], [(-1, -2, at(9001), 1)]]
+    files[0] += [(7, 1, None, 0), (8, 3, at(0), 0)]  # a row without a time matches none with one
+    files[1] += [(7, 2, None, 1), (7, 5, at(60), 1), (8, 6, None, 1)]
     for f in files:
         spark.createDataFrame(f, schema).coalesce(1).write.mode("append").parquet(src)
         out, q = run_to_table(correlate_stream(spark.readStream.schema(schema).parquet(src), 100), base=base, wait=False)
         q.awaitTermination()
         held.append(q.lastProgress["stateOperators"][0]["numRowsTotal"])
     got = {(r.user_id, r.event_id): (r.resp_event_id, r.status) for r in spark.read.parquet(out).collect()}
-    assert got == {(u, big + i): (-i, "matched") if i % 2 == 0 and i % 100 <= 50 else (None, "timeout") for i, u in enumerate(users)}
+    alone = {(7, 1): (None, "timeout"), (8, 3): (None, "timeout")}
+    assert got == alone | {(u, big + i): (-i, "matched") if i % 2 == 0 and i % 100 <= 50 else (None, "timeout") for i, u in enumerate(users)}
     assert held[0] <= KEYS
 
 
