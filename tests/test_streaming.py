@@ -254,3 +254,26 @@ def test_staged_sets_of_files_are_batches_in_order(spark):
     run_to_table(read_staged(spark, path, df.schema, files), name="t_sets", foreach_batch=lambda b, i, o: seen.append(tuple(b.agg(F.min("n"), F.max("n")).first())))
     assert seen == [(0, 999), (1000, 1999), (2000, 2999)]
     assert staged(spark, df.where("n < 2100"), "n", file_rows=800)[1] == 1
+
+
+def test_a_retrieval_turn_finds_its_texts_whatever_tasks_the_search_has(spark, tmp_path):
+    from ferrule.functions.embed import with_vector
+    from ferrule.streaming.streams import rag_turn_step
+
+    said = [(i, f"t{i}", f"alpha{i} beta{i} gamma{i}") for i in range(300)]
+    texts = spark.createDataFrame(said, "id long, title string, description string").repartition(3)
+    corpus = with_vector(texts, "description", 384).select("id", "title", "vector")
+    step = rag_turn_step(corpus, 1, 0.9, ["conv_id"], "turn", texts=texts, n_corpus=300)
+    batch = lambda *turns: spark.createDataFrame([(f"{c}:{t}", c, t, said[n][2]) for c, t, n in turns], "qid string, conv_id long, turn long, query string")
+    stored = len(spark.sparkContext._jsc.getPersistentRDDs())
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        step(batch((1, 0, 7), (2, 0, 8), (3, 0, 9)), 0, str(tmp_path))
+        for _ in range(2):  # the second time as after a failure
+            step(batch((1, 1, 7), (1, 2, 8), (2, 1, 299)), 1, str(tmp_path))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    got = rows(spark.read.parquet(f"{tmp_path}/ctx").selectExpr("conv_id", "turn", "coalesce(split(context, '- ')[1], '') AS item"))
+    item = lambda n: f"t{n}: {said[n][2]}"
+    assert got == [(1, 0, item(7)), (1, 1, ""), (1, 2, item(8)), (2, 0, item(8)), (2, 1, item(299)), (3, 0, item(9))]
+    assert len(spark.sparkContext._jsc.getPersistentRDDs()) == stored
